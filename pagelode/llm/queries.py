@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, sharding
+from . import bpe, quality, sharding, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_token_files": token_files.op2_query,
+    "op3_byte_bpe": bpe.op3_query,
     "op8_quality_rules": quality.op8_query,
     "op10_sharding": sharding.op10_query,
 }
