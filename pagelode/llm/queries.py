@@ -6,18 +6,48 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, quality, sharding, token_files
+from . import bpe, decontam, quality, sharding, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": token_files.op2_query,
     "op3_byte_bpe": bpe.op3_query,
+    "op7_decontamination": decontam.op7_query,
     "op8_quality_rules": quality.op8_query,
+    "op9_warc": warc.op9_query,
     "op10_sharding": sharding.op10_query,
 }
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 ORACLES: dict[str, str] = {
+    "op7_decontamination": rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rk, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (
+  SELECT CAST(item_id AS VARCHAR) AS item,
+         regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS (
+  SELECT DISTINCT item, least(10, len(w)) AS n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS g
+  FROM (SELECT item, w, unnest(generate_series(1, greatest(1, len(w) - 9))) AS i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM win),
+grams AS (
+  SELECT rk, n, i, array_to_string(w[i:i + n - 1], ' ') AS g
+  FROM (SELECT rk, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM d, sizes WHERE len(w) >= n)),
+found AS (SELECT rk, grams.n, i, item FROM grams JOIN win ON grams.n = win.n AND grams.g = win.g),
+hit AS (SELECT rk, count(DISTINCT p) AS n FROM (SELECT rk, unnest(generate_series(i, i + n - 1)) AS p FROM found) GROUP BY rk),
+items AS (SELECT rk, count(*) AS n, string_agg(item, ',' ORDER BY item) AS l FROM (SELECT DISTINCT rk, item FROM found) GROUP BY rk)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(hit.n, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(items.n, 0) AS BIGINT) AS n_items, sha256(coalesce(items.l, '')) AS items_sha256,
+       coalesce(hit.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (rk) LEFT JOIN items USING (rk)""",
+    "op9_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha256(coalesce(html, '')) AS g, strlen(coalesce(html, '')) AS n FROM pages),
+f AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY g) ELSE page_id END AS first_id FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, g AS payload_digest,
+       CASE WHEN first_id = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first_id = page_id THEN NULL ELSE first_id END AS refers_to
+FROM f""",
     "op8_quality_rules": rf"""
 WITH d AS (
   SELECT row_number() OVER () AS rk, doc_id, source, coalesce(text, '') AS t,
