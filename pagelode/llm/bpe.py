@@ -21,13 +21,14 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: White space as the splitting library knows it, whatever the version of the regex module.
-_SPACE = r"\t-\r \x85\xa0  -     　"
+from .pieces import Memo, splitter
+
 NEVER = 1 << 62
 
 
@@ -257,40 +258,21 @@ class Utf8Stream:
         return held.decode("utf-8", self.errors)
 
 
-class _Memo(dict):
-    def __init__(self, encode, most: int = 150_000):
-        self.encode, self.most, self.old = encode, most, {}
-
-    def __missing__(self, piece):
-        got = self.old.get(piece)
-        if got is None:
-            got = self.encode(piece)
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        self[piece] = got
-        return got
-
-
 class Codec:
     """Encodes texts and decodes ids of one rank file."""
 
     def __init__(self, rank_file: str, pattern: str):
-        import regex
-
         self.vocab = Vocabulary.from_rank_file(rank_file)
         self.transducer = Transducer(self.vocab)
-        # \s and \S by an explicit class: modules differ on the information separators
-        explicit = pattern.replace(r"[^\s", f"[^{_SPACE}").replace(r"\S", f"[^{_SPACE}]").replace(r"\s", f"[{_SPACE}]")
-        self.pieces = regex.compile(explicit).findall
-        self.memo = _Memo(self._piece)
+        self.pieces = splitter(pattern)
+        self.memo = Memo(self._piece)
         table = self.vocab.bytes_of
         self.token_bytes = [table.get(i, b"") for i in range(max(table) + 1)]
 
     def _piece(self, piece: str) -> bytes:
         data = piece.encode()
         whole = self.vocab.ranks.get(data)  # a piece that is a token is that token
-        return np.array([whole] if whole is not None else self.transducer.encode(data), "<u4").tobytes()
+        return array("I", [whole] if whole is not None else self.transducer.encode(data)).tobytes()
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""

@@ -19,6 +19,7 @@ from __future__ import annotations
 import json
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -27,28 +28,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import filesystem, publish, work_path, written
+from .pieces import PATTERN, Memo, plain, splitter
 
 SEQ_LEN, BATCH, END_ID = 2048, 32, 0
 INDEX_SCHEMA = "part int, file string, doc_id long, first long, n_tokens long"
-#: Texts of these characters split alike under every Unicode version; others go to the library whole.
-PLAIN = r"[\t\n\r\x20-\x7e¡-ɏ]*"
-
-
-class _Memo(dict):
-    """Piece -> its ids as bytes, in two generations of bounded size."""
-
-    def __init__(self, encode, most: int = 150_000):
-        self.encode, self.most, self.old = encode, most, {}
-
-    def __missing__(self, piece):
-        got = self.old.get(piece)
-        if got is None:
-            got = self.encode(piece)
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        self[piece] = got
-        return got
 
 
 class Encoder:
@@ -58,7 +41,6 @@ class Encoder:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -67,32 +49,29 @@ class Encoder:
         pre = spec.get("pre_tokenizer") or {}
         self.by_piece = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.pieces = regex.compile(piece_pattern()).findall
-        self.plain = regex.compile(PLAIN).fullmatch
+        self.pieces = splitter(PATTERN)
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.model = self.tokenizer.model
         self.letters = byte_letters()
-        self.memo = _Memo(self._piece)
+        self.memo = Memo(self._piece)
 
     def _piece(self, piece: str) -> bytes:
         """A piece as the library's byte-level splitting would hand it to the library's model."""
-        shown = piece.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.model.tokenize(shown)], self.dtype).tobytes()
+        if piece.isascii() and piece.isprintable():
+            shown = piece.replace(" ", self.letters[32])
+        else:
+            shown = piece.encode().decode("latin-1").translate(self.letters)
+        return array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def __call__(self, text: str) -> bytes:
-        if self.by_piece and self.plain(text):
+        if self.by_piece and plain(text):  # other texts may split otherwise: they go to the library whole
             return b"".join(map(self.memo.__getitem__, self.pieces(text)))
         return self._whole(text)
 
 
-def piece_pattern() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.PATTERN
-
-
 def byte_letters() -> dict[int, str]:
     """Byte -> the letter that stands for it in byte-level vocabularies: printable Latin-1 as is, the rest from U+0100 on."""
     kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
