@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, quality, sharding, token_files, warc
+from . import bpe, decontam, near_dedup, quality, recompress, sharding, suffix_dedup, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": suffix_dedup.op1_query,
     "op2_token_files": token_files.op2_query,
     "op3_byte_bpe": bpe.op3_query,
+    "op4_near_dedup": near_dedup.op4_query,
+    "op6_substring_dedup": recompress.op6_query,
     "op7_decontamination": decontam.op7_query,
     "op8_quality_rules": quality.op8_query,
     "op9_warc": warc.op9_query,
@@ -20,6 +23,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 ORACLES: dict[str, str] = {
+    "op6_substring_dedup": r"""
+WITH d AS (SELECT row_number() OVER () AS rk, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (
+  SELECT rk, i, array_to_string(w[i:i + 34], ' ') AS g
+  FROM (SELECT rk, w, unnest(generate_series(1, len(w) - 34)) AS i FROM d WHERE len(w) >= 35)),
+dup AS (SELECT rk, i FROM (SELECT rk, i, count(*) OVER (PARTITION BY g) AS c FROM win) WHERE c > 1),
+cov AS (SELECT DISTINCT rk, unnest(generate_series(i, i + 34)) AS p FROM dup),
+word AS (SELECT rk, unnest(w) AS x, unnest(generate_series(1, len(w))) AS p FROM d),
+kept AS (
+  SELECT rk, string_agg(x, ' ' ORDER BY p) AS t, count(*) AS n FROM word ANTI JOIN cov USING (rk, p) GROUP BY rk)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(kept.n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (rk)""",
     "op7_decontamination": rf"""
 WITH d AS (
   SELECT row_number() OVER () AS rk, doc_id,
