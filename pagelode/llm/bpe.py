@@ -26,6 +26,8 @@ from array import array
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .pieces import Memo, splitter
 
@@ -305,21 +307,29 @@ def codec(rank_file: str, pattern: str) -> Codec:
     return _codecs[key]
 
 
-def tokens(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
-    """Columns of docs, and token_ids array<int>."""
-    names = [n for n in docs.columns if n != "token_ids"]
-    schema = docs.select(*names).schema.add("token_ids", "array<int>")
+def encoded(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
+    """docs without text, with token_ids array<int>, n_tokens and round_trip (whether decoding gives the text's bytes again)."""
+    new = ("token_ids", "n_tokens", "round_trip")
+    names = [n for n in docs.columns if n not in (*new, "text")]
+    schema = docs.select(*names).schema.add("token_ids", T.ArrayType(T.IntegerType())).add("n_tokens", "long").add("round_trip", "boolean")
 
-    def encode(batches):
+    def run(batches):
         own = codec(rank_file, pattern)
         for batch in batches:
-            ids = [np.frombuffer(own.encode(t.as_py() or ""), "<i4") for t in batch["text"]]
+            ids, good = [], []
+            for t in batch["text"]:
+                text = t.as_py() or ""
+                got = own.encode(text)
+                ids.append(np.frombuffer(got, "<i4"))
+                good.append(own.decode_bytes(got) == text.encode())
+            sizes = list(map(len, ids))
             values = np.concatenate(ids) if ids else np.empty(0, np.int32)
-            offsets = np.cumsum([0, *map(len, ids)])
-            column = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*(batch[n] for n in names), column], names=[*names, "token_ids"])
+            column = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(values, pa.int32()))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch[n] for n in names), column, pa.array(sizes, pa.int64()), pa.array(good, pa.bool_())], names=[*names, *new]
+            )
 
-    return docs.select(*names).mapInArrow(encode, schema)
+    return docs.select(*names, "text").mapInArrow(run, schema)
 
 
 def round_trips(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
@@ -339,8 +349,6 @@ def round_trips(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    from pyspark.sql import functions as F
-
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, near_dedup, quality, recompress, sharding, suffix_dedup, token_files, warc
+from . import bpe, decontam, html_text, near_dedup, quality, recompress, sharding, suffix_dedup, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": suffix_dedup.op1_query,
     "op2_token_files": token_files.op2_query,
     "op3_byte_bpe": bpe.op3_query,
     "op4_near_dedup": near_dedup.op4_query,
+    "op5_html_text": html_text.op5_query,
     "op6_substring_dedup": recompress.op6_query,
     "op7_decontamination": decontam.op7_query,
     "op8_quality_rules": quality.op8_query,

@@ -19,6 +19,7 @@ fewer words than the window keep all; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -320,6 +321,44 @@ def without(text: bytes, ranges: bytes | None) -> tuple[list[bytes], int]:
     return kept, len(words) - len(kept)
 
 
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def cut(text: bytes, ranges: bytes) -> bytes:
+    """The text without the words in the ranges; what stands between words elsewhere stays as it is."""
+    at = [m.span() for m in _WORD.finditer(text)]
+    out, last = [], 0
+    for a, b in np.frombuffer(ranges, "<i8").reshape(-1, 2).tolist():
+        out.append(text[last : at[a][0]])
+        last = at[b - 1][1]
+    return b"".join([*out, text[last:]])
+
+
+def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """docs without the words of repeated windows; texts of which no word is left go. Columns as given, n_chars with the text."""
+    clash = {c: f"_own_{c}" for c in docs.columns if c in ("row_key", "ranges")}
+    rows = docs.withColumnsRenamed(clash)
+    found = with_ranges(rows.withColumn("row_key", row_key()), repeated_ranges(docs, window))
+    names, schema = rows.columns, rows.schema
+
+    def run(batches):
+        for batch in batches:
+            texts, keep = batch["text"].to_pylist(), []
+            for i, ranges in enumerate(batch["ranges"].to_pylist()):
+                if ranges:
+                    texts[i] = cut(texts[i].encode(), ranges).decode()
+                    keep.append(bool(_WORD.search(texts[i].encode())))
+                else:
+                    keep.append(True)
+            columns = [pa.array(texts, batch[c].type) if c == "text" else batch[c] for c in names]
+            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
+
+    out = found.mapInArrow(run, schema)
+    if "n_chars" in names:
+        out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(schema["n_chars"].dataType), F.col("n_chars")))
+    return out.withColumnsRenamed({b: a for a, b in clash.items()}).select(*docs.columns)
+
+
 def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256)"""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row_key", row_key())
