@@ -1,0 +1,3 @@
+"""A semantic page index on Spark: crawl, extract, chunk, embed, store and search web pages."""
+
+__version__ = "0.1.0"
