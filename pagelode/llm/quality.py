@@ -99,7 +99,7 @@ def content_key():
 
 def line_statistics(docs: DataFrame) -> DataFrame:
     """One row a document (STATS_SCHEMA), computed once and kept in the shared folder."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row_key"), content_key().alias("content"), "doc_id", F.col("source").cast("string"), "text")
+    rows = docs.select(F.monotonically_increasing_id().alias("row_key"), content_key().alias("content"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string"), "text")
     return written(rows.mapInArrow(_stats, STATS_SCHEMA), "quality-stats")
 
 
@@ -154,12 +154,13 @@ def _without(batches):
 def filtered(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
     """The documents kept, without their boilerplate lines; columns as given (texts only change, n_chars with them)."""
     verdict = judged(docs, max_docs).where("kept").select(F.col("content").alias("_content"), "hit_keys").dropDuplicates(["_content"])
-    rows = docs.withColumn("_content", content_key())
-    kept = rows.join(verdict, "_content").drop("_content")
-    out = kept.mapInArrow(_without, docs.schema)
+    clash = {c: f"_own_{c}" for c in docs.columns if c in ("_content", "hit_keys")}
+    rows = docs.withColumnsRenamed(clash)
+    kept = rows.withColumn("_content", content_key()).join(verdict, "_content").drop("_content")
+    out = kept.mapInArrow(_without, rows.schema)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
+    return out.withColumnsRenamed({b: a for a, b in clash.items()}).select(*docs.columns)
 
 
 def op8_query(spark: SparkSession, sf_dir: str) -> DataFrame:
