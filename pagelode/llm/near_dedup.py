@@ -7,9 +7,10 @@
 3. Registers are cut into bands; documents that share a band are candidates. Within a bucket all are first compared with
    the smallest document. A pair's similarity is estimated from its registers by maximum likelihood; pairs that can't
    reach the threshold (by five standard deviations) go, the rest are confirmed on the full sets.
-4. Buckets that still hold several components are compared exhaustively: documents outside the bucket's first
-   component meet all others, in blocks of bounded size. So no link between documents that share a band is lost,
-   and no bucket has a cap. A pair at the threshold shares no band with a probability of (1 - 0.8**4)**25 = 2e-6.
+4. Buckets that still hold several components are compared further, in blocks of bounded size: each document outside
+   the bucket's first component proposes its likeliest partners in other components, one at first, four times as
+   many in each round. Most groups merge in the first; rounds end when nobody had to leave a possible partner out,
+   so no link between documents that share a band is lost, and no bucket has a cap. A pair at the threshold shares no band with a probability of (1 - 0.8**4)**25 = 2e-6.
 5. Components of the links come from alternating large-star and small-star rounds, each written to the shared
    folder. Hot documents and buckets are salted: a document's set is sent once to every `SALT_ROWS` of its partners.
 
@@ -106,15 +107,15 @@ def _cut(percent: int) -> float:
     return t - 5 * (t * (1 - t) / REGISTERS) ** 0.5
 
 
-def _possible(one: np.ndarray, size: int, many: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
-    """Which of many sketches may belong to a set that is linked with this one."""
-    ok = 100 * np.minimum(sizes, size) >= percent * np.maximum(sizes, size)
-    at = np.flatnonzero(ok)
+def _likely(one: np.ndarray, size: int, many: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Estimated similarities of a set with many, from their sketches; 0 where the pair can't be linked."""
+    out = np.zeros(len(sizes))
+    at = np.flatnonzero(100 * np.minimum(sizes, size) >= percent * np.maximum(sizes, size))
     if len(at):
         other = many[at]
         got = likely_similarity((one > other).sum(1), (one < other).sum(1), np.full(len(at), size, float), sizes[at].astype(float))
-        ok[at[got < _cut(percent)]] = False
-    return ok
+        out[at] = np.where(got < _cut(percent), 0, got)
+    return out
 
 
 SKETCH_SCHEMA = "doc_id long, n_shingles long, set_key binary, regs binary"
@@ -169,7 +170,7 @@ def _confirm(words: int, percent: int):
                 for s, r in centers:
                     if mine is None:
                         mine = sets(text)
-                    if not _possible(r, len(s), sketched[None], np.array([len(mine)]), percent)[0]:
+                    if not _likely(r, len(s), sketched[None], np.array([len(mine)]), percent)[0]:
                         continue
                     both = len(np.intersect1d(s, mine, assume_unique=True))
                     if 100 * both >= percent * (len(s) + len(mine) - both):
@@ -218,22 +219,28 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("v").alias("doc_id"), F.col("m").alias("component"))
 
 
-def _cross_pairs(percent: int):
-    """Streams rows sorted by (bucket, block); yields possible pairs of different components, one of them outside the bucket's first."""
+def _cross_pairs(percent: int, most: int):
+    """Streams rows sorted by (bucket, block). Each document outside the bucket's first component proposes its `most` likeliest
+    partners in other components; `more` tells that some were left for a later round."""
 
     def emit(rows):
         regs = np.stack([np.frombuffer(r[3], np.uint16) for r in rows])
         ids, comps, sizes = (np.array([r[i] for r in rows], np.int64) for i in (0, 1, 2))
         home = np.array([r[5] for r in rows], bool)
-        a, b = [], []
+        a, b, more = [], [], []
         for i, r in enumerate(rows):
             if not r[4]:
                 continue
             at = np.flatnonzero((comps != comps[i]) & home)
-            at = at[_possible(regs[i], sizes[i], regs[at], sizes[at], percent)] if len(at) else at
+            if not len(at):
+                continue
+            got = _likely(regs[i], sizes[i], regs[at], sizes[at], percent)
+            order = np.lexsort((ids[at], -got))[: int((got > 0).sum())]
+            at = at[order[:most]]
             a += np.minimum(ids[at], ids[i]).tolist()
             b += np.maximum(ids[at], ids[i]).tolist()
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            more += [len(order) > most] * len(at)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(more, pa.bool_())], names=["a", "b", "more"])
 
     def run(batches):
         key, held = None, []
@@ -252,7 +259,6 @@ def _cross_pairs(percent: int):
 
 def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id, kept."""
-    spark = docs.sparkSession
     own = sketches(docs, words)
     sets = own.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
     classes = written(
@@ -271,22 +277,28 @@ def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     links = written(confirmed(stars, nodes, words, percent), "links")
     found = components(links)
 
-    placed = members.join(found, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mixed_buckets = placed.groupBy("bucket").agg(F.min("component").alias("main"), F.max("component").alias("other")).where("main != other")
     blocks_of = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
-    rows = (
-        placed.join(mixed_buckets, "bucket")
-        .withColumn("minor", F.col("component") != F.col("main"))
-        .withColumn("home", F.pmod(F.xxhash64("doc_id"), blocks_of).cast("int"))
-        .withColumn("block", F.explode(F.when(F.col("minor"), F.sequence(F.lit(0), blocks_of - 1)).otherwise(F.array("home"))))
-        .join(regs, "doc_id")
-        .select("bucket", "block", "doc_id", "component", "n_shingles", "regs", "minor", (F.col("home") == F.col("block")).alias("is_home"))
-    )
-    rest = rows.repartition("bucket", "block").sortWithinPartitions("bucket", "block").mapInArrow(_cross_pairs(percent), "a long, b long").distinct()
-    rest = written(rest.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "rest")
-    more = written(confirmed(rest, nodes, words, percent), "links")
-    if more.take(1):
-        found = components(links.unionByName(more))
+    tested, most = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), 1
+    while True:
+        placed = members.join(found, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        several = placed.groupBy("bucket").agg(F.min("component").alias("main"), F.max("component").alias("other")).where("main != other")
+        rows = (
+            placed.join(several, "bucket")
+            .withColumn("minor", F.col("component") != F.col("main"))
+            .withColumn("home", F.pmod(F.xxhash64("doc_id"), blocks_of).cast("int"))
+            .withColumn("block", F.explode(F.when(F.col("minor"), F.sequence(F.lit(0), blocks_of - 1)).otherwise(F.array("home"))))
+            .join(regs, "doc_id")
+            .select("bucket", "block", "doc_id", "component", "n_shingles", "regs", "minor", (F.col("home") == F.col("block")).alias("is_home"))
+        )
+        proposed = rows.repartition("bucket", "block").sortWithinPartitions("bucket", "block")
+        proposed = written(proposed.mapInArrow(_cross_pairs(percent, most), "a long, b long, more boolean"), "proposed")
+        pairs = written(proposed.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        links = written(confirmed(pairs, nodes, words, percent), "links")
+        if links.take(1):
+            found = components(found.select(F.col("doc_id").alias("a"), F.col("component").alias("b")).unionByName(links))
+        if not proposed.where("more").take(1):
+            break
+        tested, most = tested.unionByName(pairs), 4 * most
 
     by_class = (
         classes.join(found, "doc_id", "left")
