@@ -7,10 +7,13 @@
 3. Registers are cut into bands; documents that share a band are candidates. Within a bucket all are first compared with
    the smallest document. A pair's similarity is estimated from its registers by maximum likelihood; pairs that can't
    reach the threshold (by five standard deviations) go, the rest are confirmed on the full sets.
-4. Buckets that still hold several components are compared further, in blocks of bounded size: each document outside
-   the bucket's first component proposes its likeliest partners in other components, one at first, four times as
-   many in each round. Most groups merge in the first; rounds end when nobody had to leave a possible partner out,
-   so no link between documents that share a band is lost, and no bucket has a cap. A pair at the threshold shares no band with a probability of (1 - 0.8**4)**25 = 2e-6.
+4. Buckets that still hold several components are compared further, in blocks of bounded size. First each document
+   outside the bucket's first component proposes its likeliest partner in another component, which merges most
+   groups. Then each such document is compared with all others of other components, by their whole sets (32-bit
+   hashes; what comes within half a percent of the threshold or above it is confirmed on the full sets), where the block
+   joins components as it goes; a pair is looked at in the first bucket it shares. Nothing but links leaves a
+   block: no link between documents that share a band is lost, no bucket has a cap, and no list of pairs is made.
+   A pair at the threshold shares no band with a probability of (1 - 0.8**4)**25 = 2e-6.
 5. Components of the links come from alternating large-star and small-star rounds, each written to the shared
    folder. Hot documents and buckets are salted: a document's set is sent once to every `SALT_ROWS` of its partners.
 
@@ -111,6 +114,8 @@ def _likely(one: np.ndarray, size: int, many: np.ndarray, sizes: np.ndarray, per
     """Estimated similarities of a set with many, from their sketches; 0 where the pair can't be linked."""
     out = np.zeros(len(sizes))
     at = np.flatnonzero(100 * np.minimum(sizes, size) >= percent * np.maximum(sizes, size))
+    if len(at):  # the likelihood only for what agrees in enough registers (a linked pair agrees in 80 on average)
+        at = at[(many[at] == one).sum(1) >= (_cut(percent) - 0.05) * REGISTERS]
     if len(at):
         other = many[at]
         got = likely_similarity((one > other).sum(1), (one < other).sum(1), np.full(len(at), size, float), sizes[at].astype(float))
@@ -219,42 +224,96 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("v").alias("doc_id"), F.col("m").alias("component"))
 
 
-def _cross_pairs(percent: int, most: int):
-    """Streams rows sorted by (bucket, block). Each document outside the bucket's first component proposes its `most` likeliest
-    partners in other components; `more` tells that some were left for a later round."""
+def _by_block(batches, emit):
+    """Calls emit with the rows of each (bucket, block) of batches sorted by them."""
+    key, held = None, []
+    for batch in batches:
+        for bucket, block, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            if key != (bucket, block):
+                if held:
+                    yield emit(held)
+                key, held = (bucket, block), []
+            held.append(row)
+    if held:
+        yield emit(held)
+
+
+def _pairs(a, b) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _columns(rows):
+    ids, comps, sizes = (np.array([r[i] for r in rows], np.int64) for i in (0, 1, 2))
+    return ids, comps, sizes, np.stack([np.frombuffer(r[3], np.uint16) for r in rows]), np.array([r[5] for r in rows], bool)
+
+
+def _proposals(percent: int):
+    """Of each document outside the bucket's first component, the likeliest partner in another component."""
 
     def emit(rows):
-        regs = np.stack([np.frombuffer(r[3], np.uint16) for r in rows])
-        ids, comps, sizes = (np.array([r[i] for r in rows], np.int64) for i in (0, 1, 2))
-        home = np.array([r[5] for r in rows], bool)
-        a, b, more = [], [], []
-        for i, r in enumerate(rows):
-            if not r[4]:
-                continue
+        ids, comps, sizes, regs, home = _columns(rows)
+        a, b = [], []
+        for i in (i for i, r in enumerate(rows) if r[4]):
             at = np.flatnonzero((comps != comps[i]) & home)
+            got = _likely(regs[i], sizes[i], regs[at], sizes[at], percent)
+            if got.any():
+                best = at[np.lexsort((ids[at], -got))[0]]
+                a.append(min(ids[best], ids[i]))
+                b.append(max(ids[best], ids[i]))
+        return _pairs(a, b)
+
+    return lambda batches: _by_block(batches, emit)
+
+
+_NEAR_PERCENT = 0.5
+
+
+def _links_within(percent: int):
+    """Links between components of a block, by whole sets; components are joined as links are found."""
+
+    def emit(rows):
+        ids, comps, sizes, regs, home = _columns(rows)
+        root = np.unique(comps, return_inverse=True)[1]
+        bands = regs.reshape(len(rows), BANDS, ROWS)
+        band, sets = rows[0][6], [np.frombuffer(r[7], np.uint32) for r in rows]
+        a, b = [], []
+        for i in (i for i, r in enumerate(rows) if r[4]):
+            at = np.flatnonzero((root != root[i]) & home)
             if not len(at):
                 continue
             got = _likely(regs[i], sizes[i], regs[at], sizes[at], percent)
-            order = np.lexsort((ids[at], -got))[: int((got > 0).sum())]
-            at = at[order[:most]]
-            a += np.minimum(ids[at], ids[i]).tolist()
-            b += np.maximum(ids[at], ids[i]).tolist()
-            more += [len(order) > most] * len(at)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(more, pa.bool_())], names=["a", "b", "more"])
+            some = got > 0
+            at, got = at[some], got[some]
+            first = (bands[at] == bands[i]).all(axis=2).argmax(axis=1) == band
+            at, got = at[first], got[first]
+            for j in at[np.lexsort((ids[at], -got))].tolist():
+                if root[j] == root[i]:
+                    continue
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                likeness = 100 * both / max(1, len(sets[i]) + len(sets[j]) - both)
+                if likeness >= percent - _NEAR_PERCENT:
+                    a.append(min(ids[i], ids[j]))
+                    b.append(max(ids[i], ids[j]))
+                    if likeness >= percent + _NEAR_PERCENT:  # sure to be confirmed
+                        root[root == root[j]] = root[i]
+        return _pairs(a, b)
+
+    return lambda batches: _by_block(batches, emit)
+
+
+def _short_sets(nodes: DataFrame, words: int) -> DataFrame:
+    """(doc_id, short): sets of 32-bit hashes, sorted."""
 
     def run(batches):
-        key, held = None, []
         for batch in batches:
-            for bucket, block, *row in zip(*(c.to_pylist() for c in batch.columns)):
-                if key != (bucket, block):
-                    if held:
-                        yield emit(held)
-                    key, held = (bucket, block), []
-                held.append(row)
-        if held:
-            yield emit(held)
+            raw, offs = text_buffers(batch["text"])
+            out = []
+            for i, j in blocks(offs):
+                for s in shingle_sets(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i], words):
+                    out.append(np.unique((s >> np.uint64(32)).astype(np.uint32)).tobytes())
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(out, pa.binary())], names=["doc_id", "short"])
 
-    return run
+    return nodes.select("doc_id", "text").mapInArrow(run, "doc_id long, short binary")
 
 
 def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -266,39 +325,42 @@ def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
         "classes",
     )
     band = F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(regs, i * {2 * ROWS} + 1, {2 * ROWS})))")
-    banded = classes.select("doc_id", F.explode(band).alias("bucket"))
+    banded = classes.select("doc_id", F.posexplode(band).alias("band", "bucket"))
     shared = banded.groupBy("bucket").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    members = written(banded.join(shared, "bucket").select("bucket", "doc_id", "first", "n"), "buckets")
-    stars = members.where("doc_id != first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct()
-    stars = written(stars, "stars")
-    ids = members.select("doc_id").distinct()
+    members = written(banded.join(shared, "bucket").select("bucket", "band", "doc_id", "first", "n"), "buckets")
+    stars = written(members.where("doc_id != first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct(), "stars")
     regs = classes.select("doc_id", "n_shingles", "regs")
-    nodes = written(_texts_of(docs, ids).join(regs, "doc_id").select("doc_id", "text", "regs"), "nodes")
-    links = written(confirmed(stars, nodes, words, percent), "links")
-    found = components(links)
+    nodes = written(_texts_of(docs, members.select("doc_id").distinct()).join(regs, "doc_id").select("doc_id", "text", "regs"), "nodes")
+    found = components(confirmed(stars, nodes, words, percent))
 
     blocks_of = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
-    tested, most = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), 1
-    while True:
+
+    def several(found):
+        """Members of the buckets that hold several components; those outside the first one go to all blocks of the bucket."""
         placed = members.join(found, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        several = placed.groupBy("bucket").agg(F.min("component").alias("main"), F.max("component").alias("other")).where("main != other")
-        rows = (
-            placed.join(several, "bucket")
+        split = placed.groupBy("bucket").agg(F.min("component").alias("main"), F.max("component").alias("other")).where("main != other")
+        return (
+            placed.join(split, "bucket")
             .withColumn("minor", F.col("component") != F.col("main"))
             .withColumn("home", F.pmod(F.xxhash64("doc_id"), blocks_of).cast("int"))
             .withColumn("block", F.explode(F.when(F.col("minor"), F.sequence(F.lit(0), blocks_of - 1)).otherwise(F.array("home"))))
             .join(regs, "doc_id")
-            .select("bucket", "block", "doc_id", "component", "n_shingles", "regs", "minor", (F.col("home") == F.col("block")).alias("is_home"))
+            .select("bucket", "block", "doc_id", "component", "n_shingles", "regs", "minor", (F.col("home") == F.col("block")).alias("is_home"), "band")
         )
-        proposed = rows.repartition("bucket", "block").sortWithinPartitions("bucket", "block")
-        proposed = written(proposed.mapInArrow(_cross_pairs(percent, most), "a long, b long, more boolean"), "proposed")
-        pairs = written(proposed.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        links = written(confirmed(pairs, nodes, words, percent), "links")
-        if links.take(1):
-            found = components(found.select(F.col("doc_id").alias("a"), F.col("component").alias("b")).unionByName(links))
-        if not proposed.where("more").take(1):
-            break
-        tested, most = tested.unionByName(pairs), 4 * most
+
+    def by_block(rows, run):
+        return rows.repartition("bucket", "block").sortWithinPartitions("bucket", "block").mapInArrow(run, "a long, b long").distinct()
+
+    def joined(found, links):
+        return components(found.select(F.col("doc_id").alias("a"), F.col("component").alias("b")).unionByName(links)) if links.take(1) else found
+
+    tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    likeliest = written(by_block(several(found), _proposals(percent)).join(tested, ["a", "b"], "left_anti"), "pairs")
+    found = joined(found, written(confirmed(likeliest, nodes, words, percent), "links"))
+    rest = written(several(found), "rest")
+    short = _short_sets(nodes.join(rest.select("doc_id").distinct(), "doc_id", "left_semi"), words)
+    near = written(by_block(rest.join(short, "doc_id").select(*rest.columns, "short"), _links_within(percent)), "pairs")
+    found = joined(found, written(confirmed(near, nodes, words, percent), "links"))
 
     by_class = (
         classes.join(found, "doc_id", "left")
