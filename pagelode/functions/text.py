@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 MAX_TOKENS, MIN_TOKENS, CHARS_PER_TOKEN = 512, 10, 4
 #: Characters that are trimmed from parts.
-_BLANK = "' \\t\\n\\r\\f\\u000b\\u00a0\\u0085\\u2028\\u2029'"
+_BLANK = "' \\t\\n\\r\\u000b\\u000c\\u00a0\\u0085\\u2028\\u2029'"
 _NONE = "cast(array() as array<string>)"
 
 

@@ -20,7 +20,7 @@ from ..sources.robots import allowed
 from ..sources.sitemap import entries, on_site
 from .tools import first_chars, page_chunks, status, url_list
 
-AS_OF, DAYS = "2024-01-31 00:00:00", 10
+AS_OF, DAYS = "2024-01-02 06:00:00", 1
 #: Prefixes that the robots query forbids.
 FORBIDDEN = ("/a", "/P", "/t", "/9")
 
@@ -207,7 +207,7 @@ def crawl_status(spark, sf_dir):
 
 def result_format(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
-    line = F.format_string("[%.3f] %s", F.col("n_chars") / F.lit(1024.0), F.col("source"))
+    line = F.format_string("[%.3f] %s", F.col("n_chars") / F.lit(1000.0), F.col("source"))
     return docs.select("doc_id", line.alias("line"), first_chars(F.col("text")).alias("snippet"))
 
 
@@ -322,5 +322,5 @@ FROM fresh f LEFT JOIN old o USING (url)""",
     "list_urls": _URLS,
     "list_stale_urls": f"{_URLS} WHERE ts < TIMESTAMP '{AS_OF}' - INTERVAL {DAYS} DAY",
     "crawl_status": _CHUNKS + "SELECT count(*) AS n_chunks, count(DISTINCT doc_id) AS n_pages FROM chunks",
-    "result_format": "SELECT doc_id, printf('[%.3f] %s', n_chars / 1024.0, source) AS line, replace(substr(text, 1, 200), chr(10), ' ') || '...' AS snippet FROM documents",
+    "result_format": "SELECT doc_id, printf('[%.3f] %s', n_chars / 1000.0, source) AS line, replace(substr(text, 1, 200), chr(10), ' ') || '...' AS snippet FROM documents",
 }
