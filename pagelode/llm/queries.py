@@ -24,6 +24,45 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 ORACLES: dict[str, str] = {
+    "op1_suffix_dedup": """
+WITH d AS (
+  SELECT row_number() OVER () AS rk, doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+win AS (
+  SELECT rk, doc_id, i, substr(h, 2 * i + 1, 100) AS g FROM (SELECT *, unnest(generate_series(0, n - 50)) AS i FROM d WHERE n >= 50)),
+least_of AS (SELECT g, min(doc_id) AS m FROM win GROUP BY g),
+gone AS (SELECT rk, i FROM win JOIN least_of USING (g) WHERE m < doc_id),
+cov AS (SELECT DISTINCT rk, unnest(generate_series(i, i + 49)) AS p FROM gone),
+spans AS (
+  SELECT rk, count(*) AS n FROM (SELECT rk, p, lag(p) OVER (PARTITION BY rk ORDER BY p) AS q FROM cov) WHERE q IS NULL OR q < p - 1 GROUP BY rk),
+byte AS (SELECT rk, p, substr(h, 2 * p + 1, 2) AS x FROM (SELECT rk, h, unnest(generate_series(0, n - 1)) AS p FROM d WHERE n > 0)),
+kept AS (SELECT rk, string_agg(x, '' ORDER BY p) AS t, count(*) AS n FROM byte ANTI JOIN cov USING (rk, p) GROUP BY rk)
+SELECT doc_id, CAST(d.n AS BIGINT) AS n_bytes, CAST(d.n - coalesce(kept.n, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(spans.n, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept.t, ''))) AS kept_sha256
+FROM d LEFT JOIN spans USING (rk) LEFT JOIN kept USING (rk)""",
+    "op4_near_dedup": rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 3))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+both_have AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (
+  SELECT a, b FROM both_have JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+way AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.a, w.b FROM reach r JOIN way w ON w.a = r.b),
+comp AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM d JOIN comp USING (doc_id) LEFT JOIN n USING (doc_id)""",
+    # for pages whose markup is that of the driver's tables: one article of paragraphs, headings and lists
+    "op5_html_text": r"""
+WITH a AS (SELECT page_id, url, regexp_extract(html, '(?s)<article>(.*?)(</article>|\z)', 1) AS x FROM pages),
+b AS (SELECT page_id, url, string_split_regex(regexp_replace(regexp_replace(x, '<br>', ' ', 'g'), '</?(b|i|a)( [^>]*)?>', '', 'g'), '</?(p|h1|h2|div|ul|li)( [^>]*)?>') AS l FROM a),
+c AS (
+  SELECT page_id, url, list_filter(list_transform(l, lambda s:
+    trim(regexp_replace(replace(replace(s, '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g'))), lambda s: s <> '') AS l FROM b)
+SELECT page_id, url, array_to_string(l, chr(10)) AS text, CAST(length(array_to_string(l, chr(10))) AS BIGINT) AS n_chars FROM c""",
     "op6_substring_dedup": r"""
 WITH d AS (SELECT row_number() OVER () AS rk, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 win AS (
