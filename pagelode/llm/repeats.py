@@ -24,6 +24,16 @@ def blob_batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     )
 
 
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays one after another, compressed together."""
+    data = b"".join(a.tobytes() for a in arrays)
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def unpack(blob: bytes) -> bytes:
+    return pa.decompress(memoryview(blob)[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True)
+
+
 def by_target(batches):
     """(target, [(kind, blob), ...]) of batches sorted by target."""
     at, held = None, []
@@ -86,7 +96,7 @@ def shared_anchors(rows: DataFrame, buckets: int) -> AnchorFilter:
             marks[(twice % np.uint64(bits)).astype(np.int64)] = True
             yield blob_batch([(target, 0, np.packbits(marks, bitorder="little").tobytes())])
 
-    slices = gathered(rows, buckets).mapInArrow(run, BLOB_SCHEMA).toLocalIterator()
+    slices = gathered(rows, buckets).mapInArrow(run, BLOB_SCHEMA).collect()
     return AnchorFilter(buckets, {r["target"]: bytes(r["blob"]) for r in slices})
 
 

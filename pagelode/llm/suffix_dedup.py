@@ -31,13 +31,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import _Powers, blocks, prefix_hashes, text_buffers
-from .repeats import BLOB_SCHEMA, anchor_rows, blob_batch, by_target, gathered, merged_ranges, row_key, shared_anchors, with_ranges
+from .repeats import BLOB_SCHEMA, anchor_rows, blob_batch, by_target, gathered, merged_ranges, pack, row_key, shared_anchors, unpack, with_ranges
 
 LENGTH, K = 50, 20
+#: Stretches that a task holds before it sends them, and sorts at a time (more only if they have one anchor).
+STRETCHES, SORTED = 1 << 16, 1 << 15
 NO_ID = (1 << 63) - 1
 _MUL = np.uint64(0xBF58476D1CE4E5B9)
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h ^= h >> np.uint64(32)
+    h *= _MUL
+    h ^= h >> np.uint64(29)
+    return h
+
+
 def window_anchors(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: int = K):
     """(windows, place of each window's anchor, hashes of all k-grams) of a block; no window crosses texts."""
     span = length - k + 1  # k-grams in a window
@@ -47,10 +56,7 @@ def window_anchors(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k
         return none, none, np.empty(0, np.uint64)
     prefix = prefix_hashes(raw)
     _, down = _Powers.get(n)
-    h = (prefix[k:] - prefix[:n]) * down
-    h ^= h >> np.uint64(32)
-    h *= _MUL
-    h ^= h >> np.uint64(29)
+    h = _mixed((prefix[k:] - prefix[:n]) * down)
     best, place, reach = h, np.arange(n, dtype=np.int32), 1
     while reach < span:  # the first least k-gram of ever longer stretches
         step = min(reach, span - reach)
@@ -89,70 +95,79 @@ _HEAD = np.dtype([("anchor", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("left", "u1
 
 
 def _stretches(length: int, k: int, buckets: int, shared):
-    """Per Arrow batch: distinct stretches by bucket (kind 0), and where they stand (kind 1)."""
+    """Per block of some texts: distinct stretches by bucket (kind 0), and where they stand (kind 1)."""
     most = 2 * length - k
 
+    def packed_rows(here, heads, texts, doc, starts, keys, ids):
+        heads, texts, doc, starts = map(np.concatenate, (heads, texts, doc, starts))
+        shape = np.concatenate([heads["left"][:, None], heads["windows"][:, None], texts], axis=1)
+        _, head, group = np.unique(np.ascontiguousarray(shape).view(f"V{shape.shape[1]}").ravel(), return_index=True, return_inverse=True)
+        least = np.full(len(head), NO_ID, np.int64)
+        np.minimum.at(least, group, heads["doc"])
+        rows = heads[head]
+        rows["doc"], rows["at"] = least, np.arange(len(head))
+        bucket = (rows["anchor"] % np.uint64(buckets)).astype(np.int64)
+        by = np.argsort(bucket, kind="stable")
+        ends = np.cumsum(np.bincount(bucket, minlength=buckets))
+        sizes = rows["windows"].astype(np.int64) + length - 1
+        out = []
+        for b, (s, e) in enumerate(zip(np.r_[0, ends[:-1]].tolist(), ends.tolist())):
+            if e > s:
+                sel = by[s:e]
+                packed = texts[head[sel]][np.arange(most) < sizes[sel][:, None]]
+                own = rows[sel]
+                out.append((b, 0, pack(np.array([here, e - s], "<i8"), own["doc"], own["at"], own["left"], own["windows"], packed)))
+        docs, first, count = np.unique(doc, return_index=True, return_counts=True)  # places are in order of documents
+        counts = np.array([len(head), len(group), len(docs)], "<i8")
+        table = [counts, least.astype("<i8"), heads["windows"][head], group.astype("<u4"), starts.astype("<u4"), keys[docs].astype("<i8"), ids[docs].astype("<i8"), count.astype("<u4")]
+        out.append((here, 1, pack(*table)))
+        return blob_batch(out)
+
     def run(batches):
         part, no = TaskContext.get().partitionId(), 0
         for batch in batches:
-            no += 1
-            here = (part << 24) + no + (1 << 55)  # apart from the buckets
             raw, offs = text_buffers(batch["text"])
             keys = batch["row_key"].to_numpy(zero_copy_only=False)
             ids = pc.fill_null(batch["doc_id"], NO_ID).to_numpy(zero_copy_only=False)
-            heads, texts, doc, starts = [], [], [], []
+            held, size = ([], [], [], []), 0
             for i, j in blocks(offs):
-                own = raw[offs[i] : offs[j]]
-                windows, place, h = window_anchors(own, offs[i : j + 1] - offs[i], length, k)
-                if not len(windows):
-                    continue
-                new = np.r_[True, (place[1:] != place[:-1]) | (windows[1:] != windows[:-1] + 1)]
-                first = np.flatnonzero(new)
-                first_place = place[first]
-                good = shared.value(h[first_place])
-                count = np.diff(np.r_[first, len(windows)])[good]
-                first, first_place = first[good], first_place[good]
-                if not len(first):
-                    continue
-                w = windows[first]
-                head = np.zeros(len(first), _HEAD)
-                head["anchor"], head["left"], head["windows"] = h[first_place], first_place - w, count
-                d = np.searchsorted(offs[i : j + 1] - offs[i], w, side="right") - 1 + i
-                head["doc"] = ids[d]
-                size = count + length - 1
-                padded = np.r_[own, np.zeros(most, np.uint8)]
-                text = np.lib.stride_tricks.sliding_window_view(padded, most)[w]
-                text = np.where(np.arange(most) < size[:, None], text, 0).astype(np.uint8)
-                heads.append(head)
-                texts.append(text)
-                doc.append(d)
-                starts.append(w + offs[i] - offs[d])
-            if not heads:
-                continue
-            heads, texts, doc, starts = map(np.concatenate, (heads, texts, doc, starts))
-            shape = np.concatenate([heads["left"][:, None], heads["windows"][:, None], texts], axis=1)
-            _, head, group = np.unique(np.ascontiguousarray(shape).view(f"V{shape.shape[1]}").ravel(), return_index=True, return_inverse=True)
-            least = np.full(len(head), NO_ID, np.int64)
-            np.minimum.at(least, group, heads["doc"])
-            rows = heads[head]
-            rows["doc"], rows["at"] = least, np.arange(len(head))
-            bucket = (rows["anchor"] % np.uint64(buckets)).astype(np.int64)
-            by = np.argsort(bucket, kind="stable")
-            ends = np.cumsum(np.bincount(bucket, minlength=buckets))
-            sizes = rows["windows"].astype(np.int64) + length - 1
-            out = []
-            for b, (s, e) in enumerate(zip(np.r_[0, ends[:-1]].tolist(), ends.tolist())):
-                if e > s:
-                    sel = by[s:e]
-                    packed = texts[head[sel]][np.arange(most) < sizes[sel][:, None]]
-                    out.append((b, 0, np.array([here, e - s], "<i8").tobytes() + rows[sel].tobytes() + packed.tobytes()))
-            table = [np.array([len(head), len(group)], "<i8"), least.astype("<i8"), heads["windows"][head], group.astype("<u4"), starts.astype("<i8"), keys[doc].astype("<i8"), ids[doc].astype("<i8")]
-            out.append((here, 1, b"".join(x.tobytes() for x in table)))
-            yield blob_batch(out)
+                got = _block_stretches(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i], length, k, shared.value)
+                if got is not None:
+                    head, text, d, starts = got
+                    head["doc"] = ids[d + i]
+                    for x, y in zip(held, (head, text, d + i, starts)):
+                        x.append(y)
+                    size += len(head)
+                if size and (size >= STRETCHES or j == len(offs) - 1):
+                    no += 1
+                    yield packed_rows((part << 24) + no + (1 << 55), *held, keys, ids)  # the number is apart from the buckets
+                    held, size = ([], [], [], []), 0
 
     return run
 
 
+def _block_stretches(own: np.ndarray, offsets: np.ndarray, length: int, k: int, may_be_shared):
+    """(heads, padded bytes, text, place in the text) of the stretches whose anchor may be shared."""
+    most = 2 * length - k
+    windows, place, h = window_anchors(own, offsets, length, k)
+    if not len(windows):
+        return None
+    first = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (windows[1:] != windows[:-1] + 1)])
+    count = np.diff(np.r_[first, len(windows)])
+    good = may_be_shared(h[place[first]])
+    first, count = first[good], count[good]
+    if not len(first):
+        return None
+    w, anchor = windows[first], place[first]
+    head = np.zeros(len(first), _HEAD)
+    head["anchor"], head["left"], head["windows"] = h[anchor], anchor - w, count
+    d = np.searchsorted(offsets, w, side="right") - 1
+    padded = np.r_[own, np.zeros(most, np.uint8)]
+    text = np.lib.stride_tricks.sliding_window_view(padded, most)[w]
+    text[np.arange(most) >= (count + length - 1)[:, None]] = 0
+    return head, text, d, w - offsets[d]
+
+
 class SuffixSorter:
     """Sorts suffixes, given by their places in one byte array, within segments, by their first `length` bytes."""
 
@@ -278,85 +293,110 @@ def smallest_documents(rows: np.ndarray, packed: np.ndarray, length: int):
     return first, kind, found
 
 
-_RUN = np.dtype([("at", "<u4"), ("t", "u1"), ("n", "u1"), ("doc", "<i8")])
+_RUN = np.dtype([("at", "<u4"), ("t", "u1"), ("n", "u1")])
 
 
-def _sort(length: int):
+def _sort(length: int, k: int):
     """Buckets: suffixes sorted; answers go back to the blocks. What is addressed to a block passes on."""
 
     def run(batches):
         for target, held in by_target(batches):
             if held[0][0] == 1:
-                yield blob_batch([(target, k, x) for k, x in held])
+                yield blob_batch([(target, kind, x) for kind, x in held])
                 continue
             sources, heads, packs, source = [], [], [], []
             for i, (_, x) in enumerate(held):
+                x = unpack(x)
                 here, n = np.frombuffer(x, "<i8", 2).tolist()
                 sources.append(here)
-                heads.append(np.frombuffer(x, _HEAD, n, 16))
-                packs.append(np.frombuffer(x, np.uint8, offset=16 + n * _HEAD.itemsize))
-                source.append(np.full(n, i))
+                rows = np.zeros(n, _HEAD)
+                rows["doc"] = np.frombuffer(x, "<i8", n, 16)
+                rows["at"] = np.frombuffer(x, "<u4", n, 16 + 8 * n)
+                rows["left"], rows["windows"] = np.frombuffer(x, "u1", 2 * n, 16 + 12 * n).reshape(2, n)
+                packed = np.frombuffer(x, np.uint8, offset=16 + 14 * n)
+                size = rows["windows"].astype(np.int64) + length - 1
+                place = np.cumsum(size) - size + rows["left"]
+                prefix = prefix_hashes(packed)
+                rows["anchor"] = _mixed((prefix[place + k] - prefix[place]) * _Powers.get(len(prefix))[1][place])
+                heads.append(rows)
+                packs.append(packed)
+                source.append(np.full(n, i, np.int32))
             rows, packed, source = np.concatenate(heads), np.concatenate(packs), np.concatenate(source)
-            first, kind, found = smallest_documents(rows, packed, length)
-            windows = rows["windows"].astype(np.int64)
-            owner = np.repeat(np.arange(len(rows)), windows)
-            t = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
-            doc = found[first[kind[owner]] + t]
-            hit = doc < rows["doc"][owner]
-            owner, t, doc = owner[hit], t[hit], doc[hit]
-            if not len(owner):
-                continue
-            new = np.r_[True, (owner[1:] != owner[:-1]) | (t[1:] != t[:-1] + 1) | (doc[1:] != doc[:-1])]
-            at = np.flatnonzero(new)
-            out = np.zeros(len(at), _RUN)
-            out["at"], out["t"], out["doc"] = rows["at"][owner[at]], t[at], doc[at]
-            out["n"] = np.diff(np.r_[at, len(owner)])
-            where = source[owner[at]]
-            by = np.argsort(where, kind="stable")
-            out, bounds = out[by], np.searchsorted(where[by], np.arange(len(held) + 1))
-            yield blob_batch([(sources[i], 2, out[s:e].tobytes()) for i, (s, e) in enumerate(zip(bounds[:-1], bounds[1:])) if e > s])
+            del heads, packs
+            size = rows["windows"].astype(np.int64) + length - 1
+            start = np.cumsum(size) - size
+            order = np.argsort(rows["anchor"], kind="stable")
+            names = rows["anchor"][order]
+            at = 0
+            while at < len(order):
+                end = min(at + SORTED, len(order))
+                end = int(np.searchsorted(names, names[end - 1], side="right"))
+                sel = order[at:end]
+                step = np.arange(size[sel].sum()) - np.repeat(np.cumsum(size[sel]) - size[sel], size[sel])
+                out, where = _answers(rows[sel], packed[np.repeat(start[sel], size[sel]) + step], source[sel], length)
+                at = end
+                if len(out):
+                    bounds = np.searchsorted(where, np.arange(len(held) + 1))
+                    yield blob_batch([(sources[i], 2, out[s:e].tobytes()) for i, (s, e) in enumerate(zip(bounds[:-1], bounds[1:])) if e > s])
 
     return run
 
 
+def _answers(rows: np.ndarray, packed: np.ndarray, source: np.ndarray, length: int):
+    """Runs of windows that start in a smaller document than their block knows, and the blocks, ascending."""
+    first, kind, found = smallest_documents(rows, packed, length)
+    windows = rows["windows"].astype(np.int64)
+    owner = np.repeat(np.arange(len(rows)), windows)
+    t = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
+    hit = found[first[kind[owner]] + t] < rows["doc"][owner]
+    owner, t = owner[hit], t[hit]
+    if not len(owner):
+        return np.zeros(0, _RUN), np.zeros(0, np.int64)
+    at = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (t[1:] != t[:-1] + 1)])
+    out = np.zeros(len(at), _RUN)
+    out["at"], out["t"] = rows["at"][owner[at]], t[at]
+    out["n"] = np.diff(np.r_[at, len(owner)])
+    where = source[owner[at]]
+    by = np.argsort(where, kind="stable")
+    return out[by], where[by]
+
+
 def _settle(length: int):
     """Blocks: per place of a stretch the windows that start in a smaller document, as ranges of bytes per text."""
 
     def run(batches):
         for _, held in by_target(batches):
-            table = next((x for k, x in held if k == 1), None)
+            table = next((unpack(x) for kind, x in held if kind == 1), None)
             if table is None:
                 continue
-            m, n = np.frombuffer(table, "<i8", 2).tolist()
-            at = 16
+            m, n, d = np.frombuffer(table, "<i8", 3).tolist()
+            at = 24
             least = np.frombuffer(table, "<i8", m, at)
             windows = np.frombuffer(table, "u1", m, at + 8 * m).astype(np.int64)
             at += 9 * m
             group = np.frombuffer(table, "<u4", n, at).astype(np.int64)
-            starts, keys, ids = np.frombuffer(table, "<i8", 3 * n, at + 4 * n).reshape(3, n)
-            first = np.r_[0, np.cumsum(windows)]
-            small = np.repeat(least, windows)
-            for k, x in held:
-                if k == 2:
+            starts = np.frombuffer(table, "<u4", n, at + 4 * n).astype(np.int64)
+            keys, ids = np.frombuffer(table, "<i8", 2 * d, at + 8 * n).reshape(2, d)
+            doc = np.repeat(np.arange(d), np.frombuffer(table, "<u4", d, at + 8 * n + 16 * d))
+            first = np.cumsum(windows) - windows
+            smaller = np.zeros(windows.sum(), bool)  # per window: it starts in a smaller document than any here
+            for kind, x in held:
+                if kind == 2:
                     r = np.frombuffer(x, _RUN)
                     count = r["n"].astype(np.int64)
                     step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                    place = np.repeat(first[r["at"]] + r["t"], count) + step
-                    small[place] = np.repeat(r["doc"], count)
-            keys_out, blobs = [], []
+                    smaller[np.repeat(first[r["at"]] + r["t"], count) + step] = True
             size = windows[group]
             owner = np.repeat(np.arange(n), size)
             t = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
-            hit = small[first[group[owner]] + t] < ids[owner]
+            hit = smaller[first[group[owner]] + t] | (least[group] < ids[doc])[owner]
             owner, t = owner[hit], t[hit]
-            key, place = keys[owner], starts[owner] + t
+            key, place = keys[doc[owner]], starts[owner] + t
             order = np.lexsort((place, key))
             key, place = key[order], place[order]
-            heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else []
-            for s, e in zip(heads, [*heads[1:], len(key)]):
-                keys_out.append(int(key[s]))
-                blobs.append(merged_ranges(np.unique(place[s:e]), length).astype("<i8").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys_out, pa.int64()), pa.array(blobs, pa.binary())], names=["row_key", "ranges"])
+            heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+            blobs = [merged_ranges(np.unique(place[s:e]), length).astype("<i8").tobytes() for s, e in zip(heads, [*heads[1:], len(key)])]
+            yield pa.RecordBatch.from_arrays([pa.array(key[heads], pa.int64()), pa.array(blobs, pa.binary())], names=["row_key", "ranges"])
 
     return run
 
@@ -368,7 +408,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFr
     rows = docs.select(row_key().alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     shared = shared_anchors(rows.select("text").mapInArrow(_anchors(length, k, buckets), BLOB_SCHEMA), buckets)
     sent = rows.mapInArrow(_stretches(length, k, buckets, spark.sparkContext.broadcast(shared)), BLOB_SCHEMA)
-    met = gathered(sent, buckets).mapInArrow(_sort(length), BLOB_SCHEMA)
+    met = gathered(sent, buckets).mapInArrow(_sort(length, k), BLOB_SCHEMA)
     return gathered(met, buckets).mapInArrow(_settle(length), "row_key long, ranges binary")
 
 
