@@ -95,11 +95,15 @@ def index_batch(pages: DataFrame, store: ChunkStore, provider: Callable[[], Embe
     vectors = materialised(embedded(chunks, provider))
     good = whole_pages(vectors)
     store.replace_pages(good, known.where("change = 'unchanged'").select("url"), as_of)
-    counts = vectors.groupBy("url").agg(F.max(F.col("embed_error").isNotNull()).alias("failed"), F.count("*").alias("n"))
-    stored = counts.agg(
-        F.count_if(~F.col("failed")).alias("pages_stored"), F.coalesce(F.sum(F.when(~F.col("failed"), F.col("n"))), F.lit(0)).alias("chunks_stored"), F.count_if("failed").alias("pages_failed")
+    stored = vectors.groupBy("url").agg(F.max(F.col("embed_error").isNotNull()).alias("failed"), F.count("*").alias("n"))
+    good_page = F.col("failed").eqNullSafe(False)
+    rows = known.select("url").join(stored, "url", "left")
+    return rows.agg(
+        F.count("*").alias("pages_seen"),
+        F.count_if(good_page).alias("pages_stored"),
+        F.coalesce(F.sum(F.when(good_page, F.col("n"))), F.lit(0)).alias("chunks_stored"),
+        F.count_if("failed").alias("pages_failed"),
     )
-    return known.agg(F.count("*").alias("pages_seen")).crossJoin(stored)  # one row each
 
 
 def crawl_and_index(spark: SparkSession, crawl: CrawlConfig, store: ChunkStore, provider: Callable[[], EmbeddingProvider], fetch: Fetch, as_of) -> DataFrame:
