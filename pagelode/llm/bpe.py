@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import held
 from .pieces import Memo, splitter
 
 NEVER = 1 << 62
@@ -297,14 +298,8 @@ class Codec:
         return "".join(out) + utf8.finish()
 
 
-_codecs: dict[tuple[str, str], Codec] = {}
-
-
 def codec(rank_file: str, pattern: str) -> Codec:
-    key = (rank_file, pattern)
-    if key not in _codecs:
-        _codecs[key] = Codec(*key)
-    return _codecs[key]
+    return held(("codec", rank_file, pattern), lambda: Codec(rank_file, pattern))
 
 
 def encoded(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:

@@ -65,6 +65,41 @@ def publish(filesys, tmp: str, final: str) -> None:
     filesys.move(tmp, final)
 
 
+_held: dict = {}
+
+
+def held(key, make):
+    """What a worker keeps from task to task, one thing at a time: asking for another one drops it."""
+    if key not in _held:
+        release()
+        _held[key] = make()
+    return _held[key]
+
+
+def release() -> None:
+    """Drops what the worker keeps, and hands free memory back to the system."""
+    import ctypes
+    import gc
+
+    if _held:
+        _held.clear()
+        gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+def alone(run):
+    """A function for mapInArrow that first frees what other operators have left in the worker."""
+
+    def wrapped(batches):
+        release()
+        yield from run(batches)
+
+    return wrapped
+
+
 def text_buffers(column) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of an Arrow string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import texts_as_bytes
+from .common import held, texts_as_bytes
 
 N, BLOCK_WORDS, MAX_COVERAGE = 10, 50_000, 0.5
 #: Letters, digits and all bytes beyond ASCII are kept, A-Z lower-cased; all else separates words.
@@ -171,9 +171,6 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-_built: dict[str, SuffixAutomaton] = {}
-
-
 def item_blocks(benchmark: DataFrame, n: int = N, block_words: int = BLOCK_WORDS):
     """Yields lists of (id, words, whole) of at most block_words words; reads the items partition by partition."""
     block, size = [], 0
@@ -196,20 +193,19 @@ def item_blocks(benchmark: DataFrame, n: int = N, block_words: int = BLOCK_WORDS
 FOUND = "array<struct<a:int,b:int>>"
 
 
-def marked(docs: DataFrame, benchmark: DataFrame, n: int = N, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """docs with hit_spans (ranges of words hit, not merged across blocks) and hit_items."""
-    spark = docs.sparkSession
-    out = docs.withColumn("hit_spans", F.array().cast(FOUND)).withColumn("hit_items", F.array().cast("array<string>"))
-    names = out.columns
+def _prepared(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("hit_spans", F.array().cast(FOUND)).withColumn("hit_items", F.array().cast("array<string>"))
+
+
+def _scans(docs: DataFrame, benchmark: DataFrame, n: int, block_words: int) -> list:
+    """Per block of items, a function that adds its hits to batches of prepared docs."""
+    spark, names, out = docs.sparkSession, docs.columns, []
     for block in item_blocks(benchmark, n, block_words):
         shared, key = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
         def scan(batches, shared=shared, key=key):
-            if key not in _built:
-                _built.clear()
-                _built[key] = SuffixAutomaton(shared.value, n)
-            machine = _built[key]
             for batch in batches:
+                machine = held(key, lambda: SuffixAutomaton(shared.value, n))
                 spans, items = batch["hit_spans"].to_pylist(), batch["hit_items"].to_pylist()
                 for i, text in enumerate(texts_as_bytes(batch["text"])):
                     ranges, found = machine.hits(words_of(text))
@@ -220,13 +216,30 @@ def marked(docs: DataFrame, benchmark: DataFrame, n: int = N, block_words: int =
                 columns = [pa.array(new[c], batch[c].type) if c in new else batch[c] for c in names]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
+        out.append(scan)
+    return out
+
+
+def marked(docs: DataFrame, benchmark: DataFrame, n: int = N, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """docs with hit_spans (ranges of words hit, not merged across blocks) and hit_items."""
+    out = _prepared(docs)
+    for scan in _scans(out, benchmark, n, block_words):
         out = out.mapInArrow(scan, out.schema)
     return out
 
 
+def _marked_and(docs: DataFrame, benchmark: DataFrame, n: int, finish, schema) -> DataFrame:
+    """finish over the batches of marked docs, in the same Python pass as the last block's scan."""
+    out = _prepared(docs)
+    scans = _scans(out, benchmark, n, BLOCK_WORDS)
+    for scan in scans[:-1]:
+        out = out.mapInArrow(scan, out.schema)
+    last = scans[-1] if scans else iter
+    return out.mapInArrow(lambda batches: finish(last(batches)), schema)
+
+
 def digests(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated)"""
-    found = marked(docs.select(F.col("doc_id").cast("long"), "text"), benchmark, n)
 
     def run(batches):
         for batch in batches:
@@ -241,14 +254,14 @@ def digests(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
                 names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
             )
 
-    return found.mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    return _marked_and(rows, benchmark, n, run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, max_coverage: float = MAX_COVERAGE) -> DataFrame:
     """docs without the hit spans; documents of which more than max_coverage of the words are hit go whole."""
     clash = [c for c in docs.columns if c in ("hit_spans", "hit_items")]
     safe = docs.withColumnsRenamed({c: f"_own_{c}" for c in clash})
-    found = marked(safe, benchmark, n).drop("hit_items")
     names, schema = safe.columns, safe.schema
 
     def cut(batches):
@@ -270,7 +283,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, max_covera
             columns = [pa.array(texts, batch[c].type) if c == "text" else batch[c] for c in names]
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
 
-    out = found.mapInArrow(cut, schema)
+    out = _marked_and(safe, benchmark, n, cut, schema)
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(schema["n_chars"].dataType), F.col("n_chars")))
     return out.withColumnsRenamed({f"_own_{c}": c for c in clash}).select(*docs.columns)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BASE, LOWER, blocks, mixed, prefix_hashes, span_hashes, text_buffers, word_spans, written
+from .common import BASE, LOWER, alone, blocks, mixed, prefix_hashes, span_hashes, text_buffers, word_spans, written
 
 WORDS, PERCENT = 4, 80
 BANDS, ROWS = 25, 4
@@ -143,7 +143,7 @@ def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 names=["doc_id", "n_shingles", "set_key", "regs"],
             )
 
-    return written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SKETCH_SCHEMA), "sketches")
+    return written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(alone(run), SKETCH_SCHEMA), "sketches")
 
 
 def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -202,7 +202,7 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, words: int, percent: int) -> D
         .select(F.col("a").alias("center"), "salt", F.lit(0).alias("own"), F.col("a").alias("node"), "text", "regs")
     )
     rows = members.unionByName(centers).repartition("center", "salt").sortWithinPartitions("center", "salt", "own")
-    return rows.mapInArrow(_confirm(words, percent), "a long, b long").distinct()
+    return rows.mapInArrow(alone(_confirm(words, percent)), "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -313,7 +313,7 @@ def _short_sets(nodes: DataFrame, words: int) -> DataFrame:
                     out.append(np.unique((s >> np.uint64(32)).astype(np.uint32)).tobytes())
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(out, pa.binary())], names=["doc_id", "short"])
 
-    return nodes.select("doc_id", "text").mapInArrow(run, "doc_id long, short binary")
+    return nodes.select("doc_id", "text").mapInArrow(alone(run), "doc_id long, short binary")
 
 
 def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -349,7 +349,7 @@ def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
         )
 
     def by_block(rows, run):
-        return rows.repartition("bucket", "block").sortWithinPartitions("bucket", "block").mapInArrow(run, "a long, b long").distinct()
+        return rows.repartition("bucket", "block").sortWithinPartitions("bucket", "block").mapInArrow(alone(run), "a long, b long").distinct()
 
     def joined(found, links):
         return components(found.select(F.col("doc_id").alias("a"), F.col("component").alias("b")).unionByName(links)) if links.take(1) else found

@@ -32,7 +32,7 @@ def splitter(pattern: str):
 class Memo(dict):
     """Piece -> what encode makes of it, in two generations of bounded size."""
 
-    def __init__(self, encode, most: int = 300_000):
+    def __init__(self, encode, most: int = 200_000):
         self.encode, self.most, self.old = encode, most, {}
 
     def __missing__(self, piece):

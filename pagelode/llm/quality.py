@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, texts_as_bytes, written
+from .common import SPACES, alone, texts_as_bytes, written
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 MAX_DOCS, MOST_FREQUENT, LEAST_LEFT = 10, 0.5, 0.5
@@ -100,7 +100,7 @@ def content_key():
 def line_statistics(docs: DataFrame) -> DataFrame:
     """One row a document (STATS_SCHEMA), computed once and kept in the shared folder."""
     rows = docs.select(F.monotonically_increasing_id().alias("row_key"), content_key().alias("content"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string"), "text")
-    return written(rows.mapInArrow(_stats, STATS_SCHEMA), "quality-stats")
+    return written(rows.mapInArrow(alone(_stats), STATS_SCHEMA), "quality-stats")
 
 
 def boilerplate(stats: DataFrame, max_docs: int = MAX_DOCS, most_frequent: float = MOST_FREQUENT) -> DataFrame:
@@ -157,7 +157,7 @@ def filtered(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
     clash = {c: f"_own_{c}" for c in docs.columns if c in ("_content", "hit_keys")}
     rows = docs.withColumnsRenamed(clash)
     kept = rows.withColumn("_content", content_key()).join(verdict, "_content").drop("_content")
-    out = kept.mapInArrow(_without, rows.schema)
+    out = kept.mapInArrow(alone(_without), rows.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
     return out.withColumnsRenamed({b: a for a, b in clash.items()}).select(*docs.columns)

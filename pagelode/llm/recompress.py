@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BASE, _INVERSE, _powers, blocks, mixed, prefix_hashes, span_hashes, text_buffers, word_spans, written
+from .common import BASE, _INVERSE, _powers, alone, blocks, mixed, prefix_hashes, span_hashes, text_buffers, word_spans, written
 from .repeats import BLOB_SCHEMA, anchor_rows, blob_batch, by_target, gathered, merged_ranges, row_key, shared_anchors, with_ranges
 
 WINDOW, ROUNDS, LONG_RUN = 35, 3, 12
@@ -302,10 +302,10 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(row_key().alias("row_key"), "text")
-    shared = shared_anchors(rows.select("text").mapInArrow(_anchors(window, buckets), BLOB_SCHEMA), buckets)
-    sent = rows.mapInArrow(_windows(window, buckets, spark.sparkContext.broadcast(shared)), BLOB_SCHEMA)
-    met = gathered(sent, buckets).mapInArrow(_meet, BLOB_SCHEMA)
-    return gathered(met, buckets).mapInArrow(_settle(window), "row_key long, ranges binary")
+    shared = shared_anchors(rows.select("text").mapInArrow(alone(_anchors(window, buckets)), BLOB_SCHEMA), buckets)
+    sent = rows.mapInArrow(alone(_windows(window, buckets, spark.sparkContext.broadcast(shared))), BLOB_SCHEMA)
+    met = gathered(sent, buckets).mapInArrow(alone(_meet), BLOB_SCHEMA)
+    return gathered(met, buckets).mapInArrow(alone(_settle(window)), "row_key long, ranges binary")
 
 
 def without(text: bytes, ranges: bytes | None) -> tuple[list[bytes], int]:
@@ -353,7 +353,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             columns = [pa.array(texts, batch[c].type) if c == "text" else batch[c] for c in names]
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
 
-    out = found.mapInArrow(run, schema)
+    out = found.mapInArrow(alone(run), schema)
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(schema["n_chars"].dataType), F.col("n_chars")))
     return out.withColumnsRenamed({b: a for a, b in clash.items()}).select(*docs.columns)
@@ -377,7 +377,7 @@ def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 names=["doc_id", "n_words", "n_removed", "kept_sha256"],
             )
 
-    return found.select("doc_id", "text", "ranges").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return found.select("doc_id", "text", "ranges").mapInArrow(alone(run), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def op6_query(spark: SparkSession, sf_dir: str) -> DataFrame:

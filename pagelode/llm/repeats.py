@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import alone
+
 FILTER_BYTES = 1 << 24
 BLOB_SCHEMA = "target long, kind int, blob binary"
 
@@ -96,7 +98,7 @@ def shared_anchors(rows: DataFrame, buckets: int) -> AnchorFilter:
             marks[(twice % np.uint64(bits)).astype(np.int64)] = True
             yield blob_batch([(target, 0, np.packbits(marks, bitorder="little").tobytes())])
 
-    slices = gathered(rows, buckets).mapInArrow(run, BLOB_SCHEMA).collect()
+    slices = gathered(rows, buckets).mapInArrow(alone(run), BLOB_SCHEMA).collect()
     return AnchorFilter(buckets, {r["target"]: bytes(r["blob"]) for r in slices})
 
 

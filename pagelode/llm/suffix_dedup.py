@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _Powers, blocks, prefix_hashes, text_buffers
+from .common import _Powers, alone, blocks, prefix_hashes, text_buffers
 from .repeats import BLOB_SCHEMA, anchor_rows, blob_batch, by_target, gathered, merged_ranges, pack, row_key, shared_anchors, unpack, with_ranges
 
 LENGTH, K = 50, 20
@@ -406,10 +406,10 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFr
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(row_key().alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    shared = shared_anchors(rows.select("text").mapInArrow(_anchors(length, k, buckets), BLOB_SCHEMA), buckets)
-    sent = rows.mapInArrow(_stretches(length, k, buckets, spark.sparkContext.broadcast(shared)), BLOB_SCHEMA)
-    met = gathered(sent, buckets).mapInArrow(_sort(length, k), BLOB_SCHEMA)
-    return gathered(met, buckets).mapInArrow(_settle(length), "row_key long, ranges binary")
+    shared = shared_anchors(rows.select("text").mapInArrow(alone(_anchors(length, k, buckets)), BLOB_SCHEMA), buckets)
+    sent = rows.mapInArrow(alone(_stretches(length, k, buckets, spark.sparkContext.broadcast(shared))), BLOB_SCHEMA)
+    met = gathered(sent, buckets).mapInArrow(alone(_sort(length, k)), BLOB_SCHEMA)
+    return gathered(met, buckets).mapInArrow(alone(_settle(length)), "row_key long, ranges binary")
 
 
 def without(text: bytes, ranges: bytes | None) -> tuple[bytes, int]:
@@ -436,7 +436,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             kept = [without((t or "").encode(), r)[0] for t, r in zip(batch["text"].to_pylist(), batch["ranges"].to_pylist())]
             yield pa.RecordBatch.from_arrays([*(batch[n] for n in names[:-1]), pa.array(kept, pa.binary())], names=names)
 
-    return found.mapInArrow(run, schema)
+    return found.mapInArrow(alone(run), schema)
 
 
 def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -457,7 +457,7 @@ def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 [batch["doc_id"], *(pa.array(c, t) for c, t in zip(cols, types))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             )
 
-    return found.select("doc_id", "text", "ranges").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return found.select("doc_id", "text", "ranges").mapInArrow(alone(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op1_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import filesystem, publish, work_path, written
+from .common import filesystem, held, publish, work_path, written
 from .pieces import PATTERN, Memo, plain, splitter
 
 SEQ_LEN, BATCH, END_ID = 2048, 32, 0
@@ -79,13 +79,8 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return held(("encoder", path), lambda: Encoder(path))
 
 
 class TokenFileWriter:

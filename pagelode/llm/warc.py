@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filesystem, publish, work_path, written
+from .common import alone, filesystem, publish, work_path, written
 
 MIN_REVISIT, FAN_IN, RUN_ROWS, KEYS_PER_RUN = 100, 64, 512, 16
 DATE = "1970-01-01T00:00:00Z"
@@ -239,7 +239,7 @@ def archived(pages: DataFrame, folder: str) -> DataFrame:
             captures.sort(key=capture_key)
             yield _run_batch([_write_run(f"{folder}/run-0-{part:06d}.arrow", captures)])
 
-    return written(full.mapInArrow(write, RUN_SCHEMA), "warc-runs")
+    return written(full.mapInArrow(alone(write), RUN_SCHEMA), "warc-runs")
 
 
 def history(runs: DataFrame, folder: str, ranges: int | None = None, fan_in: int = FAN_IN) -> DataFrame:
@@ -258,7 +258,7 @@ def history(runs: DataFrame, folder: str, ranges: int | None = None, fan_in: int
                     yield _run_batch([_write_run(f"{folder}/run-{level}-{no:06d}.arrow", tree)])
 
         table = spark.createDataFrame(list(enumerate(groups)), "no long, group array<string>").repartition(len(groups))
-        runs = written(table.mapInArrow(merge, RUN_SCHEMA), "warc-runs")
+        runs = written(table.mapInArrow(alone(merge), RUN_SCHEMA), "warc-runs")
         paths = sorted(r["run"] for r in runs.select("run").toLocalIterator())
     if not paths:
         return spark.createDataFrame([], "range int, " + CAPTURE_SCHEMA)
@@ -281,7 +281,7 @@ def history(runs: DataFrame, folder: str, ranges: int | None = None, fan_in: int
                     yield _captures(held)
 
     table = spark.range(len(cuts)).select(F.col("id").cast("int").alias("range")).repartition(len(cuts), "range")
-    return table.mapInArrow(merged, "range int, " + CAPTURE_SCHEMA)
+    return table.mapInArrow(alone(merged), "range int, " + CAPTURE_SCHEMA)
 
 
 def _captures(rows: list[tuple]) -> pa.RecordBatch:
@@ -323,7 +323,7 @@ def read_records(captures: DataFrame) -> DataFrame:
             )
 
     by_file = captures.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset")
-    return by_file.mapInArrow(run, RECORD_SCHEMA)
+    return by_file.mapInArrow(alone(run), RECORD_SCHEMA)
 
 
 def op9_query(spark: SparkSession, sf_dir: str) -> DataFrame:
