@@ -3,7 +3,7 @@
 Every byte covered by a string of `LENGTH` bytes that also starts in a document with a smaller id is removed.
 
 1. Each window of LENGTH bytes takes the least-hashed `K`-gram within it (the first of equals) as its anchor. Anchors are
-   counted in packed blocks; those met twice form a filter of fixed size.
+   counted in packed blocks; those met twice form a filter of bounded size.
 2. Consecutive windows with one shared anchor make a stretch of at most 2 * LENGTH - K bytes. Equal stretches of a
    block are sent once, with the smallest doc_id there, to the bucket of their anchor.
 3. A bucket holds a set of suffixes, one per window. Those with equal anchors at equal distance are sorted by a merge sort
@@ -277,6 +277,12 @@ def smallest_documents(rows: np.ndarray, packed: np.ndarray, length: int):
     alone = np.r_[True, anchor[1:] != anchor[:-1]]
     alone &= np.r_[alone[1:], True]  # no other stretch has the anchor
     todo = np.flatnonzero(~alone[owner])
+    if len(todo):  # a window whose hash no other has is equal to no other: only the rest is sorted
+        place = start[head][owner[todo]] + t[todo]
+        value = (prefix[place + length] - prefix[place]) * down[place]
+        by = np.argsort(value)
+        same = value[by][1:] == value[by][:-1]
+        todo = todo[np.sort(by[np.r_[False, same] | np.r_[same, False]])]
     if len(todo):
         distance = rows["left"][head][owner[todo]].astype(np.int64) - t[todo]
         place = start[head][owner[todo]] + t[todo]
