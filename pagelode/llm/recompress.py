@@ -7,7 +7,7 @@ each symbol the words that decide it (itself and the neighbours that its forming
 symbol decided within a window is found in every copy of the window.
 
 1. Each window of `WINDOW` words takes as its anchor the least of the highest-level symbols decided within it.
-   Anchors are counted across all documents in packed blocks; the shared ones form a filter of fixed size.
+   Anchors are counted across all documents in packed blocks; the shared ones form a filter of bounded size.
 2. Windows with a shared anchor (and those that touch a run too long for the window to decide) are named by a 96-bit
    hash, sent once per block and window, and met in buckets: the names found twice verify the repeats.
 3. The answers return to their block, become ranges of words, and meet the texts by key.

@@ -1,7 +1,7 @@
 """What the two exact repeat operators share: anchors, a filter of the shared ones, and exchange in blocks.
 
 A window (of bytes or words) is named by an anchor that depends on the window's content alone. Anchors go to buckets as packed
-arrays, a few rows a task instead of one a position; those met twice set a bit of a filter of fixed size, which is all
+arrays, a few rows a task instead of one a position; those met twice set a bit of a filter of bounded size, which is all
 that is ever sent to every task. Windows whose anchor isn't in the filter can't repeat. The filter may let a window
 through without need, never the reverse: results don't depend on its size.
 """
@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from .common import alone
 
-FILTER_BYTES = 1 << 24
+#: Most bytes of the filter in all, and bits for each shared anchor while there is room.
+FILTER_BYTES, BITS_EACH = 1 << 27, 16
 BLOB_SCHEMA = "target long, kind int, blob binary"
 
 
@@ -69,23 +70,29 @@ def anchor_rows(anchors: np.ndarray, buckets: int) -> list[tuple[int, int, bytes
 
 
 class AnchorFilter:
+    """A bit table per bucket, of a power of two of bits."""
+
     def __init__(self, buckets: int, slices: dict[int, bytes]):
         self.buckets = buckets
-        self.bits = FILTER_BYTES // buckets * 8
-        self.table = np.zeros(self.bits // 8 * buckets, np.uint8)
-        for b, data in slices.items():
-            self.table[b * self.bits // 8 : (b + 1) * self.bits // 8] = np.frombuffer(data, np.uint8)
+        self.table = np.frombuffer(b"".join([b"\0", *(slices[b] for b in sorted(slices))]), np.uint8)
+        self.start, self.mask = np.zeros(buckets, np.uint64), np.zeros(buckets, np.uint64)
+        at = 8
+        for b in sorted(slices):
+            self.start[b], self.mask[b] = at, 8 * len(slices[b]) - 1
+            at += 8 * len(slices[b])
 
     def __call__(self, anchors: np.ndarray) -> np.ndarray:
-        """Which anchors may be shared."""
+        """Which anchors may be shared. Buckets without shared anchors look at a bit that is never set."""
         n = np.uint64(self.buckets)
-        slot = (anchors % n) * np.uint64(self.bits) + (anchors // n & np.uint64((1 << 40) - 1)) % np.uint64(self.bits)
+        bucket = (anchors % n).astype(np.int64)
+        slot = self.start[bucket] + (anchors // n & self.mask[bucket])
         return (self.table[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
 def shared_anchors(rows: DataFrame, buckets: int) -> AnchorFilter:
-    """The filter of the anchors met twice. Each bucket fills its own slice; FILTER_BYTES reach the driver in all."""
-    bits = FILTER_BYTES // buckets * 8
+    """The filter of the anchors met twice. Each bucket fills a table of BITS_EACH bits per shared anchor or more, as long as all
+    tables stay within FILTER_BYTES together, which is the most that reaches the driver."""
+    most = 1 << ((FILTER_BYTES // buckets * 8).bit_length() - 1)
 
     def run(batches):
         for target, held in by_target(batches):
@@ -93,10 +100,12 @@ def shared_anchors(rows: DataFrame, buckets: int) -> AnchorFilter:
             values = np.zeros((len(packed), 8), np.uint8)
             values[:, :5] = packed
             values = np.sort(values.view("<u8").ravel())
-            twice = values[1:][values[1:] == values[:-1]]
-            marks = np.zeros(bits, bool)
-            marks[(twice % np.uint64(bits)).astype(np.int64)] = True
-            yield blob_batch([(target, 0, np.packbits(marks, bitorder="little").tobytes())])
+            twice = np.unique(values[1:][values[1:] == values[:-1]])
+            if len(twice):
+                bits = max(8, min(most, 1 << (BITS_EACH * len(twice) - 1).bit_length()))
+                marks = np.zeros(bits, bool)
+                marks[(twice & np.uint64(bits - 1)).astype(np.int64)] = True
+                yield blob_batch([(target, 0, np.packbits(marks, bitorder="little").tobytes())])
 
     slices = gathered(rows, buckets).mapInArrow(alone(run), BLOB_SCHEMA).collect()
     return AnchorFilter(buckets, {r["target"]: bytes(r["blob"]) for r in slices})
