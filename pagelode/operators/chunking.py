@@ -13,13 +13,15 @@ def chunk_pages(pages: DataFrame, most: int = MAX_TOKENS, least: int = MIN_TOKEN
 
     If no section gives a chunk, the body is chunked as one section without a heading. Pages without chunks give no row.
     """
-    by_section = F.expr(
+    by_section = (
         f"flatten(transform(sections, s -> transform({chunk_texts_sql('s.text', most, least, utf16)}, "
         "t -> named_struct('heading', s.heading, 'text', t))))"
     )
-    by_body = F.expr(f"transform({chunk_texts_sql('body_text', most, least, utf16)}, t -> named_struct('heading', '', 'text', t))")
+    by_body = f"transform({chunk_texts_sql('body_text', most, least, utf16)}, t -> named_struct('heading', '', 'text', t))"
     names = [n for n in pages.columns if n not in ("heading", "chunk_text", "chunk_index", "sections", "body_text")]
-    rows = pages.withColumn("_c", by_section).withColumn("_c", F.when(F.coalesce(F.size("_c"), F.lit(0)) > 0, F.col("_c")).otherwise(by_body))
+    # bound as a lambda's variable, so that the sections are packed once, not for the test and again for the value
+    once = f"element_at(transform(array({by_section}), found -> CASE WHEN size(found) > 0 THEN found ELSE {by_body} END), 1)"
+    rows = pages.withColumn("_c", F.expr(once))
     return rows.select(*names, F.posexplode("_c").alias("chunk_index", "_x")).select(
         *names, F.col("_x.heading").alias("heading"), "chunk_index", with_heading(F.col("_x.heading"), F.col("_x.text")).alias("chunk_text")
     )
