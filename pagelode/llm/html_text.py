@@ -89,23 +89,45 @@ def _excluded(name: str, attributes: str, inside: bool) -> bool:
     return bool(_HIDDEN.search(attributes))
 
 
-def page_blocks(page: str) -> list[tuple[int, str]]:
-    """(zone, text) of the blocks of a page in order; zone 2 in an article, 1 in the main part, else 0."""
-    unclosed: set[int] = set()
-    for _ in range(8):
-        out, open_at = _read(page, unclosed)
-        if open_at is None:
-            break
-        unclosed.add(open_at)
+def _tags(page: str) -> list[tuple[int, int, str, bool, str]]:
+    """(from, to, name, closing, attributes) of the tags of a page; what is no tag, or raw text, has no name."""
+    out = []
+    at, size, search = 0, len(page), _TAG.search
+    while at < size and (m := search(page, at)):
+        at = m.end()
+        name = (m[2] or m[5] or "").lower()
+        closing = bool(m[1] or m[4])
+        if name in RAW and not closing:
+            end = _RAW_END[name].search(page, at)
+            at = end.start() if end else size
+            name = ""
+        out.append((m.start(), at, name, closing, m[3] if m[3] is not None else m[6] or ""))
     return out
 
 
-def _read(page: str, unclosed: set[int]) -> tuple[list[tuple[int, str]], int | None]:
+def _ends(tags: list[tuple[int, int, str, bool, str]]) -> dict[int, int]:
+    """Numbers of start tags and of the end tags that close them, by a stack per name; what never closes is absent."""
+    ends: dict[int, int] = {}
+    open_tags: dict[str, list[int]] = {}
+    for k, (_, _, name, closing, attributes) in enumerate(tags):
+        if not name or name in VOID:
+            continue
+        if closing:
+            if own := open_tags.get(name):
+                ends[own.pop()] = k
+        elif not attributes.endswith("/"):
+            open_tags.setdefault(name, []).append(k)
+    return ends
+
+
+def page_blocks(page: str) -> list[tuple[int, str]]:
+    """(zone, text) of the blocks of a page in order; zone 2 in an article, 1 in the main part, else 0."""
+    tags = _tags(page)
+    ends = _ends(tags)
     out: list[tuple[int, str]] = []
     held: list[str] = []
     zones: list[list] = []  # [tag, zone, depth of that tag]
-    zone, skip, depth, skip_at, rest_of_block = 0, "", 0, 0, False
-    at, size = 0, len(page)
+    zone, skip_to, rest_of_block, at = 0, -1, False, 0
 
     def flush():
         if held:
@@ -117,33 +139,16 @@ def _read(page: str, unclosed: set[int]) -> tuple[list[tuple[int, str]], int | N
                 out.append((zone, text))
             held.clear()
 
-    search = _TAG.search
-    while at < size:
-        m = search(page, at)
-        if m is None:
-            if not skip and not rest_of_block:
-                held.append(page[at:])
-            break
-        if not skip and not rest_of_block and m.start() > at:
-            held.append(page[at : m.start()])
-        at = m.end()
-        name = m[2] or m[5]
-        if not name:
-            if m[0].startswith("<![CDATA[") and not skip and not rest_of_block:
-                held.append(page[m.start() + 9 : at - 3].replace("&", "&amp;"))
-            continue
-        name = name.lower()
-        closing = bool(m[1] or m[4])
-        attributes = m[3] if m[3] is not None else m[6] or ""
-        if name in RAW and not closing:
-            end = _RAW_END[name].search(page, at)
-            at = end.start() if end else size
+    for k, (start, end, name, closing, attributes) in enumerate(tags):
+        if k <= skip_to:
+            at = end
             continue
-        if skip:
-            if name == skip:
-                depth += -1 if closing else 0 if attributes.endswith("/") else 1
-                if not depth:
-                    skip = ""
+        if not rest_of_block and start > at:
+            held.append(page[at:start])
+        at = end
+        if not name:
+            if not rest_of_block and page.startswith("<![CDATA[", start):
+                held.append(page[start + 9 : end - 3].replace("&", "&amp;"))
             continue
         block = name in BLOCK
         if block:
@@ -161,12 +166,10 @@ def _read(page: str, unclosed: set[int]) -> tuple[list[tuple[int, str]], int | N
         if name in VOID or rest_of_block:
             continue
         if _excluded(name, attributes, zone > 0):
-            if m.start() in unclosed:
-                rest_of_block = True
+            if k in ends:
+                skip_to = ends[k]
             elif not attributes.endswith("/"):
-                if block:
-                    flush()
-                skip, depth, skip_at = name, 1, m.start()
+                rest_of_block = True
             continue
         own = 2 if name == "article" else 1 if name == "main" else 0
         if not own and attributes and ("role" in attributes or "itemprop" in attributes):
@@ -178,10 +181,10 @@ def _read(page: str, unclosed: set[int]) -> tuple[list[tuple[int, str]], int | N
             zone = max(own, zone)
         elif zones and zones[-1][0] == name:
             zones[-1][2] += 1
-    if skip:
-        return out, skip_at
+    if not rest_of_block:
+        held.append(page[at:])
     flush()
-    return out, None
+    return out
 
 
 def main_blocks(page: str) -> tuple[int, list[str]]:

@@ -26,6 +26,13 @@ def test_broken_pages():
     assert html_text.main_blocks("<article>" * 3000 + "deep")[1] == ["deep"]
 
 
+def test_many_excluded_elements_that_never_close():
+    for start in ('<li class="social">', '<p class="ad">', '<tr class="promo">'):
+        for n in (7, 8, 9, 300):
+            assert html_text.main_blocks(f"{start}share" * n + "<article><p>one<p>two</article>")[1] == ["one", "two"]
+            assert html_text.main_blocks("<p>one" + f"{start}share" * n + '<div class="ad">buy</div><div>two</div>')[1] == ["one", "two"]
+
+
 def test_host_boilerplate_is_found_by_repeats():
     notice = "please read our terms of use before you go on with this page today"
     own = [(0, [notice, " ".join(f"w{i}x{j}" for j in range(40))]) for i in range(8)]
