@@ -2,7 +2,9 @@
 
 1. Each page is read once, tag by tag, into blocks of text. Elements that are never main text (menus, headers and footers of
    the page, sidebars, notices, adverts, forms, scripts, styles, reader comments), told by their name, role, class
-   or id, are left out. If the page marks its article (or main part), only blocks inside count.
+   or id, are left out: a class or id counts if it names the element (`sidebar`, `cookie-notice`, `ad-box`; not `has-sidebar`,
+   `sidebar-wrap` or `related-work`), and never hides a wrapper of the article or main part. If the page marks its article
+   (or main part), only blocks inside count.
 2. The token streams of a host's pages are concatenated, equal streams once, and their suffixes are sorted by their first
    `RUN` tokens (prefix doubling). A run found on enough distinct pages of the host is boilerplate; a block that such
    runs cover almost wholly is removed, what is unique is kept. A page of which runs cover most is a copy of other
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +50,14 @@ NAMES = {
     "login", "signup", "banner", "disclaimer",
 }
 ARTICLE_NAMES = {"comment", "comments", "ad", "ads", "advert", "advertisement", "sponsored", "promo", "related"}
+#: First words of compounds that tell how a page is laid out; last words that name a part or place of what stands before.
+STATES = {"has", "have", "no", "not", "with", "without", "hide", "show", "col", "cols"}
+PARTS = {
+    "area", "bar", "block", "body", "bottom", "box", "button", "buttons", "card", "cards", "center", "container", "content", "feed", "form", "group", "head",
+    "heading", "icons", "inner", "item", "items", "label", "left", "link", "links", "list", "message", "outer", "panel", "posts", "primary", "region", "right",
+    "row", "secondary", "section", "slot", "text", "thread", "title", "top", "unit", "widgets", "articles", "stories", "icon", "image", "next", "overlay", "previous",
+}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 BLOCK = {
     "address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption",
     "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol",
@@ -57,9 +68,9 @@ SPACED = {"br", "td", "th"}
 _RAW_END = {name: re.compile(rf"</{name}[\s/>]", re.I) for name in RAW}
 
 
-def _marks(attributes: str) -> tuple[set[str], str, str]:
-    """(words of class and id, role, itemprop)"""
-    words, role, prop = set(), "", ""
+def _marks(attributes: str) -> tuple[list[str], list[str], str, str]:
+    """(class tokens, ids, role, itemprop)"""
+    classes, ids, role, prop = [], [], "", ""
     for key, *values in _ATTR.findall(attributes):
         value = "".join(values)
         key = key.lower()
@@ -68,25 +79,42 @@ def _marks(attributes: str) -> tuple[set[str], str, str]:
         elif key == "itemprop":
             prop = value.strip().lower()
         else:
-            words.update(x.lower() for x in _NAME.findall(value))
-    return words, role, prop
+            (classes if key == "class" else ids).extend(value.split())
+    return classes, ids, role, prop
+
+
+def _heads(tokens: list[str]) -> set[str]:
+    """What each token names: itself, or the last word of a compound that isn't a mere part or place of the thing."""
+    heads = set()
+    for token in tokens:
+        words = [x.lower() for x in _NAME.findall(token)]
+        if not words or len(words) > 1 and words[0] in STATES:
+            continue
+        while len(words) > 1 and words[-1] not in NAMES and (words[-1] in PARTS or words[-1].isdigit() or len(words[-1]) == 1):
+            words.pop()
+        heads.add(words[-1])
+    return heads
 
 
-def _excluded(name: str, attributes: str, inside: bool) -> bool:
+def _excluded(name: str, attributes: str, inside: bool, wraps: bool = False) -> bool:
+    """Whether an element is never main text; wraps: it holds the page's articles or main part (see _core)."""
     if name in NEVER:
-        return True
+        return name != "form" or not wraps
     if name in ("html", "body", "main"):
         return False
     if name == "header" and not inside:
         return True
     if not attributes or attributes.isspace():
         return False
-    words, role, _ = _marks(attributes)
+    classes, ids, role, _ = _marks(attributes)
+    heads = _heads(classes if name in HEADINGS else classes + ids)
     if name == "article":
-        return bool(words & ARTICLE_NAMES)
-    if role in ROLES or words & NAMES or ("header" in words and not inside and not words & {"article", "entry", "post"}):
+        return bool(heads & ARTICLE_NAMES)
+    if role in ROLES or _HIDDEN.search(attributes):
         return True
-    return bool(_HIDDEN.search(attributes))
+    if wraps:
+        return False
+    return bool(heads & NAMES) or ("header" in heads and not inside and not {x.lower() for t in classes + ids for x in _NAME.findall(t)} & {"article", "entry", "post"})
 
 
 def _tags(page: str) -> list[tuple[int, int, str, bool, str]]:
@@ -120,10 +148,41 @@ def _ends(tags: list[tuple[int, int, str, bool, str]]) -> dict[int, int]:
     return ends
 
 
+def _core(tags: list[tuple[int, int, str, bool, str]], ends: dict[int, int]) -> list[int]:
+    """Numbers of the start tags whose elements no wrapper may hide, whatever its class or id: the main parts outside menus and
+    the like; without any, the articles outside those and comments, adverts or related pages, unless some article stands free."""
+    mains, articles, free, never_to, other_to, named_to = [], [], False, -1, -1, -1
+    for k, (_, _, name, closing, attributes) in enumerate(tags):
+        if k <= never_to or closing or not name or name in VOID:
+            continue
+        if name in NEVER and name != "form":
+            never_to = ends.get(k, k)
+            continue
+        role = prop = ""
+        heads: set[str] = set()
+        if attributes and not attributes.isspace():
+            classes, ids, role, prop = _marks(attributes)
+            heads = _heads(classes if name in HEADINGS else classes + ids)
+        if name == "main" or role == "main":
+            mains.append(k)
+        elif name == "article" or prop == "articlebody" or role == "article":
+            if k > other_to and not heads & ARTICLE_NAMES:
+                articles.append(k)
+                free = free or k > named_to
+        if name in ("html", "body", "main"):
+            continue
+        if heads & ARTICLE_NAMES:
+            other_to = max(other_to, ends.get(k, k))
+        if name == "form" or name != "article" and heads & NAMES:
+            named_to = max(named_to, ends.get(k, k))
+    return mains or ([] if free else articles)
+
+
 def page_blocks(page: str) -> list[tuple[int, str]]:
     """(zone, text) of the blocks of a page in order; zone 2 in an article, 1 in the main part, else 0."""
     tags = _tags(page)
     ends = _ends(tags)
+    core = _core(tags, ends)
     out: list[tuple[int, str]] = []
     held: list[str] = []
     zones: list[list] = []  # [tag, zone, depth of that tag]
@@ -165,7 +224,9 @@ def page_blocks(page: str) -> list[tuple[int, str]]:
             continue
         if name in VOID or rest_of_block:
             continue
-        if _excluded(name, attributes, zone > 0):
+        place = bisect_right(core, k)
+        wraps = place < len(core) and core[place] < ends.get(k, k)
+        if _excluded(name, attributes, zone > 0, wraps):
             if k in ends:
                 skip_to = ends[k]
             elif not attributes.endswith("/"):
@@ -173,7 +234,7 @@ def page_blocks(page: str) -> list[tuple[int, str]]:
             continue
         own = 2 if name == "article" else 1 if name == "main" else 0
         if not own and attributes and ("role" in attributes or "itemprop" in attributes):
-            _, role, prop = _marks(attributes)
+            _, _, role, prop = _marks(attributes)
             own = 2 if prop == "articlebody" or role == "article" else 1 if role == "main" else 0
         if own:
             flush()

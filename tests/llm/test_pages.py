@@ -33,6 +33,19 @@ def test_many_excluded_elements_that_never_close():
             assert html_text.main_blocks("<p>one" + f"{start}share" * n + '<div class="ad">buy</div><div>two</div>')[1] == ["one", "two"]
 
 
+def test_names_of_wrappers_and_sections():
+    blocks = lambda page: html_text.main_blocks(page)[1]
+    assert blocks('<div class="content-sidebar-wrap"><main><p>one</main></div>') == ["one"]
+    assert blocks('<div id="page" class="has-sidebar"><article><p>one</article></div>') == ["one"]
+    assert blocks('<div id="page" class="left-sidebar"><article>one</article></div><div id="comments"><article>no</article></div>') == ["one"]
+    assert blocks('<form id="aspnetForm"><div class="menu">no</div><main>one</main></form>') == ["one"]
+    assert blocks('<article><h2 id="related-work">Related work</h2><h3 id="social">s</h3><section id="social-impact">two</section></article>') == ["Related work", "s", "two"]
+    assert blocks('<article>one</article><div class="sidebar"><article>teaser</article></div>') == ["one"]
+    assert blocks('<div>one</div><div class="related-posts"><article>teaser</article></div>') == ["one"]
+    for name in ("ad-box", "site-footer", "sidebarLeft", "share_buttons", "x cookie-notice", "ad-728", "footer-widgets", "author-widget"):
+        assert blocks(f'<div>one</div><div class="{name}">no</div>') == ["one"]
+
+
 def test_host_boilerplate_is_found_by_repeats():
     notice = "please read our terms of use before you go on with this page today"
     own = [(0, [notice, " ".join(f"w{i}x{j}" for j in range(40))]) for i in range(8)]
