@@ -2,12 +2,12 @@
 
 1. One pass over the texts gives each document's statistics and, per distinct normalised line, a 64-bit
    key of (host, line) and the words that its occurrences hold.
-2. Distinct documents are counted per key (a document gives a key once; partial aggregation), and keys
-   in more than `max_docs` documents are frequent.
-3. A frequent line is removed as boilerplate if, of the documents that hold it, more than `max_docs`
-   have mostly other text (at most `most_frequent` of their words in frequent lines). The lines of a group
-   of copies are frequent too, but stand only in documents that consist of frequent lines: such groups
-   are left to the duplicate operators, and a clean document isn't lost because it was copied.
+2. Documents are counted per key (a document gives a key once; partial aggregation), and keys in more than
+   `max_docs` documents are frequent.
+3. A frequent line is removed as boilerplate if more than `max_docs` distinct texts hold it: documents with the same set of lines
+   count once, and so do near copies among the documents that are mostly (more than `most_frequent` of their words)
+   frequent lines. The lines of a group of copies are frequent too, but don't reject the group: it is left to the
+   duplicate operators. Pages that share most of their lines without being near copies are stripped and rejected.
 4. A document that keeps less than `least_left` of its words is depleted and rejected.
 
 The join of keys with frequent keys is salted on both sides, so that a line which a third of all documents hold
@@ -26,10 +26,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import near_dedup
 from .common import SPACES, alone, texts_as_bytes, written
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 MAX_DOCS, MOST_FREQUENT, LEAST_LEFT = 10, 0.5, 0.5
+COPY_WORDS, COPY_PERCENT = 5, 80  # near copies, as the pipeline's next stage links them
 SALTS = 32
 _NOT_WORD_CHARS = SPACES + bytes(range(0x80, 0xC0))  # white space, and the continuation bytes of UTF-8
 _SYMBOLS = b"#*$%&|<>"
@@ -103,33 +105,46 @@ def line_statistics(docs: DataFrame) -> DataFrame:
     return written(rows.mapInArrow(alone(_stats), STATS_SCHEMA), "quality-stats")
 
 
-def boilerplate(stats: DataFrame, max_docs: int = MAX_DOCS, most_frequent: float = MOST_FREQUENT) -> DataFrame:
+def _copies(docs: DataFrame, held: DataFrame) -> DataFrame:
+    """(class, group): of documents that are mostly frequent lines, the classes that are near copies of another class."""
+    classes = written(held.where("not other").groupBy("class").agg(F.min("content").alias("content")), "quality-classes")
+    texts = docs.select(content_key().alias("doc_id"), "text").join(classes.select(F.col("content").alias("doc_id")), "doc_id", "left_semi")
+    texts = written(texts.dropDuplicates(["doc_id"]), "quality-texts")
+    links = near_dedup.linked(texts, words=COPY_WORDS, percent=COPY_PERCENT).select(F.col("doc_id").alias("content"), F.col("component_id").alias("group"))
+    several = links.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group")
+    return classes.join(links.join(several, "group"), "content").select("class", "group")
+
+
+def boilerplate(docs: DataFrame, stats: DataFrame, max_docs: int = MAX_DOCS, most_frequent: float = MOST_FREQUENT) -> DataFrame:
     """(row_key, hit_keys, hit_words): per document the keys and words of its boilerplate lines; rows without are absent."""
-    lines = stats.select("row_key", "n_words", F.explode(F.arrays_zip("line_keys", "line_words")).alias("l")).select(
-        "row_key", "n_words", F.col("l.line_keys").alias("key"), F.col("l.line_words").alias("words")
-    )
+    lines = stats.select(
+        "row_key", "content", "n_words", F.xxhash64(F.array_sort("line_keys")).alias("class"), F.explode(F.arrays_zip("line_keys", "line_words")).alias("l")
+    ).select("row_key", "content", "n_words", "class", F.col("l.line_keys").alias("key"), F.col("l.line_words").alias("words"))
     frequent = (
         stats.select(F.explode("line_keys").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > max_docs).select("key")
     )
-    salts = frequent.select("key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    found = lines.withColumn("salt", F.pmod("row_key", F.lit(SALTS)).cast("int")).join(salts, ["key", "salt"])
+    every_salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    salt = F.pmod("row_key", F.lit(SALTS)).cast("int")
+    found = lines.withColumn("salt", salt).join(frequent.select("key", every_salt), ["key", "salt"])
     held = (
-        found.groupBy("row_key", "n_words")
+        found.groupBy("row_key", "content", "n_words", "class")
         .agg(F.collect_list(F.struct("key", "words")).alias("hits"), F.sum("words").alias("w"))
         .withColumn("other", F.col("w") <= F.col("n_words") * F.lit(most_frequent))
     )
     held = written(held, "quality-held")
-    own = held.select("row_key", "other", F.explode("hits").alias("h")).select("row_key", "other", "h.key", "h.words")
-    boiler = own.groupBy("key").agg(F.sum(F.col("other").cast("long")).alias("n")).where(F.col("n") > max_docs).select("key")
-    salts = boiler.select("key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    hits = own.withColumn("salt", F.pmod("row_key", F.lit(SALTS)).cast("int")).join(salts, ["key", "salt"])
+    if held.where("not other").take(1):
+        groups = written(_copies(docs, held), "quality-copies").select("class", "group", every_salt)
+        held = held.withColumn("salt", salt).join(groups, ["class", "salt"], "left").withColumn("class", F.coalesce("group", "class"))
+    own = held.select("row_key", "class", F.explode("hits").alias("h")).select("row_key", "class", "h.key", "h.words")
+    boiler = own.groupBy("key").agg(F.countDistinct("class").alias("n")).where(F.col("n") > max_docs).select("key")
+    hits = own.withColumn("salt", salt).join(boiler.select("key", every_salt), ["key", "salt"])
     return hits.groupBy("row_key").agg(F.collect_list("key").alias("hit_keys"), F.sum("words").alias("hit_words"))
 
 
 def judged(docs: DataFrame, max_docs: int = MAX_DOCS, most_frequent: float = MOST_FREQUENT, least_left: float = LEAST_LEFT) -> DataFrame:
     """One row a document: statistics, base_failed, hit_keys, n_left (words left), kept."""
     stats = line_statistics(docs)
-    hits = boilerplate(stats, max_docs, most_frequent)
+    hits = boilerplate(docs, stats, max_docs, most_frequent)
     return (
         stats.drop("line_keys", "line_words")
         .join(hits, "row_key", "left")

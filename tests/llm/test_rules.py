@@ -1,3 +1,4 @@
+import random
 import zlib
 
 from pagelode.llm import decontam, quality, sharding
@@ -93,6 +94,23 @@ def test_boilerplate_lines_go_and_copies_stay(spark):
     assert kept[0]["text"] == own(0) and kept[0]["n_chars"] == len(own(0)) and kept[12]["text"] == own("copy")
 
 
+def test_mostly_boilerplate_pages_are_rejected(spark):
+    line = lambda name, n: " ".join(f"{name}w{k}" for k in range(n))
+    shared = "\n".join(line(f"s{j}", 12) for j in range(10))
+    texts = [shared + "\n" + line(f"own{i}", 80) for i in range(30)]  # 60 percent shared
+    pool = [line(f"p{j}", 12) for j in range(40)]
+    r = random.Random(2)
+    texts += ["\n".join(r.sample(pool, 16)) for _ in range(60)]  # put together from shared lines
+    near = [line(f"n{j}", 12) for j in range(20)]
+    texts += ["\n".join(near[:19] + [near[19] + f" x{i}"]) for i in range(30)]  # near copies
+    docs = table(spark, texts)
+    rows = {r["doc_id"]: r for r in quality.judged(docs).collect()}
+    assert not any(rows[i]["base_failed"] for i in rows)
+    assert not any(rows[i]["kept"] for i in range(90)) and all(rows[i]["n_left"] == 80 for i in range(30))
+    assert all(rows[i]["kept"] and rows[i]["n_left"] == rows[i]["n_words"] for i in range(90, 120))
+    assert sorted(r["doc_id"] for r in quality.filtered(docs).collect()) == list(range(90, 120))
+
+
 def test_quality_hard_rows(spark):
     docs = table(spark, [*hard_texts(), None, None], sources=[None, "a"] * ((len(hard_texts()) + 2) // 2) + ["b"] * (len(hard_texts()) % 2))
     assert quality.judged(docs).count() == docs.count() and quality.judged(table(spark, [])).count() == 0
