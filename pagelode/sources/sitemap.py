@@ -23,16 +23,16 @@ def entries(sitemaps: DataFrame) -> DataFrame:
     return kinds[0].unionByName(kinds[1]).where(F.coalesce(F.col("loc"), F.lit("")) != "")
 
 
-def expanded(roots: DataFrame, fetch: Callable[[DataFrame], DataFrame], most_levels: int = 20) -> DataFrame:
+def expanded(roots: DataFrame, fetch: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Distinct (site_url, url) below the roots (site_url, url). fetch adds html, the file's text, to (site_url, url).
 
-    An index that has been read isn't read again, so cycles end.
+    An index that has been read isn't read again, so cycles end; there is no limit of depth.
     """
     from ..operators.store import materialised
 
     level = materialised(roots.select("site_url", "url").distinct())
     seen, found = level, None
-    for _ in range(most_levels):
+    while True:
         got = materialised(entries(fetch(level).select("site_url", F.col("html").alias("xml"))))
         urls = got.where("not is_index").select("site_url", F.col("loc").alias("url"))
         found = urls if found is None else found.unionByName(urls)

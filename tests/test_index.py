@@ -96,6 +96,15 @@ def test_sitemaps(spark):
     assert sorted(r["url"] for r in found.collect()) == ["http://g/2", "http://h/1", "x"] and [r["url"] for r in sitemap.on_site(found).collect()] == ["http://h/1"]
 
 
+def test_deep_sitemap_indexes(spark):
+    web = {f"http://h/{k}.xml": f"<sitemapindex><sitemap><loc>http://h/{k + 1}.xml</loc></sitemap></sitemapindex>" for k in range(21)}
+    web["http://h/21.xml"] = "<urlset><url><loc>http://h/deep</loc></url></urlset>"
+    answers = spark.createDataFrame(list(web.items()), "url string, html string")
+    roots = spark.createDataFrame([("http://h/", "http://h/0.xml")], "site_url string, url string")
+    found = sitemap.expanded(roots, lambda u: fetch.from_snapshot(u, answers))
+    assert [r["url"] for r in found.collect()] == ["http://h/deep"]
+
+
 def test_fetch_retries():
     answers, waits = [(503, None), (0, None), (200, "ok")], []
     assert fetch.get_with_retry(lambda u: answers.pop(0), "u", sleep=waits.append) == "ok" and waits == [1.0, 2.0]
