@@ -297,6 +297,10 @@ class Codec:
             out.append(utf8.feed(self.decode_bytes(ids[i : i + 4 * step])))
         return "".join(out) + utf8.finish()
 
+    def decoded(self, ids: bytes) -> bytes:
+        """The bytes of the text that the stream of ids decodes to."""
+        return self.decode(ids).encode()
+
 
 def codec(rank_file: str, pattern: str) -> Codec:
     return held(("codec", rank_file, pattern), lambda: Codec(rank_file, pattern))
@@ -316,7 +320,7 @@ def encoded(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
                 text = t.as_py() or ""
                 got = own.encode(text)
                 ids.append(np.frombuffer(got, "<i4"))
-                good.append(own.decode_bytes(got) == text.encode())
+                good.append(own.decoded(got) == text.encode())
             sizes = list(map(len, ids))
             values = np.concatenate(ids) if ids else np.empty(0, np.int32)
             column = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(values, pa.int32()))
@@ -338,7 +342,7 @@ def round_trips(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
                 ids = own.encode(text.as_py() or "")
                 n.append(len(ids) // 4)
                 h.append(hashlib.sha256(ids).hexdigest())
-                back.append(hashlib.sha256(own.decode_bytes(ids)).hexdigest())
+                back.append(hashlib.sha256(own.decoded(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], pa.array(n, pa.int64()), pa.array(h, pa.string()), pa.array(back, pa.string())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],

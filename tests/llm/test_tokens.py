@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
@@ -21,6 +22,32 @@ def codec():
     return bpe.codec(RANKS, public_tokenizers.PATTERN)
 
 
+def test_queries_decode_by_the_stream(spark, monkeypatch, codec):
+    fed = []
+
+    class Recorded(bpe.Utf8Stream):
+        def feed(self, data):
+            fed.append(data)
+            return super().feed(data)
+
+    monkeypatch.setattr(bpe, "Utf8Stream", Recorded)
+    text = "naïve 中文 😀 " * 3000
+    assert codec.decoded(codec.encode(text)) == text.encode() and len(fed) > 1
+
+    class Plan:  # runs what a query hands to the workers here
+        columns = ["doc_id", "text"]
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return list(run([pa.RecordBatch.from_pydict({"doc_id": [1], "text": [text]})]))
+
+    fed.clear()
+    out = bpe.round_trips(Plan(), RANKS, public_tokenizers.PATTERN)
+    assert out[0]["decoded_sha256"].to_pylist() == [hashlib.sha256(text.encode()).hexdigest()] and len(fed) > 1
+
+
 def test_encode_as_the_library_does(codec):
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=codec.vocab.ranks, special_tokens={})
     r = random.Random(2)
