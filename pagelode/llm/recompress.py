@@ -1,16 +1,21 @@
 """Substring dedup over words by recompression.
 
-A text is a sequence of word names (hashes). A round names every run of a repeated symbol, then every pair of a "left" symbol
-and a "right" one, sides being drawn by a hash of the symbol. Names are hashes of what they stand for, so they are the
-same in every document without being handed out, and equal substrings have equal symbols except near their ends. For
-each symbol the words that decide it (itself and the neighbours that its forming depended on) are tracked; a
-symbol decided within a window is found in every copy of the window.
-
-1. Each window of `WINDOW` words takes as its anchor the least of the highest-level symbols decided within it.
-   Anchors are counted across all documents in packed blocks; the shared ones form a filter of bounded size.
-2. Windows with a shared anchor (and those that touch a run too long for the window to decide) are named by a 96-bit
-   hash, sent once per block and window, and met in buckets: the names found twice verify the repeats.
-3. The answers return to their block, become ranges of words, and meet the texts by key.
+A text is a sequence of words. A round joins every run of a repeated symbol to one symbol, then every pair of a "left" symbol and a
+"right" one that follows it, sides being drawn by a hash of the symbol. A symbol's name is a hash of the names of what it stands
+for, so equal substrings get equal symbols in every document, except near their ends. For each symbol the words that
+decide it (its own and those of the neighbours that its forming depended on) are tracked: a symbol decided within
+a window is found in every copy of the window.
+
+1. Texts are kept in block files (see repeats). Each of `ROUNDS` rounds runs in Spark: blocks send the names of the runs and pairs
+   that the round has formed of parts found elsewhere; they are brought together by name over all documents, and a block learns
+   which of its symbols exist in another place. A symbol met once kills every window that it is decided in, and nothing
+   is formed of it any more: from round to round fewer and longer symbols remain, those of the long repeats.
+2. A window of `WINDOW` words that is left takes as its anchor the least of the highest-level symbols decided within it (told apart by all
+   words that decide it). Consecutive windows with one anchor make a stretch, whose words go to the bucket of the
+   anchor, equal stretches of a block once.
+3. In a bucket, windows that hold the same symbol at the same distance are compared word by word: names only bring windows together,
+   and a collision of names joins nothing.
+4. The answers return to their block, become ranges of words, and meet the texts in the block's file.
 
 Defined results: null text has no words; repeated rows are copies of each other, so their windows repeat; texts with
 fewer words than the window keep all; an empty table gives an empty result.
@@ -23,25 +28,29 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BASE, _INVERSE, _powers, alone, blocks, mixed, prefix_hashes, span_hashes, text_buffers, word_spans, written
-from .repeats import BLOB_SCHEMA, anchor_rows, blob_batch, by_target, gathered, merged_ranges, row_key, shared_anchors, with_ranges
+from .common import BASE, _INVERSE, _Powers, _powers, alone, mixed, prefix_hashes, span_hashes, texts_as_bytes, word_spans
+from .repeats import (
+    ANSWER, BLOB_SCHEMA, FILES, FIRST_BLOCK, SENT, Blocks, answers_of, blob_batch, by_target, get, marked, meet, met, named, own_files, pack, put, ranges_by_row,
+    rows_of, runs, steps, sub_blocks, unpack,
+)
 
-WINDOW, ROUNDS, LONG_RUN = 35, 3, 12
+WINDOW, ROUNDS = 35, 3
+#: Stretches that a task compares at a time (more only if they have one anchor).
+COMPARED = 1 << 15
 _SIDE = [np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)]
-_BASE2 = np.uint64(0xD1342543DE82EF95)
-_INVERSE2 = np.uint64(pow(int(_BASE2), -1, 1 << 64))
 _FAR = np.int64(1 << 40)
 
 
 class Level:
-    """Symbols of one level over all words of a block: names, first words, and the words [low, high) that decide each."""
+    """Symbols of one level over all words of a block: names, first words, the words [low, high) that decide each, and the first of the
+    symbols of the level below that each is formed of. dead: it is known to be in one place only, or holds such a symbol."""
 
-    def __init__(self, names, first, low, high):
-        self.names, self.first, self.low, self.high = names, first, low, high
+    def __init__(self, names, first, low, high, parts=None):
+        self.names, self.first, self.low, self.high, self.parts = names, first, low, high, parts
+        self.dead = np.zeros(len(names), bool)
 
 
 def word_level(names: np.ndarray) -> Level:
@@ -58,6 +67,11 @@ def _shift(x: np.ndarray, by: int, fill) -> np.ndarray:
     return out
 
 
+def _named(x: np.ndarray) -> np.ndarray:
+    """Names of what has the hashes x."""
+    return mixed(x)
+
+
 def name_runs(level: Level, edge: np.ndarray, count: int) -> tuple[Level, np.ndarray]:
     """Joins runs of equal symbols. edge: whether a symbol begins a text. Returns the level and its edges."""
     n = level.names
@@ -68,14 +82,14 @@ def name_runs(level: Level, edge: np.ndarray, count: int) -> tuple[Level, np.nda
     size = ends - begins
     names = n[begins]
     many = size > 1
-    names = np.where(many, mixed(names * BASE + size.astype(np.uint64) * _SIDE[3] + np.uint64(count)), names)
+    names = np.where(many, _named(names * BASE + size.astype(np.uint64) * _SIDE[3] + np.uint64(count)), names)
     low, high = level.low[begins], level.high[ends - 1]
     own_edge = edge[begins]
     # a run ends where its neighbours differ, so they decide it too
     low = np.where(own_edge, -_FAR, np.minimum(low, _shift(level.low[ends - 1], 1, -_FAR)))
     last = np.r_[own_edge[1:], True]
     high = np.where(last, _FAR, np.maximum(high, _shift(level.high[begins], -1, _FAR)))
-    return Level(names, level.first[begins], low, high), own_edge
+    return Level(names, level.first[begins], low, high, begins), own_edge
 
 
 def name_pairs(level: Level, edge: np.ndarray, count: int) -> tuple[Level, np.ndarray]:
@@ -88,22 +102,23 @@ def name_pairs(level: Level, edge: np.ndarray, count: int) -> tuple[Level, np.nd
     begins = np.flatnonzero(~tail)
     paired = head[begins]
     nxt = np.minimum(begins + 1, len(n) - 1)
-    names = np.where(paired, mixed(n[begins] * _SIDE[1] + n[nxt] * BASE + np.uint64(count + 77)), n[begins])
+    names = np.where(paired, _named(n[begins] * _SIDE[1] + n[nxt] * BASE + np.uint64(count + 77)), n[begins])
     before, after = _shift(level.low, 1, -_FAR), _shift(level.high, -1, _FAR)
     before[edge] = -_FAR
     after[np.r_[edge[1:], True]] = _FAR
     # a right symbol alone depends on what stands before it, a left symbol alone on what follows
     low = np.where(paired | ~right[begins], level.low[begins], np.minimum(level.low[begins], before[begins]))
     high = np.where(paired, level.high[nxt], np.where(right[begins], level.high[begins], np.maximum(level.high[begins], after[begins])))
-    return Level(names, level.first[begins], low, high), edge[begins]
+    return Level(names, level.first[begins], low, high, begins), edge[begins]
 
 
 def levels(names: np.ndarray, edge: np.ndarray, rounds: int = ROUNDS) -> list[Level]:
     out = [word_level(names)]
     level = out[0]
-    for r in range(rounds):
-        level, edge = name_runs(level, edge, 2 * r)
-        level, edge = name_pairs(level, edge, 2 * r + 1)
+    for r in range(rounds if len(names) else 0):
+        runs_, edge = name_runs(level, edge, 2 * r)
+        level, edge = name_pairs(runs_, edge, 2 * r + 1)
+        level.parts = runs_.parts[level.parts]
         out.append(level)
     return out
 
@@ -129,192 +144,346 @@ def _least_between(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarr
 
 
 class Parsed:
-    """Of a block of texts: windows (first words), and per window its anchor's name and place."""
+    """Some texts of a block: their words, windows (by first words), and the symbols of all levels."""
 
     def __init__(self, raw: np.ndarray, offsets: np.ndarray, window: int, rounds: int = ROUNDS):
-        starts, ends, doc = word_spans(raw, offsets)
-        self.doc, n = doc, len(doc)
-        self.names = span_hashes(prefix_hashes(raw), starts, ends)
+        self.window, self.raw = window, raw
+        self.starts, self.ends, self.doc = word_spans(raw, offsets)
+        doc = self.doc
+        n = len(doc)
         self.bounds = np.searchsorted(doc, np.arange(len(offsets)))
         at = np.arange(max(0, n - window + 1))
         self.windows = at[doc[at] == doc[at + window - 1]] if len(at) else at
-        self.anchors = np.zeros(len(self.windows), np.uint64)
-        self.places = np.zeros(len(self.windows), np.int64)
-        self.open = np.zeros(len(self.windows), bool)
         if not len(self.windows):
+            self.names, self.levels = np.empty(0, np.uint64), []
             return
-        edge = np.r_[True, doc[1:] != doc[:-1]]
-        todo = np.arange(len(self.windows))
+        self.names = span_hashes(prefix_hashes(raw), self.starts, self.ends)
+        self.levels = levels(self.names, np.r_[True, doc[1:] != doc[:-1]], rounds)
+
+    def _formed(self, r: int) -> np.ndarray:
+        """Symbols formed in round r of parts that aren't dead, and decided within some window."""
+        level, below = self.levels[r], self.levels[r - 1]
+        level.dead = np.logical_or.reduceat(below.dead, level.parts)
+        size = np.diff(np.r_[level.parts, len(below.names)])
+        return np.flatnonzero((size > 1) & ~level.dead & (level.low >= 0) & (level.high <= len(self.names)) & (level.high - level.low <= self.window))
+
+    def offered(self, r: int) -> np.ndarray:
+        """The names that round r sends."""
+        return self.levels[r].names[self._formed(r)] if self.levels else np.empty(0, np.uint64)
+
+    def learn(self, r: int, elsewhere: np.ndarray) -> None:
+        """What round r has found: for each name sent, whether it is met in another place."""
+        if self.levels:
+            once = self._formed(r)[~elsewhere]
+            self.levels[r].dead[once] = True
+
+    def alive(self) -> np.ndarray:
+        """Windows in which no symbol met once is decided."""
+        change = np.zeros(len(self.names) + 2, np.int64)
+        for level in self.levels[1:]:
+            dead = level.dead & (level.high - level.low <= self.window)
+            np.add.at(change, np.maximum(0, level.high[dead] - self.window), 1)
+            np.add.at(change, level.low[dead] + 1, -1)
+        return self.windows[np.cumsum(change)[self.windows] == 0] if self.levels else self.windows
+
+    def anchors(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(name, place, first word) of the anchors of windows."""
+        n, names = len(self.names), np.zeros(len(windows), np.uint64)
+        places, first = np.zeros(len(windows), np.int64), np.zeros(len(windows), np.int64)
+        todo = np.arange(len(windows))
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(self.names * _powers(BASE, n), out=total[1:])
         down = _powers(_INVERSE, n + 1)
-        for k, level in reversed(list(enumerate(levels(self.names, edge, rounds)))):
-            w = self.windows[todo]
+        for k, level in reversed(list(enumerate(self.levels))):
+            w = windows[todo]
             low = np.maximum.accumulate(level.low)
             high = np.minimum.accumulate(level.high[::-1])[::-1]
-            a, b = np.searchsorted(low, w), np.searchsorted(high, w + window, side="right")
+            a, b = np.searchsorted(low, w), np.searchsorted(high, w + self.window, side="right")
             some = np.flatnonzero(b > a)
             if len(some):
                 # a symbol is told apart by all the words that decide it, not by its own alone
                 a_word, b_word = np.clip(level.low, 0, n), np.clip(level.high, 0, n)
-                wide = mixed((total[b_word] - total[a_word]) * down[a_word] + level.names)
+                wide = _named((total[b_word] - total[a_word]) * down[a_word] + level.names)
                 least = _least_between(wide, a[some], b[some])
-                self.anchors[todo[some]] = mixed(wide[least] + np.uint64(k))
-                self.places[todo[some]] = level.first[least] * (ROUNDS + 2) + k
+                names[todo[some]] = _named(wide[least] + np.uint64(k))
+                places[todo[some]] = level.first[least] * (len(self.levels) + 1) + k
+                first[todo[some]] = level.first[least]
                 todo = np.delete(todo, some)
             if not len(todo):
                 break
-        # windows that touch a long run are always compared: two of them may be equal with different runs around
-        same = np.r_[False, (self.names[1:] == self.names[:-1]) & ~edge[1:]].astype(np.int64)
-        total = np.r_[0, np.cumsum(same)]
-        self.open = total[self.windows + window] - total[self.windows] >= LONG_RUN
+        return names, places, first
+
+    def plain_words(self) -> tuple[bytes, np.ndarray]:
+        """(the words, each with a space behind it; where each begins)"""
+        size = self.ends - self.starts + 1
+        begin = np.r_[0, np.cumsum(size)]
+        data = np.r_[self.raw, np.uint8(32)][np.repeat(self.starts, size) + steps(size)]
+        data[begin[1:] - 1] = 32
+        return data.tobytes(), begin
 
-    def window_keys(self, which: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-        """Two independent hashes (64 and 32 bits) of the windows' word sequences."""
-        w, n = self.windows[which], len(self.names)
-        out = []
-        for names, base, inverse in ((self.names, BASE, _INVERSE), (mixed(self.names), _BASE2, _INVERSE2)):
-            total = np.zeros(n + 1, np.uint64)
-            np.cumsum(names * _powers(base, n), out=total[1:])
-            out.append(mixed((total[w + window] - total[w]) * _powers(inverse, n + 1)[w]))
-        return out[0], (out[1] >> np.uint64(32)).astype(np.uint32)
 
+def _bits(known: list[np.ndarray]) -> bytes:
+    return b"".join(np.int64(len(x)).tobytes() + np.packbits(x).tobytes() for x in known)
 
-_PAIR = np.dtype([("a", "<u8"), ("b", "<u4"), ("at", "<u4")])
-_NOWHERE = np.uint32(0xFFFFFFFF)
+
+def _known(data: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(data):
+        n = int(np.frombuffer(data, "<i8", 1, at)[0])
+        size = -(-n // 8)
+        out.append(np.unpackbits(np.frombuffer(data, np.uint8, size, at + 8), count=n).astype(bool))
+        at += 8 + size
+    return out
 
 
-def _anchors(window: int, buckets: int):
+def _after_rounds(held, batch: pa.RecordBatch, window: int, rounds: int, buckets: int) -> tuple[list[tuple[int, Parsed]], list[np.ndarray]]:
+    """The parts of a block, parsed `rounds` levels high, with what the rounds so far have found; and that, a bit a name, for the rounds to come."""
+    files, answers = own_files(held), answers_of(held)
+    known = _known(files.partition(b"\n")[2])
+    parts = [(i, Parsed(raw, offs, window, rounds)) for i, raw, offs in sub_blocks(batch)]
+    r = 0
+    while r < len(known) or answers:
+        r += 1
+        names = [p.offered(r) for _, p in parts]
+        if r > len(known):
+            known.append(met(np.concatenate([np.empty(0, np.uint64), *names]), answers, buckets))
+            answers = []
+        at = 0
+        for (_, p), own in zip(parts, names):
+            p.learn(r, known[r - 1][at : at + len(own)])
+            at += len(own)
+    return parts, known
+
+
+def _send_names(window: int, r: int, buckets: int):
+    """Blocks: what round r has formed."""
+
     def run(batches):
-        for batch in batches:
-            raw, offs = text_buffers(batch["text"])
-            found = []
-            for i, j in blocks(offs):
-                p = Parsed(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i], window)
-                if len(p.windows):
-                    _, first = np.unique(p.places, return_index=True)
-                    found.append(p.anchors[first])
-            if found:
-                yield blob_batch(anchor_rows(np.concatenate(found), buckets))
+        for block, held in by_target(batches):
+            path = own_files(held).partition(b"\n")[0]
+            parts, known = _after_rounds(held, rows_of(path), window, r, buckets)
+            while len(known) < r - 1:  # a block that had nothing to send
+                known.append(np.zeros(0, bool))
+            names = np.concatenate([np.empty(0, np.uint64), *(p.offered(r) for _, p in parts)])
+            yield blob_batch([*named(block, names, buckets), (block, FILES, path + b"\n" + _bits(known))])
 
     return run
 
 
-def _windows(window: int, buckets: int, shared):
-    """Per Arrow batch: packed names of the windows in question by bucket (kind 0), and where they stand (kind 1)."""
+#: A stretch: its anchor and number in the block, how far the anchor is from its first window, its windows, whether the block has it twice, its bytes.
+_HEAD = np.dtype([("anchor", "<u8"), ("at", "<u4"), ("size", "<u4"), ("left", "u1"), ("windows", "u1"), ("twice", "u1")])
+
+
+def _send_stretches(window: int, rounds: int, buckets: int, folder: str):
+    """Blocks: the words of what is left go to the buckets of their anchors; where they stand is kept in a file."""
 
     def run(batches):
-        part, no = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            no += 1
-            here = (part << 24) + no + (1 << 55)  # apart from the buckets
-            raw, offs = text_buffers(batch["text"])
-            keys = batch["row_key"].to_numpy(zero_copy_only=False)
-            a, b, doc, place = [], [], [], []
-            for i, j in blocks(offs):
-                p = Parsed(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i], window)
-                if not len(p.windows):
+        for block, held in by_target(batches):
+            path = own_files(held).partition(b"\n")[0]
+            found: dict[tuple, int] = {}
+            often, group, starts, rows = [], [], [], []
+            for i, p in _after_rounds(held, rows_of(path), window, rounds, buckets)[0]:
+                w = p.alive()
+                if not len(w):
                     continue
-                which = np.flatnonzero(p.open | shared.value(p.anchors))
-                if len(which):
-                    x, y = p.window_keys(which, window)
-                    a.append(x)
-                    b.append(y)
-                    d = p.doc[p.windows[which]]
-                    doc.append(d + i)
-                    place.append(p.windows[which] - p.bounds[d])
-            if not a:
+                names, places, first = p.anchors(w)
+                at = np.flatnonzero(np.r_[True, (places[1:] != places[:-1]) | (w[1:] != w[:-1] + 1)])
+                count = np.diff(np.r_[at, len(w)])
+                data, begin = p.plain_words()
+                w = w[at]
+                a, b = begin[w], begin[w + count + window - 1]
+                for name, left, n, x, y in zip(names[at].tolist(), (first[at] - w).tolist(), count.tolist(), a.tolist(), b.tolist()):
+                    key = (name, left, n, data[x:y])
+                    k = found.get(key)
+                    if k is None:
+                        k = found[key] = len(found)
+                        often.append(0)
+                    else:
+                        often[k] = 1
+                    group.append(k)
+                d = p.doc[w]
+                rows.append(d + i)
+                starts.append(w - p.bounds[d])
+            if not found:
+                yield blob_batch([(block, FILES, path + b"\n")])
                 continue
-            a, b, doc, place = map(np.concatenate, (a, b, doc, place))
-            order = np.lexsort((b, a))
-            sa, sb = a[order], b[order]
-            new = np.r_[True, (sa[1:] != sa[:-1]) | (sb[1:] != sb[:-1])]
-            group = np.cumsum(new) - 1
-            counts = np.bincount(group)
-            twice = np.zeros(len(a), bool)
-            twice[order] = (counts > 1)[group]
-            head = order[new]
-            rows = np.empty(len(head), _PAIR)
-            rows["a"], rows["b"] = a[head], b[head]
-            rows["at"] = np.where(counts > 1, _NOWHERE, head.astype(np.uint32))
-            bucket = (rows["a"] % np.uint64(buckets)).astype(np.int64)
+            heads = np.zeros(len(found), _HEAD)
+            texts = [k[3] for k in found]
+            heads["anchor"], heads["left"], heads["windows"] = (np.array([k[j] for k in found], t) for j, t in enumerate(("<u8", "u1", "u1")))
+            heads["at"], heads["size"], heads["twice"] = np.arange(len(found)), [len(x) for x in texts], often
+            bucket = (heads["anchor"] % np.uint64(buckets)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")
-            rows, ends = rows[by], np.cumsum(np.bincount(bucket, minlength=buckets))
-            head8 = np.int64(here).tobytes()
-            out = [(k, 0, head8 + rows[s:e].tobytes()) for k, (s, e) in enumerate(zip(np.r_[0, ends[:-1]].tolist(), ends.tolist())) if e > s]
-            table = np.stack([keys[doc], place]).astype("<i8")
-            out.append((here, 1, np.int64(len(a)).tobytes() + np.packbits(twice).tobytes() + table.tobytes()))
-            yield blob_batch(out)
+            ends = np.cumsum(np.bincount(bucket, minlength=buckets))
+            out = []
+            for b, (s, e) in enumerate(zip(np.r_[0, ends[:-1]].tolist(), ends.tolist())):
+                if e > s:
+                    sel = by[s:e]
+                    own = [heads[sel][name] for name in _HEAD.names]
+                    out.append((b, SENT, pack(np.array([block, e - s], "<i8"), *own, np.frombuffer(b"".join([texts[x] for x in sel.tolist()]), np.uint8))))
+            table = [np.array([len(found), len(group)], "<i8"), heads["windows"], heads["twice"], np.array(group, "<u4"), np.concatenate(starts).astype("<u4"), np.concatenate(rows).astype("<u4")]
+            yield blob_batch([*out, (block, FILES, path + b"\n" + put(folder, pack(*table)).encode())])
 
     return run
 
 
-def _meet(batches):
-    """Buckets: names found in several blocks; answers go back to the blocks. What is addressed to a block passes on."""
-    for target, held in by_target(batches):
-        if held[0][0] == 1:
-            yield blob_batch([(target, k, x) for k, x in held])
-            continue
-        rows = [np.frombuffer(x, _PAIR, offset=8) for _, x in held]
-        source = np.repeat(np.arange(len(held)), [len(r) for r in rows])
-        rows = np.concatenate(rows)
-        order = np.lexsort((rows["b"], rows["a"]))
-        rows, source = rows[order], source[order]
-        same = (rows["a"][1:] == rows["a"][:-1]) & (rows["b"][1:] == rows["b"][:-1])
-        hit = np.r_[False, same] | np.r_[same, False]
-        hit &= rows["at"] != _NOWHERE
-        at, source = rows["at"][hit], source[hit]
-        by = np.argsort(source, kind="stable")
-        at, source = at[by], source[by]
-        bounds = np.searchsorted(source, np.arange(len(held) + 1))
-        out = [(int(np.frombuffer(x, "<i8", 1)[0]), 2, at[s:e].tobytes()) for (_, x), s, e in zip(held, bounds[:-1], bounds[1:]) if e > s]
-        if out:
-            yield blob_batch(out)
-
-
-def _settle(window: int):
-    """Blocks: what was found, as ranges of words per document."""
+def _same_windows(heads: np.ndarray, texts: list[bytes], window: int) -> np.ndarray:
+    """For distinct stretches, given with their words: per window of each, whether another stretch has the same words at the same distance
+    from the same anchor. Hashes bring windows together; words decide."""
+    windows = heads["windows"].astype(np.int64)
+    joined = b"".join(texts)
+    raw = np.frombuffer(joined, np.uint8)
+    begin = np.r_[0, np.flatnonzero(raw == 32) + 1]  # of each word, and the end
+    base = np.cumsum(windows + window - 1) - (windows + window - 1)
+    owner, t = np.repeat(np.arange(len(heads)), windows), steps(windows)
+    a, b = begin[base[owner] + t], begin[base[owner] + t + window]
+    prefix = prefix_hashes(raw)
+    value = _named((prefix[b] - prefix[a]) * _Powers.get(len(prefix))[1][a])
+    name = np.unique(heads["anchor"], return_inverse=True)[1][owner]
+    distance = heads["left"][owner].astype(np.int64) - t
+    order = np.lexsort((owner, value, distance, name))
+    o_name, o_distance, o_value, o_owner = name[order], distance[order], value[order], owner[order]
+    same = np.r_[False, (o_name[1:] == o_name[:-1]) & (o_distance[1:] == o_distance[:-1]) & (o_value[1:] == o_value[:-1])]
+    at = np.flatnonzero(same)
+    if not len(at):
+        return np.zeros(len(owner), bool)
+    # two stretches that follow each other at several windows are compared once, over all those windows
+    pair, which = np.unique(o_owner[at] << 32 | o_owner[at - 1], return_inverse=True)
+    low, high = np.full(len(pair), 1 << 30), np.zeros(len(pair), np.int64)
+    np.minimum.at(low, which, t[order[at]])
+    np.maximum.at(high, which, t[order[at]])
+    x, y = pair >> 32, pair & 0xFFFFFFFF
+    shift = heads["left"][y].astype(np.int64) - heads["left"][x]
+    spans = [begin[base[k] + t_] for k, t_ in ((x, low), (x, high + window), (y, low + shift), (y, high + shift + window))]
+    equal = np.array([joined[p:q] == joined[r:s] for p, q, r, s in zip(*(z.tolist() for z in spans))], bool)
+    doubt = np.zeros(len(order), bool)
+    if not equal.all():  # windows of equal hashes are told apart by their words
+        group = np.cumsum(~same)
+        doubt = np.isin(group, group[at[~equal[which]]])
+        classes: dict[tuple, list[int]] = {}
+        for k in np.flatnonzero(doubt).tolist():
+            i = order[k]
+            classes.setdefault((int(o_name[k]), int(o_distance[k]), joined[a[i] : b[i]]), []).append(i)
+        told = [i for c in classes.values() if len(c) > 1 for i in c]
+    out = np.zeros(len(owner), bool)
+    out[order] = (same | np.r_[same[1:], False]) & ~doubt
+    if doubt.any():
+        out[told] = True
+    return out
+
+
+def _compare(window: int):
+    """Buckets: stretches met in several blocks, and windows that distinct stretches share. What is addressed to a block passes on."""
 
     def run(batches):
-        for _, held in by_target(batches):
-            table = next((x for k, x in held if k == 1), None)
-            if table is None:
+        for target, held in by_target(batches):
+            if target >= FIRST_BLOCK:
+                yield blob_batch([(target, kind, x) for kind, x in held])
                 continue
-            n = int(np.frombuffer(table, "<i8", 1)[0])
-            packed = -(-n // 8)
-            hit = np.unpackbits(np.frombuffer(table, np.uint8, packed, 8), count=n).astype(bool)
-            keys, place = np.frombuffer(table, "<i8", offset=8 + packed).reshape(2, n)
-            for k, x in held:
-                if k == 2:
-                    hit[np.frombuffer(x, "<u4")] = True
-            keys, place = keys[hit], place[hit]
-            order = np.lexsort((place, keys))
-            keys, place = keys[order], place[order]
-            heads = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else []
-            blobs = [merged_ranges(np.unique(place[s:e]), window).astype("<i8").tobytes() for s, e in zip(heads, [*heads[1:], len(keys)])]
-            yield pa.RecordBatch.from_arrays([pa.array(keys[heads] if len(keys) else [], pa.int64()), pa.array(blobs, pa.binary())], names=["row_key", "ranges"])
+            sources, heads, texts, source = [], [], [], []
+            for i, (_, x) in enumerate(held):
+                x = unpack(x)
+                block, n = np.frombuffer(x, "<i8", 2).tolist()
+                sources.append(block)
+                rows, at = np.zeros(n, _HEAD), 16
+                for name in _HEAD.names:
+                    rows[name] = np.frombuffer(x, _HEAD[name], n, at)
+                    at += n * _HEAD[name].itemsize
+                ends = at + np.cumsum(rows["size"].astype(np.int64))
+                texts += [x[s:e] for s, e in zip((ends - rows["size"]).tolist(), ends.tolist())]
+                heads.append(rows)
+                source.append(np.full(n, i, np.int32))
+            heads, source = np.concatenate(heads), np.concatenate(source)
+            order = np.argsort(heads["anchor"], kind="stable")
+            names = heads["anchor"][order]
+            at = 0
+            while at < len(order):
+                end = min(at + COMPARED, len(order))
+                end = int(np.searchsorted(names, names[end - 1], side="right"))
+                sel = order[at:end]
+                at = end
+                found: dict[tuple, int] = {}
+                kind, first, count = [], [], []
+                for i, key in zip(sel.tolist(), zip(heads["anchor"][sel].tolist(), heads["left"][sel].tolist(), heads["windows"][sel].tolist(), [texts[k] for k in sel.tolist()])):
+                    k = found.get(key)
+                    if k is None:
+                        k = found[key] = len(found)
+                        first.append(i)
+                        count.append(0)
+                    count[k] += 1
+                    kind.append(k)
+                kind, first, count = np.array(kind), np.array(first), np.array(count)
+                windows = heads["windows"][first].astype(np.int64)
+                begin = np.cumsum(windows) - windows
+                hit = np.repeat(count > 1, windows)
+                anchor = heads["anchor"][first]
+                several = np.flatnonzero(np.r_[False, anchor[1:] == anchor[:-1]] | np.r_[anchor[1:] == anchor[:-1], False])
+                if len(several):
+                    own = np.repeat(begin[several], windows[several]) + steps(windows[several])
+                    hit[own] |= _same_windows(heads[first[several]], [texts[k] for k in first[several].tolist()], window)
+                asked = np.flatnonzero(heads["twice"][sel] == 0)
+                size = windows[kind[asked]]
+                owner, t = np.repeat(asked, size), steps(size)
+                yes = hit[begin[kind[owner]] + t]
+                out = runs(owner[yes], t[yes])
+                where = source[sel[out["at"]]]
+                out["at"] = heads["at"][sel[out["at"]]]
+                by = np.argsort(where, kind="stable")
+                out, where = out[by], where[by]
+                bounds = np.searchsorted(where, np.arange(len(held) + 1))
+                answers = [(sources[i], ANSWER, out[s:e].tobytes()) for i, (s, e) in enumerate(zip(bounds[:-1], bounds[1:])) if e > s]
+                if answers:
+                    yield blob_batch(answers)
 
     return run
 
 
-def repeated_ranges(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(row_key, ranges): per text with repeats the ranges of words covered by windows that occur twice or more."""
-    spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(row_key().alias("row_key"), "text")
-    shared = shared_anchors(rows.select("text").mapInArrow(alone(_anchors(window, buckets)), BLOB_SCHEMA), buckets)
-    sent = rows.mapInArrow(alone(_windows(window, buckets, spark.sparkContext.broadcast(shared))), BLOB_SCHEMA)
-    met = gathered(sent, buckets).mapInArrow(alone(_meet), BLOB_SCHEMA)
-    return gathered(met, buckets).mapInArrow(alone(_settle(window)), "row_key long, ranges binary")
+def _block_ranges(held, window: int) -> dict[int, np.ndarray]:
+    """Row of the block -> ranges of words covered by windows that occur twice or more."""
+    table = own_files(held).partition(b"\n")[2]
+    if not table:
+        return {}
+    table = unpack(get(table.decode()))
+    m, n = np.frombuffer(table, "<i8", 2).tolist()
+    windows, twice = np.frombuffer(table, "u1", 2 * m, 16).reshape(2, m).astype(np.int64)
+    group, starts, rows = np.frombuffer(table, "<u4", 3 * n, 16 + 2 * m).reshape(3, n).astype(np.int64)
+    first, hit = marked(answers_of(held), windows)
+    hit |= np.repeat(twice > 0, windows)
+    size = windows[group]
+    owner, t = np.repeat(np.arange(n), size), steps(size)
+    yes = hit[first[group[owner]] + t]
+    owner, t = owner[yes], t[yes]
+    return ranges_by_row(rows[owner], starts[owner] + t, window)
+
+
+def stages(window: int, rounds: int, buckets: int, folder: str) -> list:
+    """What blocks and buckets do in turn, up to the answers that return to the blocks."""
+    out = []
+    for r in range(1, rounds + 1):
+        out += [_send_names(window, r, buckets), meet]
+    return [*out, _send_stretches(window, rounds, buckets, folder), _compare(window)]
+
+
+def with_ranges(docs: DataFrame, emit, schema, window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
+    """emit(rows of a block, row -> ranges of words in windows that occur twice or more), for all blocks."""
+    own = Blocks(docs)
+
+    def settle(batches):
+        for _, held in by_target(batches):
+            yield emit(rows_of(own_files(held)), _block_ranges(held, window))
+
+    rows = own.rows
+    for stage in stages(window, rounds, own.buckets, own.folder):
+        rows = own.gathered(rows).mapInArrow(alone(stage), BLOB_SCHEMA)
+    return own.gathered(rows).mapInArrow(alone(settle), schema)
 
 
-def without(text: bytes, ranges: bytes | None) -> tuple[list[bytes], int]:
+def without(text: bytes, ranges: np.ndarray | None) -> tuple[list[bytes], int]:
     """(words kept, number removed)"""
     words = text.split()
-    if not ranges:
+    if ranges is None:
         return words, 0
     kept, at = [], 0
-    for a, b in np.frombuffer(ranges, "<i8").reshape(-1, 2).tolist():
+    for a, b in ranges.tolist():
         kept += words[at:a]
         at = b
     kept += words[at:]
@@ -324,11 +493,11 @@ def without(text: bytes, ranges: bytes | None) -> tuple[list[bytes], int]:
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-def cut(text: bytes, ranges: bytes) -> bytes:
+def cut(text: bytes, ranges: np.ndarray) -> bytes:
     """The text without the words in the ranges; what stands between words elsewhere stays as it is."""
     at = [m.span() for m in _WORD.finditer(text)]
     out, last = [], 0
-    for a, b in np.frombuffer(ranges, "<i8").reshape(-1, 2).tolist():
+    for a, b in ranges.tolist():
         out.append(text[last : at[a][0]])
         last = at[b - 1][1]
     return b"".join([*out, text[last:]])
@@ -336,48 +505,38 @@ def cut(text: bytes, ranges: bytes) -> bytes:
 
 def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs without the words of repeated windows; texts of which no word is left go. Columns as given, n_chars with the text."""
-    clash = {c: f"_own_{c}" for c in docs.columns if c in ("row_key", "ranges")}
-    rows = docs.withColumnsRenamed(clash)
-    found = with_ranges(rows.withColumn("row_key", row_key()), repeated_ranges(docs, window))
-    names, schema = rows.columns, rows.schema
 
-    def run(batches):
-        for batch in batches:
-            texts, keep = batch["text"].to_pylist(), []
-            for i, ranges in enumerate(batch["ranges"].to_pylist()):
-                if ranges:
-                    texts[i] = cut(texts[i].encode(), ranges).decode()
-                    keep.append(bool(_WORD.search(texts[i].encode())))
-                else:
-                    keep.append(True)
-            columns = [pa.array(texts, batch[c].type) if c == "text" else batch[c] for c in names]
-            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
-
-    out = found.mapInArrow(alone(run), schema)
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(schema["n_chars"].dataType), F.col("n_chars")))
-    return out.withColumnsRenamed({b: a for a, b in clash.items()}).select(*docs.columns)
+    def emit(batch, ranges):
+        texts, keep = batch["text"].to_pylist(), np.ones(len(batch), bool)
+        for i, own in ranges.items():
+            left = cut(texts[i].encode(), own)
+            texts[i], keep[i] = left.decode(), bool(_WORD.search(left))
+        columns = [pa.array(texts, batch[c].type) if c == "text" else batch[c] for c in batch.schema.names]
+        return pa.RecordBatch.from_arrays(columns, names=batch.schema.names).filter(pa.array(keep, pa.bool_()))
+
+    out = with_ranges(docs, emit, docs.schema, window)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
+    return out
 
 
 def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256)"""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row_key", row_key())
-    found = with_ranges(rows, repeated_ranges(docs, window))
 
-    def run(batches):
-        for batch in batches:
-            n, removed, sha = [], [], []
-            for text, ranges in zip(batch["text"].to_pylist(), batch["ranges"].to_pylist()):
-                kept, gone = without((text or "").encode(), ranges)
-                n.append(len(kept) + gone)
-                removed.append(gone)
-                sha.append(hashlib.sha256(b" ".join(kept)).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string())],
-                names=["doc_id", "n_words", "n_removed", "kept_sha256"],
-            )
-
-    return found.select("doc_id", "text", "ranges").mapInArrow(alone(run), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    def emit(batch, ranges):
+        n, removed, sha = [], [], []
+        for i, text in enumerate(texts_as_bytes(batch["text"])):
+            kept, gone = without(text, ranges.get(i))
+            n.append(len(kept) + gone)
+            removed.append(gone)
+            sha.append(hashlib.sha256(b" ".join(kept)).hexdigest())
+        return pa.RecordBatch.from_arrays(
+            [batch["doc_id"], pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string())],
+            names=["doc_id", "n_words", "n_removed", "kept_sha256"],
+        )
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return with_ranges(rows, emit, "doc_id long, n_words long, n_removed long, kept_sha256 string", window)
 
 
 def op6_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,23 +1,36 @@
-"""What the two exact repeat operators share: anchors, a filter of the shared ones, and exchange in blocks.
+"""What the two exact repeat operators share: block files, rounds that name pieces of text globally, and answers to blocks.
 
-A window (of bytes or words) is named by an anchor that depends on the window's content alone. Anchors go to buckets as packed
-arrays, a few rows a task instead of one a position; those met twice set a bit of a filter of bounded size, which is all
-that is ever sent to every task. Windows whose anchor isn't in the filter can't repeat. The filter may let a window
-through without need, never the reverse: results don't depend on its size.
+Texts are cut into blocks of `BLOCK_TEXT` bytes and each block is written once to the shared folder, before anything is
+numbered: whatever a task says about a block is about that file, also if the task is run again. A block's number and its file come
+from the table that Spark commits, so a lost attempt's file is never looked at. From then on only packed arrays move:
+
+* A round (`named`, `met`) sends the distinct names found in a block to buckets; a bucket tells each block which of its names
+  are met in another place. The answer is a bit a name, joined back to the block: no filter is sent to all tasks, and nothing
+  saturates. Names are hashes, sent as 5 bytes besides their bucket: two that collide count as met, which lets text through
+  to the comparison without need and changes no result.
+* What is still in question is sent to buckets to be compared, and the answers return to the block.
+* The block's file gives the rows of the result, so texts are never shuffled.
+
+Buckets are drawn from the bytes of all texts (`BUCKET_TEXT` each), so that a task holds as much at any size.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alone
+from .common import alone, blocks, filesystem, text_buffers, work_path, written
 
-#: Most bytes of the filter in all, and bits for each shared anchor while there is room.
-FILTER_BYTES, BITS_EACH = 1 << 27, 16
+BLOCK_TEXT, BUCKET_TEXT = 8 << 20, 16 << 20
 BLOB_SCHEMA = "target long, kind int, blob binary"
+#: Numbers of blocks are above, those of buckets below.
+FIRST_BLOCK = 1 << 62
+#: Kinds of rows: what is sent to a bucket, a block's files, and what returns to a block.
+SENT, FILES, ANSWER = 0, 1, 2
 
 
 def blob_batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
@@ -51,64 +64,170 @@ def by_target(batches):
         yield at, held
 
 
-def gathered(rows: DataFrame, buckets: int) -> DataFrame:
+def gathered(rows: DataFrame, tasks: int) -> DataFrame:
     """Rows of BLOB_SCHEMA, those of a target together."""
-    return rows.repartition(buckets, "target").sortWithinPartitions("target", "kind")
+    return rows.repartition(tasks, "target").sortWithinPartitions("target", "kind")
+
+
+# -- block files -------------------------------------------------------------------------------------------------
+
+
+def put(folder: str, data: bytes) -> str:
+    """Writes a file of its own name and returns where it is."""
+    uri = f"{folder}/{uuid.uuid4().hex}"
+    filesys, path = filesystem(uri)
+    filesys.create_dir(path.rpartition("/")[0], recursive=True)
+    with filesys.open_output_stream(path) as out:
+        out.write(data)
+    return uri
+
+
+def get(uri: str) -> bytes:
+    filesys, path = filesystem(uri)
+    with filesys.open_input_file(path) as source:
+        return source.read()
+
+
+def stored(folder: str, most: int = BLOCK_TEXT):
+    """Writes the block files of Arrow batches below a folder; rows (number, bytes of text, place of the file)."""
+
+    def run(batches):
+        for batch in batches:
+            _, offs = text_buffers(batch["text"])
+            rows = []
+            for i, j in blocks(offs, most):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(batch.slice(i, j - i))
+                rows.append((FIRST_BLOCK + (uuid.uuid4().int >> 67), int(offs[j] - offs[i]), put(folder, sink.getvalue().to_pybytes()).encode()))
+            if rows:
+                number, size, blob = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(number, pa.int64()), pa.array(size, pa.int64()), pa.array(blob, pa.binary())], names=["target", "size", "blob"])
+
+    return run
+
+
+class Blocks:
+    """The block files of a table: rows (number, FILES, place of the file), and how many buckets and tasks its size asks for."""
+
+    def __init__(self, docs: DataFrame):
+        spark = docs.sparkSession
+        self.folder = work_path(spark, "text-blocks")
+        found = written(docs.mapInArrow(alone(stored(self.folder)), "target long, size long, blob binary"), "blocks")
+        total = found.agg(F.sum("size")).first()[0] or 0
+        self.buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_TEXT))
+        self.rows = found.select("target", F.lit(FILES).alias("kind"), "blob")
 
+    def gathered(self, rows: DataFrame) -> DataFrame:
+        return gathered(rows, self.buckets)
 
-def anchor_rows(anchors: np.ndarray, buckets: int) -> list[tuple[int, int, bytes]]:
-    """Packs anchor hashes by bucket, 5 bytes each, each at most twice."""
-    anchors = np.sort(anchors)
-    if len(anchors) > 2:
-        anchors = anchors[np.r_[True, True, anchors[2:] != anchors[:-2]]]
-    bucket = (anchors % np.uint64(buckets)).astype(np.int64)
+
+def rows_of(blob: bytes) -> pa.RecordBatch:
+    """The rows of a block; the blob names the block's file first."""
+    with pa.ipc.open_stream(get(blob.partition(b"\n")[0].decode())) as reader:
+        return reader.read_next_batch()
+
+
+def own_files(held) -> bytes:
+    """The row that names a block's files; without it an answer would be about a block that isn't there."""
+    return next(x for kind, x in held if kind == FILES)
+
+
+def sub_blocks(batch: pa.RecordBatch):
+    """(first row, bytes, offsets) of parts of a block that are turned into arrays at a time."""
+    raw, offs = text_buffers(batch["text"])
+    for i, j in blocks(offs):
+        yield i, raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
+
+
+# -- rounds ------------------------------------------------------------------------------------------------------
+
+
+def _dealt(names: np.ndarray, buckets: int):
+    """(distinct names in order of buckets, how often each is there, where each bucket ends, place of each given name)"""
+    distinct, inverse, counts = np.unique(names, return_inverse=True, return_counts=True)
+    bucket = (distinct % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
-    packed = (anchors // np.uint64(buckets))[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-    ends = np.cumsum(np.bincount(bucket, minlength=buckets))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return distinct[order], counts[order], np.cumsum(np.bincount(bucket, minlength=buckets)), place[inverse]
+
+
+def named(block: int, names: np.ndarray, buckets: int) -> list[tuple[int, int, bytes]]:
+    """A block's names, packed for their buckets: each once, with a bit for those that the block has twice or more."""
+    distinct, counts, ends, _ = _dealt(names, buckets)
+    packed = (distinct // np.uint64(buckets)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+    head, out = np.int64(block).tobytes(), []
+    for b, (s, e) in enumerate(zip(np.r_[0, ends[:-1]].tolist(), ends.tolist())):
+        if e > s:
+            out.append((b, SENT, head + np.int64(e - s).tobytes() + packed[s:e].tobytes() + np.packbits(counts[s:e] > 1).tobytes()))
+    return out
+
+
+def meet(batches):
+    """Buckets: which names are met twice, as bits to each block. What is addressed to a block passes on."""
+    for target, held in by_target(batches):
+        if target >= FIRST_BLOCK:
+            yield blob_batch([(target, kind, x) for kind, x in held])
+            continue
+        heads = [np.frombuffer(x, "<i8", 2).tolist() for _, x in held]
+        parts = [np.frombuffer(x, np.uint8, 5 * n, 16) for (_, x), (_, n) in zip(held, heads)]
+        often = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8, offset=16 + 5 * n), count=n) for (_, x), (_, n) in zip(held, heads)]).astype(bool)
+        packed = np.concatenate(parts).reshape(-1, 5)
+        values = np.zeros((len(packed), 8), np.uint8)
+        values[:, :5] = packed
+        values = values.view("<u8").ravel()
+        order = np.argsort(values)
+        same = values[order][1:] == values[order][:-1]
+        often[order] |= np.r_[False, same] | np.r_[same, False]
+        ends = np.cumsum([n for _, n in heads])
+        yield blob_batch([(block, ANSWER, np.int64(target).tobytes() + np.packbits(often[e - n : e]).tobytes()) for (block, n), e in zip(heads, ends.tolist())])
+
+
+def met(names: np.ndarray, answers: list[bytes], buckets: int) -> np.ndarray:
+    """For the names that a block has sent, whether each is met twice or more."""
+    distinct, _, ends, place = _dealt(names, buckets)
+    often = np.zeros(len(distinct), bool)
     starts = np.r_[0, ends[:-1]]
-    return [(b, 0, packed[s:e].tobytes()) for b, (s, e) in enumerate(zip(starts.tolist(), ends.tolist())) if e > s]
+    for x in answers:
+        b = int(np.frombuffer(x, "<i8", 1)[0])
+        often[starts[b] : ends[b]] = np.unpackbits(np.frombuffer(x, np.uint8, offset=8), count=int(ends[b] - starts[b]))
+    return often[place]
 
 
-class AnchorFilter:
-    """A bit table per bucket, of a power of two of bits."""
+def answers_of(held) -> list[bytes]:
+    return [x for kind, x in held if kind == ANSWER]
 
-    def __init__(self, buckets: int, slices: dict[int, bytes]):
-        self.buckets = buckets
-        self.table = np.frombuffer(b"".join([b"\0", *(slices[b] for b in sorted(slices))]), np.uint8)
-        self.start, self.mask = np.zeros(buckets, np.uint64), np.zeros(buckets, np.uint64)
-        at = 8
-        for b in sorted(slices):
-            self.start[b], self.mask[b] = at, 8 * len(slices[b]) - 1
-            at += 8 * len(slices[b])
 
-    def __call__(self, anchors: np.ndarray) -> np.ndarray:
-        """Which anchors may be shared. Buckets without shared anchors look at a bit that is never set."""
-        n = np.uint64(self.buckets)
-        bucket = (anchors % n).astype(np.int64)
-        slot = self.start[bucket] + (anchors // n & self.mask[bucket])
-        return (self.table[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+# -- answers -----------------------------------------------------------------------------------------------------
 
+#: Of the piece `at` of a block, the windows t to t + n.
+RUN = np.dtype([("at", "<u4"), ("t", "u1"), ("n", "u1")])
 
-def shared_anchors(rows: DataFrame, buckets: int) -> AnchorFilter:
-    """The filter of the anchors met twice. Each bucket fills a table of BITS_EACH bits per shared anchor or more, as long as all
-    tables stay within FILTER_BYTES together, which is the most that reaches the driver."""
-    most = 1 << ((FILTER_BYTES // buckets * 8).bit_length() - 1)
 
-    def run(batches):
-        for target, held in by_target(batches):
-            packed = np.frombuffer(b"".join(x for _, x in held), np.uint8).reshape(-1, 5)
-            values = np.zeros((len(packed), 8), np.uint8)
-            values[:, :5] = packed
-            values = np.sort(values.view("<u8").ravel())
-            twice = np.unique(values[1:][values[1:] == values[:-1]])
-            if len(twice):
-                bits = max(8, min(most, 1 << (BITS_EACH * len(twice) - 1).bit_length()))
-                marks = np.zeros(bits, bool)
-                marks[(twice & np.uint64(bits - 1)).astype(np.int64)] = True
-                yield blob_batch([(target, 0, np.packbits(marks, bitorder="little").tobytes())])
-
-    slices = gathered(rows, buckets).mapInArrow(alone(run), BLOB_SCHEMA).collect()
-    return AnchorFilter(buckets, {r["target"]: bytes(r["blob"]) for r in slices})
+def runs(at: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Windows (piece, number), ascending, as runs."""
+    first = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (t[1:] != t[:-1] + 1)]) if len(at) else np.zeros(0, np.int64)
+    out = np.zeros(len(first), RUN)
+    out["at"], out["t"] = at[first], t[first]
+    out["n"] = np.diff(np.r_[first, len(at)])
+    return out
+
+
+def marked(answers: list[bytes], windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first window of each piece, which windows the answers name)"""
+    first = np.cumsum(windows) - windows
+    out = np.zeros(int(windows.sum()), bool)
+    for x in answers:
+        r = np.frombuffer(x, RUN)
+        count = r["n"].astype(np.int64)
+        out[np.repeat(first[r["at"]] + r["t"], count) + steps(count)] = True
+    return first, out
+
+
+def steps(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each size, one after another."""
+    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
 def merged_ranges(starts: np.ndarray, length: int) -> np.ndarray:
@@ -119,11 +238,9 @@ def merged_ranges(starts: np.ndarray, length: int) -> np.ndarray:
     return np.stack([starts[new], starts[np.r_[np.flatnonzero(new)[1:] - 1, len(starts) - 1]] + length], axis=1)
 
 
-def with_ranges(docs: DataFrame, ranges: DataFrame) -> DataFrame:
-    """docs with the ranges (packed pairs of int64) found for their key; rows that are equal have equal keys and ranges."""
-    return docs.join(ranges.dropDuplicates(["row_key"]), "row_key", "left")
-
-
-def row_key():
-    """Names a row by its id and text."""
-    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
+def ranges_by_row(row: np.ndarray, start: np.ndarray, length: int) -> dict[int, np.ndarray]:
+    """Row of the block -> ranges covered by windows of a length."""
+    order = np.lexsort((start, row))
+    row, start = row[order], start[order]
+    heads = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, np.int64)
+    return {int(row[s]): merged_ranges(np.unique(start[s:e]), length) for s, e in zip(heads.tolist(), [*heads[1:].tolist(), len(row)])}

@@ -2,16 +2,17 @@
 
 Every byte covered by a string of `LENGTH` bytes that also starts in a document with a smaller id is removed.
 
-1. Each window of LENGTH bytes takes the least-hashed `K`-gram within it (the first of equals) as its anchor. Anchors are
-   counted in packed blocks; those met twice form a filter of bounded size.
+1. Texts are kept in block files (see repeats). Each window of LENGTH bytes takes the least-hashed `K`-gram within it (the first
+   of equals) as its anchor. A round tells each block which of its anchors are met elsewhere: only there can a window repeat.
 2. Consecutive windows with one shared anchor make a stretch of at most 2 * LENGTH - K bytes. Equal stretches of a
    block are sent once, with the smallest doc_id there, to the bucket of their anchor.
-3. A bucket holds a set of suffixes, one per window. Those with equal anchors at equal distance are sorted by a merge sort
-   whose comparisons find the common extension of two suffixes by binary search over prefix polynomial hashes,
-   and look at the byte behind it. Neighbours that share LENGTH bytes by hash are compared byte by byte (a collision
-   splits them), and each class of equal windows gets its smallest doc_id. Equal stretches are first taken together.
+3. A bucket holds a part of the corpus's suffix array: the suffixes whose beginnings hold its anchors, one per window. Those with
+   equal anchors at equal distance are sorted by a merge sort whose comparisons find the common extension of two
+   suffixes by binary search over prefix polynomial hashes, and look at the byte behind it. Neighbours in that order that
+   share LENGTH bytes by hash are compared byte by byte (a collision splits them), and each class of equal windows
+   gets its smallest doc_id. Equal stretches are first taken together.
 4. Answers (runs of windows of a stretch that start in a smaller document) return to their block, become ranges of
-   bytes per document, and meet the texts by key.
+   bytes per document, and meet the texts in the block's file.
 
 All passes over suffixes are array operations; a merge level works on all segments at once.
 
@@ -26,16 +27,18 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _Powers, alone, blocks, prefix_hashes, text_buffers
-from .repeats import BLOB_SCHEMA, anchor_rows, blob_batch, by_target, gathered, merged_ranges, pack, row_key, shared_anchors, unpack, with_ranges
+from .common import _Powers, alone, prefix_hashes, texts_as_bytes
+from .repeats import (
+    ANSWER, BLOB_SCHEMA, FILES, FIRST_BLOCK, SENT, Blocks, answers_of, blob_batch, by_target, get, marked, meet, met, named, own_files, pack, put, ranges_by_row,
+    rows_of, runs, steps, sub_blocks, unpack,
+)
 
 LENGTH, K = 50, 20
-#: Stretches that a task holds before it sends them, and sorts at a time (more only if they have one anchor).
-STRETCHES, SORTED = 1 << 16, 1 << 15
+#: Stretches that a task sorts at a time (more only if they have one anchor).
+SORTED = 1 << 15
 NO_ID = (1 << 63) - 1
 _MUL = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -76,98 +79,87 @@ def window_anchors(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k
     return windows, place[windows].astype(np.int64), h
 
 
-def _anchors(length: int, k: int, buckets: int):
+def _stretches(place: np.ndarray) -> np.ndarray:
+    """The first windows of the stretches: consecutive windows with one anchor (texts don't share a place)."""
+    return np.flatnonzero(np.r_[True, place[1:] != place[:-1]]) if len(place) else np.zeros(0, np.int64)
+
+
+def _send_anchors(length: int, k: int, buckets: int):
     def run(batches):
-        for batch in batches:
-            raw, offs = text_buffers(batch["text"])
-            found = []
-            for i, j in blocks(offs):
-                _, place, h = window_anchors(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i], length, k)
-                if len(place):
-                    found.append(h[place[np.r_[True, place[1:] != place[:-1]]]])
-            if found:
-                yield blob_batch(anchor_rows(np.concatenate(found), buckets))
+        for block, held in by_target(batches):
+            files = own_files(held)
+            names = [np.empty(0, np.uint64)]
+            for _, raw, offs in sub_blocks(rows_of(files)):
+                _, place, h = window_anchors(raw, offs, length, k)
+                names.append(h[place[_stretches(place)]])
+            yield blob_batch([*named(block, np.concatenate(names), buckets), (block, FILES, files)])
 
     return run
 
 
+#: A stretch: its anchor, smallest doc_id and number in the block; how far the anchor is from its first window, and its windows.
 _HEAD = np.dtype([("anchor", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("left", "u1"), ("windows", "u1")])
 
 
-def _stretches(length: int, k: int, buckets: int, shared):
-    """Per block of some texts: distinct stretches by bucket (kind 0), and where they stand (kind 1)."""
+def _send_stretches(length: int, k: int, buckets: int, folder: str):
+    """Blocks: the distinct stretches with a shared anchor go to the anchor's bucket; where they stand is kept in a file."""
     most = 2 * length - k
 
-    def packed_rows(here, heads, texts, doc, starts, keys, ids):
-        heads, texts, doc, starts = map(np.concatenate, (heads, texts, doc, starts))
-        shape = np.concatenate([heads["left"][:, None], heads["windows"][:, None], texts], axis=1)
-        _, head, group = np.unique(np.ascontiguousarray(shape).view(f"V{shape.shape[1]}").ravel(), return_index=True, return_inverse=True)
-        least = np.full(len(head), NO_ID, np.int64)
-        np.minimum.at(least, group, heads["doc"])
-        rows = heads[head]
-        rows["doc"], rows["at"] = least, np.arange(len(head))
-        bucket = (rows["anchor"] % np.uint64(buckets)).astype(np.int64)
-        by = np.argsort(bucket, kind="stable")
-        ends = np.cumsum(np.bincount(bucket, minlength=buckets))
-        sizes = rows["windows"].astype(np.int64) + length - 1
-        out = []
-        for b, (s, e) in enumerate(zip(np.r_[0, ends[:-1]].tolist(), ends.tolist())):
-            if e > s:
-                sel = by[s:e]
-                packed = texts[head[sel]][np.arange(most) < sizes[sel][:, None]]
-                own = rows[sel]
-                out.append((b, 0, pack(np.array([here, e - s], "<i8"), own["doc"], own["at"], own["left"], own["windows"], packed)))
-        docs, first, count = np.unique(doc, return_index=True, return_counts=True)  # places are in order of documents
-        counts = np.array([len(head), len(group), len(docs)], "<i8")
-        table = [counts, least.astype("<i8"), heads["windows"][head], group.astype("<u4"), starts.astype("<u4"), keys[docs].astype("<i8"), ids[docs].astype("<i8"), count.astype("<u4")]
-        out.append((here, 1, pack(*table)))
-        return blob_batch(out)
-
     def run(batches):
-        part, no = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            raw, offs = text_buffers(batch["text"])
-            keys = batch["row_key"].to_numpy(zero_copy_only=False)
-            ids = pc.fill_null(batch["doc_id"], NO_ID).to_numpy(zero_copy_only=False)
-            held, size = ([], [], [], []), 0
-            for i, j in blocks(offs):
-                got = _block_stretches(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i], length, k, shared.value)
-                if got is not None:
-                    head, text, d, starts = got
-                    head["doc"] = ids[d + i]
-                    for x, y in zip(held, (head, text, d + i, starts)):
-                        x.append(y)
-                    size += len(head)
-                if size and (size >= STRETCHES or j == len(offs) - 1):
-                    no += 1
-                    yield packed_rows((part << 24) + no + (1 << 55), *held, keys, ids)  # the number is apart from the buckets
-                    held, size = ([], [], [], []), 0
+        for block, held in by_target(batches):
+            files = own_files(held)
+            batch = rows_of(files)
+            ids = pc.fill_null(batch["doc_id"].cast(pa.int64()), NO_ID).to_numpy(zero_copy_only=False)
+            parts, names = [], [np.empty(0, np.uint64)]
+            for i, raw, offs in sub_blocks(batch):
+                windows, place, h = window_anchors(raw, offs, length, k)
+                first = _stretches(place)
+                names.append(h[place[first]])
+                parts.append((i, raw, offs, windows[first], place[first], np.diff(np.r_[first, len(windows)])))
+            shared = met(np.concatenate(names), answers_of(held), buckets)
+            heads, texts, rows, starts, at = [], [], [], [], 0
+            for (i, raw, offs, w, anchor, count), own in zip(parts, names[1:]):
+                good = np.flatnonzero(shared[at : at + len(w)])
+                at += len(w)
+                if len(good):
+                    w, anchor, count = w[good], anchor[good], count[good]
+                    d = np.searchsorted(offs, w, side="right") - 1
+                    head = np.zeros(len(w), _HEAD)
+                    head["anchor"], head["left"], head["windows"], head["doc"] = own[good], anchor - w, count, ids[d + i]
+                    text = np.lib.stride_tricks.sliding_window_view(np.r_[raw, np.zeros(most, np.uint8)], most)[w]
+                    text[np.arange(most) >= (count + length - 1)[:, None]] = 0
+                    heads.append(head)
+                    texts.append(text)
+                    rows.append(d + i)
+                    starts.append(w - offs[d])
+            if not heads:
+                yield blob_batch([(block, FILES, files + b"\n")])
+                continue
+            heads, texts, rows, starts = map(np.concatenate, (heads, texts, rows, starts))
+            shape = np.concatenate([heads["left"][:, None], heads["windows"][:, None], texts], axis=1)
+            _, head, group = np.unique(np.ascontiguousarray(shape).view(f"V{shape.shape[1]}").ravel(), return_index=True, return_inverse=True)
+            least = np.full(len(head), NO_ID, np.int64)
+            np.minimum.at(least, group, heads["doc"])
+            sent = heads[head]
+            sent["doc"], sent["at"] = least, np.arange(len(head))
+            bucket = (sent["anchor"] % np.uint64(buckets)).astype(np.int64)
+            by = np.argsort(bucket, kind="stable")
+            ends = np.cumsum(np.bincount(bucket, minlength=buckets))
+            sizes = sent["windows"].astype(np.int64) + length - 1
+            out = []
+            for b, (s, e) in enumerate(zip(np.r_[0, ends[:-1]].tolist(), ends.tolist())):
+                if e > s:
+                    sel = by[s:e]
+                    own = sent[sel]
+                    packed = texts[head[sel]][np.arange(most) < sizes[sel][:, None]]
+                    out.append((b, SENT, pack(np.array([block, e - s], "<i8"), own["doc"], own["at"], own["left"], own["windows"], packed)))
+            counts = np.array([len(head), len(group)], "<i8")
+            table = put(folder, pack(counts, least, sent["windows"], group.astype("<u4"), starts.astype("<u4"), rows.astype("<u4")))
+            yield blob_batch([*out, (block, FILES, files + b"\n" + table.encode())])
 
     return run
 
 
-def _block_stretches(own: np.ndarray, offsets: np.ndarray, length: int, k: int, may_be_shared):
-    """(heads, padded bytes, text, place in the text) of the stretches whose anchor may be shared."""
-    most = 2 * length - k
-    windows, place, h = window_anchors(own, offsets, length, k)
-    if not len(windows):
-        return None
-    first = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (windows[1:] != windows[:-1] + 1)])
-    count = np.diff(np.r_[first, len(windows)])
-    good = may_be_shared(h[place[first]])
-    first, count = first[good], count[good]
-    if not len(first):
-        return None
-    w, anchor = windows[first], place[first]
-    head = np.zeros(len(first), _HEAD)
-    head["anchor"], head["left"], head["windows"] = h[anchor], anchor - w, count
-    d = np.searchsorted(offsets, w, side="right") - 1
-    padded = np.r_[own, np.zeros(most, np.uint8)]
-    text = np.lib.stride_tricks.sliding_window_view(padded, most)[w]
-    text[np.arange(most) >= (count + length - 1)[:, None]] = 0
-    return head, text, d, w - offsets[d]
-
-
 class SuffixSorter:
     """Sorts suffixes, given by their places in one byte array, within segments, by their first `length` bytes."""
 
@@ -277,12 +269,6 @@ def smallest_documents(rows: np.ndarray, packed: np.ndarray, length: int):
     alone = np.r_[True, anchor[1:] != anchor[:-1]]
     alone &= np.r_[alone[1:], True]  # no other stretch has the anchor
     todo = np.flatnonzero(~alone[owner])
-    if len(todo):  # a window whose hash no other has is equal to no other: only the rest is sorted
-        place = start[head][owner[todo]] + t[todo]
-        value = (prefix[place + length] - prefix[place]) * down[place]
-        by = np.argsort(value)
-        same = value[by][1:] == value[by][:-1]
-        todo = todo[np.sort(by[np.r_[False, same] | np.r_[same, False]])]
     if len(todo):
         distance = rows["left"][head][owner[todo]].astype(np.int64) - t[todo]
         place = start[head][owner[todo]] + t[todo]
@@ -299,22 +285,19 @@ def smallest_documents(rows: np.ndarray, packed: np.ndarray, length: int):
     return first, kind, found
 
 
-_RUN = np.dtype([("at", "<u4"), ("t", "u1"), ("n", "u1")])
-
-
 def _sort(length: int, k: int):
     """Buckets: suffixes sorted; answers go back to the blocks. What is addressed to a block passes on."""
 
     def run(batches):
         for target, held in by_target(batches):
-            if held[0][0] == 1:
+            if target >= FIRST_BLOCK:
                 yield blob_batch([(target, kind, x) for kind, x in held])
                 continue
             sources, heads, packs, source = [], [], [], []
             for i, (_, x) in enumerate(held):
                 x = unpack(x)
-                here, n = np.frombuffer(x, "<i8", 2).tolist()
-                sources.append(here)
+                block, n = np.frombuffer(x, "<i8", 2).tolist()
+                sources.append(block)
                 rows = np.zeros(n, _HEAD)
                 rows["doc"] = np.frombuffer(x, "<i8", n, 16)
                 rows["at"] = np.frombuffer(x, "<u4", n, 16 + 8 * n)
@@ -338,12 +321,11 @@ def _sort(length: int, k: int):
                 end = min(at + SORTED, len(order))
                 end = int(np.searchsorted(names, names[end - 1], side="right"))
                 sel = order[at:end]
-                step = np.arange(size[sel].sum()) - np.repeat(np.cumsum(size[sel]) - size[sel], size[sel])
-                out, where = _answers(rows[sel], packed[np.repeat(start[sel], size[sel]) + step], source[sel], length)
+                out, where = _answers(rows[sel], packed[np.repeat(start[sel], size[sel]) + steps(size[sel])], source[sel], length)
                 at = end
                 if len(out):
                     bounds = np.searchsorted(where, np.arange(len(held) + 1))
-                    yield blob_batch([(sources[i], 2, out[s:e].tobytes()) for i, (s, e) in enumerate(zip(bounds[:-1], bounds[1:])) if e > s])
+                    yield blob_batch([(sources[i], ANSWER, out[s:e].tobytes()) for i, (s, e) in enumerate(zip(bounds[:-1], bounds[1:])) if e > s])
 
     return run
 
@@ -352,118 +334,88 @@ def _answers(rows: np.ndarray, packed: np.ndarray, source: np.ndarray, length: i
     """Runs of windows that start in a smaller document than their block knows, and the blocks, ascending."""
     first, kind, found = smallest_documents(rows, packed, length)
     windows = rows["windows"].astype(np.int64)
-    owner = np.repeat(np.arange(len(rows)), windows)
-    t = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
+    owner, t = np.repeat(np.arange(len(rows)), windows), steps(windows)
     hit = found[first[kind[owner]] + t] < rows["doc"][owner]
     owner, t = owner[hit], t[hit]
-    if not len(owner):
-        return np.zeros(0, _RUN), np.zeros(0, np.int64)
-    at = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (t[1:] != t[:-1] + 1)])
-    out = np.zeros(len(at), _RUN)
-    out["at"], out["t"] = rows["at"][owner[at]], t[at]
-    out["n"] = np.diff(np.r_[at, len(owner)])
-    where = source[owner[at]]
+    own = runs(owner, t)
+    where = source[own["at"]]
+    own["at"] = rows["at"][own["at"]]
     by = np.argsort(where, kind="stable")
-    return out[by], where[by]
+    return own[by], where[by]
+
+
+def _block_ranges(held, ids: np.ndarray, length: int) -> dict[int, np.ndarray]:
+    """Row of the block -> ranges of bytes covered by strings that start in a document with a smaller id."""
+    table = own_files(held).split(b"\n")[1]
+    if not table:
+        return {}
+    table = unpack(get(table.decode()))
+    m, n = np.frombuffer(table, "<i8", 2).tolist()
+    least = np.frombuffer(table, "<i8", m, 16)
+    windows = np.frombuffer(table, "u1", m, 16 + 8 * m).astype(np.int64)
+    group, starts, rows = np.frombuffer(table, "<u4", 3 * n, 16 + 9 * m).reshape(3, n).astype(np.int64)
+    first, smaller = marked(answers_of(held), windows)  # per window: it starts in a smaller document than any here
+    size = windows[group]
+    owner, t = np.repeat(np.arange(n), size), steps(size)
+    hit = smaller[first[group[owner]] + t] | (least[group] < ids[rows])[owner]
+    owner, t = owner[hit], t[hit]
+    return ranges_by_row(rows[owner], starts[owner] + t, length)
 
 
-def _settle(length: int):
-    """Blocks: per place of a stretch the windows that start in a smaller document, as ranges of bytes per text."""
+def with_ranges(docs: DataFrame, emit, schema, length: int = LENGTH, k: int = K) -> DataFrame:
+    """emit(rows of a block, row -> ranges of bytes that repeat from a document with a smaller id), for all blocks. docs: doc_id long, text, and others."""
+    own = Blocks(docs)
+    buckets, folder = own.buckets, own.folder
 
-    def run(batches):
+    def settle(batches):
         for _, held in by_target(batches):
-            table = next((unpack(x) for kind, x in held if kind == 1), None)
-            if table is None:
-                continue
-            m, n, d = np.frombuffer(table, "<i8", 3).tolist()
-            at = 24
-            least = np.frombuffer(table, "<i8", m, at)
-            windows = np.frombuffer(table, "u1", m, at + 8 * m).astype(np.int64)
-            at += 9 * m
-            group = np.frombuffer(table, "<u4", n, at).astype(np.int64)
-            starts = np.frombuffer(table, "<u4", n, at + 4 * n).astype(np.int64)
-            keys, ids = np.frombuffer(table, "<i8", 2 * d, at + 8 * n).reshape(2, d)
-            doc = np.repeat(np.arange(d), np.frombuffer(table, "<u4", d, at + 8 * n + 16 * d))
-            first = np.cumsum(windows) - windows
-            smaller = np.zeros(windows.sum(), bool)  # per window: it starts in a smaller document than any here
-            for kind, x in held:
-                if kind == 2:
-                    r = np.frombuffer(x, _RUN)
-                    count = r["n"].astype(np.int64)
-                    step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                    smaller[np.repeat(first[r["at"]] + r["t"], count) + step] = True
-            size = windows[group]
-            owner = np.repeat(np.arange(n), size)
-            t = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
-            hit = smaller[first[group[owner]] + t] | (least[group] < ids[doc])[owner]
-            owner, t = owner[hit], t[hit]
-            key, place = keys[doc[owner]], starts[owner] + t
-            order = np.lexsort((place, key))
-            key, place = key[order], place[order]
-            heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-            blobs = [merged_ranges(np.unique(place[s:e]), length).astype("<i8").tobytes() for s, e in zip(heads, [*heads[1:], len(key)])]
-            yield pa.RecordBatch.from_arrays([pa.array(key[heads], pa.int64()), pa.array(blobs, pa.binary())], names=["row_key", "ranges"])
+            batch = rows_of(own_files(held))
+            ids = pc.fill_null(batch["doc_id"].cast(pa.int64()), NO_ID).to_numpy(zero_copy_only=False)
+            yield emit(batch, _block_ranges(held, ids, length))
 
-    return run
+    sent = own.gathered(own.rows).mapInArrow(alone(_send_anchors(length, k, buckets)), BLOB_SCHEMA)
+    answered = own.gathered(sent).mapInArrow(alone(meet), BLOB_SCHEMA)
+    sent = own.gathered(answered).mapInArrow(alone(_send_stretches(length, k, buckets, folder)), BLOB_SCHEMA)
+    answered = own.gathered(sent).mapInArrow(alone(_sort(length, k)), BLOB_SCHEMA)
+    return own.gathered(answered).mapInArrow(alone(settle), schema)
 
 
-def repeated_ranges(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
-    """(row_key, ranges): per text the ranges of bytes covered by strings that start in a document with a smaller id."""
-    spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(row_key().alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    shared = shared_anchors(rows.select("text").mapInArrow(alone(_anchors(length, k, buckets)), BLOB_SCHEMA), buckets)
-    sent = rows.mapInArrow(alone(_stretches(length, k, buckets, spark.sparkContext.broadcast(shared))), BLOB_SCHEMA)
-    met = gathered(sent, buckets).mapInArrow(alone(_sort(length, k)), BLOB_SCHEMA)
-    return gathered(met, buckets).mapInArrow(alone(_settle(length)), "row_key long, ranges binary")
-
-
-def without(text: bytes, ranges: bytes | None) -> tuple[bytes, int]:
+def without(text: bytes, ranges: np.ndarray | None) -> tuple[bytes, int]:
     """(bytes kept, number of removed runs)"""
-    if not ranges:
+    if ranges is None:
         return text, 0
-    spans = np.frombuffer(ranges, "<i8").reshape(-1, 2).tolist()
     out, at = [], 0
-    for a, b in spans:
+    for a, b in ranges.tolist():
         out.append(text[at:a])
         at = b
-    return b"".join([*out, text[at:]]), len(spans)
+    return b"".join([*out, text[at:]]), len(ranges)
 
 
 def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """docs with `kept_bytes`: each text's bytes without what repeats from documents with smaller ids."""
-    rows = docs.drop("kept_bytes", "ranges").withColumn("row_key", row_key())
-    found = with_ranges(rows, repeated_ranges(docs, length))
-    schema = docs.drop("kept_bytes", "ranges").schema.add("kept_bytes", "binary")
-    names = schema.names
+    """docs with `kept_bytes` (in place of a column of that name): each text's bytes without what repeats from documents with smaller ids."""
+    rows = docs.drop("kept_bytes")
 
-    def run(batches):
-        for batch in batches:
-            kept = [without((t or "").encode(), r)[0] for t, r in zip(batch["text"].to_pylist(), batch["ranges"].to_pylist())]
-            yield pa.RecordBatch.from_arrays([*(batch[n] for n in names[:-1]), pa.array(kept, pa.binary())], names=names)
+    def emit(batch, ranges):
+        kept = [without(t, ranges.get(i))[0] for i, t in enumerate(texts_as_bytes(batch["text"]))]
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(kept, pa.binary())], names=[*batch.schema.names, "kept_bytes"])
 
-    return found.mapInArrow(alone(run), schema)
+    return with_ranges(rows, emit, docs.drop("kept_bytes").schema.add("kept_bytes", "binary"), length)
 
 
 def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256)"""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row_key", row_key())
-    found = with_ranges(rows, repeated_ranges(docs, length))
 
-    def run(batches):
-        for batch in batches:
-            got = []
-            for text, ranges in zip(batch["text"].to_pylist(), batch["ranges"].to_pylist()):
-                data = (text or "").encode()
-                kept, spans = without(data, ranges)
-                got.append((len(data), len(data) - len(kept), spans, hashlib.sha256(kept).hexdigest()))
-            cols = list(zip(*got)) or [[]] * 4
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], *(pa.array(c, t) for c, t in zip(cols, types))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-            )
-
-    return found.select("doc_id", "text", "ranges").mapInArrow(alone(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    def emit(batch, ranges):
+        got = []
+        for i, text in enumerate(texts_as_bytes(batch["text"])):
+            kept, spans = without(text, ranges.get(i))
+            got.append((len(text), len(text) - len(kept), spans, hashlib.sha256(kept).hexdigest()))
+        cols = list(zip(*got)) or [[]] * 4
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
+        return pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(c, t) for c, t in zip(cols, types))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return with_ranges(rows, emit, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", length)
 
 
 def op1_query(spark: SparkSession, sf_dir: str) -> DataFrame:
