@@ -3,7 +3,7 @@
 1. Each text becomes its set of 4-word shingles (64-bit hashes) and a sketch: register i holds the minimum of the i-th
    hash over the set, truncated to an exponentially spaced grid. Sketches of two sets merge by the larger register
    and agree in a register with a probability close to the sets' similarity.
-2. Texts with equal sets form a class; the document with the smallest id stands for it from here on.
+2. Texts with equal sets form a class; it has a number of its own, and the document with the smallest id gives its text.
 3. Registers are cut into bands; documents that share a band are candidates. Within a bucket all are first compared with
    the smallest document. A pair's similarity is estimated from its registers by maximum likelihood; pairs that can't
    reach the threshold (by five standard deviations) go, the rest are confirmed on the full sets.
@@ -15,10 +15,13 @@
    block: no link between documents that share a band is lost, no bucket has a cap, and no list of pairs is made.
    A pair at the threshold shares no band with a probability of (1 - 0.8**4)**25 = 2e-6.
 5. Components of the links come from alternating large-star and small-star rounds, each written to the shared
-   folder. Hot documents and buckets are salted: a document's set is sent once to every `SALT_ROWS` of its partners.
+   folder; at `SMALL_EDGES` links or fewer, counted, one task ends the work. Hot documents and buckets are salted: a
+   document's set is sent once to every `SALT_ROWS` of its partners.
 
 Defined results: null or wordless text has an empty set and is linked with nothing; rows that repeat a doc_id
-are one vertex, linked if any of their texts is; a null id has a null component and is kept.
+are one vertex, linked if any of their texts is, in `linked`; a null id has a null component and is kept. `deduplicated` keeps texts
+rather than ids: unlike texts of one id both stay, of rows equal in id and text one does, and rows with an empty set
+or a null id all do.
 """
 
 from __future__ import annotations
@@ -30,14 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BASE, LOWER, alone, blocks, mixed, prefix_hashes, span_hashes, text_buffers, word_spans, written
+from .common import BASE, LOWER, alone, blocks, forget, mixed, prefix_hashes, span_hashes, text_buffers, word_spans, written
 
 WORDS, PERCENT = 4, 80
 BANDS, ROWS = 25, 4
 REGISTERS = BANDS * ROWS
 GRID = 1.02  # spacing of the register values
 _SHIFT = 256
-SALT_ROWS, BLOCK_ROWS, BROADCAST_IDS = 256, 4096, 1_000_000
+SALT_ROWS, BLOCK_ROWS, BROADCAST_IDS, SMALL_EDGES = 256, 4096, 1_000_000, 1 << 20
 
 _rng = np.random.default_rng(20240229)
 _FACTORS = _rng.integers(0, 1 << 31, REGISTERS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -123,7 +126,7 @@ def _likely(one: np.ndarray, size: int, many: np.ndarray, sizes: np.ndarray, per
     return out
 
 
-SKETCH_SCHEMA = "doc_id long, n_shingles long, set_key binary, regs binary"
+SKETCH_SCHEMA = "doc_id long, text_key long, n_shingles long, set_key binary, regs binary"
 
 
 def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -139,18 +142,23 @@ def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
                     keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                     regs.append(sketch(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(regs, pa.binary())],
-                names=["doc_id", "n_shingles", "set_key", "regs"],
+                [batch["doc_id"], batch["text_key"], pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(regs, pa.binary())],
+                names=["doc_id", "text_key", "n_shingles", "set_key", "regs"],
             )
 
-    return written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(alone(run), SKETCH_SCHEMA), "sketches")
+    return written(_rows(docs).mapInArrow(alone(run), SKETCH_SCHEMA), "sketches")
 
 
-def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, text) of the documents named; the ids go out by broadcast if they are counted to be few enough."""
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
-    few = ids.count() <= BROADCAST_IDS
-    return rows.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+def _rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, text): id and key name a text."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+
+
+def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(v, text) of the classes wanted (v, doc_id, text_key); these go out by broadcast if they are counted to be few enough."""
+    few = wanted.count() <= BROADCAST_IDS
+    found = _rows(docs).join(F.broadcast(wanted) if few else wanted, ["doc_id", "text_key"])
+    return found.groupBy("v").agg(F.first("text").alias("text"))  # rows may repeat
 
 
 def _confirm(words: int, percent: int):
@@ -188,26 +196,43 @@ def _confirm(words: int, percent: int):
 
 
 def confirmed(pairs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b), those linked on their full sets. nodes: (doc_id, text, regs). Each center's set goes once to every SALT_ROWS partners."""
-    salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts"))
-    members = (
-        pairs.join(salts, "a")
-        .withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
-        .join(nodes.withColumnRenamed("doc_id", "b"), "b")
-        .select(F.col("a").alias("center"), "salt", F.lit(1).alias("own"), F.col("b").alias("node"), "text", "regs")
+    """Of the pairs (a, b), those linked on their full sets. nodes: (v, text, regs). Each center's set goes once to every SALT_ROWS partners."""
+    hot = written(pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts")).where("salts > 1"), "hot-centers")
+    salted = pairs.join(hot, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"))
+    members = salted.join(nodes.withColumnRenamed("v", "b"), "b").select(
+        F.col("a").alias("center"), "salt", F.lit(1).alias("own"), F.col("b").alias("node"), "text", "regs"
     )
     centers = (
-        salts.join(nodes.withColumnRenamed("doc_id", "a"), "a")
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+        salted.select("a", "salt").distinct().join(nodes.withColumnRenamed("v", "a"), "a")
         .select(F.col("a").alias("center"), "salt", F.lit(0).alias("own"), F.col("a").alias("node"), "text", "regs")
-    )
+    )
     rows = members.unionByName(centers).repartition("center", "salt").sortWithinPartitions("center", "salt", "own")
     return rows.mapInArrow(alone(_confirm(words, percent)), "a long, b long").distinct()
 
 
+def _joined(batches):
+    """All links of a graph: each vertex with the smallest that can be reached."""
+    none = np.empty(0, np.int64)
+    held = [(r["v"].to_numpy(), r["m"].to_numpy()) for r in batches]
+    a, b = np.concatenate([none, *(x for x, _ in held)]), np.concatenate([none, *(x for _, x in held)])
+    names, at = np.unique(np.r_[a, b], return_inverse=True)
+    a, b, label = at[: len(a)], at[len(a) :], np.arange(len(names))
+    while True:
+        x, y = label[a], label[b]
+        if (x == y).all():
+            break
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label[label] != label).any():
+            label = label[label]
+    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(names[label])], names=["v", "component"])
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(doc_id, component): the smallest vertex that can be reached, for vertices with links. Alternates large-star and small-star until nothing changes."""
+    """(v, component): the smallest vertex that can be reached, for vertices with links. Alternates large-star and small-star until
+    nothing changes; where the links are counted to be few, one task joins them at once."""
     edges = written(links.where("a != b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m")).distinct(), "edges")
+    if edges.count() <= SMALL_EDGES:
+        return written(edges.repartition(1).mapInArrow(alone(_joined), "v long, component long"), "components")
     before = None
     while True:
         both = edges.select(F.col("v").alias("u"), F.col("m").alias("w")).unionByName(edges.select(F.col("m").alias("u"), F.col("v").alias("w")))
@@ -216,12 +241,14 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("v").agg(F.min("m").alias("least"))
         small = large.join(least, "v")
         small = small.select("v", F.col("least").alias("m")).unionByName(small.where("m != least").select(F.col("m").alias("v"), F.col("least").alias("m")))
-        edges = written(small.where("v != m").distinct(), "edges")
+        edges, old = written(small.where("v != m").distinct(), "edges"), edges
+        forget(old)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("v", "m").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now
-    return edges.select(F.col("v").alias("doc_id"), F.col("m").alias("component"))
+    stars = edges.select("v", F.col("m").alias("component"))
+    return stars.unionByName(stars.select(F.col("component").alias("v"), "component").distinct())
 
 
 def _by_block(batches, emit):
@@ -302,7 +329,7 @@ def _links_within(percent: int):
 
 
 def _short_sets(nodes: DataFrame, words: int) -> DataFrame:
-    """(doc_id, short): sets of 32-bit hashes, sorted."""
+    """(v, short): sets of 32-bit hashes, sorted."""
 
     def run(batches):
         for batch in batches:
@@ -311,74 +338,118 @@ def _short_sets(nodes: DataFrame, words: int) -> DataFrame:
             for i, j in blocks(offs):
                 for s in shingle_sets(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i], words):
                     out.append(np.unique((s >> np.uint64(32)).astype(np.uint32)).tobytes())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(out, pa.binary())], names=["doc_id", "short"])
+            yield pa.RecordBatch.from_arrays([batch["v"], pa.array(out, pa.binary())], names=["v", "short"])
 
-    return nodes.select("doc_id", "text").mapInArrow(alone(run), "doc_id long, short binary")
+    return nodes.select("v", "text").mapInArrow(alone(run), "v long, short binary")
 
 
-def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row a document: doc_id, n_shingles, component_id, kept."""
-    own = sketches(docs, words)
+def classes_of(own: DataFrame) -> DataFrame:
+    """Classes of equal sets: their number v, how many rows they have, and the smallest (doc_id, text_key) with its sketch."""
     sets = own.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
-    classes = written(
-        sets.groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "regs")).alias("x"), F.count("*").alias("rows")).select("set_key", "x.*", "rows"),
-        "classes",
-    )
+    least = sets.groupBy("set_key").agg(F.min(F.struct("doc_id", "text_key", "n_shingles", "regs")).alias("x"), F.count("*").alias("rows"))
+    return written(least.select("set_key", "x.*", "rows", F.monotonically_increasing_id().alias("v")), "classes")
+
+
+def linked_classes(docs: DataFrame, classes: DataFrame, also: DataFrame | None, words: int, percent: int) -> DataFrame:
+    """(v, component) of the classes with links; also: links (a, b) that hold anyway."""
     band = F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(regs, i * {2 * ROWS} + 1, {2 * ROWS})))")
-    banded = classes.select("doc_id", F.posexplode(band).alias("band", "bucket"))
-    shared = banded.groupBy("bucket").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    members = written(banded.join(shared, "bucket").select("bucket", "band", "doc_id", "first", "n"), "buckets")
-    stars = written(members.where("doc_id != first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct(), "stars")
-    regs = classes.select("doc_id", "n_shingles", "regs")
-    nodes = written(_texts_of(docs, members.select("doc_id").distinct()).join(regs, "doc_id").select("doc_id", "text", "regs"), "nodes")
-    found = components(confirmed(stars, nodes, words, percent))
+    banded = classes.select("v", F.posexplode(band).alias("band", "bucket"))
+    shared = banded.groupBy("bucket").agg(F.min("v").alias("first"), F.count("*").alias("n")).where("n > 1")
+    members = written(banded.join(shared, "bucket").select("bucket", "band", "v", "first", "n"), "buckets")
+    stars = written(members.where("v != first").select(F.col("first").alias("a"), F.col("v").alias("b")).distinct(), "stars")
+    regs = classes.select("v", "n_shingles", "regs")
+    wanted = classes.select("v", "doc_id", "text_key").join(members.select("v").distinct(), "v", "left_semi")
+    nodes = written(_texts_of(docs, wanted).join(regs, "v").select("v", "text", "regs"), "nodes")
+    links = confirmed(stars, nodes, words, percent)
+    found = components(links if also is None else links.unionByName(also))
 
     blocks_of = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
 
     def several(found):
         """Members of the buckets that hold several components; those outside the first one go to all blocks of the bucket."""
-        placed = members.join(found, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        placed = members.join(found, "v", "left").withColumn("component", F.coalesce("component", "v"))
         split = placed.groupBy("bucket").agg(F.min("component").alias("main"), F.max("component").alias("other")).where("main != other")
         return (
             placed.join(split, "bucket")
             .withColumn("minor", F.col("component") != F.col("main"))
-            .withColumn("home", F.pmod(F.xxhash64("doc_id"), blocks_of).cast("int"))
+            .withColumn("home", F.pmod(F.xxhash64("v"), blocks_of).cast("int"))
             .withColumn("block", F.explode(F.when(F.col("minor"), F.sequence(F.lit(0), blocks_of - 1)).otherwise(F.array("home"))))
-            .join(regs, "doc_id")
-            .select("bucket", "block", "doc_id", "component", "n_shingles", "regs", "minor", (F.col("home") == F.col("block")).alias("is_home"), "band")
+            .join(regs, "v")
+            .select("bucket", "block", "v", "component", "n_shingles", "regs", "minor", (F.col("home") == F.col("block")).alias("is_home"), "band")
         )
 
     def by_block(rows, run):
         return rows.repartition("bucket", "block").sortWithinPartitions("bucket", "block").mapInArrow(alone(run), "a long, b long").distinct()
 
     def joined(found, links):
-        return components(found.select(F.col("doc_id").alias("a"), F.col("component").alias("b")).unionByName(links)) if links.take(1) else found
+        return components(found.select(F.col("v").alias("a"), F.col("component").alias("b")).unionByName(links)) if links.take(1) else found
 
     tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     likeliest = written(by_block(several(found), _proposals(percent)).join(tested, ["a", "b"], "left_anti"), "pairs")
     found = joined(found, written(confirmed(likeliest, nodes, words, percent), "links"))
     rest = written(several(found), "rest")
-    short = _short_sets(nodes.join(rest.select("doc_id").distinct(), "doc_id", "left_semi"), words)
-    near = written(by_block(rest.join(short, "doc_id").select(*rest.columns, "short"), _links_within(percent)), "pairs")
-    found = joined(found, written(confirmed(near, nodes, words, percent), "links"))
-
-    by_class = (
-        classes.join(found, "doc_id", "left")
-        .withColumn("component", F.coalesce("component", "doc_id"))
-        .where("rows > 1 OR component != doc_id")
-        .select("set_key", "component")
-    )
-    out = own.select("doc_id", "n_shingles", "set_key").join(by_class, "set_key", "left").join(found.withColumnRenamed("component", "_c"), "doc_id", "left")
-    component = F.coalesce(F.least("component", "_c"), F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    short = _short_sets(nodes.join(rest.select("v").distinct(), "v", "left_semi"), words)
+    near = written(by_block(rest.join(short, "v").select(*rest.columns, "short"), _links_within(percent)), "pairs")
+    return joined(found, written(confirmed(near, nodes, words, percent), "links"))
+
+
+def _repeated_ids(own: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """(doc_id, v, w, least): of ids with several sets, or with rows without a set beside one with, the classes, and the first
+    of them with its smallest id. None if there are no such ids."""
+    key = F.xxhash64("set_key")
+    sets = F.when(F.col("set_key").isNotNull(), key)
+    ids = own.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(sets).alias("lo"), F.max(sets).alias("hi"), F.count("set_key").alias("n"), F.count("*").alias("rows"))
+    ids = written(ids.where("lo != hi OR n > 0 AND n < rows").select("doc_id"), "repeated-ids")
+    if not ids.take(1):
+        return None
+    keyed = own.where("set_key IS NOT NULL").join(ids, "doc_id").select("doc_id", "set_key").distinct()
+    keyed = keyed.join(classes.select("set_key", "v", F.col("doc_id").alias("least")), "set_key").select("doc_id", "v", "least")
+    first = keyed.groupBy("doc_id").agg(F.min(F.struct(F.col("v").alias("w"), "least")).alias("x")).select("doc_id", "x.*")
+    return written(keyed.select("doc_id", "v").join(first, "doc_id"), "id-classes")
+
+
+def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """One row a document: doc_id, n_shingles, component_id, kept."""
+    own = sketches(docs, words)
+    classes = classes_of(own)
+    ids = _repeated_ids(own, classes)
+    also = None if ids is None else ids.where("v != w").select(F.col("w").alias("a"), F.col("v").alias("b")).distinct()
+    found = linked_classes(docs, classes, also, words, percent)
+    in_groups = classes.select("v", "set_key", "doc_id").join(found, "v")
+    least = in_groups.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    by_class = in_groups.join(least, "component").select("set_key", "v", "component_id")
+    alone_ = classes.where("rows > 1").join(found, "v", "left_anti").select("set_key", "v", F.col("doc_id").alias("component_id"))
+    out = own.select("doc_id", "n_shingles", "set_key").join(by_class.unionByName(alone_).drop("v"), "set_key", "left")
+    component = F.coalesce("component_id", "doc_id")
+    if ids is not None:  # rows without a set belong to the other texts of their id
+        home = ids.select("doc_id", "w", "least").distinct().join(by_class.select(F.col("v").alias("w"), F.col("component_id").alias("of")), "w", "left")
+        home = home.select("doc_id", F.coalesce("of", "least").alias("home"))
+        out = out.where("set_key IS NOT NULL").withColumn("home", F.lit(None).cast("long")).unionByName(out.where("set_key IS NULL").join(home, "doc_id", "left"))
+        component = F.coalesce("component_id", "home", "doc_id")
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def deduplicated(docs: DataFrame, words: int = 5, percent: int = PERCENT) -> DataFrame:
-    """One document of each group: the one with the smallest id (of repeated rows, one). Columns as given."""
-    verdict = linked(docs, words, percent).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(verdict, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
-    nulls = kept.where("doc_id IS NULL")
-    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(nulls).select(*docs.columns)
+    """One document of each group of near copies: the one with the smallest id, of equal ids that with the smallest key of its text. Columns as given."""
+    own = sketches(docs, words)
+    classes = classes_of(own)
+    found = linked_classes(docs, classes, None, words, percent)
+    groups = classes.join(found, "v").groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("x")).select("x.*")
+    single = classes.join(found, "v", "left_anti").select("doc_id", "text_key")
+    free = own.where("set_key IS NULL OR doc_id IS NULL").select("doc_id", "text_key").distinct()
+    id_, key, one = (_unused(docs, name) for name in ("kept_id", "kept_key", "kept_one"))
+    verdict = groups.unionByName(single).withColumn(one, F.lit(True)).unionByName(free.withColumn(one, F.lit(False)))
+    verdict = verdict.withColumnsRenamed({"doc_id": id_, "text_key": key})
+    rows = docs.join(verdict, F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(key)))
+    kept = rows.where(one).dropDuplicates([id_, key])
+    return kept.unionByName(rows.where(~F.col(one))).select(*docs.columns)
+
+
+def _unused(docs: DataFrame, name: str) -> str:
+    while name in docs.columns:
+        name = f"_{name}"
+    return name
 
 
 def op4_query(spark: SparkSession, sf_dir: str) -> DataFrame:

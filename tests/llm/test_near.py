@@ -42,15 +42,74 @@ def test_ids_by_join_when_they_are_many(spark, monkeypatch):
     check(spark, hard_texts())
 
 
+def test_components_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "SMALL_EDGES", 0)
+    test_chains_around_the_threshold(spark)
+
+
+def brute_by_id(rows):
+    """Ids as vertices: two are linked if any of their texts are; (component per id, size per row)"""
+    near = brute_near(list(enumerate(t for _, t in rows)))
+    parent = {i: i for i, _ in rows}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, (i, _) in enumerate(rows):
+        for b, (j, _) in enumerate(rows):
+            if near[a][1] == near[b][1]:
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    return sorted((i, near[k][0], find(i)) for k, (i, _) in enumerate(rows))
+
+
 def test_repeated_and_null_ids(spark):
-    t = "a b c d e f g h"
-    docs = table(spark, [t, t, "other words stand in this text", t], ids=[5, 5, 5, None])
+    t, other = "a b c d e f g h", "other words stand in this text"
+    docs = table(spark, [t, t, other, t], ids=[5, 5, 5, None])
     rows = near_dedup.linked(docs).collect()
     assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in rows if r["doc_id"] is not None) == [(5, 5, True)] * 3
     null = [r for r in rows if r["doc_id"] is None]
     assert len(null) == 1 and null[0]["kept"]
     out = near_dedup.deduplicated(docs)
-    assert out.schema == docs.schema and sorted(r["doc_id"] or 0 for r in out.collect()) == [0, 5]
+    assert out.schema == docs.schema and sorted((r["doc_id"] or 0, r["text"]) for r in out.collect()) == [(0, t), (5, t), (5, other)]
+
+
+def test_an_id_joins_its_texts(spark):
+    a, b, c = "a b c d e f g h", "i j k l m n o p", "q r s t u v w x"
+    for rows in (
+        [(1, a), (2, b), (3, a), (3, b)],
+        [(4, a), (2, b), (3, a), (3, b), (9, c), (9, None), (7, None), (8, c), (3, "")],
+        [(6, None), (6, c), (5, c), (6, a), (1, a), (2, None)],
+    ):
+        got = near_dedup.linked(table(spark, [t for _, t in rows], ids=[i for i, _ in rows])).collect()
+        assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_by_id(rows)
+        assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
+
+
+def test_no_clean_text_goes(spark):
+    a, b = "a b c d e f g h", "i j k l m n o p"
+    rows = [(7, a), (7, b), (8, a), (9, None), (9, None), (9, ""), (10, b), (10, b)]
+    docs = table(spark, [t for _, t in rows], ids=[i for i, _ in rows]).withColumnRenamed("lang", "kept_id").withColumnRenamed("source", "text_key")
+    out = near_dedup.deduplicated(docs)
+    assert out.schema == docs.schema
+    assert sorted((r["doc_id"], r["text"] or "") for r in out.collect()) == [(7, a), (7, b), (9, ""), (9, ""), (9, "")]
+
+
+def test_recall_at_the_threshold():
+    """Pairs at a similarity of exactly 0.8: all share a band, and none is put aside by the estimate."""
+    r = np.random.default_rng(8)
+    for both, own, pairs in ((8, 1, 6000), (40, 5, 3000), (400, 50, 1200)):
+        agree = []
+        for _ in range(pairs):
+            pool = r.integers(0, 1 << 63, both + 2 * own).astype(np.uint64)
+            x, y = near_dedup.sketch(pool[: both + own]), near_dedup.sketch(np.r_[pool[:both], pool[both + own :]])
+            same = x == y
+            agree.append(same.sum())
+            assert same.reshape(near_dedup.BANDS, near_dedup.ROWS).all(axis=1).any()
+            assert near_dedup._likely(x, both + own, y[None], np.array([both + own]), 80)[0] > 0
+        assert abs(np.mean(agree) - 80) < 1 and abs(np.std(agree) - 4) < 0.6
 
 
 def test_empty(spark):
