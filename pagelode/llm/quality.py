@@ -4,14 +4,14 @@
    key of (host, line) and the words that its occurrences hold.
 2. Documents are counted per key (a document gives a key once; partial aggregation), and keys in more than
    `max_docs` documents are frequent.
-3. A frequent line is removed as boilerplate if more than `max_docs` distinct texts hold it: documents with the same set of lines
-   count once, and so do near copies among the documents that are mostly (more than `most_frequent` of their words)
-   frequent lines. The lines of a group of copies are frequent too, but don't reject the group: it is left to the
-   duplicate operators. Pages that share most of their lines without being near copies are stripped and rejected.
+3. A frequent line is boilerplate and is removed. With `copies_once`, it is if more than `max_docs` distinct texts hold it:
+   documents with the same set of lines count once, and so do near copies among the documents that are mostly (more than
+   `most_frequent` of their words) frequent lines. A group of copies then doesn't reject itself: it is left to
+   the duplicate operators, as in the pipeline. The query op8_quality_rules counts every document.
 4. A document that keeps less than `least_left` of its words is depleted and rejected.
 
-The join of keys with frequent keys is salted on both sides, so that a line which a third of all documents hold
-is spread over many tasks.
+Frequent keys are written before documents meet them, so that Spark sends them out if they are few, and splits the documents of a
+line that a third of them hold (a skewed join of two plain tables) if they aren't.
 
 Defined results: null text counts as empty (no words, base_failed); a null source is a host of its own;
 rows that repeat a doc_id are documents of their own, each with its own verdict.
@@ -32,12 +32,11 @@ from .common import SPACES, alone, texts_as_bytes, written
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 MAX_DOCS, MOST_FREQUENT, LEAST_LEFT = 10, 0.5, 0.5
 COPY_WORDS, COPY_PERCENT = 5, 80  # near copies, as the pipeline's next stage links them
-SALTS = 32
 _NOT_WORD_CHARS = SPACES + bytes(range(0x80, 0xC0))  # white space, and the continuation bytes of UTF-8
 _SYMBOLS = b"#*$%&|<>"
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
-STATS_SCHEMA = "row_key long, content long, doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, line_keys array<long>, line_words array<int>"
+STATS_SCHEMA = "row_key long, content long, content2 long, doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, line_keys array<long>, line_words array<int>"
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -89,62 +88,65 @@ def _stats(batches):
         cols = list(zip(*rows)) or [[]] * 7
         types = [pa.int64()] * 5 + [pa.list_(pa.int64()), pa.list_(pa.int32())]
         yield pa.RecordBatch.from_arrays(
-            [batch["row_key"], batch["content"], batch["doc_id"], *(pa.array(c, t) for c, t in zip(cols, types))],
-            names=["row_key", "content", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "line_keys", "line_words"],
+            [batch["row_key"], batch["content"], batch["content2"], batch["doc_id"], *(pa.array(c, t) for c, t in zip(cols, types))],
+            names=["row_key", "content", "content2", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "line_keys", "line_words"],
         )
 
 
-def content_key():
-    """Names a row by what the verdict depends on; equal rows have equal verdicts."""
-    return F.xxhash64(F.col("doc_id"), F.col("source").cast("string"), F.col("text"))
+def content_keys(a: str, b: str) -> list:
+    """Two hashes, 128 bits together, of what the verdict on a row depends on; equal rows have equal verdicts."""
+    parts = [F.col("doc_id"), F.col("source").cast("string"), F.col("text")]
+    return [F.xxhash64(*parts).alias(a), F.xxhash64(F.lit(b), *reversed(parts)).alias(b)]
 
 
 def line_statistics(docs: DataFrame) -> DataFrame:
     """One row a document (STATS_SCHEMA), computed once and kept in the shared folder."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row_key"), content_key().alias("content"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string"), "text")
+    rows = docs.select(F.monotonically_increasing_id().alias("row_key"), *content_keys("content", "content2"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string"), "text")
     return written(rows.mapInArrow(alone(_stats), STATS_SCHEMA), "quality-stats")
 
 
 def _copies(docs: DataFrame, held: DataFrame) -> DataFrame:
     """(class, group): of documents that are mostly frequent lines, the classes that are near copies of another class."""
-    classes = written(held.where("not other").groupBy("class").agg(F.min("content").alias("content")), "quality-classes")
-    texts = docs.select(content_key().alias("doc_id"), "text").join(classes.select(F.col("content").alias("doc_id")), "doc_id", "left_semi")
-    texts = written(texts.dropDuplicates(["doc_id"]), "quality-texts")
-    links = near_dedup.linked(texts, words=COPY_WORDS, percent=COPY_PERCENT).select(F.col("doc_id").alias("content"), F.col("component_id").alias("group"))
+    classes = written(held.where("not other").groupBy("class").agg(F.min(F.struct("content", "content2")).alias("x")).select("class", "x.*"), "quality-classes")
+    numbered = classes.select("content", "content2", F.col("class").alias("_class"))
+    texts = docs.select(*content_keys("content", "content2"), "text").join(numbered, ["content", "content2"])
+    texts = written(texts.groupBy(F.col("_class").alias("doc_id")).agg(F.first("text").alias("text")), "quality-texts")
+    links = near_dedup.linked(texts, words=COPY_WORDS, percent=COPY_PERCENT).select(F.col("doc_id").alias("class"), F.col("component_id").alias("group"))
     several = links.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group")
-    return classes.join(links.join(several, "group"), "content").select("class", "group")
+    return links.join(several, "group").select("class", "group")
 
 
-def boilerplate(docs: DataFrame, stats: DataFrame, max_docs: int = MAX_DOCS, most_frequent: float = MOST_FREQUENT) -> DataFrame:
+def boilerplate(docs: DataFrame, stats: DataFrame, max_docs: int = MAX_DOCS, most_frequent: float = MOST_FREQUENT, copies_once: bool = True) -> DataFrame:
     """(row_key, hit_keys, hit_words): per document the keys and words of its boilerplate lines; rows without are absent."""
     lines = stats.select(
-        "row_key", "content", "n_words", F.xxhash64(F.array_sort("line_keys")).alias("class"), F.explode(F.arrays_zip("line_keys", "line_words")).alias("l")
-    ).select("row_key", "content", "n_words", "class", F.col("l.line_keys").alias("key"), F.col("l.line_words").alias("words"))
+        "row_key", "content", "content2", "n_words", F.xxhash64(F.array_sort("line_keys")).alias("class"), F.explode(F.arrays_zip("line_keys", "line_words")).alias("l")
+    ).select("row_key", "content", "content2", "n_words", "class", F.col("l.line_keys").alias("key"), F.col("l.line_words").alias("words"))
     frequent = (
         stats.select(F.explode("line_keys").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > max_docs).select("key")
     )
-    every_salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    salt = F.pmod("row_key", F.lit(SALTS)).cast("int")
-    found = lines.withColumn("salt", salt).join(frequent.select("key", every_salt), ["key", "salt"])
-    held = (
-        found.groupBy("row_key", "content", "n_words", "class")
-        .agg(F.collect_list(F.struct("key", "words")).alias("hits"), F.sum("words").alias("w"))
-        .withColumn("other", F.col("w") <= F.col("n_words") * F.lit(most_frequent))
-    )
-    held = written(held, "quality-held")
-    if held.where("not other").take(1):
-        groups = written(_copies(docs, held), "quality-copies").select("class", "group", every_salt)
-        held = held.withColumn("salt", salt).join(groups, ["class", "salt"], "left").withColumn("class", F.coalesce("group", "class"))
-    own = held.select("row_key", "class", F.explode("hits").alias("h")).select("row_key", "class", "h.key", "h.words")
-    boiler = own.groupBy("key").agg(F.countDistinct("class").alias("n")).where(F.col("n") > max_docs).select("key")
-    hits = own.withColumn("salt", salt).join(boiler.select("key", every_salt), ["key", "salt"])
-    return hits.groupBy("row_key").agg(F.collect_list("key").alias("hit_keys"), F.sum("words").alias("hit_words"))
-
-
-def judged(docs: DataFrame, max_docs: int = MAX_DOCS, most_frequent: float = MOST_FREQUENT, least_left: float = LEAST_LEFT) -> DataFrame:
+    found = lines.join(written(frequent, "frequent-lines"), "key")
+    if copies_once:
+        held = (
+            found.groupBy("row_key", "content", "content2", "n_words", "class")
+            .agg(F.collect_list(F.struct("key", "words")).alias("hits"), F.sum("words").alias("w"))
+            .withColumn("other", F.col("w") <= F.col("n_words") * F.lit(most_frequent))
+        )
+        held = written(held, "quality-held")
+        if held.where("not other").take(1):
+            groups = written(_copies(docs, held), "quality-copies")
+            held = held.join(groups, "class", "left").withColumn("class", F.coalesce("group", "class"))
+        own = held.select("row_key", "class", F.explode("hits").alias("h")).select("row_key", "class", "h.key", "h.words")
+        boiler = own.groupBy("key").agg(F.countDistinct("class").alias("n")).where(F.col("n") > max_docs).select("key")
+        found = own.join(written(boiler, "boilerplate"), "key")
+    return found.groupBy("row_key").agg(F.collect_list("key").alias("hit_keys"), F.sum("words").alias("hit_words"))
+
+
+def judged(
+    docs: DataFrame, max_docs: int = MAX_DOCS, most_frequent: float = MOST_FREQUENT, least_left: float = LEAST_LEFT, copies_once: bool = True
+) -> DataFrame:
     """One row a document: statistics, base_failed, hit_keys, n_left (words left), kept."""
     stats = line_statistics(docs)
-    hits = boilerplate(docs, stats, max_docs, most_frequent)
+    hits = boilerplate(docs, stats, max_docs, most_frequent, copies_once)
     return (
         stats.drop("line_keys", "line_words")
         .join(hits, "row_key", "left")
@@ -166,12 +168,13 @@ def _without(batches):
         yield pa.RecordBatch.from_arrays([pa.array(texts, batch["text"].type) if n == "text" else batch[n] for n in names], names=names)
 
 
-def filtered(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
+def filtered(docs: DataFrame, max_docs: int = MAX_DOCS, copies_once: bool = True) -> DataFrame:
     """The documents kept, without their boilerplate lines; columns as given (texts only change, n_chars with them)."""
-    verdict = judged(docs, max_docs).where("kept").select(F.col("content").alias("_content"), "hit_keys").dropDuplicates(["_content"])
-    clash = {c: f"_own_{c}" for c in docs.columns if c in ("_content", "hit_keys")}
+    keys = ["_content", "_content2"]
+    verdict = judged(docs, max_docs, copies_once=copies_once).where("kept").select(F.col("content").alias(keys[0]), F.col("content2").alias(keys[1]), "hit_keys").dropDuplicates(keys)
+    clash = {c: f"_own_{c}" for c in docs.columns if c in (*keys, "hit_keys")}
     rows = docs.withColumnsRenamed(clash)
-    kept = rows.withColumn("_content", content_key()).join(verdict, "_content").drop("_content")
+    kept = rows.select("*", *(x.alias(k) for x, k in zip(content_keys("content", "content2"), keys))).join(verdict, keys).drop(*keys)
     out = kept.mapInArrow(alone(_without), rows.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
@@ -180,4 +183,4 @@ def filtered(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
 
 def op8_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    return judged(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_left")
+    return judged(docs, copies_once=False).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_left")

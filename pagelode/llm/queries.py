@@ -120,14 +120,8 @@ lines AS (
 dl AS (SELECT rk, count(*) - count(DISTINCT l) AS n FROM lines GROUP BY rk),
 keyed AS (SELECT rk, source, array_to_string(lw, ' ') AS k, sum(len(lw)) AS words FROM lines GROUP BY ALL),
 frequent AS (SELECT source, k FROM keyed GROUP BY source, k HAVING count(*) > 10),
-held AS (
-  SELECT keyed.* FROM keyed JOIN frequent f ON keyed.k = f.k AND keyed.source IS NOT DISTINCT FROM f.source),
-mostly AS (
-  SELECT h.rk, sum(h.words) <= 0.5 * any_value(len(d.w)) AS other FROM held h JOIN d ON d.rk = h.rk GROUP BY h.rk),
-boiler AS (
-  SELECT source, k FROM held JOIN mostly USING (rk) WHERE other GROUP BY source, k HAVING count(*) > 10),
 hit AS (
-  SELECT h.rk, sum(h.words) AS words FROM held h JOIN boiler b ON h.k = b.k AND h.source IS NOT DISTINCT FROM b.source GROUP BY h.rk),
+  SELECT h.rk, sum(h.words) AS words FROM keyed h JOIN frequent f ON h.k = f.k AND h.source IS NOT DISTINCT FROM f.source GROUP BY h.rk),
 base AS (
   SELECT d.doc_id, len(d.w) AS n_words,
          coalesce(list_sum(list_transform(d.w, lambda x: length(x))), 0) AS word_chars,

@@ -45,7 +45,15 @@ def brute_quality(rows):
     frequent = {k for k, v in docs.items() if len(v) > quality.MAX_DOCS}
     total = {i: sum(len(x.split()) for _, _, x in own) for i, own in lines.items()}
     share = {i: sum(len(x.split()) for s, k, x in own if (s, k) in frequent) for i, own in lines.items()}
-    boiler = {k for k in frequent if sum(2 * share[i] <= total[i] for i in docs[k]) > quality.MAX_DOCS}
+    # a line counts once for documents with the same lines, and for near copies among those that are mostly frequent lines
+    mostly = {i for i in lines if share[i] and 2 * share[i] > total[i]}
+    kinds = {i: frozenset((s, k) for s, k, _ in lines[i]) for i in lines}
+    first = {}
+    for i in sorted(lines):
+        first.setdefault(kinds[i], i)
+    near = brute_near([(first[kinds[i]], next(t for j, t, *_ in rows if j == first[kinds[i]])) for i in sorted(mostly)], quality.COPY_WORDS, quality.COPY_PERCENT)
+    group = {i: near[first[kinds[i]]][1] if i in mostly else first[kinds[i]] for i in lines}
+    boiler = {k for k in frequent if len({group[i] for i in docs[k]}) > quality.MAX_DOCS}
     out = {}
     for i, t, _, s, _ in rows:
         w = (t or "").split()

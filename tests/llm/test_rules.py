@@ -111,6 +111,16 @@ def test_mostly_boilerplate_pages_are_rejected(spark):
     assert sorted(r["doc_id"] for r in quality.filtered(docs).collect()) == list(range(90, 120))
 
 
+def test_a_host_of_the_same_lines_is_rejected(spark):
+    line = lambda name, n: " ".join(f"{name}w{k}" for k in range(n))
+    shared = "\n".join(line(f"s{j}", 12) for j in range(8))
+    texts = [shared + (f"\npage id {i}" if i % 2 else "") for i in range(400)] + ["\n".join(line(f"clean{i}l{j}", 12) for j in range(8)) for i in range(5)]
+    rows = {r["doc_id"]: r for r in quality.judged(table(spark, texts), copies_once=False).collect()}
+    assert not any(rows[i]["kept"] or rows[i]["base_failed"] for i in range(400)) and all(rows[i]["kept"] for i in range(400, 405))
+    assert [rows[i]["n_left"] for i in (0, 1)] == [0, 3]
+    assert quality.filtered(table(spark, texts), copies_once=False).count() == 5
+
+
 def test_quality_hard_rows(spark):
     docs = table(spark, [*hard_texts(), None, None], sources=[None, "a"] * ((len(hard_texts()) + 2) // 2) + ["b"] * (len(hard_texts()) % 2))
     assert quality.judged(docs).count() == docs.count() and quality.judged(table(spark, [])).count() == 0
