@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import BASE, _INVERSE, _Powers, _powers, alone, mixed, prefix_hashes, span_hashes, texts_as_bytes, word_spans
 from .repeats import (
-    ANSWER, BLOB_SCHEMA, FILES, FIRST_BLOCK, SENT, Blocks, answers_of, blob_batch, by_target, get, marked, meet, met, named, own_files, pack, put, ranges_by_row,
+    ANSWER, BLOB_SCHEMA, FILES, FIRST_BLOCK, SENT, Blocks, answers_of, blob_batch, by_target, dealt, get, marked, meet, met, named, own_files, pack, put, ranges_by_row,
     rows_of, runs, steps, sub_blocks, unpack,
 )
 
@@ -311,9 +311,7 @@ def _send_stretches(window: int, rounds: int, buckets: int, folder: str):
             texts = [k[3] for k in found]
             heads["anchor"], heads["left"], heads["windows"] = (np.array([k[j] for k in found], t) for j, t in enumerate(("<u8", "u1", "u1")))
             heads["at"], heads["size"], heads["twice"] = np.arange(len(found)), [len(x) for x in texts], often
-            bucket = (heads["anchor"] % np.uint64(buckets)).astype(np.int64)
-            by = np.argsort(bucket, kind="stable")
-            ends = np.cumsum(np.bincount(bucket, minlength=buckets))
+            by, ends = dealt(heads["anchor"], buckets)
             out = []
             for b, (s, e) in enumerate(zip(np.r_[0, ends[:-1]].tolist(), ends.tolist())):
                 if e > s:

@@ -20,6 +20,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,8 +66,8 @@ def by_target(batches):
 
 
 def gathered(rows: DataFrame, tasks: int) -> DataFrame:
-    """Rows of BLOB_SCHEMA, those of a target together."""
-    return rows.repartition(tasks, "target").sortWithinPartitions("target", "kind")
+    """Rows of BLOB_SCHEMA, those of a target together. Buckets and blocks are dealt to the tasks in turn: a hash would give some several and others none."""
+    return rows.repartitionById(tasks, F.pmod("target", F.lit(tasks)).cast("int")).sortWithinPartitions("target", "kind")
 
 
 # -- block files -------------------------------------------------------------------------------------------------
@@ -88,21 +89,32 @@ def get(uri: str) -> bytes:
         return source.read()
 
 
+def ipc_bytes(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def buckets_for(spark, total: int) -> int:
+    """Buckets, and tasks, for texts of so many bytes."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_TEXT))
+
+
 def stored(folder: str, most: int = BLOCK_TEXT):
     """Writes the block files of Arrow batches below a folder; rows (number, bytes of text, place of the file)."""
 
     def run(batches):
+        number = FIRST_BLOCK + (TaskContext.get().partitionId() << 32 if TaskContext.get() else 0)
         for batch in batches:
             _, offs = text_buffers(batch["text"])
             rows = []
             for i, j in blocks(offs, most):
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                    out.write_batch(batch.slice(i, j - i))
-                rows.append((FIRST_BLOCK + (uuid.uuid4().int >> 67), int(offs[j] - offs[i]), put(folder, sink.getvalue().to_pybytes()).encode()))
+                number += 1
+                rows.append((number, int(offs[j] - offs[i]), put(folder, ipc_bytes(batch.slice(i, j - i))).encode()))
             if rows:
-                number, size, blob = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(number, pa.int64()), pa.array(size, pa.int64()), pa.array(blob, pa.binary())], names=["target", "size", "blob"])
+                numbers, size, blob = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(size, pa.int64()), pa.array(blob, pa.binary())], names=["target", "size", "blob"])
 
     return run
 
@@ -115,7 +127,7 @@ class Blocks:
         self.folder = work_path(spark, "text-blocks")
         found = written(docs.mapInArrow(alone(stored(self.folder)), "target long, size long, blob binary"), "blocks")
         total = found.agg(F.sum("size")).first()[0] or 0
-        self.buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_TEXT))
+        self.buckets = buckets_for(spark, total)
         self.rows = found.select("target", F.lit(FILES).alias("kind"), "blob")
 
     def gathered(self, rows: DataFrame) -> DataFrame:
@@ -143,14 +155,19 @@ def sub_blocks(batch: pa.RecordBatch):
 # -- rounds ------------------------------------------------------------------------------------------------------
 
 
+def dealt(names: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order of names by bucket, where each bucket ends)"""
+    bucket = (names % np.uint64(buckets)).astype(np.int64)
+    return np.argsort(bucket, kind="stable"), np.cumsum(np.bincount(bucket, minlength=buckets))
+
+
 def _dealt(names: np.ndarray, buckets: int):
     """(distinct names in order of buckets, how often each is there, where each bucket ends, place of each given name)"""
     distinct, inverse, counts = np.unique(names, return_inverse=True, return_counts=True)
-    bucket = (distinct % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
+    order, ends = dealt(distinct, buckets)
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
-    return distinct[order], counts[order], np.cumsum(np.bincount(bucket, minlength=buckets)), place[inverse]
+    return distinct[order], counts[order], ends, place[inverse]
 
 
 def named(block: int, names: np.ndarray, buckets: int) -> list[tuple[int, int, bytes]]:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import _Powers, alone, prefix_hashes, texts_as_bytes
 from .repeats import (
-    ANSWER, BLOB_SCHEMA, FILES, FIRST_BLOCK, SENT, Blocks, answers_of, blob_batch, by_target, get, marked, meet, met, named, own_files, pack, put, ranges_by_row,
+    ANSWER, BLOB_SCHEMA, FILES, FIRST_BLOCK, SENT, Blocks, answers_of, blob_batch, by_target, dealt, get, marked, meet, met, named, own_files, pack, put, ranges_by_row,
     rows_of, runs, steps, sub_blocks, unpack,
 )
 
@@ -142,9 +142,7 @@ def _send_stretches(length: int, k: int, buckets: int, folder: str):
             np.minimum.at(least, group, heads["doc"])
             sent = heads[head]
             sent["doc"], sent["at"] = least, np.arange(len(head))
-            bucket = (sent["anchor"] % np.uint64(buckets)).astype(np.int64)
-            by = np.argsort(bucket, kind="stable")
-            ends = np.cumsum(np.bincount(bucket, minlength=buckets))
+            by, ends = dealt(sent["anchor"], buckets)
             sizes = sent["windows"].astype(np.int64) + length - 1
             out = []
             for b, (s, e) in enumerate(zip(np.r_[0, ends[:-1]].tolist(), ends.tolist())):
