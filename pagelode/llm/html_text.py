@@ -5,12 +5,18 @@
    or id, are left out: a class or id counts if it names the element (`sidebar`, `cookie-notice`, `ad-box`; not `has-sidebar`,
    `sidebar-wrap` or `related-work`), and never hides a wrapper of the article or main part. If the page marks its article
    (or main part), only blocks inside count.
-2. The token streams of a host's pages are concatenated, equal streams once, and their suffixes are sorted by their first
-   `RUN` tokens (prefix doubling). A run found on enough distinct pages of the host is boilerplate; a block that such
-   runs cover almost wholly is removed, what is unique is kept. A page of which runs cover most is a copy of other
-   pages rather than boilerplate, and is kept whole.
-   Hosts with more than `CHUNK_PAGES` pages are cut into equal chunks by a hash of the page, so that no task
-   holds a whole large host: boilerplate of the host is boilerplate of each chunk.
+2. The token streams of a host's pages are concatenated, equal streams once, and their suffixes are sorted (prefix doubling);
+   the common length of neighbours comes from the ranks of the doubling. Suffixes that share `RUN` tokens or more stand
+   together, so a substring of RUN tokens or more, and the distinct pages that hold it, is a stretch of the suffix array.
+3. Tokens covered by substrings on enough distinct pages of the host are boilerplate and go; unique runs stay. Enough (`bar`)
+   is a fifth of the pages, `PLAIN_MIN` at least and `PLAIN_MOST` at most, where a page marks no article or main part; in a marked
+   article, whose text is its own unless nearly all articles say so, it is half of the pages, `MARKED_MIN` at least. A
+   marked page of which they cover most, or a plain page that they cover whole, is a copy of other pages rather than
+   boilerplate, and is kept whole.
+4. Hosts of more than `HOST_PAGES` pages or `HOST_BYTES` bytes aren't brought to one task. Their pages stay in block files as they
+   are read (see repeats); each block sorts the suffixes of its streams, sends the names of their beginnings of RUN
+   tokens with the number of distinct pages to buckets, and gets the number on the whole host back. Equal streams of
+   different blocks count once: which one counts is settled before. The result is the same for any cut into blocks.
 
 Defined results: null html gives an empty text; a null URL is a host of its own; tags that never close end with the page,
 but an excluded element that never closes hides only the rest of its own block; repeated rows are kept.
@@ -18,19 +24,28 @@ but an excluded element that never closes hides only the rest of its own block;
 
 from __future__ import annotations
 
+import hashlib
 import html as html_lib
 import re
 from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import alone, prefix_hashes, span_hashes, text_buffers, word_spans, written
+from .common import BASE, alone, mixed, prefix_hashes, span_hashes, text_buffers, word_spans, work_path, written
+from .common import blocks as cut_blocks
+from .repeats import (
+    ANSWER, BLOB_SCHEMA, BLOCK_TEXT, FILES, FIRST_BLOCK, SENT, answers_of, blob_batch, buckets_for, by_target, dealt, gathered, ipc_bytes, own_files, pack, put,
+    rows_of, unpack,
+)
 
-RUN, CHUNK_PAGES, BROADCAST_HOSTS = 8, 500, 200_000
-MIN_PAGES, PLAIN_SHARE, ARTICLE_SHARE, COVERED, COPY = 5, 0.2, 0.5, 0.8, 0.5
+RUN = 8
+#: Pages and bytes of html that a task may get of one host, bytes of html for each task, and most rows of a table of hosts that is sent out.
+HOST_PAGES, HOST_BYTES, TASK_BYTES, BROADCAST_HOSTS = 500, 32 << 20, 32 << 20, 200_000
+PLAIN_SHARE, PLAIN_MIN, PLAIN_MOST, MARKED_SHARE, MARKED_MIN, COPY = 0.2, 3, 10, 0.5, 5, 0.5
 
 _TAG = re.compile(
     r"""<!--(?:.*?--!?>|.*\Z)|<!\[CDATA\[.*?\]\]>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?][^>]*+>""",
@@ -255,7 +270,99 @@ def main_blocks(page: str) -> tuple[int, list[str]]:
     return best, [t for z, t in blocks if z == best]
 
 
-BLOCKS_SCHEMA = "page_id long, url string, host string, chunk int, zone int, blocks array<string>"
+def bar(zone: np.ndarray, pages: np.ndarray) -> np.ndarray:
+    """On how many distinct pages a substring is boilerplate, by the page's zone and the number of distinct pages of its host."""
+    plain = np.clip(np.ceil(PLAIN_SHARE * pages), PLAIN_MIN, PLAIN_MOST)
+    return np.where(zone > 0, np.maximum(np.ceil(MARKED_SHARE * pages), MARKED_MIN), plain)
+
+
+def suffix_array(tokens: np.ndarray, page: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the suffixes in order, tokens that each shares with the one before it); a suffix ends with its page."""
+    n = len(tokens)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    ends = np.searchsorted(page, page, side="right")
+    rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64)
+    ranks, step = [rank], 1
+    while step < int((ends - np.arange(n)).max()) and rank.max() < n - 1:
+        nxt = np.zeros(n, np.int64)
+        nxt[:-step] = np.where(page[step:] == page[:-step], rank[step:] + 1, 0)
+        rank = np.unique(rank * (n + 1) + nxt, return_inverse=True)[1].astype(np.int64)
+        ranks.append(rank)
+        step *= 2
+    order = np.argsort(rank, kind="stable")
+    a, b, common = order[1:].copy(), order[:-1].copy(), np.zeros(n - 1, np.int64)
+    end_a, end_b = ends[a], ends[b]
+    for k in range(len(ranks) - 1, -1, -1):
+        here = np.flatnonzero((a < end_a) & (b < end_b))
+        same = here[ranks[k][a[here]] == ranks[k][b[here]]]
+        size = np.minimum(1 << k, end_a[same] - a[same])  # where a page ends within, both end
+        common[same] += size
+        a[same] += size
+        b[same] += size
+    return order, np.r_[0, common]
+
+
+class Streams:
+    """The token streams of pages (zone, blocks), one after another, and their repeated beginnings."""
+
+    def __init__(self, pages: list[tuple[int, list[str]]]):
+        blocks = [b for _, own in pages for b in own]
+        raw, offsets = text_buffers(pa.array(blocks, pa.string()))
+        starts, ends, self.block = word_spans(raw, offsets)
+        self.tokens = span_hashes(prefix_hashes(raw), starts, ends)
+        self.page = np.repeat(np.arange(len(pages)), [len(own) for _, own in pages])[self.block] if blocks else np.zeros(0, np.int64)
+        self.zone = np.array([z for z, _ in pages], np.int64)
+        self.pages, self.raw, self.spans = pages, raw, (starts, ends)
+
+    def beginnings(self) -> tuple[np.ndarray, np.ndarray]:
+        """(places whose suffix has RUN tokens or more, number of the stretch of the suffix array that shares them)"""
+        order, common = suffix_array(self.tokens, self.page)
+        left = np.searchsorted(self.page, self.page, side="right") - np.arange(len(self.page))
+        number = np.cumsum(common < RUN)
+        keep = left[order] >= RUN
+        return order[keep], number[keep]
+
+    def texts(self, often: np.ndarray) -> list[str]:
+        """What is left of each page without the tokens covered by beginnings at the places given."""
+        n = len(self.page)
+        change = np.zeros(n + RUN + 1, np.int64)
+        np.add.at(change, often, 1)
+        np.add.at(change, often + RUN, -1)
+        hit = np.cumsum(change)[:n] > 0
+        words, hits = np.bincount(self.page, minlength=len(self.pages)), np.bincount(self.page, hit, minlength=len(self.pages))
+        copy = np.where(self.zone > 0, hits > COPY * words, hits >= words)
+        hit &= ~copy[self.page]
+        out = [b for _, own in self.pages for b in own]
+        touched = np.unique(self.block[hit])
+        bounds = np.searchsorted(self.block, np.r_[touched, touched + 1]).reshape(2, -1)
+        data = self.raw.tobytes()
+        for k, s, e in zip(touched.tolist(), *bounds.tolist()):
+            out[k] = b" ".join(data[a:b] for a, b, gone in zip(self.spans[0][s:e].tolist(), self.spans[1][s:e].tolist(), hit[s:e].tolist()) if not gone).decode()
+        texts, at = [], 0
+        for _, own in self.pages:
+            texts.append("\n".join(b for b in out[at : at + len(own)] if b))
+            at += len(own)
+        return texts
+
+
+def host_texts(pages: list[tuple[int, list[str]]]) -> list[str]:
+    """Texts of one host's (zone, blocks) pages without its boilerplate."""
+    distinct: dict[tuple[str, ...], int] = {}
+    which = [distinct.setdefault(tuple(blocks), len(distinct)) for _, blocks in pages]
+    first = {k: i for i, k in reversed(list(enumerate(which)))}
+    streams = Streams([pages[first[k]] for k in range(len(distinct))])
+    at, number = streams.beginnings()
+    on = np.unique(number * len(distinct) + streams.page[at])
+    pages_with = np.bincount(on // max(1, len(distinct)), minlength=int(number.max()) + 1 if len(number) else 0)
+    least = bar(streams.zone, np.int64(len(distinct)))
+    often = at[pages_with[number] >= least[streams.page[at]]]
+    texts = streams.texts(often)
+    return [texts[k] for k in which]
+
+
+PAGE_SCHEMA = "page_id long, url string, host string, zone int, blocks array<string>"
+TEXT_SCHEMA = "page_id long, url string, text string, n_chars long"
 
 
 def _extract(batches):
@@ -266,89 +373,177 @@ def _extract(batches):
             zones.append(zone)
             blocks.append(own)
         yield pa.RecordBatch.from_arrays(
-            [*(batch[n] for n in ("page_id", "url", "host", "chunk")), pa.array(zones, pa.int32()), pa.array(blocks, pa.list_(pa.string()))],
-            names=["page_id", "url", "host", "chunk", "zone", "blocks"],
+            [*(batch[n] for n in ("page_id", "url", "host")), pa.array(zones, pa.int32()), pa.array(blocks, pa.list_(pa.string()))],
+            names=["page_id", "url", "host", "zone", "blocks"],
         )
 
 
-def repeated_blocks(pages: list[tuple[int, list[str]]]) -> list[set[int]]:
-    """Of one host's (zone, blocks) pages, the numbers of the blocks of each page that are boilerplate."""
-    gone: list[set[int]] = [set() for _ in pages]
-    distinct: dict[tuple[str, ...], list[int]] = {}
-    for i, (_, blocks) in enumerate(pages):
-        distinct.setdefault(tuple(blocks), []).append(i)
-    streams = list(distinct)
-    if len(streams) < MIN_PAGES:
-        return gone
-    raw, offsets = text_buffers(pa.array([b for s in streams for b in s], pa.string()))
-    starts, ends, block = word_spans(raw, offsets)
-    if len(starts) < RUN:
-        return gone
-    page_of = np.repeat(np.arange(len(streams)), [len(s) for s in streams])
-    page = page_of[block]
-    rank = np.unique(span_hashes(prefix_hashes(raw), starts, ends), return_inverse=True)[1].astype(np.int64)
-    reach = 1
-    while reach < RUN:  # ranks of suffixes by ever longer beginnings
-        step = min(reach, RUN - reach)
-        nxt = np.full(len(rank), -1, np.int64)
-        nxt[:-step] = np.where(page[step:] == page[:-step], rank[step:], -1)  # a page ends
-        rank = np.unique((rank << 32) + nxt + 1, return_inverse=True)[1].astype(np.int64)
-        reach += step
-    whole = np.zeros(len(rank), bool)
-    whole[: len(rank) - RUN + 1] = page[RUN - 1 :] == page[: len(rank) - RUN + 1]
-    pairs = np.unique((rank[whole] << 32) + page[whole])
-    pages_with = np.bincount(pairs >> 32, minlength=int(rank.max()) + 1)
-    zone = np.array([pages[distinct[s][0]][0] for s in streams])
-    share = np.where(zone > 0, ARTICLE_SHARE, PLAIN_SHARE)[page] * len(streams)
-    often = whole & (pages_with[rank] >= np.maximum(share, MIN_PAGES))
-    covered = np.zeros(len(rank) + RUN, np.int64)
-    np.add.at(covered, np.flatnonzero(often), 1)
-    np.add.at(covered, np.flatnonzero(often) + RUN, -1)
-    hit = np.cumsum(covered)[: len(rank)] > 0
-    words, hits = np.bincount(block, minlength=len(page_of)), np.bincount(block, hit, minlength=len(page_of))
-    page_words, page_hits = np.bincount(page_of, words), np.bincount(page_of, hits)
-    base = np.searchsorted(page_of, np.arange(len(streams)))
-    for b in np.flatnonzero((words > 0) & (hits >= COVERED * words)):
-        p = page_of[b]
-        if page_hits[p] <= COPY * page_words[p] or zone[p] == 0 and page_hits[p] < page_words[p]:
-            for i in distinct[streams[p]]:
-                gone[i].add(int(b - base[p]))
-    return gone
+def _texts(ids, urls, texts: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())],
+        names=["page_id", "url", "text", "n_chars"],
+    )
 
 
 def _clean(batches):
+    """Whole hosts, one after another."""
+
     def texts(rows):
-        gone = repeated_blocks([(r[4], r[5]) for r in rows])
-        out = ["\n".join(b for k, b in enumerate(r[5]) if k not in g) for r, g in zip(rows, gone)]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array(out, pa.string()), pa.array(list(map(len, out)), pa.int64())],
-            names=["page_id", "url", "text", "n_chars"],
-        )
+        return _texts([r[0] for r in rows], [r[1] for r in rows], host_texts([(r[3], r[4]) for r in rows]))
 
-    key, held = None, []
+    host, held = None, []
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if held and row[2:4] != key:
+            if held and row[2] != host:
                 yield texts(held)
                 held = []
-            key = row[2:4]
+            host = row[2]
             held.append(row)
     if held:
         yield texts(held)
 
 
-def main_text(pages: DataFrame, chunk_pages: int = CHUNK_PAGES) -> DataFrame:
+# -- large hosts -------------------------------------------------------------------------------------------------
+
+STORED_SCHEMA = "target long, path string, at int, host string, stream binary"
+
+
+def _store(folder: str, block_text: int):
+    """Writes extracted pages in block files; one row a page, with a hash of its stream."""
+
+    def run(batches):
+        number = FIRST_BLOCK + (TaskContext.get().partitionId() << 32 if TaskContext.get() else 0)
+        for batch in _extract(batches):
+            offsets = np.r_[0, np.cumsum([sum(map(len, own)) + 1 for own in batch["blocks"].to_pylist()])]
+            for i, j in cut_blocks(offsets, block_text):
+                number += 1
+                own = batch.slice(i, j - i)
+                streams = [hashlib.blake2b("\n".join(b).encode(), digest_size=16).digest() for b in own["blocks"].to_pylist()]
+                path, n = put(folder, ipc_bytes(own)), j - i
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([number] * n, pa.int64()), pa.array([path] * n, pa.string()), pa.array(range(n), pa.int32()), own["host"], pa.array(streams, pa.binary())],
+                    names=["target", "path", "at", "host", "stream"],
+                )
+
+    return run
+
+
+def _pack_counts(batches):
+    """One row a block: its file, and for each of its pages whether it counts, and the distinct pages of its host."""
+    for batch in batches:
+        rows = []
+        for target, path, pages in zip(*(batch[n].to_pylist() for n in ("target", "path", "pages"))):
+            counts = np.array([p["counts"] for p in pages], "u1"), np.array([p["n"] for p in pages], "<i8")
+            rows.append((target, FILES, path.encode() + b"\n" + b"".join(x.tobytes() for x in counts)))
+        yield blob_batch(rows)
+
+
+def _block_streams(files: bytes):
+    """(rows, streams, which pages count, distinct pages of each page's host, places, per place a number of (host, beginning), the names of these)"""
+    path, _, data = files.partition(b"\n")
+    batch = rows_of(path)
+    n = len(batch)
+    counts, pages = np.frombuffer(data, "u1", n).astype(bool), np.frombuffer(data, "<i8", n, n)
+    streams = Streams(list(zip(batch["zone"].to_pylist(), batch["blocks"].to_pylist())))
+    at, number = streams.beginnings()
+    hosts, host = np.unique(np.array(batch["host"].to_pylist(), object), return_inverse=True)
+    pair, which = np.unique(number * len(hosts) + host[streams.page[at]], return_inverse=True)
+    some = np.zeros(len(pair), np.int64)
+    some[which] = at  # any place of each
+    key = np.array([int.from_bytes(hashlib.blake2b(str(h).encode(), digest_size=8).digest(), "little") for h in hosts], np.uint64)
+    value = np.zeros(len(pair), np.uint64)
+    for k in range(RUN):
+        value = (value + streams.tokens[some + k]) * BASE
+    return batch, streams, counts, pages, at, which, mixed(value + key[pair % len(hosts)])
+
+
+def _send_counts(buckets: int):
+    def run(batches):
+        for block, held in by_target(batches):
+            files = own_files(held)
+            _, streams, counts, _, at, which, names = _block_streams(files)
+            on = counts[streams.page[at]]
+            held_by = np.unique(which[on] * len(counts) + streams.page[at[on]]) // max(1, len(counts))
+            pages_with = np.bincount(held_by, minlength=len(names))
+            order, ends = dealt(names, buckets)
+            packed = (names[order] // np.uint64(buckets)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+            out = []
+            for b, (s, e) in enumerate(zip(np.r_[0, ends[:-1]].tolist(), ends.tolist())):
+                if e > s:
+                    out.append((b, SENT, pack(np.array([block, e - s], "<i8"), packed[s:e], pages_with[order[s:e]].astype("<u4"))))
+            yield blob_batch([*out, (block, FILES, files)])
+
+    return run
+
+
+def _sum_counts(batches):
+    """Buckets: on how many distinct pages of its host a beginning is, to each block. What is addressed to a block passes on."""
+    for target, held in by_target(batches):
+        if target >= FIRST_BLOCK:
+            yield blob_batch([(target, kind, x) for kind, x in held])
+            continue
+        parts = [unpack(x) for _, x in held]
+        heads = [np.frombuffer(x, "<i8", 2).tolist() for x in parts]
+        values = np.zeros((sum(n for _, n in heads), 8), np.uint8)
+        values[:, :5] = np.concatenate([np.frombuffer(x, np.uint8, 5 * n, 16) for x, (_, n) in zip(parts, heads)]).reshape(-1, 5)
+        counts = np.concatenate([np.frombuffer(x, "<u4", n, 16 + 5 * n) for x, (_, n) in zip(parts, heads)])
+        which = np.unique(values.view("<u8").ravel(), return_inverse=True)[1]
+        total = np.bincount(which, counts).astype("<u8")[which]
+        ends = np.cumsum([n for _, n in heads])
+        yield blob_batch([(block, ANSWER, pack(np.array([target], "<i8"), total[e - n : e])) for (block, n), e in zip(heads, ends.tolist())])
+
+
+def _clean_blocks(buckets: int):
+    def run(batches):
+        for _, held in by_target(batches):
+            batch, streams, _, pages, at, which, names = _block_streams(own_files(held))
+            order, ends = dealt(names, buckets)
+            starts, total = np.r_[0, ends[:-1]], np.zeros(len(names), np.int64)
+            for x in map(unpack, answers_of(held)):
+                b = int(np.frombuffer(x, "<i8", 1)[0])
+                total[order[starts[b] : ends[b]]] = np.frombuffer(x, "<u8", offset=8)
+            page = streams.page[at]
+            often = at[total[which] >= bar(streams.zone, pages)[page]]
+            yield _texts(batch["page_id"], batch["url"], streams.texts(often))
+
+    return run
+
+
+def _large_hosts(rows: DataFrame, total: int, block_text: int) -> DataFrame:
+    spark = rows.sparkSession
+    folder = work_path(spark, "page-blocks")
+    pages = written(rows.mapInArrow(alone(_store(folder, block_text)), STORED_SCHEMA), "pages")
+    # equal streams of a host count once
+    first = pages.groupBy("host", "stream").agg(F.min(F.struct("target", "at")).alias("x"))
+    sizes = written(first.groupBy("host").agg(F.count("*").alias("n")), "host-sizes")
+    counts = written(first.select("x.*").withColumn("counts", F.lit(1)), "counting-pages")
+    told = pages.join(counts, ["target", "at"], "left").join(sizes, "host")
+    told = told.groupBy("target", "path").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("counts", F.lit(0)).alias("counts"), "n"))).alias("pages"))
+    files = told.mapInArrow(alone(_pack_counts), BLOB_SCHEMA)
+    buckets = buckets_for(spark, total)
+    sent = gathered(files, buckets).mapInArrow(alone(_send_counts(buckets)), BLOB_SCHEMA)
+    answered = gathered(sent, buckets).mapInArrow(alone(_sum_counts), BLOB_SCHEMA)
+    return gathered(answered, buckets).mapInArrow(alone(_clean_blocks(buckets)), TEXT_SCHEMA)
+
+
+def main_text(pages: DataFrame, host_pages: int = HOST_PAGES, host_bytes: int = HOST_BYTES, block_text: int = BLOCK_TEXT) -> DataFrame:
     """(page_id, url, text, n_chars)"""
+    spark = pages.sparkSession
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#]*)", 1)), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), "html")
-    large = rows.groupBy("host").agg(F.ceil(F.count("*") / chunk_pages).cast("int").alias("chunks")).where("chunks > 1")
-    large = written(large, "large-hosts")  # at most a row per chunk_pages pages
-    if large.count() <= BROADCAST_HOSTS:
-        large = F.broadcast(large)
-    placed = rows.join(large, "host", "left").withColumn("chunk", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("chunks", F.lit(1))).cast("int"))
-    blocks = placed.select("page_id", "url", "host", "chunk", "html").mapInArrow(alone(_extract), BLOCKS_SCHEMA)
-    together = blocks.repartition("host", "chunk").sortWithinPartitions("host", "chunk", "page_id")
-    return together.mapInArrow(alone(_clean), "page_id long, url string, text string, n_chars long")
+    sizes = written(rows.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.octet_length("html")).alias("bytes")), "hosts")
+    total = sizes.agg(F.sum("bytes")).first()[0] or 0
+    large = written(sizes.where((F.col("n") > host_pages) | (F.col("bytes") > host_bytes)).select("host"), "large-hosts")
+    many = large.count()
+    sent_out = F.broadcast(large) if many <= BROADCAST_HOSTS else large
+    few = rows.join(sent_out, "host", "left_anti") if many else rows
+    together = few.select("page_id", "url", "host", "html").mapInArrow(alone(_extract), PAGE_SCHEMA)
+    together = together.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES)), "host")
+    out = together.sortWithinPartitions("host", "page_id").mapInArrow(alone(_clean), TEXT_SCHEMA)
+    if many:
+        own = rows.join(sent_out, "host", "left_semi").select("page_id", "url", "host", "html")
+        out = out.unionByName(_large_hosts(own, total, block_text))
+    return out
 
 
 def op5_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,7 +61,7 @@ WITH a AS (SELECT page_id, url, regexp_extract(html, '(?s)<article>(.*?)(</artic
 b AS (SELECT page_id, url, string_split_regex(regexp_replace(regexp_replace(x, '<br>', ' ', 'g'), '</?(b|i|a)( [^>]*)?>', '', 'g'), '</?(p|h1|h2|div|ul|li)( [^>]*)?>') AS l FROM a),
 c AS (
   SELECT page_id, url, list_filter(list_transform(l, lambda s:
-    trim(regexp_replace(replace(replace(s, '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g'))), lambda s: s <> '') AS l FROM b)
+    trim(regexp_replace(regexp_replace(replace(s, '&quot;', '"'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))), lambda s: s <> '') AS l FROM b)
 SELECT page_id, url, array_to_string(l, chr(10)) AS text, CAST(length(array_to_string(l, chr(10))) AS BIGINT) AS n_chars FROM c""",
     "op6_substring_dedup": r"""
 WITH d AS (SELECT row_number() OVER () AS rk, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),

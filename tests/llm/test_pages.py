@@ -1,4 +1,8 @@
 import hashlib
+import math
+import random
+
+import numpy as np
 
 from pagelode.llm import html_text, warc
 from pagelode.llm.common import work_path
@@ -46,20 +50,91 @@ def test_names_of_wrappers_and_sections():
         assert blocks(f'<div>one</div><div class="{name}">no</div>') == ["one"]
 
 
-def test_host_boilerplate_is_found_by_repeats():
+def brute_hosts(rows):
+    """By counting: page -> text of (page_id, url, html) rows."""
+    by_host, out = {}, {}
+    for k, (_, url, h) in enumerate(rows):
+        by_host.setdefault((url or "").lower().partition("://")[2].partition("/")[0], []).append((k, *html_text.main_blocks(h or "")))
+    for pages in by_host.values():
+        holds, streams = {}, {tuple(b) for _, _, b in pages}
+        for s in streams:
+            w = " ".join(s).split()
+            for i in range(len(w) - 7):
+                holds.setdefault(tuple(w[i : i + 8]), set()).add(s)
+        n = len(streams)
+        for k, zone, blocks in pages:
+            need = max(5, math.ceil(n / 2)) if zone else min(10, max(3, math.ceil(n / 5)))
+            w = [(x, j) for j, b in enumerate(blocks) for x in b.split()]
+            gone = set()
+            for i in range(len(w) - 7):
+                if len(holds[tuple(x for x, _ in w[i : i + 8])]) >= need:
+                    gone.update(range(i, i + 8))
+            if 2 * len(gone) > len(w) if zone else len(gone) == len(w):
+                gone = set()
+            left = [" ".join(x for p, (x, o) in enumerate(w) if o == j and p not in gone) for j in range(len(blocks))]
+            out[k] = "\n".join(x for x in left if x)
+    return out
+
+
+def host_rows(sizes, seed=1):
+    """Plain pages of own text around notices: on all pages of a host, on a part of them, one in a paragraph of own text; copies, and marked pages."""
+    r = random.Random(seed)
+    words = lambda n: " ".join("w%d" % r.randrange(5000) for _ in range(n))
+    rows = []
+    for h, n in enumerate(sizes):
+        always, often, inner = words(14), words(20), words(12)
+        shared = [words(30) for _ in range(4)]
+        for i in range(n):
+            body = f"<p>{always}<p>{words(40)} {inner if i % 2 else ''} {words(20)}" + (f"<div>{often}</div>" if i % 7 == 0 else "") + f"<p>{r.choice(shared) if i % 11 == 0 else words(9)}"
+            rows.append((len(rows), f"http://Host{h}.org/{i}", f"<article>{body}</article>" if i % 13 == 12 else body))
+        rows += [(len(rows) + j, f"http://host{h}.org/copy{j}", rows[-1][2]) for j in range(2)]
+        rows.append((len(rows), f"http://host{h}.org/only", f"<p>{always}"))
+    return rows
+
+
+def test_hosts_against_brute_force(spark):
+    rows = host_rows([3, 50, 1200])
+    expect = brute_hosts(rows)
+    whole = {i: "\n".join(html_text.main_blocks(h)[1]) for i, _, h in rows}
+    for lo, hi in ((0, 6), (6, 60), (60, len(rows))):  # the host step decides for each host
+        assert sum(expect[i] != whole[i] for i in range(lo, hi)) > (hi - lo) / 2
+    table = pages(spark, rows).repartition(3)
+    for most, block in ((10_000, 1 << 23), (500, 50_000), (20, 3000), (0, 1 << 23)):  # no host, one, two, and all in blocks
+        got = html_text.main_text(table, host_pages=most, block_text=block).collect()
+        assert {r["page_id"]: r["text"] for r in got} == expect and len(got) == len(rows)
+        assert all(r["n_chars"] == len(r["text"]) for r in got)
+
+
+def test_suffix_array_orders_and_measures():
+    r = random.Random(2)
+    for _ in range(30):
+        pages_ = [[r.randrange(3) for _ in range(r.randrange(1, 25))] for _ in range(r.randrange(1, 6))]
+        tokens, page = np.array([x for p in pages_ for x in p]), np.repeat(np.arange(len(pages_)), list(map(len, pages_)))
+        order, common = html_text.suffix_array(tokens, page)
+        suffix = [p[i:] for p in pages_ for i in range(len(p))]
+        assert [suffix[i] for i in order] == sorted(suffix)
+        for k in range(1, len(order)):
+            a, b = suffix[order[k - 1]], suffix[order[k]]
+            assert common[k] == next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    assert len(html_text.suffix_array(np.zeros(0), np.zeros(0))[0]) == 0
+
+
+def test_runs_go_and_unique_text_stays():
     notice = "please read our terms of use before you go on with this page today"
-    own = [(0, [notice, " ".join(f"w{i}x{j}" for j in range(40))]) for i in range(8)]
-    assert html_text.repeated_blocks(own) == [{0}] * 8
-    few = own[:3]
-    assert html_text.repeated_blocks(few) == [set()] * 3
+    own = [(0, [f"start{i} {notice} end{i}", " ".join(f"w{i}x{j}" for j in range(40))]) for i in range(3)]
+    assert html_text.host_texts(own) == [f"start{i} end{i}\n" + own[i][1][1] for i in range(3)]
+    assert html_text.host_texts(own[:2]) == ["\n".join(b) for _, b in own[:2]]
     copies = [(2, ["the very same article with more than eight words in it"])] * 9
-    assert html_text.repeated_blocks(copies) == [set()] * 9
+    assert html_text.host_texts(copies) == [copies[0][1][0]] * 9
+    near = [(2, ["the very same article with more than eight words in it " * 5 + str(i)]) for i in range(9)]
+    assert html_text.host_texts(near) == [" ".join(b[0].split(" ")) for _, b in near]
+    assert html_text.host_texts([]) == [] and html_text.host_texts([(0, [])] * 4) == [""] * 4
 
 
 def test_main_text_table(spark):
     rows = [(i, f"http://h/{i}", f"<article><p>text {i}</p></article>") for i in range(30)]
     rows += [(30, None, None), (31, "http://h/0", ""), (0, "http://h/0", rows[0][2])]
-    got = html_text.main_text(pages(spark, rows), chunk_pages=7).collect()
+    got = html_text.main_text(pages(spark, rows), host_pages=7).collect()
     assert sorted((r["page_id"], r["text"], r["n_chars"]) for r in got) == sorted(
         [(i, f"text {i}", len(f"text {i}")) for i in range(30)] + [(30, "", 0), (31, "", 0), (0, "text 0", 6)]
     )
