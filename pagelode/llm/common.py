@@ -64,15 +64,6 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def publish(filesys, tmp: str, final: str) -> None:
-    """Moves a finished file into place; a second attempt of the same task replaces it with equal bytes."""
-    from pyarrow import fs
-
-    if filesys.get_file_info(final).type != fs.FileType.NotFound:
-        filesys.delete_file(final)
-    filesys.move(tmp, final)
-
-
 _held: dict = {}
 
 

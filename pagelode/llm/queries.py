@@ -104,6 +104,28 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, g AS payload_digest,
        CASE WHEN first_id = page_id THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN first_id = page_id THEN NULL ELSE first_id END AS refers_to
 FROM f""",
+    # crc32 by a table of 256 remainders; slots by md5; the map by taking slots from the largest on, each to the lightest shard
+    "op10_sharding": """
+WITH RECURSIVE remainders AS (SELECT list(c ORDER BY n) AS r FROM (
+  SELECT n, list_reduce(list_prepend(n, [1, 1, 1, 1, 1, 1, 1, 1]), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+  FROM range(256) r(n))),
+hexed AS (SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, hex(encode(coalesce(text, ''))) AS h FROM documents),
+bytes AS (SELECT doc_id, size, list_transform(generate_series(1, size - 1), lambda i: ('0x' || h[2 * i - 1:2 * i])::BIGINT) AS x FROM hexed),
+d AS (
+  SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295, x), lambda c, y: xor(c >> 8, r[(xor(c, y) & 255) + 1])), 4294967295) AS crc FROM bytes, remainders),
+slotted AS (SELECT *, ('0x' || substr(md5(concat_ws('|', doc_id, crc, 0)), 1, 8))::BIGINT % 4096 AS vslot FROM d),
+sizes AS (
+  SELECT s.vslot, coalesce(sum(size), 0) AS b, count(size) AS n, row_number() OVER (ORDER BY coalesce(sum(size), 0) DESC, s.vslot) AS i
+  FROM range(4096) s(vslot) LEFT JOIN slotted USING (vslot) GROUP BY s.vslot),
+dealt(i, loads, shard) AS (
+  SELECT 0::BIGINT, list_transform(range(16), lambda k: 0::HUGEINT), 0::BIGINT
+  UNION ALL
+  SELECT s.i, list_transform(loads, lambda l, k: CASE WHEN k = list_position(loads, list_min(loads)) THEN l + s.b ELSE l END), list_position(loads, list_min(loads)) - 1
+  FROM dealt JOIN sizes s ON s.i = dealt.i + 1),
+placed AS (SELECT s.vslot, shard, sum(n) OVER (PARTITION BY shard ORDER BY s.vslot) - n AS before FROM dealt JOIN sizes s USING (i))
+SELECT doc_id, size, crc AS text_crc32, 'bytes' AS law, CAST(shard AS INTEGER) AS shard,
+       CAST(before + row_number() OVER (PARTITION BY vslot ORDER BY doc_id, crc) - 1 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard, CAST(vslot AS INTEGER) AS vslot
+FROM slotted JOIN placed USING (vslot)""",
     "op8_quality_rules": rf"""
 WITH d AS (
   SELECT row_number() OVER () AS rk, doc_id, source, coalesce(text, '') AS t,

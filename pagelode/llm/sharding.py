@@ -5,9 +5,13 @@ are summed per slot with partial aggregation, and a map assigns whole slots to s
 only thing edited when shards are added or sizes drift: a new version moves as few slots as needed.
 Its size is bounded by `n_slots`, whatever the data, so it may be held by the driver and broadcast.
 
-Defined results: null text counts as empty; a null id hashes like any value; repeated rows share a
-slot; an empty table gives an empty result and a map of empty slots; columns other than the key,
-the text and the results pass through `with_shards` untouched.
+Records are told apart by id and text. Rows that repeat both would fill one slot whatever their number: they are counted, and dealt
+over the slots by their place in the table, which is then written first, so that sizes and rows agree.
+
+Defined results: null text counts as empty; a null id is the id "null" of its own kind and stands last in its slot; rows that repeat
+id and text are spread over the slots and follow each other in any order, being equal; an empty table gives an
+empty result and a map of empty slots; other columns pass through untouched, but those named like a result
+(size, text_crc32, vslot, shard, slot) are replaced by it.
 """
 
 from __future__ import annotations
@@ -17,22 +21,29 @@ import heapq
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import work_path
+from .common import work_path, written
 
 N_SLOTS = 4096
 MAP_SCHEMA = "version int, vslot int, shard int, slot_bytes long, slot_rows long"
 
 
+def _slot(n_slots: int, *parts):
+    key = F.md5(F.concat_ws("|", *(F.coalesce(p.cast("string"), F.lit("null")) for p in parts)).cast("binary"))
+    return F.pmod(F.conv(F.substring(key, 1, 8), 16, 10).cast("long"), F.lit(n_slots)).cast("int")
+
+
 def with_slots(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_slots: int = N_SLOTS) -> DataFrame:
-    """Adds size, text_crc32 and vslot. The hash is of id and text, so that one repeated id doesn't fill one slot."""
+    """Adds size, text_crc32 and vslot. The hash is of id and text, and for rows that repeat both of their place."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    crc = F.crc32(text.cast("binary")).cast("long")
-    return df.select(
-        "*",
-        (F.octet_length(text) + 1).cast("long").alias("size"),
-        crc.alias("text_crc32"),
-        F.pmod(F.xxhash64(F.col(id_col), crc), F.lit(n_slots)).cast("int").alias("vslot"),
-    )
+    out = df.select("*", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).cast("long").alias("text_crc32"))
+    key, crc = F.col(id_col), F.col("text_crc32")
+    repeats = written(out.groupBy(key.alias("_id"), crc.alias("_crc")).agg(F.count("*").alias("_n")).where("_n > 1"), "repeated-rows")
+    plain = out.select("*", _slot(n_slots, key, crc, F.lit(0)).alias("vslot"))
+    if not repeats.take(1):
+        return plain
+    joined = out.join(repeats, key.eqNullSafe(F.col("_id")) & (crc == F.col("_crc")), "left")
+    place = F.when(F.col("_n") > 1, F.monotonically_increasing_id()).otherwise(F.lit(0))
+    return written(joined.select(*out.columns, _slot(n_slots, key, crc, place).alias("vslot")), "slots")
 
 
 def slot_sizes(slotted: DataFrame) -> dict[int, tuple[int, int]]:
@@ -93,6 +104,14 @@ def load_map(spark: SparkSession, path: str, version: int) -> DataFrame:
     return spark.read.schema(MAP_SCHEMA).parquet(f"{path}/v{version:06d}")
 
 
+def edited_map(spark: SparkSession, path: str, version: int, n_shards: int, tolerance: float = 0.01) -> DataFrame:
+    """The next version of a stored map, for n_shards shards: few slots move, the rows of the others stay where they are."""
+    rows = load_map(spark, path, version).collect()  # a row for each of the fixed number of slots
+    sizes = {r["vslot"]: (r["slot_bytes"], r["slot_rows"]) for r in rows}
+    store_map(spark, rebalance({r["vslot"]: r["shard"] for r in rows}, sizes, n_shards, tolerance), sizes, path, version + 1)
+    return load_map(spark, path, version + 1)
+
+
 def with_shards(slotted: DataFrame, slot_map: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Adds shard and slot, the row's place in its shard (gapless from 0, by virtual slot, then id).
 

@@ -7,8 +7,10 @@ has the same number of rows, so sequence i, or token i, is found by division, an
 memory-mapped file copies nothing. A document index (doc_id, file, first, n_tokens) goes beside the files.
 
 The table is range-partitioned by doc_id (and a hash of the text, so that a repeated id doesn't make one
-partition), each partition writes one file under a temporary name and moves it into place, so that a task
-that is run again leaves one whole file.
+partition), and each attempt of a task writes a file of its own name. The index is a table that Spark commits: it names the
+files of the attempts that counted, whole files each, and nothing reads another.
+
+Reading back deals the index over tasks in runs of `READ_TOKENS` tokens of a file, so that it is as wide as the files are long.
 
 Defined results: null text counts as empty (the end id alone); a null id sorts first; rows that repeat an id
 follow each other, ordered by the hash of the text; an empty table gives no file.
@@ -27,25 +29,31 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import filesystem, held, publish, work_path, written
+from .common import filesystem, held, work_path, written
 from .pieces import PATTERN, Memo, plain, splitter
 
-SEQ_LEN, BATCH, END_ID = 2048, 32, 0
+SEQ_LEN, BATCH, END_ID, READ_TOKENS = 2048, 32, 0, 1 << 20
 INDEX_SCHEMA = "part int, file string, doc_id long, first long, n_tokens long"
 
 
 class Encoder:
-    """The tokenizers library; under byte-level splitting each piece is encoded once and remembered."""
+    """The tokenizers library; under byte-level splitting each piece is encoded once and remembered.
+
+    The strings of added tokens in a text are those tokens, as the library has it; special_as_text makes them ordinary text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         import os
+        import re
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
+        if special_as_text:
+            self.tokenizer.encode_special_tokens = True
         spec = json.loads(self.tokenizer.to_str())
+        added = [re.escape(t["content"]) for t in spec.get("added_tokens", []) if not (special_as_text and t["special"])]
+        self.added = re.compile("|".join(added)).search if added else lambda text: None
         pre = spec.get("pre_tokenizer") or {}
         self.by_piece = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
@@ -67,7 +75,7 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def __call__(self, text: str) -> bytes:
-        if self.by_piece and plain(text):  # other texts may split otherwise: they go to the library whole
+        if self.by_piece and plain(text) and not self.added(text):  # other texts may split otherwise: they go to the library whole
             return b"".join(map(self.memo.__getitem__, self.pieces(text)))
         return self._whole(text)
 
@@ -79,8 +87,8 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-def encoder(path: str) -> Encoder:
-    return held(("encoder", path), lambda: Encoder(path))
+def encoder(path: str, special_as_text: bool = False) -> Encoder:
+    return held(("encoder", path, special_as_text), lambda: Encoder(path, special_as_text))
 
 
 class TokenFileWriter:
@@ -164,20 +172,22 @@ class TokenFile:
         return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.empty(0, np.uint16)
 
 
-def _writer(folder: str, tokenizer: str, seq_len: int, end_id: int):
+def _writer(folder: str, tokenizer: str, seq_len: int, end_id: int, special_as_text: bool):
+    """Writes a partition's file under a name of the attempt's own; the index, which Spark commits, tells which files count."""
+
     def write(batches):
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, special_as_text)
         end = np.array([end_id], enc.dtype).tobytes()
         part = TaskContext.get().partitionId()
-        final = f"{folder}/part-{part:06d}.arrow"
+        final = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.arrow"
         filesys, path = filesystem(final)
-        temp, stream, out = f"{path}.{uuid.uuid4().hex}", None, None
+        stream = out = None
         for batch in batches:
             if not len(batch):
                 continue
             if out is None:
                 filesys.create_dir(path.rpartition("/")[0], recursive=True)
-                stream = filesys.open_output_stream(temp)
+                stream = filesys.open_output_stream(path)
                 out = TokenFileWriter(stream, enc.dtype, seq_len)
             firsts, sizes = [], []
             for text in batch["text"]:
@@ -192,16 +202,15 @@ def _writer(folder: str, tokenizer: str, seq_len: int, end_id: int):
         if out is not None:
             out.close()
             stream.close()
-            publish(filesys, temp, path)
 
     return write
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, seq_len: int = SEQ_LEN, end_id: int = END_ID) -> DataFrame:
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str, seq_len: int = SEQ_LEN, end_id: int = END_ID, special_as_text: bool = False) -> DataFrame:
     """Writes the files and returns the document index, with start, the tokens of all documents before."""
     rows = docs.select(F.col("doc_id").cast("long"), "text").withColumn("_h", F.xxhash64("text"))
     placed = rows.repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h").select("doc_id", "text")
-    index = written(placed.mapInArrow(_writer(folder, tokenizer, seq_len, end_id), INDEX_SCHEMA), "token-index")
+    index = written(placed.mapInArrow(_writer(folder, tokenizer, seq_len, end_id, special_as_text), INDEX_SCHEMA), "token-index")
     # one row per file
     files = index.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
@@ -226,7 +235,10 @@ def _reader(batches):
 
 def read_digests(index: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, read back from the files."""
-    return index.select("doc_id", "start", "file", "first", "n_tokens").mapInArrow(_reader, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    total = index.agg(F.sum("n_tokens")).first()[0] or 0
+    tasks = max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // READ_TOKENS))
+    rows = index.select("doc_id", "start", "file", "first", "n_tokens").repartition(tasks, "file", F.floor(F.col("first") / READ_TOKENS))
+    return rows.sortWithinPartitions("file", "first").mapInArrow(_reader, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op2_query(spark: SparkSession, sf_dir: str) -> DataFrame:

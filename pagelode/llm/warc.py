@@ -1,7 +1,7 @@
 """WARC archives with an externally merged capture index.
 
-Writing: each partition of captures becomes one archive of gzip members, one per record, in order of URL key,
-timestamp and page id, and one sorted run of the capture index (an Arrow IPC file of small batches). The record with the
+Writing: pages are dealt to archives of some `ARCHIVE_BYTES` of payload; an archive holds gzip members, one per record, in order of
+URL key, timestamp and page id, and one sorted run of the capture index (an Arrow IPC file of small batches). The record with the
 smallest page id of equal payloads (of `MIN_REVISIT` bytes or more) is a response, the others are revisits that refer
 to it; which one that is comes from a partial aggregation of digests, before any payload is moved.
 
@@ -9,8 +9,12 @@ Merging: runs undergo k-way merges by a loser tree. While there are more than `F
 merged into longer ones; the last merge is cut into key ranges, one task each, that seek to their place in every run.
 A task holds one batch per run. Range borders come from a bounded number of keys per run.
 
+Files have names of the attempt that writes them, and count by the tables of runs that Spark commits: a task that is run again, or
+twice, leaves files that nothing names.
+
 Defined results: null html is an empty payload; a null URL has the key "-"; rows that repeat the smallest page id
-with an equal payload are all responses; an empty table gives no archive and an empty history.
+with an equal payload are all responses; a null page id stands first in its order, refers to nobody and is referred to
+by nobody; columns other than page_id, url, html and ts are left out; an empty table gives no archive and an empty history.
 """
 
 from __future__ import annotations
@@ -20,14 +24,18 @@ import hashlib
 import uuid
 from urllib.parse import quote, urlsplit
 
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import alone, filesystem, publish, work_path, written
+from .common import alone, filesystem, work_path, written
 
 MIN_REVISIT, FAN_IN, RUN_ROWS, KEYS_PER_RUN = 100, 64, 512, 16
+#: Bytes of payload in an archive; records that a task reads back, and bytes of an archive that go to one task.
+ARCHIVE_BYTES, READ_RECORDS, READ_BYTES = 256 << 20, 4096, 16 << 20
 DATE = "1970-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Order of the capture index: URL key, timestamp, page id.
@@ -52,6 +60,11 @@ def url_key(url: str | None) -> str:
     return key + (f"?{parts.query}" if parts.query else "")
 
 
+@F.pandas_udf(T.StringType())
+def _url_keys(urls: pd.Series) -> pd.Series:
+    return urls.map(lambda u: url_key(u if isinstance(u, str) else None))
+
+
 def record(url: str, page_id, payload: bytes, digest: str, ts: str, refers_to=None) -> bytes:
     """One gzip member."""
     head = [
@@ -132,17 +145,15 @@ def capture_key(row: tuple) -> tuple:
 
 
 class _Output:
-    """A file under a temporary name until it is whole."""
+    """A file of an attempt's own name; it counts once the table that names it is committed, when it is whole."""
 
     def __init__(self, uri: str):
         self.filesys, self.path = filesystem(uri)
         self.filesys.create_dir(self.path.rpartition("/")[0], recursive=True)
-        self.temp = f"{self.path}.{uuid.uuid4().hex}"
-        self.stream = self.filesys.open_output_stream(self.temp)
+        self.stream = self.filesys.open_output_stream(self.path, compression=None)
 
     def done(self) -> None:
         self.stream.close()
-        publish(self.filesys, self.temp, self.path)
 
 
 def _write_run(uri: str, rows) -> tuple[str, int, list]:
@@ -220,26 +231,30 @@ def archived(pages: DataFrame, folder: str) -> DataFrame:
     # digests are joined without the payloads; those then meet their reference by page id, which no hot payload skews
     ids = rows.where(long).select("page_id", "digest").join(first, "digest").where(F.col("page_id") != F.col("first_id"))
     ids = ids.select("page_id", F.col("digest").alias("_digest"), F.col("first_id").alias("refers_to")).dropDuplicates(["page_id", "_digest"])
-    full = rows.join(ids.withColumnRenamed("page_id", "_page"), (F.col("page_id") == F.col("_page")) & (F.col("digest") == F.col("_digest")), "left")
-    full = full.select("page_id", "url", "payload", "ts", "digest", "refers_to")
+    total = rows.agg(F.sum(F.octet_length("payload"))).first()[0] or 0
+    archives = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // ARCHIVE_BYTES))
+    dealt = rows.repartition(archives, "page_id", "digest")
+    full = dealt.join(ids.withColumnRenamed("page_id", "_page"), (F.col("page_id") == F.col("_page")) & (F.col("digest") == F.col("_digest")), "left")
+    full = full.select("page_id", "url", "payload", "ts", "digest", "refers_to", _url_keys("url").alias("url_key"))
+    placed = full.sortWithinPartitions("url_key", "ts", "page_id")
 
     def write(batches):
-        part = TaskContext.get().partitionId()
-        name, out, at, captures = f"{folder}/archive-{part:06d}.warc.gz", None, 0, []
+        """Records in order; the run beside them has the same order and names the archive of the same attempt."""
+        part, own = TaskContext.get().partitionId(), uuid.uuid4().hex
+        name, out, at, captures = f"{folder}/archive-{part:06d}-{own}.warc.gz", None, 0, []
         for batch in batches:
-            for page, url, text, ts, digest, ref in zip(*(c.to_pylist() for c in batch.columns)):
+            for page, url, text, ts, digest, ref, key in zip(*(c.to_pylist() for c in batch.columns)):
                 if out is None:
                     out = _Output(name)
                 member = record(url, page, text.encode(), digest, ts, ref)
                 out.stream.write(member)
-                captures.append((url_key(url), ts, page, name, at, len(member)))
+                captures.append((key, ts, page, name, at, len(member)))
                 at += len(member)
         if out is not None:
             out.done()
-            captures.sort(key=capture_key)
-            yield _run_batch([_write_run(f"{folder}/run-0-{part:06d}.arrow", captures)])
+            yield _run_batch([_write_run(f"{folder}/run-0-{part:06d}-{own}.arrow", captures)])
 
-    return written(full.mapInArrow(alone(write), RUN_SCHEMA), "warc-runs")
+    return written(placed.mapInArrow(alone(write), RUN_SCHEMA), "warc-runs")
 
 
 def history(runs: DataFrame, folder: str, ranges: int | None = None, fan_in: int = FAN_IN) -> DataFrame:
@@ -255,7 +270,7 @@ def history(runs: DataFrame, folder: str, ranges: int | None = None, fan_in: int
             for batch in batches:
                 for no, group in zip(batch["no"].to_pylist(), batch["group"].to_pylist()):
                     tree = LoserTree([read_run(p) for p in group], capture_key)
-                    yield _run_batch([_write_run(f"{folder}/run-{level}-{no:06d}.arrow", tree)])
+                    yield _run_batch([_write_run(f"{folder}/run-{level}-{no:06d}-{uuid.uuid4().hex}.arrow", tree)])
 
         table = spark.createDataFrame(list(enumerate(groups)), "no long, group array<string>").repartition(len(groups))
         runs = written(table.mapInArrow(alone(merge), RUN_SCHEMA), "warc-runs")
@@ -292,8 +307,9 @@ def _captures(rows: list[tuple]) -> pa.RecordBatch:
 RECORD_SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
-def read_records(captures: DataFrame) -> DataFrame:
+def read_records(captures: DataFrame, tasks: int | None = None) -> DataFrame:
     """The records that the captures point at; digests of responses are computed anew and compared with the header."""
+    tasks = tasks or int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
         at, handle = None, None
@@ -322,11 +338,13 @@ def read_records(captures: DataFrame) -> DataFrame:
                 [pa.array(c, t) for c, t in zip(cols, types)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
             )
 
-    by_file = captures.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset")
+    by_file = captures.select("file", "offset", "length").repartition(tasks, "file", F.floor(F.col("offset") / READ_BYTES)).sortWithinPartitions("file", "offset")
     return by_file.mapInArrow(alone(run), RECORD_SCHEMA)
 
 
 def op9_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     folder = work_path(spark, "warc")
-    return read_records(history(archived(pages, folder), folder))
+    runs = archived(pages, folder)
+    records = runs.agg(F.sum("n")).first()[0] or 0
+    return read_records(history(runs, folder), max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-records // READ_RECORDS)))

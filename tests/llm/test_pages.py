@@ -185,3 +185,22 @@ def test_archive_and_history(spark):
 def test_empty_archive(spark):
     folder = work_path(spark, "w")
     assert warc.read_records(warc.history(warc.archived(pages(spark, []), folder), folder)).count() == 0
+
+
+def test_archives_are_in_order_and_hold_odd_rows(spark):
+    big = "<p>" + "z" * 200
+    rows = [(5, "http://b/1", big), (5, "http://b/2", big), (7, "http://a/3", big), (None, "http://c/4", big), (None, None, None), (9, "http://c/4", "x")]
+    docs = pages(spark, rows).selectExpr("*", "1 AS digest", "2 AS payload", "3 AS refers_to").coalesce(1)
+    folder = work_path(spark, "w")
+    runs = warc.archived(docs, folder)
+    offsets = {}
+    for r in runs.collect():
+        got = list(warc.read_run(r["run"]))
+        assert [warc.capture_key(x) for x in got] == sorted(warc.capture_key(x) for x in got)
+        assert [x[4] for x in got] == sorted(x[4] for x in got)  # places in the archive have the order of the run
+        offsets.update({x[3]: None for x in got})
+    assert len(offsets) == runs.count()
+    got = warc.read_records(warc.history(runs, folder), 3).collect()
+    assert sorted(((r["page_id"] or 0, r["record_type"], r["refers_to"]) for r in got), key=repr) == sorted(
+        [(5, "response", None), (5, "response", None), (7, "revisit", 5), (0, "response", None), (0, "response", None), (9, "response", None)], key=repr
+    )

@@ -161,3 +161,59 @@ def test_the_map_is_versioned_and_edited_little(spark):
     sharding.store_map(spark, two, sizes, path, 2)
     assert {r["vslot"]: r["shard"] for r in sharding.load_map(spark, path, 1).collect()} == one
     assert {r["vslot"]: r["shard"] for r in sharding.load_map(spark, path, 2).collect()} == two
+
+
+def brute_shards(rows, n_shards, n_slots):
+    """(id, size, crc) -> shard by the map, and how many rows come before its slot: rows of distinct (id, text)."""
+    import hashlib
+
+    slots = {}
+    for i, t in rows:
+        data = (t or "").encode()
+        key = f"{'null' if i is None else i}|{zlib.crc32(data)}|0"
+        slots.setdefault(int(hashlib.md5(key.encode()).hexdigest()[:8], 16) % n_slots, []).append((i is None, i or 0, zlib.crc32(data), len(data) + 1, i))
+    load, shard = [0] * n_shards, {}
+    for slot in sorted(range(n_slots), key=lambda x: (-sum(r[3] for r in slots.get(x, [])), x)):
+        shard[slot] = load.index(min(load))
+        load[shard[slot]] += sum(r[3] for r in slots.get(slot, []))
+    out, count = [], [0] * n_shards
+    for slot in sorted(slots):
+        for r in sorted(slots[slot], key=lambda r: r[:3]):
+            out.append((r[4], r[3], r[2], shard[slot], count[shard[slot]], slot))
+            count[shard[slot]] += 1
+    return out
+
+
+def test_shards_against_brute_force(spark):
+    rows = list(enumerate(hard_texts())) + [(3, "another text of the id"), (None, "no id"), (None, "none either"), (None, None)]
+    docs = table(spark, [t for _, t in rows], ids=[i for i, _ in rows])
+    got = [tuple(r[c] for c in ("doc_id", "size", "text_crc32", "shard", "slot", "vslot")) for r in sharding.shard_table(docs, 5, 64).collect()]
+    assert sorted(got, key=repr) == sorted(brute_shards(rows, 5, 64), key=repr)
+
+
+def test_the_law_holds_where_rows_repeat(spark):
+    rows = [(7, "x" * 100)] * 5000 + [(i, "y" * (50 + i % 30)) for i in range(1000, 2001)] + [(None, "z")] * 400
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sharding.shard_table(docs, 16).collect()
+    load, slots = {}, {}
+    for r in got:
+        load[r["shard"]] = load.get(r["shard"], 0) + r["size"]
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert len(got) == len(rows) and len(load) == 16 and max(load.values()) - min(load.values()) <= 101
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
+def test_a_grown_map_moves_few_rows(spark):
+    docs = table(spark, ["t%d " % i * (1 + i % 50) for i in range(3000)])
+    slotted, path = sharding.with_slots(docs), work_path(spark, "map")
+    sizes = sharding.slot_sizes(slotted)
+    sharding.store_map(spark, sharding.build_map(sizes, 16), sizes, path, 1)
+    one = {r["doc_id"]: r["shard"] for r in sharding.with_shards(slotted, sharding.load_map(spark, path, 1)).collect()}
+    rows = sharding.with_shards(slotted, sharding.edited_map(spark, path, 1, 17)).collect()
+    moved = [r for r in rows if r["shard"] != one[r["doc_id"]]]
+    load, slots = {}, {}
+    for r in rows:
+        load[r["shard"]] = load.get(r["shard"], 0) + r["size"]
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert moved and sum(r["shard"] == 16 for r in moved) > 0.8 * len(moved) and len(moved) < 3000 / 12
+    assert max(load.values()) < 1.03 * sum(load.values()) / 17 and all(sorted(x) == list(range(len(x))) for x in slots.values())

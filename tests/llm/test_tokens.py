@@ -94,7 +94,7 @@ def test_token_files(spark):
     index.cache()
     rows = sorted(token_files.read_digests(index).collect())
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
+    assert library.encode("<|endoftext|>", add_special_tokens=False).ids == [50256]
     start = 0
     for r, t in zip(rows, texts[::-1]):
         own = np.array([*library.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
@@ -119,3 +119,14 @@ def test_token_files_empty_null_and_repeated(spark):
     docs = table(spark, ["b", "a", "a", None], ids=[4, 4, 4, None])
     got = token_files.read_digests(token_files.write_tokens(docs, work_path(spark, "t"), path)).collect()
     assert sorted(r["start"] for r in got) == [0, 1, 3, 5] and sum(r["doc_id"] is None for r in got) == 1
+
+
+def test_special_tokens_as_text(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    texts = ["<|endoftext|>", "a <|endoftext|>b", "<|endoftext", "plain"]
+    for as_text in (False, True):
+        library.encode_special_tokens = as_text
+        own = token_files.Encoder(path, as_text)
+        for t in texts:
+            assert np.frombuffer(own(t), own.dtype).tolist() == library.encode(t, add_special_tokens=False).ids
