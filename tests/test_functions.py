@@ -123,15 +123,32 @@ def test_headings_carry_over_and_are_overwritten():
     assert p.sections == [("Kept", "one"), ("Next", "two")]
 
 
+PAGE = "<div id='top' class='x note y'><h1>1</h1><p class='noted'>2</p><a name='n'><b>3</b></a></div><meta name=author content=me><note>4</note>"
+
+
 @pytest.mark.parametrize(
-    "css, xpath",
+    "selector, tags",
     [
-        ("h1", "//h1"), (".note", "//*[contains(concat(' ', normalize-space(@class), ' '), ' note ')]"), ("#top", "//*[@id='top']"),
-        ("meta[name=author]", "//meta[@name='author']"), ("//a/b", "//a/b"), ("a > b", "//a > b"),
+        ("h1", ["h1"]), ("H1", ["h1"]), (".note", ["div"]), ("#top", ["div"]), ("meta[name=author]", ["meta"]), ("meta[name='author']", ["meta"]), ("//a/b", ["b"]), ("a/b", ["b"]),
+        ("a > b", []), ("//div/*", ["h1", "p", "a"]), ("//div/*[2]", ["p"]), ("//*[@name]", ["a", "meta"]), ("//*[@name='n']", ["a"]), ("//p[contains(@class, 'ote')]", ["p"]),
+        ("//*[contains(concat(' ', normalize-space(@class), ' '), ' note ')]", ["div"]), ("//p[last()]", []), ("", []), ("p, h1, p", ["p", "h1", "p"]), ("./div//b", ["b"]), ("note", ["note"]),
     ],
 )
-def test_selectors(css, xpath):
-    assert html.css_to_xpath(css) == xpath
+def test_selectors(selector, tags):
+    assert [n.tag for n in html.select(html.parse(PAGE), selector)] == tags
+
+
+def test_deep_pages():
+    deep = "<div>" * 5000 + "<b>x</b>" + "</div>" * 5000
+    page = f"<main><h1>T</h1>{deep}</main>"
+    assert html.extract(page, "http://h", SELECT).sections == [("T", "**x**")]
+    assert html.extract(page, "http://h", SELECT, "Html").sections == [("T", deep)]
+    assert html.extract("<main>" + "<table><tr><td>" * 300 + "x</main>", "http://h", SELECT).body_text.count("| x |") == 300
+
+
+def test_cells_hold_plain_text():
+    body = html.extract("<main><table><tr><th>a <b>b</b><th> c&amp;d|e <!-- n --></tr><tr></tr><tr><td>1</table></main>", "http://h", SELECT).body_text
+    assert body == "| a b | c&d\\|e | \n| --- | --- | \n| 1 |"
 
 
 def test_xpath_and_unbalanced_markup():
