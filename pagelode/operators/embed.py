@@ -11,6 +11,7 @@ import time
 import urllib.request
 from abc import ABC, abstractmethod
 from collections.abc import Callable
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from ..sources.config import EmbeddingConfig
 
 class EmbeddingError(RuntimeError):
     def __init__(self, provider: str, operation: str, attempts: int, cause: Exception):
-        super().__init__(f"Embedding provider '{provider}' failed during {operation} after {attempts} attempt(s): {cause}")
+        super().__init__(f"{operation} by {provider} gave up at try {attempts}: {cause}")
         self.provider, self.operation, self.attempts = provider, operation, attempts
         self.__cause__ = cause
 
@@ -63,7 +64,10 @@ class RetryingProvider(EmbeddingProvider):
 
 
 class HashProvider(EmbeddingProvider):
-    """Words hashed to signed places, normalised. Deterministic and without a model: for tests and offline use, not semantic."""
+    """Words hashed to signed places, normalised. Deterministic and without a model: for tests and offline use, not semantic.
+
+    A word is a run of letters, digits and _ as Unicode has them, in lower case; the first 8 hex digits of its md5 are a number: if odd,
+    it counts 1, else -1, at the place that half of it leaves modulo the dimensions."""
 
     name = "hash"
 
@@ -74,14 +78,15 @@ class HashProvider(EmbeddingProvider):
         out = np.zeros((len(texts), self.dimensions))
         for i, t in enumerate(texts):
             for w in re.findall(r"\w+", (t or "").lower()):
-                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
+                h = int(hashlib.md5(w.encode()).hexdigest()[:8], 16)
                 out[i, (h >> 1) % self.dimensions] += 1 if h & 1 else -1
         norms = np.linalg.norm(out, axis=1, keepdims=True)
         return (out / np.where(norms == 0, 1, norms)).astype(np.float32).tolist()
 
 
 class OnnxProvider(EmbeddingProvider):
-    """A local BERT model: word pieces, mean of the token vectors under the mask, normalised."""
+    """A local BERT model: word pieces, mean of the token vectors under the mask, normalised. The model knows `most_tokens` places: what is
+    longer is cut there. Chunks stay below (512 estimated tokens of 4 characters), unless their words are rare."""
 
     name = "onnx"
 
@@ -114,17 +119,24 @@ class OnnxProvider(EmbeddingProvider):
 
 
 class HttpProvider(EmbeddingProvider):
-    """Servers that speak the /embeddings protocol."""
+    """Servers that speak the /embeddings protocol. At most `most_texts` go in a request, which waits `timeout` seconds."""
 
-    def __init__(self, name: str, endpoint: str, model: str, dimensions: int, api_key: str | None, needs_key: bool, opened: Callable = urllib.request.urlopen):
+    def __init__(
+        self, name: str, endpoint: str, model: str, dimensions: int, api_key: str | None, needs_key: bool,
+        opened: Callable | None = None, most_texts: int = 256, timeout: float = 60.0,
+    ):
         if needs_key and not api_key:
             raise ValueError(f"provider '{name}' needs an API key")
-        self.name, self.dimensions, self.opened, self.needs_key = name, dimensions, opened, needs_key
+        self.name, self.dimensions, self.needs_key, self.most_texts = name, dimensions, needs_key, most_texts
+        self.opened = opened or partial(urllib.request.urlopen, timeout=timeout)
         self.url, self.key = endpoint.rstrip("/") + "/embeddings", api_key or "no-key"
         self.model = model.rpartition("/")[2]
 
     def embed_batch(self, texts):
-        body = {"model": self.model, "input": list(texts)}
+        return [v for i in range(0, len(texts), self.most_texts) for v in self._asked(list(texts[i : i + self.most_texts]))]
+
+    def _asked(self, texts):
+        body = {"model": self.model, "input": texts}
         if self.needs_key:
             body["dimensions"] = self.dimensions
         headers = {"Content-Type": "application/json", "Authorization": f"Bearer {self.key}", "api-key": self.key}

@@ -39,7 +39,7 @@ def download(url: str, path: str, opened: Callable = urllib.request.urlopen) ->
 
 
 def ensure_model(config: EmbeddingConfig, auto: bool = False, ask: Callable[[str], str] = input, opened: Callable = urllib.request.urlopen) -> tuple[str, str]:
-    """(model.onnx, vocab.txt) of the configured model; downloads known ones, after asking unless auto."""
+    """(model.onnx, vocab.txt) of the configured model; downloads known ones, after asking unless auto; an empty answer means yes."""
     folder = config.resolve_model_path()
     paths = os.path.join(folder, "model.onnx"), os.path.join(folder, "vocab.txt")
     if all(map(os.path.isfile, paths)):
@@ -48,7 +48,7 @@ def ensure_model(config: EmbeddingConfig, auto: bool = False, ask: Callable[[str
     info = KNOWN_MODELS.get(name)
     if info is None:
         raise FileNotFoundError(f"no model in {folder}, and {name} isn't one that can be downloaded: {', '.join(KNOWN_MODELS)}")
-    if not auto and ask(f"Download {name} ({info.size}) to {folder}? [y/N] ").strip().lower() not in ("y", "yes"):
+    if not auto and ask(f"Download {name} ({info.size}) to {folder}? [Y/n] ").strip().lower() not in ("", "y", "yes"):
         raise FileNotFoundError(f"no model in {folder}")
     os.makedirs(folder, exist_ok=True)
     for url, path in zip((info.model_url, info.vocab_url), paths):
