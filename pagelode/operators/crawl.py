@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import content_hash, point_id
 from ..functions.html import extract_pages
-from ..functions.urls import trimmed, visit_key
+from ..functions.urls import host_of, trimmed, visit_key
 from ..sources import robots, sitemap
 from ..sources.config import CrawlConfig, site_mode
 from .chunking import chunk_pages
@@ -54,7 +55,10 @@ def crawl_pages(sites: DataFrame, crawl: CrawlConfig, fetch: Fetch, selectors=No
 
     A URL is visited once whatever site leads to it, also if robots forbid it. Selectors: {site_url: Selectors}.
     """
+    spark = sites.sparkSession
     selectors = selectors or {s.url: s.selectors for s in crawl.sites}
+    rows = [(url, json.dumps(vars(own))) for url, own in selectors.items() if own is not None]
+    kinds = spark.createDataFrame(rows, "site_url string, selectors string") if rows else None
     rules = materialised(site_rules(sites, fetch, crawl.product_token)) if crawl.respect_robots_txt else None
     start = seeds(sites, rules, fetch).join(sites.select("site_url", "max_depth"), "site_url").withColumn("depth", F.lit(0))
     frontier = materialised(start.withColumn("_k", visit_key(F.col("url"))).dropDuplicates(["_k"]).drop("_k"))
@@ -66,16 +70,9 @@ def crawl_pages(sites: DataFrame, crawl: CrawlConfig, fetch: Fetch, selectors=No
         if rules is not None:
             allowed = frontier.join(rules, "site_url", "left")
             allowed = allowed.withColumn("crawl_delay_ms", F.col("rules.crawl_delay_ms")).where(robots.allowed(F.col("url"), F.col("rules.disallowed"))).drop("rules")
-        came = materialised(fetch(allowed).where("html IS NOT NULL").drop("crawl_delay_ms").join(sites.select("site_url", "mode"), "site_url"))
-        groups: dict = {}
-        for row in sites.select("site_url", "mode").toLocalIterator():
-            own = selectors.get(row["site_url"])
-            groups.setdefault((repr(own), row["mode"]), (own, row["mode"], []))[2].append(row["site_url"])
-        parts = [extract_pages(came.where(F.col("site_url").isin(urls)), own, mode) for own, mode, urls in groups.values()]
-        level = parts[0]
-        for p in parts[1:]:
-            level = level.unionByName(p)
-        level = materialised(level)
+        came = fetch(allowed).where("html IS NOT NULL").drop("crawl_delay_ms").join(sites.select("site_url", "mode"), "site_url")
+        told = came.join(kinds, "site_url", "left") if kinds is not None else came.withColumn("selectors", F.lit(None).cast("string"))
+        level = materialised(extract_pages(told, by_row=True).drop("selectors"))
         pages = level if pages is None else pages.unionByName(level)
         frontier = materialised(next_frontier(level, visited).select("site_url", "url", "max_depth", "depth"))
     return pages if pages is not None else extract_pages(sites.select("site_url", F.col("site_url").alias("url"), "max_depth", F.lit(0).alias("depth"), "mode", F.lit("").alias("html")).limit(0))
@@ -84,7 +81,8 @@ def crawl_pages(sites: DataFrame, crawl: CrawlConfig, fetch: Fetch, selectors=No
 def index_batch(pages: DataFrame, store: ChunkStore, provider: Callable[[], EmbeddingProvider], as_of) -> DataFrame:
     """Chunks, embeds and stores the pages that changed. Returns one row: pages seen, pages and chunks stored, pages failed.
 
-    All chunks of a page have one capture date, as_of. Unchanged pages keep theirs and are marked as checked.
+    All chunks of a page have one capture date, as_of. Unchanged pages keep theirs and are marked as checked. A page that has changed to
+    have no chunk loses those it had; a page of which a chunk could not be embedded stays as it was.
     """
     store.ensure()
     fields = [c for c in ("url", "title", "summary", "content_selector", "sections", "body_text") if c in pages.columns]
@@ -94,7 +92,9 @@ def index_batch(pages: DataFrame, store: ChunkStore, provider: Callable[[], Embe
     chunks = chunks.withColumn("point_id", point_id(F.col("url"), F.col("chunk_index"))).withColumn("capture_date", F.lit(as_of).cast("timestamp")).drop("change")
     vectors = materialised(embedded(chunks, provider))
     good = whole_pages(vectors)
-    store.replace_pages(good, known.where("change = 'unchanged'").select("url"), as_of)
+    failed = vectors.where("embed_error IS NOT NULL").select("url").distinct()
+    changed = known.where("change != 'unchanged'").select("url", "content_hash").join(failed, "url", "left_anti")
+    store.replace_pages(good, known.where("change = 'unchanged'").select("url"), as_of, changed)
     stored = vectors.groupBy("url").agg(F.max(F.col("embed_error").isNotNull()).alias("failed"), F.count("*").alias("n"))
     good_page = F.col("failed").eqNullSafe(False)
     rows = known.select("url").join(stored, "url", "left")
@@ -114,3 +114,13 @@ def due(sites: DataFrame, as_of) -> DataFrame:
     """Sites (with frequency_hours and last_crawled) whose time has come."""
     hours = F.make_dt_interval(F.lit(0), F.col("frequency_hours"))
     return sites.where(F.col("last_crawled").isNull() | (F.col("last_crawled") + hours <= F.lit(as_of).cast("timestamp")))
+
+
+def due_sites(spark: SparkSession, crawl: CrawlConfig, store: ChunkStore, as_of) -> list:
+    """The configured sites of whose host no page was seen for frequency_hours."""
+    rows = spark.createDataFrame([(i, s.url, s.frequency_hours) for i, s in enumerate(crawl.sites)], "i int, url string, frequency_hours int").withColumn("host", host_of(F.col("url")))
+    if store.exists():
+        seen = store.pages().groupBy(host_of(F.col("url")).alias("host")).agg(F.max("last_checked").alias("last_crawled"))
+    else:
+        seen = spark.createDataFrame([], "host string, last_crawled timestamp")
+    return [crawl.sites[r["i"]] for r in due(rows.join(seen, "host", "left"), as_of).orderBy("i").collect()]  # a row a configured site

@@ -1,15 +1,18 @@
-"""The chunk table: versions of Parquet below one folder, replaced page by page, never in place.
+"""The chunk table: rows dealt to buckets by a hash of their URL, replaced page by page, never in place.
 
-A version is a folder that counts once Spark's success mark is in it; readers take the newest such version. Two writers at
-once aren't arbitrated. `chunks` and `pages` (one row a page: hash and times) have their versions side by side.
+A version is a manifest that names a folder for each bucket of `chunks` and of `pages` (one row a page: hash and times). Replacing pages
+writes new folders for the buckets that they are in and a manifest with the others' folders as they were; readers take the
+newest manifest. A manifest appears whole, by a rename. Two writers at once aren't arbitrated.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNKS = (
@@ -17,103 +20,161 @@ CHUNKS = (
     "content_selector string, capture_date timestamp, content_hash string, embedding array<float>"
 )
 PAGES = "url string, content_hash string, capture_date timestamp, last_checked timestamp, n_chunks int"
+BUCKETS = 64
 
 _local: str | None = None
 
 
-def materialised(df: DataFrame) -> DataFrame:
-    """df, computed once and cut from its lineage: a table in the folder of spark.checkpoint.dir, which all executors share."""
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path below spark.checkpoint.dir, which all executors share; in local mode without it, below a temporary folder."""
     global _local
-    spark = df.sparkSession
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         _local = _local or "file://" + tempfile.mkdtemp(prefix="pagelode-")
         base = _local
-    path = f"{base.rstrip('/')}/level-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """df, computed once and cut from its lineage: a table of its own."""
+    path = work_folder(df.sparkSession, "level")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucket_of(url: Column, buckets: int) -> Column:
+    return F.pmod(F.conv(F.substring(F.md5(F.coalesce(url, F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(buckets)).cast("int")
 
 
 class ChunkStore:
-    def __init__(self, spark: SparkSession, path: str, dimensions: int):
-        self.spark, self.path, self.dimensions = spark, path.rstrip("/"), dimensions
+    def __init__(self, spark: SparkSession, path: str, dimensions: int, buckets: int = BUCKETS):
+        """buckets counts when the table is made; a table keeps its number."""
+        self.spark, self.path, self.dimensions, self.buckets = spark, path.rstrip("/"), dimensions, buckets
 
     def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
+    def _names(self, path: str) -> list[str]:
+        fs, p = self._fs(path)
+        return [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+
     def versions(self) -> list[int]:
-        fs, root = self._fs(self.path)
-        if not fs.exists(root):
-            return []
-        found = []
-        for status in fs.listStatus(root):
-            name = status.getPath().getName()
-            mark = self.spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "pages/_SUCCESS")
-            if name.startswith("v") and name[1:].isdigit() and fs.exists(mark):
-                found.append(int(name[1:]))
-        return sorted(found)
+        return sorted(int(n[1:-5]) for n in self._names(self.path) if n.startswith("v") and n.endswith(".json") and n[1:-5].isdigit())
 
     def exists(self) -> bool:
         return bool(self.versions())
 
-    def _write(self, chunks: DataFrame, pages: DataFrame, version: int) -> None:
-        folder = f"{self.path}/v{version:08d}"
-        fs, p = self._fs(folder)
-        fs.delete(p, True)  # of a writer that didn't finish
-        ordered = chunks.repartitionByRange("url").sortWithinPartitions("url", "chunk_index")  # so statistics prune by url
-        ordered.write.parquet(f"{folder}/chunks")
-        pages.write.parquet(f"{folder}/pages")  # the last mark
+    def _manifest(self, version: int) -> dict:
+        fs, p = self._fs(f"{self.path}/v{version:08d}.json")
+        stream = fs.open(p)
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+
+    def _latest(self) -> dict:
+        found = self.versions()
+        if not found:
+            raise FileNotFoundError(f"no table at {self.path}")
+        return self._manifest(found[-1])
+
+    def _publish(self, manifest: dict, version: int) -> None:
+        final = f"{self.path}/v{version:08d}.json"
+        fs, temp = self._fs(f"{self.path}/_{uuid.uuid4().hex}")
+        stream = fs.create(temp, True)
+        stream.write(bytearray(json.dumps(manifest).encode()))
+        stream.close()
+        if not fs.rename(temp, self._fs(final)[1]):
+            raise FileExistsError(f"{final} is there already: another writer has made it")
+
+    def _written(self, rows: DataFrame, kind: str, buckets: int, order: list[str]) -> dict[str, str]:
+        """Folders of the buckets that have rows; large buckets have many files, sorted so that statistics prune by url."""
+        folder = f"data/{kind}-{uuid.uuid4().hex}"
+        dealt = rows.withColumn("bucket", bucket_of(F.col("url"), buckets)).repartitionByRange("bucket", "url").sortWithinPartitions("bucket", *order)
+        dealt.write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
+        return {n.partition("=")[2]: f"{folder}/{n}" for n in self._names(f"{self.path}/{folder}") if n.startswith("bucket=")}
 
     def ensure(self) -> None:
         """Makes an empty table; an existing one must have the same vector size."""
         if not self.exists():
-            empty = lambda schema: self.spark.createDataFrame([], schema)
-            self._write(empty(CHUNKS), empty(PAGES), 1)
+            for kind, schema in (("chunks", CHUNKS), ("pages", PAGES)):
+                self.spark.createDataFrame([], schema).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/data/no-{kind}")
+            self._publish({"buckets": self.buckets, "chunks": {}, "pages": {}}, 1)
             return
         row = self.chunks().select(F.size("embedding").alias("n")).where("n >= 0").take(1)
         if row and row[0]["n"] != self.dimensions:
             raise ValueError(f"the table holds vectors of {row[0]['n']} dimensions, the provider gives {self.dimensions}")
 
-    def _latest(self) -> str:
-        found = self.versions()
-        if not found:
-            raise FileNotFoundError(f"no table at {self.path}")
-        return f"{self.path}/v{found[-1]:08d}"
+    def _read(self, kind: str, manifest: dict, only: set[str] | None = None) -> DataFrame:
+        folders = [f for b, f in sorted(manifest[kind].items()) if only is None or b in only] or [f"data/no-{kind}"]
+        return self.spark.read.schema(CHUNKS if kind == "chunks" else PAGES).parquet(*(f"{self.path}/{f}" for f in folders))
 
-    def chunks(self) -> DataFrame:
-        return self.spark.read.schema(CHUNKS).parquet(f"{self._latest()}/chunks")
+    def chunks(self, url: str | None = None) -> DataFrame:
+        """All chunks, or those of the bucket that a URL is in."""
+        manifest = self._latest()
+        only = None if url is None else {str(int(hashlib.md5(url.encode()).hexdigest()[:8], 16) % manifest["buckets"])}
+        return self._read("chunks", manifest, only)
 
     def pages(self) -> DataFrame:
-        return self.spark.read.schema(PAGES).parquet(f"{self._latest()}/pages")
+        return self._read("pages", self._latest())
 
     def count(self) -> int:
         return self.chunks().count()
 
-    def replace_pages(self, new: DataFrame, checked: DataFrame | None = None, as_of=None) -> None:
-        """All rows of the pages in `new` take the place of what their URLs had. checked: URLs seen unchanged, whose last_checked moves."""
-        if not new.take(1) and (checked is None or not checked.take(1)):
-            return
-        version = self.versions()[-1] + 1
+    def replace_pages(self, new: DataFrame, checked: DataFrame | None = None, as_of=None, changed: DataFrame | None = None) -> None:
+        """All rows of the pages in `new` take the place of what their URLs had. changed: (url, content_hash) of all pages that changed; those
+        without rows in `new` have no chunk any more. checked: URLs seen unchanged, whose last_checked moves. Only buckets of
+        these pages are written: those of chunks for changed pages, those of pages for all."""
+        manifest, version = self._latest(), self.versions()[-1] + 1
+        n = manifest["buckets"]
         columns = [x.split(" ")[0] for x in CHUNKS.split(", ")]
         new = new.select(*columns)
-        chunks = self.chunks().join(new.select("url").distinct(), "url", "left_anti").select(*columns).unionByName(new)
-        state = new.groupBy("url").agg(
-            F.first("content_hash").alias("content_hash"), F.max("capture_date").alias("capture_date"), F.max("capture_date").alias("last_checked"), F.count("*").cast("int").alias("n_chunks")
-        )
-        old = self.pages().join(state.select("url"), "url", "left_anti")
-        if checked is not None:
-            seen = checked.select("url").distinct().withColumn("_seen", F.lit(as_of).cast("timestamp"))
+        counts = new.groupBy("url").agg(F.max("content_hash").alias("_hash"), F.max("capture_date").alias("_at"), F.count("*").cast("int").alias("n"))
+        if changed is None:
+            changed = counts.select("url", F.col("_hash").alias("content_hash"))
+        at = F.coalesce("_at", F.lit(as_of).cast("timestamp"))
+        state = materialised(
+            changed.select("url", "content_hash").dropDuplicates(["url"]).join(counts, "url", "left").select(
+                "url", "content_hash", at.alias("capture_date"), at.alias("last_checked"), F.coalesce("n", F.lit(0)).alias("n_chunks")
+            )
+        )
+        seen = None if checked is None else materialised(checked.select("url").distinct().withColumn("_seen", F.lit(as_of).cast("timestamp")))
+
+        def touched(rows: DataFrame) -> set[str]:
+            return {str(r["b"]) for r in rows.select(bucket_of(F.col("url"), n).alias("b")).distinct().collect()}  # at most a row a bucket
+
+        chunk_buckets = touched(state)
+        page_buckets = chunk_buckets | (touched(seen) if seen is not None else set())
+        if not page_buckets:
+            return
+        kept = lambda kind, buckets: {b: f for b, f in manifest[kind].items() if b not in buckets}
+        out = {"buckets": n, "chunks": manifest["chunks"], "pages": kept("pages", page_buckets)}
+        if chunk_buckets:
+            old = self._read("chunks", manifest, chunk_buckets).join(state.select("url"), "url", "left_anti").select(*columns)
+            out["chunks"] = kept("chunks", chunk_buckets) | self._written(old.unionByName(new), "chunks", n, ["url", "chunk_index"])
+        old = self._read("pages", manifest, page_buckets).join(state.select("url"), "url", "left_anti")
+        if seen is not None:
             old = old.join(seen, "url", "left").withColumn("last_checked", F.coalesce("_seen", "last_checked")).drop("_seen")
-        self._write(chunks, old.select(*state.columns).unionByName(state), version)
+        out["pages"] |= self._written(old.select(*state.columns).unionByName(state), "pages", n, ["url"])
+        self._publish(out, version)
 
     def vacuum(self, keep: int = 2) -> None:
-        """Drops all but the newest versions."""
-        for version in self.versions()[:-keep]:
-            fs, p = self._fs(f"{self.path}/v{version:08d}")
-            fs.delete(p, True)
+        """Drops all but the newest versions, and the folders that no version left names."""
+        found = self.versions()
+        used = {f for v in found[-keep:] for kind in ("chunks", "pages") for f in self._manifest(v)[kind].values()}
+        for version in found[:-keep]:
+            fs, p = self._fs(f"{self.path}/v{version:08d}.json")
+            fs.delete(p, False)
+        for folder in self._names(f"{self.path}/data"):
+            if folder.startswith("no-"):
+                continue
+            for name in self._names(f"{self.path}/data/{folder}"):
+                if name.startswith("bucket=") and f"data/{folder}/{name}" not in used:
+                    fs, p = self._fs(f"{self.path}/data/{folder}/{name}")
+                    fs.delete(p, True)
 
 
 def classified(new: DataFrame, state: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import dataclasses
 import datetime
 import inspect
 import json
@@ -10,7 +11,7 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from ..operators.crawl import crawl_and_index
+from ..operators.crawl import crawl_and_index, due_sites
 from ..operators.embed import EmbeddingError, create_provider
 from ..operators.search import search
 from ..operators.store import ChunkStore
@@ -31,6 +32,7 @@ def parser() -> argparse.ArgumentParser:
     commands = top.add_subparsers(dest="command", required=True)
     crawl = commands.add_parser("crawl", parents=[shared])
     crawl.add_argument("--auto-download", action="store_true")
+    crawl.add_argument("--due", action="store_true", help="only sites whose frequency_hours have passed")
     find = commands.add_parser("search", parents=[shared])
     find.add_argument("query")
     find.add_argument("--limit", type=int, default=5)
@@ -84,6 +86,11 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None, fetch
         now = datetime.datetime.now(datetime.timezone.utc)
         if options.command == "crawl":
             agent, crawl = config.crawl.user_agent, config.crawl
+            if options.due:
+                crawl = dataclasses.replace(crawl, sites=due_sites(spark, crawl, store, now))
+                if not crawl.sites:
+                    print("no site is due", file=sys.stderr)
+                    return 0
             fetch = fetch or (lambda urls: fetched(urls, lambda: http_fetcher(agent), crawl.max_concurrency, crawl.request_delay_ms))
             r = crawl_and_index(spark, crawl, store, lambda: create_provider(embedding), fetch, now).first()
             print(f"{r['pages_seen']} pages seen, {r['pages_stored']} stored in {r['chunks_stored']} chunks, {r['pages_failed']} failed", file=sys.stderr)

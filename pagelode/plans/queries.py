@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,12 +13,14 @@ from ..functions.hashing import content_hash, point_id
 from ..functions.html import Selectors, extract_pages
 from ..functions.urls import host_of, path_of
 from ..operators.chunking import chunk_pages
-from ..operators.crawl import next_frontier
+from ..operators.crawl import crawl_pages, index_batch, next_frontier, site_rows
 from ..operators.embed import HashProvider, embedded
 from ..operators.search import results, search, top_k, top_k_batch
-from ..operators.store import classified, materialised, replaced
-from ..sources.robots import allowed
-from ..sources.sitemap import entries, on_site
+from ..operators.store import ChunkStore, classified, materialised, replaced, work_folder
+from ..sources.config import CrawlConfig, SiteConfig
+from ..sources.fetch import from_snapshot
+from ..sources.robots import allowed, parsed
+from ..sources.sitemap import entries, expanded, on_site
 from .tools import first_chars, page_chunks, status, url_list
 
 AS_OF, DAYS = "2024-01-02 06:00:00", 1
@@ -52,7 +55,7 @@ def vector_topk_batch(spark, sf_dir):
 
 def _captured(spark, sf_dir):
     events = _table(spark, sf_dir, "events").select(F.col("event_id").alias("vec_id"), F.col("ts").cast("timestamp").alias("capture_date"))
-    return _table(spark, sf_dir, "embeddings").join(events, "vec_id")
+    return _table(spark, sf_dir, "embeddings").join(events, "vec_id", "left")
 
 
 def search_fresh(spark, sf_dir):
@@ -119,7 +122,7 @@ def page_html(spark, sf_dir):
 
 
 def page_tables(spark, sf_dir):
-    """Each page's links as an HTML table, extracted to Markdown."""
+    """Each page's links as an HTML table, extracted to Markdown (the tables hold no page with a table)."""
     pages = _table(spark, sf_dir, "pages")
     hrefs = F.regexp_extract_all("html", F.lit('<a href="([^"]*)">'), F.lit(1))
     rows = F.array_join(F.transform(hrefs, lambda x: F.concat(F.lit("<tr><td>"), x, F.lit("<td>link</tr>"))), "")
@@ -168,6 +171,70 @@ def _snapshots(spark, sf_dir):
     return old, docs.select("url", content_hash(text).alias("content_hash"))
 
 
+def crawl_snapshot(spark, sf_dir):
+    """A crawl of a site made of the pages: page n is http://h/n and links to 2n + 1, 2n + 2 and n / 2; every tenth from 3 on is lost, robots.txt
+    forbids what begins with /2, the sitemap names /0, /1, another host and a lost page; links are followed four deep."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "html")
+    links = F.concat(*(F.format_string('<a href="/%d">x</a>', F.floor(n).cast("long")) for n in (F.col("page_id") * 2 + 1, F.col("page_id") * 2 + 2, F.col("page_id") / 2)))
+    own = pages.where("page_id % 10 <> 3").select(F.concat(F.lit("http://h/"), "page_id").alias("url"), F.concat("html", links).alias("html"))
+    site_map = "".join(f"<url><loc>http://{x}</loc></url>" for x in ("h/0", "h/1", "g/1", "h/3"))
+    files = [("http://h/robots.txt", "User-agent: *\nDisallow: /2\nSitemap: http://h/map.xml"), ("http://h/map.xml", f"<urlset>{site_map}</urlset>")]
+    web = materialised(own.unionByName(spark.createDataFrame(files, "url string, html string")))
+    crawl = CrawlConfig(sites=[SiteConfig("http://h/", 4, selectors=Selectors(content="article"))])
+    came = crawl_pages(site_rows(spark, crawl), crawl, lambda urls: from_snapshot(urls, web))
+    return came.select("url", "depth", "title")
+
+
+def section_chunks(spark, sf_dir):
+    """Each document's lines as two sections with a heading, chunked; without a chunk of either, the whole text."""
+    docs, lines, half = _doc_pages(spark, sf_dir), F.split("body_text", "\n"), F.ceil(F.size(F.split("body_text", "\n")) / 2).cast("int")
+    part = lambda name, a, n: F.struct(F.lit(name).alias("heading"), F.array_join(F.slice(lines, a, n), "\n").alias("text"))
+    pages = docs.withColumn("sections", F.array(part("First", F.lit(1), half), part("Second", half + 1, F.size(lines))))
+    return chunk_pages(pages).select("doc_id", "heading", "chunk_index", "chunk_text")
+
+
+def robots_rules(spark, sf_dir):
+    """The robots.txt of each host, made of its pages' first path parts: one group for all agents, one for another, one for this library."""
+    pages = _table(spark, sf_dir, "pages").select(host_of(F.col("url")).alias("site_url"), "page_id", F.regexp_extract("url", "^[a-zA-Z]+://[^/?#]*(/[^/?#]*)", 1).alias("part"))
+    hosts = pages.groupBy("site_url").agg(F.max("part").alias("a"), F.min("part").alias("b"), F.count("*").alias("n"), F.max("page_id").alias("p"))
+    text = F.format_string(
+        "# %1$s\nUSER-AGENT: *\nDisallow: %2$s # note\nDisallow:\nUser-agent: other\nDisallow: /other\nCrawl-delay: 9\nUser-agent: my-PageLode/2\nDisallow: %3$s\nCrawl-delay: %4$d\nno colon\n"
+        "Sitemap: http://%1$s/map%5$d.xml\r\nUser-agent: x\nsitemap:  http://%1$s/second.xml", "site_url", "a", "b", "n", "p",
+    )
+    got = parsed(hosts.select("site_url", text.alias("content")))
+    return got.select("site_url", F.array_join("rules.disallowed", "|").alias("disallowed"), F.array_join("rules.sitemaps", " ").alias("sitemaps"), F.col("rules.crawl_delay_ms").alias("crawl_delay_ms"))
+
+
+def sitemap_index(spark, sf_dir):
+    """An index per host that names itself, a missing file and two sitemaps, of its pages with even and odd ids; both name every third page."""
+    pages = _table(spark, sf_dir, "pages").select(F.concat(F.lit("http://"), host_of(F.col("url"))).alias("site_url"), "page_id", "url")
+    escaped = F.replace(F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    loc = lambda kind, x: F.concat(F.lit(f"<{kind}><loc> "), x, F.lit(f"</loc></{kind}>"))
+    listed = pages.select("site_url", F.explode(F.expr("CASE WHEN page_id % 3 = 0 THEN array(0, 1) ELSE array(cast(page_id % 2 as int)) END")).alias("k"), loc("url", escaped).alias("x"))
+    maps = listed.groupBy("site_url", "k").agg(F.concat(F.lit("<urlset>"), F.array_join(F.collect_list("x"), ""), F.lit("</urlset>")).alias("html"))
+    names = F.concat(*(loc("sitemap", F.concat("site_url", F.lit(x))) for x in ("/0.xml", "/1.xml", "/none.xml", "/index.xml")))
+    index = pages.select("site_url").distinct().select(F.concat("site_url", F.lit("/index.xml")).alias("url"), F.concat(F.lit("<sitemapindex>"), names, F.lit("</sitemapindex>")).alias("html"))
+    web = materialised(index.unionByName(maps.select(F.concat("site_url", F.lit("/"), "k", F.lit(".xml")).alias("url"), "html")))
+    roots = pages.select("site_url", F.concat("site_url", F.lit("/index.xml")).alias("url")).distinct()
+    return on_site(expanded(roots, lambda urls: from_snapshot(urls, web)))
+
+
+def index_delta(spark, sf_dir):
+    """The page table after two runs over the documents: the second without one source's, with other French texts and with emptied ones."""
+    day = lambda n: datetime.datetime(2024, 1, n)
+    docs = _doc_pages(spark, sf_dir).withColumn("summary", F.lit("")).withColumn("content_selector", F.lit("")).withColumn("sections", F.expr("cast(array() as array<struct<heading:string,text:string>>)"))
+    lang = _table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    docs = docs.join(lang, "doc_id")
+    text = F.when(F.col("doc_id") % 10 == 0, "").when(F.col("lang") == "fr", F.concat("body_text", F.lit("!"))).otherwise(F.col("body_text"))
+    store = ChunkStore(spark, work_folder(spark, "index"), 8)
+    index_batch(docs, store, lambda: HashProvider(8), day(1)).collect()
+    index_batch(docs.where("source <> 'src0'").withColumn("body_text", text), store, lambda: HashProvider(8), day(2)).collect()
+    held = store.chunks().groupBy("url").agg(F.count("*").alias("held"), F.max("capture_date").alias("newest"))
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
+    rows = store.pages().join(held, "url", "left").withColumn("held", F.coalesce("held", F.lit(0)))
+    return rows.select("url", "content_hash", "n_chunks", "held", *map(stamp, ("capture_date", "last_checked", "newest")))
+
+
 def delta_classify(spark, sf_dir):
     old, new = _snapshots(spark, sf_dir)
     return classified(new, old).select("url", "change")
@@ -190,7 +257,7 @@ def get_page(spark, sf_dir):
 def _page_rows(spark, sf_dir):
     events = _table(spark, sf_dir, "events").select(F.col("event_id").alias("page_id"), F.col("ts").cast("timestamp").alias("capture_date"))
     title = F.regexp_extract("html", "<title>(.*?)</title>", 1)
-    return _table(spark, sf_dir, "pages").join(events, "page_id").select("url", title.alias("title"), F.lit(0).alias("chunk_index"), "capture_date")
+    return _table(spark, sf_dir, "pages").join(events, "page_id", "left").select("url", title.alias("title"), F.lit(0).alias("chunk_index"), "capture_date")
 
 
 def list_urls(spark, sf_dir):
@@ -212,8 +279,12 @@ def result_format(spark, sf_dir):
 
 
 def hash_embedding(spark, sf_dir):
+    """Of each item's vector: its size, its square, and its places and values that aren't 0."""
     got = embedded(_table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("chunk_text")), lambda: HashProvider(64))
-    return got.select("item_id", F.size("embedding").alias("dimensions"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x), 4).alias("square"))
+    filled = F.filter(F.transform("embedding", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda v: v["x"] != 0)
+    shown = F.array_join(F.transform(filled, lambda v: F.format_string("%d:%.4f", v["i"], v["x"].cast("double"))), " ")
+    square = F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x), 4)
+    return got.select("item_id", F.size("embedding").alias("dimensions"), square.alias("square"), shown.alias("places"))
 
 
 def semantic_search(spark, sf_dir):
@@ -222,7 +293,7 @@ def semantic_search(spark, sf_dir):
     chunks = chunk_pages(pages).withColumn("point_id", point_id(F.col("url"), F.col("chunk_index"))).withColumn("capture_date", F.lit(AS_OF).cast("timestamp"))
     vectors = materialised(embedded(chunks, lambda: HashProvider(384)))
     title = vectors.orderBy("page_id", "chunk_index").select("title").first()
-    return results(search(vectors, HashProvider(384).embed(title[0] if title else ""), 5, threshold=0.05))
+    return results(search(vectors, HashProvider(384).embed(title[0] if title else ""), 5, threshold=0.05)).withColumn("score", F.round("score", 6))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -230,7 +301,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         semantic_search, vector_topk, vector_topk_batch, search_fresh, search_overfetch, content_hashes, point_ids, token_estimate, sentence_split, chunk_pack,
         paragraph_pack, page_title, page_headings, page_links, page_sections, page_markdown, page_html, page_tables, robots_filter, sitemap_urls, bfs_depth,
-        delta_classify, upsert_replace, get_page, list_urls, list_stale_urls, crawl_status, result_format, hash_embedding,
+        crawl_snapshot, robots_rules, sitemap_index, section_chunks, index_delta, delta_classify, upsert_replace, get_page, list_urls, list_stale_urls, crawl_status, result_format, hash_embedding,
     )
 }
 
@@ -238,7 +309,7 @@ _COS = "list_cosine_similarity({a}::DOUBLE[], {b}::DOUBLE[])"
 _SCORED = f"""
   SELECT e.vec_id, {_COS.format(a="e.embedding", b="q.embedding")} AS s{{more}}
   FROM embeddings e {{join}} CROSS JOIN (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1) q"""
-_WITH_TS = _SCORED.format(more=", v.ts", join="JOIN events v ON v.event_id = e.vec_id")
+_WITH_TS = _SCORED.format(more=", v.ts", join="LEFT JOIN events v ON v.event_id = e.vec_id")
 _FRESH = f"ts >= TIMESTAMP '{AS_OF}' - INTERVAL {DAYS} DAY"
 _BLANK = "' ' || chr(9) || chr(10) || chr(12) || chr(13) || chr(160)"
 
@@ -264,6 +335,35 @@ def _fold(name: str, source: str, keys: str, joint: str, large: str | None = Non
 {name}_done AS (SELECT {k}, {flush} AS done FROM {name} f JOIN {source} USING ({keys}) WHERE i = len(p))"""
 
 
+_DECODE = "replace(regexp_replace({x}, '&amp;?', '&', 'g'), '&quot;', '\"')"
+#: Articles of the driver's pages: a heading, paragraphs that may stay open, and one <b> before a <br> that stays open. Raw paragraphs by page.
+_ARTICLES = f"""a AS (
+  SELECT page_id, url, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS x, regexp_extract(html, '<title>(.*?)</title>', 1) AS t FROM pages),
+b AS (
+  SELECT page_id, url, trim({_DECODE.format(x="regexp_extract(x, '(?s)<h1>(.*?)</h1>', 1)")}) AS heading, trim({_DECODE.format(x="t")}) AS title,
+         list_filter(string_split_regex(regexp_replace(x, '(?s)<h1>.*?</h1>', ''), '</?p>'), lambda s: trim(s, {_BLANK}) <> '') AS raw FROM a)"""
+
+
+def _articles(piece: str, joint: str = "chr(10)") -> str:
+    """body(page_id, url, heading, title, body) with the paragraphs s as `piece`."""
+    return f"""{_ARTICLES},
+body AS (SELECT page_id, url, heading, title, trim(array_to_string(list_filter(list_transform(raw, lambda s: {piece}), lambda s: s <> ''), {joint}), {_BLANK}) AS body FROM b)"""
+
+
+_PLAIN_PIECE = f"trim({_DECODE.format(x="replace(replace(s, '<b>', ''), '<br>', '')")}, {_BLANK})"
+_MARKDOWN_PIECE = f"CASE WHEN contains(s, '<b>') THEN '**' || {_PLAIN_PIECE} || '**' ELSE {_PLAIN_PIECE} END"
+_HTML_PIECE = "'<p>' || s || CASE WHEN contains(s, '<b>') THEN '</b>' ELSE '' END || '</p>'"
+_WORD_PLACES = """list_transform(regexp_extract_all(lower({x}), '[\\p{{L}}\\p{{N}}_]+'), lambda w: ('0x' || substr(md5(w), 1, 8))::BIGINT)"""
+
+
+def _vectors(name: str, source: str, key: str, text: str, size: int) -> str:
+    """name(key, i, x): the places that aren't 0 of the hash embedding of source(key, text)."""
+    return f"""{name}_sums AS (
+  SELECT {key}, (h >> 1) % {size} AS i, sum(CASE WHEN h & 1 = 1 THEN 1 ELSE -1 END) AS x
+  FROM (SELECT {key}, unnest({_WORD_PLACES.format(x=text)}) AS h FROM {source}) GROUP BY ALL),
+{name} AS (SELECT {key}, i, x / sqrt(sum(x * x) OVER (PARTITION BY {key})) AS x FROM {name}_sums)"""
+
+
 _SHORT = "SELECT doc_id, CASE WHEN length(t) // 4 >= 10 THEN [t] ELSE [] END AS done FROM d WHERE t <> '' AND length(t) // 4 <= 512"
 _CHUNKS = f"""WITH RECURSIVE d AS (SELECT doc_id, source, trim(text, {_BLANK}) AS t FROM documents),
 long_docs AS (SELECT doc_id, {_split("t")} AS p FROM d WHERE length(t) // 4 > 512),
@@ -278,12 +378,22 @@ big AS (SELECT doc_id, k, {_split("p[k]")} AS p FROM (SELECT doc_id, p, unnest(g
 {_fold("f2", "pars", "doc_id", "chr(10) || chr(10)", "(SELECT any_value(x.done) FROM f1_done x WHERE x.doc_id = f.doc_id AND x.k = f.i + 1)")},
 packed AS (SELECT * FROM f2_done UNION ALL {_SHORT})
 SELECT doc_id, CAST(unnest(generate_series(0, len(done) - 1)) AS INTEGER) AS chunk_index, unnest(done) AS chunk_text FROM packed WHERE len(done) > 0"""
-_DECODE = "trim(replace(replace({x}, '&quot;', '\"'), '&amp;', '&'))"
+_PAGE_CHUNKS = f"""WITH RECURSIVE {_articles(_MARKDOWN_PIECE, "repeat(chr(10), 3)")},
+pars AS (SELECT page_id, list_filter(list_transform(string_split(body, chr(10) || chr(10)), lambda s: trim(s, {_BLANK})), lambda s: s <> '') AS p FROM body WHERE length(body) // 4 > 512),
+big AS (SELECT page_id, k, {_split("p[k]")} AS p FROM (SELECT page_id, p, unnest(generate_series(1, len(p))) AS k FROM pars) WHERE length(p[k]) // 4 > 512),
+{_fold("f1", "big", "page_id, k", "' '")},
+{_fold("f2", "pars", "page_id", "chr(10) || chr(10)", "(SELECT any_value(x.done) FROM f1_done x WHERE x.page_id = f.page_id AND x.k = f.i + 1)")},
+packed AS (SELECT * FROM f2_done UNION ALL SELECT page_id, CASE WHEN length(body) // 4 >= 10 THEN [body] ELSE [] END FROM body WHERE body <> '' AND length(body) // 4 <= 512),
+chunks AS (
+  SELECT page_id, url, title, heading, k, CASE WHEN heading = '' THEN c ELSE heading || chr(10) || chr(10) || c END AS t
+  FROM (SELECT page_id, unnest(generate_series(0, len(done) - 1)) AS k, unnest(done) AS c FROM packed WHERE len(done) > 0) JOIN body USING (page_id))"""
+_POINT = """(SELECT substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2) || '-' || substr(h, 11, 2) || substr(h, 9, 2) || '-' ||
+  substr(h, 15, 2) || substr(h, 13, 2) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) FROM (SELECT md5({x}) AS h))"""
 _PATH = "regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1)"
 _SNAP = """old AS (SELECT 'doc://' || doc_id AS url, sha256(text) AS content_hash FROM documents WHERE source <> 'src0'),
 fresh AS (SELECT 'doc://' || doc_id AS url, sha256(CASE WHEN lang = 'fr' THEN text || '!' ELSE text END) AS content_hash FROM documents)"""
 _URLS = """SELECT url, regexp_extract(html, '<title>(.*?)</title>', 1) AS title, strftime(ts, '%Y-%m-%d %H:%M:%S') AS captured
-FROM pages JOIN events ON event_id = page_id"""
+FROM pages LEFT JOIN events ON event_id = page_id"""
 
 ORACLES: dict[str, str] = {
     "vector_topk": f"SELECT vec_id, round(s, 6) AS score FROM ({_SCORED.format(more='', join='')}) WHERE s >= 0.3 ORDER BY s DESC, vec_id LIMIT 10",
@@ -300,12 +410,69 @@ WHERE s >= 0.1 AND {_FRESH} ORDER BY s DESC, vec_id LIMIT 5""",
     "sentence_split": f"SELECT doc_id, CAST(unnest(generate_series(0, len(p) - 1)) AS INTEGER) AS sentence_index, unnest(p) AS sentence FROM (SELECT doc_id, {_split('text')} AS p FROM documents) WHERE len(p) > 0",
     "chunk_pack": _CHUNKS + "SELECT doc_id, CAST(chunk_index AS INTEGER) AS chunk_index, chunk_text FROM chunks",
     "paragraph_pack": _PARAGRAPHS,
-    "page_title": f"SELECT page_id, {_DECODE.format(x=chr(39).join(['regexp_extract(html, ', '<title>(.*?)</title>', ', 1)']))} AS title FROM pages",
-    "page_headings": f"SELECT page_id, {_DECODE.format(x=chr(39).join(['regexp_extract(html, ', '<h1>(.*?)</h1>', ', 1)']))} AS headings FROM pages",
+    "page_title": f"SELECT page_id, trim({_DECODE.format(x=chr(39).join(['regexp_extract(html, ', '<title>(.*?)</title>', ', 1)']))}) AS title FROM pages",
+    "page_headings": f"SELECT page_id, trim({_DECODE.format(x=chr(39).join(['regexp_extract(html, ', '<h1>(.*?)</h1>', ', 1)']))}) AS headings FROM pages",
     "page_links": """WITH l AS (
   SELECT page_id, regexp_extract(url, '^([a-zA-Z]+://[^/?#]*)', 1) AS host, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages),
 n AS (SELECT DISTINCT page_id, rtrim(regexp_replace(lower(host) || replace(href, '&amp;', '&'), '#.*$', ''), '/') AS link FROM l WHERE href <> '' AND href[1] <> '#')
 SELECT pages.page_id, CAST(count(link) AS INTEGER) AS n_links, coalesce(string_agg(link, ' ' ORDER BY link), '') AS links FROM pages LEFT JOIN n USING (page_id) GROUP BY pages.page_id""",
+    "page_sections": f"WITH {_articles(_PLAIN_PIECE)} SELECT page_id, 0 AS section_index, heading, body AS text FROM body WHERE body <> ''",
+    "page_markdown": f"WITH {_articles(_MARKDOWN_PIECE, 'repeat(chr(10), 3)')} SELECT page_id, body AS body_text FROM body",
+    "page_html": f"WITH {_articles(_HTML_PIECE)} SELECT page_id, body AS body_text FROM body",
+    "page_tables": f"""SELECT page_id, rtrim('| href | kind | ' || chr(10) || '| --- | --- | ' || coalesce(array_to_string(list_transform(
+  regexp_extract_all(html, '<a href="([^"]*)">', 1), lambda x: chr(10) || '| ' || replace(trim({_DECODE.format(x="x")}), '|', chr(92) || '|') || ' | link | '), ''), '')) AS body_text FROM pages""",
+    "hash_embedding": f"""WITH {_vectors("v", "benchmark", "item_id", "text", 64)}
+SELECT item_id, 64 AS dimensions, round(coalesce(sum(x * x), 0), 4) AS square, coalesce(string_agg(printf('%d:%.4f', i, x::DOUBLE), ' ' ORDER BY i), '') AS places
+FROM benchmark LEFT JOIN (SELECT * FROM v WHERE x <> 0) USING (item_id) GROUP BY item_id""",
+    "semantic_search": f"""{_PAGE_CHUNKS},
+{_vectors("v", "chunks", "page_id, k", "t", 384)},
+asked AS (SELECT title FROM chunks ORDER BY page_id, k LIMIT 1),
+{_vectors("q", "asked", "title", "title", 384)},
+best AS (
+  SELECT page_id, k, sum(v.x * q.x) AS s FROM v JOIN q USING (i) JOIN chunks USING (page_id, k) GROUP BY page_id, k, url
+  ORDER BY round(s, 9) DESC, {_POINT.format(x="any_value(url) || '::' || k")} LIMIT 5)
+SELECT round(s, 6) AS score, url, title, heading, t AS text, '{AS_OF}' AS capture_date FROM best JOIN chunks USING (page_id, k) WHERE s >= 0.05""",
+    "crawl_snapshot": """WITH RECURSIVE e AS (SELECT page_id AS a, unnest([2 * page_id + 1, 2 * page_id + 2, page_id // 2]) AS b FROM pages WHERE page_id % 10 <> 3),
+r(n, depth) AS (SELECT unnest([0, 1, 3])::BIGINT, 0 UNION SELECT b, depth + 1 FROM r JOIN e ON a = n WHERE depth < 4 AND n::VARCHAR NOT LIKE '2%'),
+least_depth AS (SELECT n, min(depth) AS depth FROM r GROUP BY n)
+SELECT 'http://h/' || n AS url, CAST(depth AS INTEGER) AS depth, """
+    + f"trim({_DECODE.format(x="regexp_extract(html, '<title>(.*?)</title>', 1)")})"
+    + """ AS title
+FROM least_depth JOIN pages ON page_id = n WHERE n % 10 <> 3 AND n::VARCHAR NOT LIKE '2%'""",
+    "section_chunks": f"""WITH RECURSIVE l AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+halves AS (
+  SELECT doc_id, unnest([1, 2]) AS k, unnest([l[1:(len(l) + 1) // 2], l[(len(l) + 1) // 2 + 1:]]) AS l FROM l),
+d AS (SELECT doc_id, k, trim(array_to_string(l, chr(10)), {_BLANK}) AS t FROM halves),
+long_parts AS (SELECT doc_id, k, {_split("t")} AS p FROM d WHERE length(t) // 4 > 512),
+{_fold("f1", "long_parts", "doc_id, k", "' '")},
+packed AS (SELECT * FROM f1_done UNION ALL SELECT doc_id, k, CASE WHEN length(t) // 4 >= 10 THEN [t] ELSE [] END FROM d WHERE t <> '' AND length(t) // 4 <= 512),
+parts AS (SELECT doc_id, k, unnest(generate_series(1, len(done))) AS j, unnest(done) AS c FROM packed WHERE len(done) > 0),
+whole AS (
+  SELECT doc_id, 0 AS k, 1 AS j, trim(text, {_BLANK}) AS c FROM l
+  WHERE doc_id NOT IN (SELECT doc_id FROM parts) AND length(trim(text, {_BLANK})) // 4 BETWEEN 10 AND 512)
+SELECT doc_id, ['', 'First', 'Second'][k + 1] AS heading, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k, j) - 1 AS INTEGER) AS chunk_index,
+       CASE k WHEN 0 THEN c WHEN 1 THEN 'First' || chr(10) || chr(10) || c ELSE 'Second' || chr(10) || chr(10) || c END AS chunk_text
+FROM (SELECT * FROM parts UNION ALL SELECT * FROM whole)""",
+    "robots_rules": """WITH p AS (SELECT lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]*)', 1)) AS site_url, page_id, regexp_extract(url, '^[a-zA-Z]+://[^/?#]*(/[^/?#]*)', 1) AS part FROM pages)
+SELECT site_url, array_to_string(list_filter([max(part), min(part)], lambda x: x <> ''), '|') AS disallowed, 'http://' || site_url || '/map' || max(page_id) || '.xml http://' || site_url || '/second.xml' AS sitemaps,
+       CAST(count(*) * 1000 AS INTEGER) AS crawl_delay_ms FROM p GROUP BY site_url""",
+    "sitemap_index": "SELECT DISTINCT 'http://' || lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]*)', 1)) AS site_url, url FROM pages",
+    "index_delta": _CHUNKS.replace("FROM documents)", "FROM texts)").replace(
+        "WITH RECURSIVE d AS",
+        """WITH RECURSIVE texts AS (
+  SELECT doc_id * 2 AS doc_id, source, text FROM documents UNION ALL
+  SELECT doc_id * 2 + 1, source, CASE WHEN doc_id % 10 = 0 THEN '' WHEN lang = 'fr' THEN text || '!' ELSE text END FROM documents WHERE source <> 'src0'),
+d AS""",
+    )
+    + """, n AS (SELECT doc_id, count(*) AS n FROM chunks GROUP BY doc_id),
+both_runs AS (
+  SELECT o.doc_id // 2 AS doc_id, o.text AS old, coalesce(x.n, 0) AS old_n, e.text AS new, coalesce(y.n, 0) AS new_n
+  FROM texts o LEFT JOIN texts e ON e.doc_id = o.doc_id + 1 LEFT JOIN n x ON x.doc_id = o.doc_id LEFT JOIN n y ON y.doc_id = o.doc_id + 1 WHERE o.doc_id % 2 = 0)
+SELECT 'doc://' || doc_id AS url, sha256(CASE WHEN changed THEN new ELSE old END) AS content_hash, CAST(CASE WHEN changed THEN new_n ELSE old_n END AS INTEGER) AS n_chunks,
+       CAST(CASE WHEN changed THEN new_n ELSE old_n END AS BIGINT) AS held, CASE WHEN changed THEN '2024-01-02' ELSE '2024-01-01' END AS capture_date,
+       CASE WHEN new IS NULL THEN '2024-01-01' ELSE '2024-01-02' END AS last_checked,
+       CASE WHEN (CASE WHEN changed THEN new_n ELSE old_n END) > 0 THEN CASE WHEN changed THEN '2024-01-02' ELSE '2024-01-01' END END AS newest
+FROM (SELECT *, coalesce(new <> old, false) AS changed FROM both_runs)""",
     "robots_filter": f"""SELECT page_id, url, CASE WHEN p = '' THEN '/' ELSE p END AS path FROM (SELECT page_id, url, {_PATH} AS p FROM pages)
 WHERE NOT ({" OR ".join(f"starts_with(lower(CASE WHEN p = '' THEN '/' ELSE p END), '{x.lower()}')" for x in FORBIDDEN)})""",
     "sitemap_urls": "SELECT DISTINCT 'http://' || lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]*)', 1)) AS site_url, url FROM pages",

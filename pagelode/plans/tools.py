@@ -82,7 +82,7 @@ class Tools:
         return "\n".join(out)
 
     def get_page(self, url: str) -> str:
-        rows = page_chunks(self.store.chunks(), url).collect()
+        rows = page_chunks(self.store.chunks(url), url).collect()
         if not rows:
             return f"No page found for {url}."
         head = [f"# {rows[0]['title'] or url}", f"URL: {url}", f"Captured: {rows[0]['capture_date']}", f"Chunks: {len(rows)}", ""]

@@ -44,27 +44,32 @@ def get_with_retry(fetch: Fetcher, url: str, retries: int = 3, first_delay: floa
     return None
 
 
-def fetched(urls: DataFrame, fetcher: Callable[[], Fetcher], concurrency: int = 4, delay_ms: int = 0, retries: int = 3, first_delay: float = 1.0) -> DataFrame:
-    """urls with html; null where nothing came. A host is fetched by one task, one page at a time; hosts run in parallel.
+def fetched(
+    urls: DataFrame, fetcher: Callable[[], Fetcher], concurrency: int = 4, delay_ms: int = 0, retries: int = 3, first_delay: float = 1.0, sleep=time.sleep
+) -> DataFrame:
+    """urls with html; null where nothing came. A host is fetched by one task, one page at a time; `concurrency` tasks run in parallel, which is
+    the number of pages under way at once.
 
-    urls may have crawl_delay_ms, a delay the host asks for; the longer of both delays holds.
+    Between two pages of a host there is a delay; urls may have crawl_delay_ms, a delay the host asks for; the longer one holds.
     """
     names = urls.columns
     schema = urls.schema.add("html", "string")
     has_delay = "crawl_delay_ms" in names
 
     def run(batches):
-        fetch = fetcher()
+        fetch, last = fetcher(), None
         for batch in batches:
             out = []
             delays = batch["crawl_delay_ms"].to_pylist() if has_delay else [None] * len(batch)
-            for url, own in zip(batch["url"].to_pylist(), delays):
-                if out and max(delay_ms, own or 0):
-                    time.sleep(max(delay_ms, own or 0) / 1000)
+            for url, own, host in zip(batch["url"].to_pylist(), delays, batch["_host"].to_pylist()):
+                if host == last and max(delay_ms, own or 0):
+                    sleep(max(delay_ms, own or 0) / 1000)
+                last = host
                 out.append(get_with_retry(fetch, url, retries, first_delay))
             yield pa.RecordBatch.from_arrays([*(batch[n] for n in names), pa.array(out, pa.string())], names=[*names, "html"])
 
-    return urls.repartition(concurrency, host_of(F.col("url"))).mapInArrow(run, schema)
+    by_host = urls.withColumn("_host", F.coalesce(host_of(F.col("url")), F.lit(""))).repartition(concurrency, "_host").sortWithinPartitions("_host")
+    return by_host.mapInArrow(run, schema)
 
 
 def from_snapshot(urls: DataFrame, pages: DataFrame) -> DataFrame:

@@ -138,6 +138,14 @@ def test_selectors(selector, tags):
     assert [n.tag for n in html.select(html.parse(PAGE), selector)] == tags
 
 
+def test_character_references_stay_as_they_are():
+    page = "<main title='a&amp;b &lt'>x &am; &am &amp &#38; &#x26 &copy&quot; & y<a href='/q?a=1&amp;b=2&c'>l</a><!-- &amp; --></main>"
+    root = html.parse(page)
+    assert root.outer_html() == page and root.children[0].attrs["title"] == "a&b <"
+    p = html.extract(page, "http://h/", html.Selectors(content="main"), "Text")
+    assert p.body_text == "x &am; &am & & & ©\" & y\nl" and p.links == ["http://h/q?a=1&b=2&c"]
+
+
 def test_deep_pages():
     deep = "<div>" * 5000 + "<b>x</b>" + "</div>" * 5000
     page = f"<main><h1>T</h1>{deep}</main>"

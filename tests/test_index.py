@@ -190,6 +190,30 @@ def test_fetched_column(spark):
     assert {r["url"]: r["html"] for r in got.collect()} == {"http://a/1": "page http://a/1", "http://a/2": None, "http://b/1": "page http://b/1"}
 
 
+def test_delays_hold_between_pages_of_a_host(spark):
+    """Also from one Arrow batch to the next, and not between hosts."""
+    import pyarrow as pa
+
+    waits, rows = [], [("http://a/1", "a"), ("http://a/2", "a"), ("http://b/1", "b"), ("http://b/2", "b")]
+
+    class Plan:  # runs what the workers get here
+        columns, schema = ["url"], spark.createDataFrame([], "url string").schema
+
+        def withColumn(self, *_):
+            return self
+
+        def repartition(self, *_):
+            return self
+
+        def sortWithinPartitions(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return list(run(pa.RecordBatch.from_pydict({"url": [u], "_host": [h]}) for u, h in rows))
+
+    assert len(fetch.fetched(Plan(), lambda: lambda u: (200, u), 2, 250, sleep=waits.append)) == 4 and waits == [0.25, 0.25]
+
+
 def test_config(tmp_path):
     path = tmp_path / "c.json"
     path.write_text('{ // note\n "Crawl": {"sites": [{"URL": "http://h/?a=//b,]", "maxDepth": 1, "mode": "TEXT",}, /* x */], "requestDelayMs": 5}, "embedding": {"provider": "ollama"},}')
@@ -280,6 +304,42 @@ def test_index_delta_and_replace(spark, store):
     assert len(store.versions()) == 1 and store.count() == 4
 
 
+def page_row(spark, *rows):
+    schema = "url string, title string, summary string, content_selector string, sections array<struct<heading:string,text:string>>, body_text string"
+    return spark.createDataFrame([(u, "t", "", "", [("h", x)] if x else [], x) for u, x in rows], schema)
+
+
+def test_only_touched_buckets_are_written(spark, store):
+    long = "words that make a chunk of enough length to be kept in the table"
+    urls = [f"http://h/{i}" for i in range(40)]
+    crawl.index_batch(page_row(spark, *((u, long) for u in urls)), store, provider, DAY1).collect()
+    one = store._latest()
+    report = crawl.index_batch(page_row(spark, (urls[0], ""), (urls[1], long + " more"), (urls[2], long), ("http://h/new", "")), store, provider, DAY2).first()
+    assert (report["pages_seen"], report["pages_stored"], report["chunks_stored"]) == (4, 1, 1)
+    two = store._latest()
+    moved = {b for b in one["chunks"] if two["chunks"].get(b) != one["chunks"][b]}
+    buckets = {r["b"] for r in spark.createDataFrame([(u,) for u in (*urls[:2], "http://h/new")], "url string").selectExpr("cast(conv(substr(md5(url), 1, 8), 16, 10) as long) % 64 as b").collect()}
+    assert moved <= set(map(str, buckets)) and len(moved) >= 1
+    held = {r["url"] for r in store.chunks().collect()}
+    assert held == set(urls[1:])  # the page that lost its text has no chunk left
+    pages = {r["url"]: (r["n_chunks"], r["capture_date"], r["last_checked"]) for r in store.pages().collect()}
+    assert pages[urls[0]] == (0, DAY2, DAY2) and pages["http://h/new"] == (0, DAY2, DAY2) and pages[urls[2]] == (1, DAY1, DAY2) and pages[urls[3]] == (1, DAY1, DAY1)
+    assert [r["url"] for r in store.chunks(urls[5]).where(F.col("url") == urls[5]).collect()] == [urls[5]]
+    again = crawl.index_batch(page_row(spark, (urls[0], "")), store, provider, DAY2).first()
+    assert again["pages_stored"] == 0 and store._latest()["chunks"] == two["chunks"]
+    store.vacuum(1)
+    assert store.count() == 39 and store.pages().count() == 41
+
+
+def test_a_page_that_fails_stays_as_it_was(spark, store):
+    long = "words that make a chunk of enough length to be kept in the table"
+    crawl.index_batch(page_row(spark, ("http://h/a", long), ("http://h/b", long)), store, lambda: Picky(16), DAY1).collect()
+    report = crawl.index_batch(page_row(spark, ("http://h/a", long + " bad"), ("http://h/b", long + " good")), store, lambda: Picky(16), DAY2).first()
+    assert (report["pages_stored"], report["pages_failed"]) == (1, 1)
+    assert {r["url"]: r["capture_date"] for r in store.chunks().collect()} == {"http://h/a": DAY1, "http://h/b": DAY2}
+    assert {r["url"]: r["capture_date"] for r in store.pages().collect()} == {"http://h/a": DAY1, "http://h/b": DAY2}
+
+
 def test_classify_and_replace(spark):
     old = spark.createDataFrame([("a", "1"), ("b", "2"), ("d", None)], "url string, content_hash string")
     new = spark.createDataFrame([("a", "1"), ("b", "3"), ("c", "4"), ("d", None)], "url string, content_hash string")
@@ -329,6 +389,8 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["search", "alpha", "--json", *shared], spark) == 0
     assert json.loads(capsys.readouterr().out)[0]["url"] == "http://h/a"
     assert cli.main(["search", "x", *shared, "--embedding-provider", "nope"], spark) == 1
+    assert cli.main(["crawl", "--due", *shared], spark, None) == 0  # crawled a moment ago: nothing is fetched
+    assert "no site is due" in capsys.readouterr().err
 
 
 def test_stream_of_snapshots(spark, store, tmp_path):
