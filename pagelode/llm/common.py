@@ -77,12 +77,19 @@ def held(key, make):
 
 def release() -> None:
     """Drops what the worker keeps, and hands free memory back to the system."""
-    import ctypes
     import gc
 
     if _held:
         _held.clear()
         gc.collect()
+    trim()
+
+
+def trim() -> None:
+    """Hands free memory back to the system: idle workers would keep it."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):
@@ -90,11 +97,12 @@ def release() -> None:
 
 
 def alone(run):
-    """A function for mapInArrow that first frees what other operators have left in the worker."""
+    """A function for mapInArrow that first frees what other operators have left in the worker, and leaves nothing itself."""
 
     def wrapped(batches):
         release()
         yield from run(batches)
+        trim()
 
     return wrapped
 

@@ -38,13 +38,17 @@ from pyspark.sql import functions as F
 from .common import BASE, alone, mixed, prefix_hashes, span_hashes, text_buffers, word_spans, work_path, written
 from .common import blocks as cut_blocks
 from .repeats import (
-    ANSWER, BLOB_SCHEMA, BLOCK_TEXT, FILES, FIRST_BLOCK, SENT, answers_of, blob_batch, buckets_for, by_target, dealt, gathered, ipc_bytes, own_files, pack, put,
+    ANSWER, BLOB_SCHEMA, FILES, FIRST_BLOCK, SENT, answers_of, blob_batch, buckets_for, by_target, dealt, gathered, ipc_bytes, own_files, pack, put,
     rows_of, unpack,
 )
 
 RUN = 8
 #: Pages and bytes of html that a task may get of one host, bytes of html for each task, and most rows of a table of hosts that is sent out.
-HOST_PAGES, HOST_BYTES, TASK_BYTES, BROADCAST_HOSTS = 500, 32 << 20, 32 << 20, 200_000
+HOST_PAGES, HOST_BYTES, TASK_BYTES, BROADCAST_HOSTS = 5000, 16 << 20, 32 << 20, 200_000
+#: Bytes of text in a block of pages of large hosts.
+PAGE_BLOCK = 2 << 20
+#: Bytes of html that are turned into text at a time.
+PART_BYTES = 4 << 20
 PLAIN_SHARE, PLAIN_MIN, PLAIN_MOST, MARKED_SHARE, MARKED_MIN, COPY = 0.2, 3, 10, 0.5, 5, 0.5
 
 _TAG = re.compile(
@@ -282,13 +286,23 @@ def suffix_array(tokens: np.ndarray, page: np.ndarray) -> tuple[np.ndarray, np.n
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     ends = np.searchsorted(page, page, side="right")
-    rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64)
-    ranks, step = [rank], 1
-    while step < int((ends - np.arange(n)).max()) and rank.max() < n - 1:
-        nxt = np.zeros(n, np.int64)
-        nxt[:-step] = np.where(page[step:] == page[:-step], rank[step:] + 1, 0)
-        rank = np.unique(rank * (n + 1) + nxt, return_inverse=True)[1].astype(np.int64)
+    order = np.argsort(tokens, kind="stable")
+    new = np.r_[True, tokens[order][1:] != tokens[order][:-1]]
+    rank = np.empty(n, np.int64)  # how many suffixes stand before those with the same beginning
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    ranks, step, longest = [rank], 1, int((ends - np.arange(n)).max())
+    open_ = order[~(new & np.r_[new[1:], True])]  # suffixes that others still equal
+    while len(open_) and step < longest:
+        after = np.where(open_ + step < ends[open_], rank[np.minimum(open_ + step, n - 1)] + 1, 0)
+        by = np.argsort(rank[open_] * (n + 1) + after, kind="stable")
+        at, after = open_[by], after[by]
+        own, number = rank[at], np.arange(len(at))
+        group = np.r_[True, own[1:] != own[:-1]]
+        new = group | np.r_[True, after[1:] != after[:-1]]
+        rank = rank.copy()
+        rank[at] = own + np.maximum.accumulate(np.where(new, number, 0)) - np.maximum.accumulate(np.where(group, number, 0))
         ranks.append(rank)
+        open_ = at[~(new & np.r_[new[1:], True])]
         step *= 2
     order = np.argsort(rank, kind="stable")
     a, b, common = order[1:].copy(), order[:-1].copy(), np.zeros(n - 1, np.int64)
@@ -346,6 +360,12 @@ class Streams:
         return texts
 
 
+def _pages_with(number: np.ndarray, page: np.ndarray, pages: int) -> np.ndarray:
+    """By number, how many distinct pages go with it."""
+    both = np.sort(number * pages + page)
+    return np.bincount(both[np.r_[True, both[1:] != both[:-1]]] // pages) if len(both) else np.zeros(0, np.int64)
+
+
 def host_texts(pages: list[tuple[int, list[str]]]) -> list[str]:
     """Texts of one host's (zone, blocks) pages without its boilerplate."""
     distinct: dict[tuple[str, ...], int] = {}
@@ -353,8 +373,9 @@ def host_texts(pages: list[tuple[int, list[str]]]) -> list[str]:
     first = {k: i for i, k in reversed(list(enumerate(which)))}
     streams = Streams([pages[first[k]] for k in range(len(distinct))])
     at, number = streams.beginnings()
-    on = np.unique(number * len(distinct) + streams.page[at])
-    pages_with = np.bincount(on // max(1, len(distinct)), minlength=int(number.max()) + 1 if len(number) else 0)
+    some = np.bincount(number)[number] >= PLAIN_MIN if len(number) else np.zeros(0, bool)  # fewer places than the least bar asks pages
+    at, number = at[some], number[some]
+    pages_with = _pages_with(number, streams.page[at], len(distinct))
     least = bar(streams.zone, np.int64(len(distinct)))
     often = at[pages_with[number] >= least[streams.page[at]]]
     texts = streams.texts(often)
@@ -366,7 +387,7 @@ TEXT_SCHEMA = "page_id long, url string, text string, n_chars long"
 
 
 def _extract(batches):
-    for batch in batches:
+    for batch in (part for whole in batches for part in _parts(whole)):
         zones, blocks = [], []
         for page in batch["html"].to_pylist():
             zone, own = main_blocks(page or "")
@@ -378,6 +399,13 @@ def _extract(batches):
         )
 
 
+def _parts(batch: pa.RecordBatch):
+    """Some pages of a batch at a time."""
+    _, offsets = text_buffers(batch["html"])
+    for i, j in cut_blocks(offsets, PART_BYTES):
+        yield batch.slice(i, j - i)
+
+
 def _texts(ids, urls, texts: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())],
@@ -463,8 +491,9 @@ def _send_counts(buckets: int):
             files = own_files(held)
             _, streams, counts, _, at, which, names = _block_streams(files)
             on = counts[streams.page[at]]
-            held_by = np.unique(which[on] * len(counts) + streams.page[at[on]]) // max(1, len(counts))
-            pages_with = np.bincount(held_by, minlength=len(names))
+            pages_with = np.zeros(len(names), np.int64)
+            held_by = _pages_with(which[on], streams.page[at[on]], len(counts))
+            pages_with[: len(held_by)] = held_by
             order, ends = dealt(names, buckets)
             packed = (names[order] // np.uint64(buckets)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
             out = []
@@ -526,7 +555,7 @@ def _large_hosts(rows: DataFrame, total: int, block_text: int) -> DataFrame:
     return gathered(answered, buckets).mapInArrow(alone(_clean_blocks(buckets)), TEXT_SCHEMA)
 
 
-def main_text(pages: DataFrame, host_pages: int = HOST_PAGES, host_bytes: int = HOST_BYTES, block_text: int = BLOCK_TEXT) -> DataFrame:
+def main_text(pages: DataFrame, host_pages: int = HOST_PAGES, host_bytes: int = HOST_BYTES, block_text: int = PAGE_BLOCK) -> DataFrame:
     """(page_id, url, text, n_chars)"""
     spark = pages.sparkSession
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#]*)", 1)), F.lit(""))
