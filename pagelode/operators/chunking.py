@@ -2,26 +2,38 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ..functions.text import MAX_TOKENS, MIN_TOKENS, chunk_texts_sql, with_heading
+from ..functions.text import MAX_TOKENS, MIN_TOKENS, chunked, with_heading
+
+
+def page_chunks(sections, body: str | None, most: int = MAX_TOKENS, least: int = MIN_TOKENS, utf16: bool = False) -> list[tuple[str, str]]:
+    """(heading, text) of a page's chunks. If no section gives a chunk, the body is chunked as one section without a heading."""
+    found = [(s["heading"], t) for s in sections or () for t in chunked(s["text"], most, least, utf16)]
+    return found or [("", t) for t in chunked(body, most, least, utf16)]
 
 
 def chunk_pages(pages: DataFrame, most: int = MAX_TOKENS, least: int = MIN_TOKENS, utf16: bool = False) -> DataFrame:
-    """pages (with sections and body_text) as one row a chunk: heading, chunk_text, chunk_index (dense from 0 per page).
+    """pages (with sections and body_text) as one row a chunk: heading, chunk_index (dense from 0 per page), chunk_text.
 
-    If no section gives a chunk, the body is chunked as one section without a heading. Pages without chunks give no row.
+    Pages without chunks give no row. One Arrow pass: a fold over strings copies them again and again as SQL.
     """
-    by_section = (
-        f"flatten(transform(sections, s -> transform({chunk_texts_sql('s.text', most, least, utf16)}, "
-        "t -> named_struct('heading', s.heading, 'text', t))))"
-    )
-    by_body = f"transform({chunk_texts_sql('body_text', most, least, utf16)}, t -> named_struct('heading', '', 'text', t))"
     names = [n for n in pages.columns if n not in ("heading", "chunk_text", "chunk_index", "sections", "body_text")]
-    # bound as a lambda's variable, so that the sections are packed once, not for the test and again for the value
-    once = f"element_at(transform(array({by_section}), found -> CASE WHEN size(found) > 0 THEN found ELSE {by_body} END), 1)"
-    rows = pages.withColumn("_c", F.expr(once))
-    return rows.select(*names, F.posexplode("_c").alias("chunk_index", "_x")).select(
-        *names, F.col("_x.heading").alias("heading"), "chunk_index", with_heading(F.col("_x.heading"), F.col("_x.text")).alias("chunk_text")
-    )
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*names).schema]
+    schema = ", ".join([*fields, "heading string, chunk_index int, chunk_text string"])
+
+    def run(batches):
+        for batch in batches:
+            row, index, headings, texts = [], [], [], []
+            for i, (sections, body) in enumerate(zip(batch["sections"].to_pylist(), batch["body_text"].to_pylist())):
+                for k, (heading, text) in enumerate(page_chunks(sections, body, most, least, utf16)):
+                    row.append(i)
+                    index.append(k)
+                    headings.append(heading)
+                    texts.append(with_heading(heading, text))
+            kept = batch.select(names).take(pa.array(row, pa.int32()))
+            own = [pa.array(headings, pa.string()), pa.array(index, pa.int32()), pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays([*kept.columns, *own], names=[*names, "heading", "chunk_index", "chunk_text"])
+
+    return pages.select(*names, "sections", "body_text").mapInArrow(run, schema)

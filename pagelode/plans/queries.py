@@ -251,7 +251,8 @@ def _doc_chunks(spark, sf_dir):
 
 
 def get_page(spark, sf_dir):
-    return page_chunks(_doc_chunks(spark, sf_dir), "doc://0").select("url", "title", "chunk_index", "chunk_text", "score")
+    page = chunk_pages(_doc_pages(spark, sf_dir).where("url = 'doc://0'")).withColumn("capture_date", F.lit(AS_OF).cast("timestamp"))
+    return page_chunks(page, "doc://0").select("url", "title", "chunk_index", "chunk_text", "score")
 
 
 def _page_rows(spark, sf_dir):
