@@ -39,9 +39,9 @@ from .repeats import (
 
 WINDOW, ROUNDS = 35, 3
 #: Stretches that a task compares at a time (more only if they have one anchor).
-COMPARED = 1 << 15
+COMPARED = 1 << 14
 _SIDE = [np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)]
-_FAR = np.int64(1 << 40)
+_FAR = np.int32(1 << 29)  # differences of two still fit
 
 
 class Level:
@@ -54,7 +54,7 @@ class Level:
 
 
 def word_level(names: np.ndarray) -> Level:
-    at = np.arange(len(names), dtype=np.int64)
+    at = np.arange(len(names), dtype=np.int32)
     return Level(names, at, at, at + 1)
 
 
@@ -77,8 +77,8 @@ def name_runs(level: Level, edge: np.ndarray, count: int) -> tuple[Level, np.nda
     n = level.names
     same = np.zeros(len(n), bool)
     same[1:] = (n[1:] == n[:-1]) & ~edge[1:]
-    begins = np.flatnonzero(~same)
-    ends = np.r_[begins[1:], len(n)]
+    begins = np.flatnonzero(~same).astype(np.int32)
+    ends = np.r_[begins[1:], np.int32(len(n))]
     size = ends - begins
     names = n[begins]
     many = size > 1
@@ -99,7 +99,7 @@ def name_pairs(level: Level, edge: np.ndarray, count: int) -> tuple[Level, np.nd
     head = np.zeros(len(n), bool)
     head[:-1] = ~right[:-1] & right[1:] & ~edge[1:]
     tail = _shift(head, 1, False)
-    begins = np.flatnonzero(~tail)
+    begins = np.flatnonzero(~tail).astype(np.int32)
     paired = head[begins]
     nxt = np.minimum(begins + 1, len(n) - 1)
     names = np.where(paired, _named(n[begins] * _SIDE[1] + n[nxt] * BASE + np.uint64(count + 77)), n[begins])
@@ -148,7 +148,7 @@ class Parsed:
 
     def __init__(self, raw: np.ndarray, offsets: np.ndarray, window: int, rounds: int = ROUNDS):
         self.window, self.raw = window, raw
-        self.starts, self.ends, self.doc = word_spans(raw, offsets)
+        self.starts, self.ends, self.doc = (x.astype(np.int32) if len(raw) < 1 << 29 else x for x in word_spans(raw, offsets))
         doc = self.doc
         n = len(doc)
         self.bounds = np.searchsorted(doc, np.arange(len(offsets)))

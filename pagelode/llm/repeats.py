@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import alone, blocks, filesystem, text_buffers, work_path, written
 
-BLOCK_TEXT, BUCKET_TEXT = 8 << 20, 16 << 20
+BLOCK_TEXT, BUCKET_TEXT = 4 << 20, 16 << 20
 BLOB_SCHEMA = "target long, kind int, blob binary"
 #: Numbers of blocks are above, those of buckets below.
 FIRST_BLOCK = 1 << 62
