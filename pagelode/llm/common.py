@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,36 +23,65 @@ _local_dir: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode a temporary one."""
+    """The folder that driver and executors share, as a URI: spark.checkpoint.dir, or in local mode a temporary one."""
     global _local_dir
     set_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if set_dir:
-        return set_dir.rstrip("/")
+    if set_dir:  # a path without a scheme is one of Spark's default file system, whatever Python would take it for
+        path = spark._jvm.org.apache.hadoop.fs.Path(set_dir)
+        return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if _local_dir is None:
         _local_dir = "file://" + tempfile.mkdtemp(prefix="pagelode-")
+        atexit.register(shutil.rmtree, _local_dir[len("file://") :], ignore_errors=True)
     return _local_dir
 
 
+#: Paths handed out and not deleted since.
+_made: list[str] = []
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, computed once: written to the shared folder and read again (lineage ends there)."""
     path = work_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.work_path = path
+    return out
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """name, with underscores before it until df has no such column."""
+    while name in df.columns:
+        name = f"_{name}"
+    return name
 
 
-def forget(df: DataFrame) -> None:
-    """Deletes a table that `written` has made and nothing reads any more."""
-    spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+def forget(spark: SparkSession, *tables: DataFrame | str) -> None:
+    """Deletes tables that `written` has made, or work paths, which nothing reads any more."""
+    for table in tables:
+        place = table if isinstance(table, str) else table.work_path
+        path = spark._jvm.org.apache.hadoop.fs.Path(place)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        if place in _made:
+            _made.remove(place)
+
+
+def mark() -> int:
+    """How many work paths there are: what comes later can be cleared by itself."""
+    return len(_made)
+
+
+def clear(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> int:
+    """Deletes what was written in between, once the results are; from the since-th path on, but for those to keep. Returns how many paths are left."""
+    forget(spark, *(p for p in _made[since:] if p not in keep))
+    return len(_made)
 
 
 def filesystem(uri: str):

@@ -5,8 +5,9 @@ any item. A document's words stream through it; the length of the longest match
 tracked, and words inside a match of `n` words or more (or of a whole item, if that is shorter) are hit.
 
 The items go to the workers in blocks of at most `BLOCK_WORDS` words, one automaton each; an item longer than a
-block is cut into pieces that overlap by n - 1 words, so no window is lost. The texts pass all blocks in one
-narrow stage each; nothing but the items is moved, and what is sent out is bounded by the block.
+block is cut into pieces that overlap by n - 1 words, so no window is lost. The texts pass up to `CHAINED` blocks in one
+narrow stage, where nothing but the items is moved. Of a larger benchmark that many blocks are sent out at a time, the rows
+with hits are written, and the hits of all blocks meet the documents at the end.
 
 Defined results: null or wordless items have no window; null text has no words; repeated items each count; null
 item ids are left out of the lists; extra columns pass through; empty tables give no hits.
@@ -17,14 +18,15 @@ from __future__ import annotations
 import hashlib
 import re
 import uuid
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held, texts_as_bytes
+from .common import held, texts_as_bytes, unused, written
 
-N, BLOCK_WORDS, MAX_COVERAGE = 10, 50_000, 0.5
+N, BLOCK_WORDS, CHAINED, MAX_COVERAGE = 10, 50_000, 4, 0.5
 #: Letters, digits and all bytes beyond ASCII are kept, A-Z lower-cased; all else separates words.
 _TABLE = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
@@ -197,13 +199,12 @@ def _prepared(docs: DataFrame) -> DataFrame:
     return docs.withColumn("hit_spans", F.array().cast(FOUND)).withColumn("hit_items", F.array().cast("array<string>"))
 
 
-def _scans(docs: DataFrame, benchmark: DataFrame, n: int, block_words: int) -> list:
-    """Per block of items, a function that adds its hits to batches of prepared docs."""
-    spark, names, out = docs.sparkSession, docs.columns, []
+def _scans(docs: DataFrame, benchmark: DataFrame, n: int, block_words: int):
+    """Per block of items, a function that adds its hits to batches of prepared docs, and the block's broadcast."""
     for block in item_blocks(benchmark, n, block_words):
-        shared, key = spark.sparkContext.broadcast(block), uuid.uuid4().hex
+        shared, key = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
 
-        def scan(batches, shared=shared, key=key):
+        def scan(batches, names, shared=shared, key=key):
             for batch in batches:
                 machine = held(key, lambda: SuffixAutomaton(shared.value, n))
                 spans, items = batch["hit_spans"].to_pylist(), batch["hit_items"].to_pylist()
@@ -216,26 +217,58 @@ def _scans(docs: DataFrame, benchmark: DataFrame, n: int, block_words: int) -> l
                 columns = [pa.array(new[c], batch[c].type) if c in new else batch[c] for c in names]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-        out.append(scan)
-    return out
+        yield scan, shared
+
+
+def _keyed(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with two hashes, 128 bits together, of id and text; rows with equal ones have equal hits."""
+    return rows.select("*", F.xxhash64("doc_id", "text").alias(keys[0]), F.xxhash64(F.lit("hits"), "text", "doc_id").alias(keys[1]))
+
+
+def _before_last(docs: DataFrame, benchmark: DataFrame, n: int, block_words: int) -> tuple[DataFrame, list]:
+    """docs with the hits of all blocks but the last CHAINED at most, and the scans of those. A task runs CHAINED scans at most, and as many
+    blocks are sent out at a time: the hits of more blocks are written first, those rows alone that have any, and joined to docs."""
+    chain, tables = [], []
+    own = docs.select("doc_id", "text", "hit_spans", "hit_items")
+    keys, spans, items = [unused(docs, "key"), unused(docs, "key2")], unused(docs, "spans"), unused(docs, "items")
+    for scan in _scans(docs, benchmark, n, block_words):
+        if len(chain) == CHAINED:
+            out = own
+            for run, _ in chain:
+                out = out.mapInArrow(partial(run, names=own.columns), own.schema)
+            hits = _keyed(out.where("size(hit_spans) > 0 OR size(hit_items) > 0"), keys).select(*keys, F.col("hit_spans").alias(spans), F.col("hit_items").alias(items))
+            tables.append(written(hits.dropDuplicates(keys), "hits"))
+            for _, shared in chain:
+                shared.destroy()
+            chain = []
+        chain.append(scan)
+    if tables:
+        found = tables[0]
+        for t in tables[1:]:
+            found = found.unionByName(t)
+        found = found.groupBy(*keys).agg(F.flatten(F.collect_list(spans)).alias(spans), F.array_sort(F.array_distinct(F.flatten(F.collect_list(items)))).alias(items))
+        found = written(found, "hits")
+        names = docs.columns
+        joined = _keyed(docs, keys).join(found, keys, "left")
+        new = {"hit_spans": F.coalesce(spans, "hit_spans"), "hit_items": F.coalesce(items, "hit_items")}
+        docs = joined.select(*(new[c].alias(c) if c in new else c for c in names))
+    return docs, [run for run, _ in chain]
 
 
 def marked(docs: DataFrame, benchmark: DataFrame, n: int = N, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs with hit_spans (ranges of words hit, not merged across blocks) and hit_items."""
-    out = _prepared(docs)
-    for scan in _scans(out, benchmark, n, block_words):
-        out = out.mapInArrow(scan, out.schema)
-    return out
+    return _marked_and(docs, benchmark, n, iter, None, block_words)
 
 
-def _marked_and(docs: DataFrame, benchmark: DataFrame, n: int, finish, schema) -> DataFrame:
+def _marked_and(docs: DataFrame, benchmark: DataFrame, n: int, finish, schema, block_words: int = BLOCK_WORDS) -> DataFrame:
     """finish over the batches of marked docs, in the same Python pass as the last block's scan."""
     out = _prepared(docs)
-    scans = _scans(out, benchmark, n, BLOCK_WORDS)
-    for scan in scans[:-1]:
-        out = out.mapInArrow(scan, out.schema)
-    last = scans[-1] if scans else iter
-    return out.mapInArrow(lambda batches: finish(last(batches)), schema)
+    out, chain = _before_last(out, benchmark, n, block_words)
+    names = out.columns
+    for scan in chain[:-1]:
+        out = out.mapInArrow(partial(scan, names=names), out.schema)
+    last = partial(chain[-1], names=names) if chain else iter
+    return out.mapInArrow(lambda batches: finish(last(batches)), schema or out.schema)
 
 
 def digests(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BASE, LOWER, alone, blocks, forget, mixed, prefix_hashes, span_hashes, text_buffers, word_spans, written
+from .common import BASE, LOWER, alone, blocks, forget, mixed, prefix_hashes, span_hashes, text_buffers, unused, word_spans, written
 
 WORDS, PERCENT = 4, 80
 BANDS, ROWS = 25, 4
@@ -232,7 +232,9 @@ def components(links: DataFrame) -> DataFrame:
     nothing changes; where the links are counted to be few, one task joins them at once."""
     edges = written(links.where("a != b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m")).distinct(), "edges")
     if edges.count() <= SMALL_EDGES:
-        return written(edges.repartition(1).mapInArrow(alone(_joined), "v long, component long"), "components")
+        out = written(edges.repartition(1).mapInArrow(alone(_joined), "v long, component long"), "components")
+        forget(edges.sparkSession, edges)
+        return out
     before = None
     while True:
         both = edges.select(F.col("v").alias("u"), F.col("m").alias("w")).unionByName(edges.select(F.col("m").alias("u"), F.col("v").alias("w")))
@@ -242,7 +244,7 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(least, "v")
         small = small.select("v", F.col("least").alias("m")).unionByName(small.where("m != least").select(F.col("m").alias("v"), F.col("least").alias("m")))
         edges, old = written(small.where("v != m").distinct(), "edges"), edges
-        forget(old)
+        forget(edges.sparkSession, old)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("v", "m").cast("decimal(38,0)"))).first()
         if now == before:
             break
@@ -390,7 +392,9 @@ def linked_classes(docs: DataFrame, classes: DataFrame, also: DataFrame | None,
     rest = written(several(found), "rest")
     short = _short_sets(nodes.join(rest.select("v").distinct(), "v", "left_semi"), words)
     near = written(by_block(rest.join(short, "v").select(*rest.columns, "short"), _links_within(percent)), "pairs")
-    return joined(found, written(confirmed(near, nodes, words, percent), "links"))
+    found = joined(found, written(confirmed(near, nodes, words, percent), "links"))
+    forget(docs.sparkSession, members, stars, nodes, likeliest, rest, near)
+    return found
 
 
 def _repeated_ids(own: DataFrame, classes: DataFrame) -> DataFrame | None:
@@ -438,7 +442,7 @@ def deduplicated(docs: DataFrame, words: int = 5, percent: int = PERCENT) -> Dat
     groups = classes.join(found, "v").groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("x")).select("x.*")
     single = classes.join(found, "v", "left_anti").select("doc_id", "text_key")
     free = own.where("set_key IS NULL OR doc_id IS NULL").select("doc_id", "text_key").distinct()
-    id_, key, one = (_unused(docs, name) for name in ("kept_id", "kept_key", "kept_one"))
+    id_, key, one = (unused(docs, name) for name in ("kept_id", "kept_key", "kept_one"))
     verdict = groups.unionByName(single).withColumn(one, F.lit(True)).unionByName(free.withColumn(one, F.lit(False)))
     verdict = verdict.withColumnsRenamed({"doc_id": id_, "text_key": key})
     rows = docs.join(verdict, F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(key)))
@@ -446,11 +450,5 @@ def deduplicated(docs: DataFrame, words: int = 5, percent: int = PERCENT) -> Dat
     return kept.unionByName(rows.where(~F.col(one))).select(*docs.columns)
 
 
-def _unused(docs: DataFrame, name: str) -> str:
-    while name in docs.columns:
-        name = f"_{name}"
-    return name
-
-
 def op4_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

@@ -112,6 +112,21 @@ def test_recall_at_the_threshold():
         assert abs(np.mean(agree) - 80) < 1 and abs(np.std(agree) - 4) < 0.6
 
 
+def test_tables_in_between_can_be_cleared(spark):
+    import os
+
+    from pagelode.llm import common
+
+    before = len(common._made)
+    out = near_dedup.linked(table(spark, hard_texts()))
+    n = out.count()
+    assert n == len(hard_texts()) and len(common._made) > before
+    kept = common.written(out, "kept")
+    paths = [common.filesystem(p)[1] for p in common._made[before:]]
+    assert common.clear(spark, before, (kept.work_path,)) == before + 1
+    assert [os.path.exists(p) for p in paths] == [p == common.filesystem(kept.work_path)[1] for p in paths] and kept.count() == n
+
+
 def test_empty(spark):
     assert near_dedup.linked(table(spark, [])).count() == 0
 

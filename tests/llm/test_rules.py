@@ -60,6 +60,18 @@ def test_hits_against_brute_force(spark):
         assert (sums[i]["n_words"], sums[i]["n_hit"], sums[i]["n_items"], sums[i]["contaminated"]) == (n, hit, len(items), hit > 0)
 
 
+def test_many_blocks_odd_items_and_repeated_rows(spark):
+    items = [(None, "seven words that stand in no list"), *ITEMS, *((100 + i, f"item {i} has its own words a{i} b{i} c{i} d{i} e{i} f{i} g{i}") for i in range(12))]
+    texts = ["x seven words that stand in no list y", items[-1][1] + " and " + items[-5][1], items[-1][1] + " and " + items[-5][1], None, "none"]
+    docs = table(spark, texts, ids=[1, 2, 2, 3, None]).withColumnRenamed("lang", "key")
+    one, many = decontam.marked(docs, bench(spark, items)), decontam.marked(docs, bench(spark, items), block_words=14)
+    assert one.schema == many.schema
+    rows = lambda df: sorted(((r["doc_id"], r["key"], decontam._merged([(x["a"], x["b"]) for x in r["hit_spans"]]), r["hit_items"]) for r in df.collect()), key=repr)
+    assert rows(one) == rows(many)
+    got = {r[0]: r[2:] for r in rows(one)}
+    assert got[1] == ([(1, 8)], []) and got[2][1] == ["107", "111"] and got[3] == ([], []) and got[None] == ([], [])
+
+
 def test_spans_are_cut(spark):
     long = "clean words before, " * 5
     docs = table(spark, [long + ITEMS[0][1] + " after", ITEMS[0][1], "nothing here", None]).withColumnRenamed("lang", "hit_items")
