@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pagelode import reach_workers
 from pagelode.llm import bpe, decontam, near_dedup, quality, recompress
-from pagelode.llm.common import work_path
+from pagelode.llm.common import clear, forget, mark, work_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,9 +55,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Each stage's rows are written; what a stage has written on its way goes with the rows it was given."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = work_path(spark, name)
+        since = mark()
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        clear(spark, since)
+        if before:
+            forget(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
