@@ -47,53 +47,60 @@ def results(found: DataFrame) -> DataFrame:
     return found.select("score", text("url").alias("url"), text("title").alias("title"), text("heading").alias("heading"), text("chunk_text").alias("text"), text("capture_date").alias("capture_date"))
 
 
-def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int, threshold: float | None = None, id_col: str = "vec_id", query_col: str = "query_id", vector: str = "embedding", block_rows: int = 2048) -> DataFrame:
-    """(query_id, id, score, rank) for many queries. Queries are cut into blocks of vectors that are known to fit; each block meets
-    every row once as a matrix product, and only each partition's k best per query leave it."""
+def top_k_batch(
+    vectors: DataFrame, queries: DataFrame, k: int, threshold: float | None = None, id_col: str = "vec_id", query_col: str = "query_id",
+    vector: str = "embedding", block_rows: int = 256, send_bytes: int = 64 << 20,
+) -> DataFrame:
+    """(query_id, id, score, rank) for many queries. Up to `send_bytes` of queries go out at a time and meet every row in one scan, in blocks of
+    `block_rows` as matrix products; only each partition's k best per query leave it. Queries pass through the driver in parts of that size."""
     import numpy as np
     import pyarrow as pa
 
     spark = vectors.sparkSession
     rows = vectors.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    parts, block = [], []
+
+    def units(m):
+        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
 
     def best(ids, matrix):
-        shared = spark.sparkContext.broadcast((np.array(ids), np.array(matrix, float)))
+        shared = spark.sparkContext.broadcast((np.array(ids), units(np.array(matrix, float))))
 
         def run(batches):
             q_ids, q = shared.value
-            q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-            held = []
+            cuts = range(0, len(q), block_rows)
+            held = {c: (np.empty((len(q[c : c + block_rows]), 0), np.int64), np.empty((len(q[c : c + block_rows]), 0))) for c in cuts}
             for batch in batches:
                 if not len(batch):
                     continue
                 own = batch["id"].to_numpy()
-                v = batch["v"].values.to_numpy()[: len(own) * q.shape[1]].reshape(len(own), -1) if not batch["v"].offset else np.array(batch["v"].to_pylist())
-                scores = q @ (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)).T
-                held.append((own, scores))
-                if sum(len(x[0]) for x in held) > 8192:
-                    held = [keep(held)]
-            if held:
-                own, scores = keep(held)
-                n = scores.shape[1]
-                ids_ = own if own.ndim == 2 else np.broadcast_to(own, scores.shape)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(q_ids, n)), pa.array(np.ascontiguousarray(ids_).ravel()), pa.array(scores.ravel())], names=["q", "id", "score"]
-                )
-
-        def keep(held):
-            ids_ = np.concatenate([x[0] if x[0].ndim == 2 else np.broadcast_to(x[0], x[1].shape) for x in held], axis=1)
-            scores = np.concatenate([x[1] for x in held], axis=1)
-            order = np.lexsort((ids_, -scores), axis=1)[:, :k]
-            return np.take_along_axis(ids_, order, 1), np.take_along_axis(scores, order, 1)
+                flat = batch["v"].flatten().to_numpy()
+                v = units(flat.reshape(len(own), -1)).T
+                for c in cuts:
+                    scores = q[c : c + block_rows] @ v
+                    near = np.argpartition(-scores, k - 1, axis=1)[:, :k] if scores.shape[1] > 4 * k else None
+                    if near is not None:  # all that equals the k-th best stays, so that ties go by id
+                        least = np.take_along_axis(scores, near, 1).min(axis=1)
+                        some = np.flatnonzero((scores >= least[:, None]).any(axis=0))
+                        scores, ids_ = scores[:, some], own[some]
+                    else:
+                        ids_ = own
+                    a = np.concatenate([held[c][0], np.broadcast_to(ids_, scores.shape)], axis=1)
+                    b = np.concatenate([held[c][1], scores], axis=1)
+                    order = np.lexsort((a, -b), axis=1)[:, :k]
+                    held[c] = np.take_along_axis(a, order, 1), np.take_along_axis(b, order, 1)
+            for c, (a, b) in held.items():
+                if a.shape[1]:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids[c : c + block_rows], a.shape[1])), pa.array(a.ravel()), pa.array(b.ravel())], names=["q", "id", "score"])
 
         return rows.mapInArrow(run, "q long, id long, score double")
 
+    parts, block, held = [], [], 0
     for row in queries.select(F.col(query_col).cast("long").alias("q"), F.col(vector).cast("array<double>").alias("v")).toLocalIterator():
         block.append((row["q"], row["v"]))
-        if len(block) == block_rows:
+        held += 8 * len(row["v"])
+        if held >= send_bytes:
             parts.append(best(*zip(*block)))
-            block = []
+            block, held = [], 0
     if block:
         parts.append(best(*zip(*block)))
     if not parts:
