@@ -141,6 +141,15 @@ def test_main_text_table(spark):
     assert html_text.main_text(pages(spark, [])).count() == 0
 
 
+def test_clashing_names_and_odd_rows(spark):
+    rows = [(i, f"http://h/{i}", f"<p>own text {i}<p>please read our terms of use before you go on with this page") for i in range(6)] + [(None, None, None)] * 2
+    expect = [(None, "", 0)] * 2 + [(i, f"own text {i}", 10) for i in range(6)]
+    docs = pages(spark, rows).selectExpr("*", "1 AS host", "2 AS zone", "3 AS blocks", "4 AS n", "5 AS text")
+    for most in (100, 0):  # in one task, and in blocks
+        got = html_text.main_text(docs, host_pages=most).collect()
+        assert sorted(((r["page_id"], r["text"], r["n_chars"]) for r in got), key=repr) == sorted(expect, key=repr)
+
+
 def test_loser_tree_merges():
     import random
 

@@ -121,6 +121,14 @@ def test_token_files_empty_null_and_repeated(spark):
     assert sorted(r["start"] for r in got) == [0, 1, 3, 5] and sum(r["doc_id"] is None for r in got) == 1
 
 
+def test_token_files_with_clashing_names(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = table(spark, ["one two", None, "three"]).selectExpr("*", "1 AS _h", "2 AS file", "3 AS first", "4 AS part", "5 AS start")
+    got = token_files.read_digests(token_files.write_tokens(docs, work_path(spark, "t"), path)).collect()
+    plain = token_files.read_digests(token_files.write_tokens(table(spark, ["one two", None, "three"]), work_path(spark, "t"), path)).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, plain)) and len(got) == 3
+
+
 def test_special_tokens_as_text(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
