@@ -207,7 +207,7 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, words: int, percent: int) -> D
         .select(F.col("a").alias("center"), "salt", F.lit(0).alias("own"), F.col("a").alias("node"), "text", "regs")
     )
     rows = members.unionByName(centers).repartition("center", "salt").sortWithinPartitions("center", "salt", "own")
-    return rows.mapInArrow(alone(_confirm(words, percent)), "a long, b long").distinct()
+    return rows.mapInArrow(alone(_confirm(words, percent)), "a long, b long")
 
 
 def _joined(batches):
@@ -356,7 +356,7 @@ def linked_classes(docs: DataFrame, classes: DataFrame, also: DataFrame | None,
     """(v, component) of the classes with links; also: links (a, b) that hold anyway."""
     band = F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(regs, i * {2 * ROWS} + 1, {2 * ROWS})))")
     banded = classes.select("v", F.posexplode(band).alias("band", "bucket"))
-    shared = banded.groupBy("bucket").agg(F.min("v").alias("first"), F.count("*").alias("n")).where("n > 1")
+    shared = written(banded.groupBy("bucket").agg(F.min("v").alias("first"), F.count("*").alias("n")).where("n > 1"), "shared-buckets")
     members = written(banded.join(shared, "bucket").select("bucket", "band", "v", "first", "n"), "buckets")
     stars = written(members.where("v != first").select(F.col("first").alias("a"), F.col("v").alias("b")).distinct(), "stars")
     regs = classes.select("v", "n_shingles", "regs")
@@ -393,7 +393,7 @@ def linked_classes(docs: DataFrame, classes: DataFrame, also: DataFrame | None,
     short = _short_sets(nodes.join(rest.select("v").distinct(), "v", "left_semi"), words)
     near = written(by_block(rest.join(short, "v").select(*rest.columns, "short"), _links_within(percent)), "pairs")
     found = joined(found, written(confirmed(near, nodes, words, percent), "links"))
-    forget(docs.sparkSession, members, stars, nodes, likeliest, rest, near)
+    forget(docs.sparkSession, shared, members, stars, nodes, likeliest, rest, near)
     return found
 
 
