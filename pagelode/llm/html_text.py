@@ -44,7 +44,7 @@ from .repeats import (
 
 RUN = 8
 #: Pages and bytes of html that a task may get of one host, bytes of html for each task, and most rows of a table of hosts that is sent out.
-HOST_PAGES, HOST_BYTES, TASK_BYTES, BROADCAST_HOSTS = 5000, 16 << 20, 32 << 20, 200_000
+HOST_PAGES, HOST_BYTES, TASK_BYTES, BROADCAST_HOSTS = 3000, 16 << 20, 32 << 20, 200_000
 #: Bytes of text in a block of pages of large hosts.
 PAGE_BLOCK = 2 << 20
 #: Bytes of html that are turned into text at a time.
