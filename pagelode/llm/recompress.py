@@ -11,8 +11,9 @@ a window is found in every copy of the window.
    which of its symbols exist in another place. A symbol met once kills every window that it is decided in, and nothing
    is formed of it any more: from round to round fewer and longer symbols remain, those of the long repeats.
 2. A window of `WINDOW` words that is left takes as its anchor the least of the highest-level symbols decided within it (told apart by all
-   words that decide it). Consecutive windows with one anchor make a stretch, whose words go to the bucket of the
-   anchor, equal stretches of a block once.
+   words that decide it). Consecutive windows with one anchor make a stretch, whose words go to the bucket of the anchor,
+   equal stretches of a block once, unless the anchor is met nowhere else. Of a hot anchor, the windows that one more round
+   finds elsewhere are sent, each to the bucket of its own name.
 3. In a bucket, windows that hold the same symbol at the same distance are compared word by word: names only bring windows together,
    and a collision of names joins nothing.
 4. The answers return to their block, become ranges of words, and meet the texts in the block's file.
@@ -33,11 +34,12 @@ from pyspark.sql import functions as F
 
 from .common import BASE, _INVERSE, _Powers, _powers, alone, mixed, prefix_hashes, span_hashes, texts_as_bytes, word_spans
 from .repeats import (
-    ANSWER, BLOB_SCHEMA, FILES, FIRST_BLOCK, SENT, Blocks, answers_of, blob_batch, by_target, dealt, get, marked, meet, met, named, own_files, pack, put, ranges_by_row,
-    rows_of, runs, steps, sub_blocks, unpack,
+    ANSWER, BLOB_SCHEMA, FILES, LATE, MET, SENT, Blocks, answers_of, blob_batch, buckets_of, by_target, dealt, get, marked, meet, met, named, own_files, pack, put,
+    ranges_by_row, rows_of, runs, steps, sub_blocks, unpack,
 )
 
 WINDOW, ROUNDS = 35, 3
+HOT_ONES = 16  # a row that tells a block which of its stretches have a hot anchor
 #: Stretches that a task compares at a time (more only if they have one anchor).
 COMPARED = 1 << 14
 _SIDE = [np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)]
@@ -238,7 +240,7 @@ def _known(data: bytes) -> list[np.ndarray]:
 
 def _after_rounds(held, batch: pa.RecordBatch, window: int, rounds: int, buckets: int) -> tuple[list[tuple[int, Parsed]], list[np.ndarray]]:
     """The parts of a block, parsed `rounds` levels high, with what the rounds so far have found; and that, a bit a name, for the rounds to come."""
-    files, answers = own_files(held), answers_of(held)
+    files, answers = own_files(held), answers_of(held, MET)
     known = _known(files.partition(b"\n")[2])
     parts = [(i, Parsed(raw, offs, window, rounds)) for i, raw, offs in sub_blocks(batch)]
     r = 0
@@ -246,7 +248,7 @@ def _after_rounds(held, batch: pa.RecordBatch, window: int, rounds: int, buckets
         r += 1
         names = [p.offered(r) for _, p in parts]
         if r > len(known):
-            known.append(met(np.concatenate([np.empty(0, np.uint64), *names]), answers, buckets))
+            known.append(met(np.concatenate([np.empty(0, np.uint64), *names]), answers, buckets)[0])
             answers = []
         at = 0
         for (_, p), own in zip(parts, names):
@@ -274,14 +276,71 @@ def _send_names(window: int, r: int, buckets: int):
 _HEAD = np.dtype([("anchor", "<u8"), ("at", "<u4"), ("size", "<u4"), ("left", "u1"), ("windows", "u1"), ("twice", "u1")])
 
 
-def _send_stretches(window: int, rounds: int, buckets: int, folder: str):
-    """Blocks: the words of what is left go to the buckets of their anchors; where they stand is kept in a file."""
+class _Pieces:
+    """Distinct stretches of a block: heads, and their words."""
+
+    def __init__(self, heads: np.ndarray, texts: list[bytes]):
+        self.heads, self.texts = heads, texts
+
+    def packed(self, first: np.ndarray, *more: np.ndarray) -> bytes:
+        """first: two numbers, of which the second is that of the stretches; more: what follows the heads."""
+        own = [self.heads[name] for name in _HEAD.names]
+        return pack(first, *own, *more, np.frombuffer(b"".join(self.texts), np.uint8))
+
+    @classmethod
+    def read(cls, data: bytes, *more: tuple[str, int]) -> tuple[_Pieces, list[np.ndarray]]:
+        n, at = int(np.frombuffer(data, "<i8", 2)[1]), 16
+        heads, extra = np.zeros(n, _HEAD), []
+        for name in _HEAD.names:
+            heads[name] = np.frombuffer(data, _HEAD[name], n, at)
+            at += n * _HEAD[name].itemsize
+        for kind, count in more:
+            extra.append(np.frombuffer(data, kind, count, at))
+            at += extra[-1].nbytes
+        ends = at + np.cumsum(heads["size"].astype(np.int64))
+        return cls(heads, [data[s:e] for s, e in zip((ends - heads["size"]).tolist(), ends.tolist())]), extra
+
+    def sent(self, block: int, which: np.ndarray, buckets: int) -> list[tuple[int, int, bytes]]:
+        """Those numbered, to the buckets of their anchors."""
+        by, ends = dealt(self.heads["anchor"][which], buckets)
+        out = []
+        for b, (s, e) in enumerate(zip(np.r_[0, ends[:-1]].tolist(), ends.tolist())):
+            if e > s:
+                sel = which[by[s:e]]
+                out.append((b, SENT, _Pieces(self.heads[sel], [self.texts[x] for x in sel.tolist()]).packed(np.array([block, e - s], "<i8"))))
+        return out
+
+
+def _heads(anchors, lefts, windows, twice, texts: list[bytes]) -> np.ndarray:
+    out = np.zeros(len(texts), _HEAD)
+    out["anchor"], out["left"], out["windows"], out["twice"] = np.array(anchors, np.uint64), lefts, windows, twice
+    out["at"], out["size"] = np.arange(len(texts)), [len(x) for x in texts]
+    return out
+
+
+def _table(uri: bytes) -> tuple[_Pieces, np.ndarray, np.ndarray, np.ndarray]:
+    """(stretches, and per place: number of the stretch, first word, row of the block)"""
+    data = unpack(get(uri.decode()))
+    n = int(np.frombuffer(data, "<i8", 1)[0])
+    pieces, places = _Pieces.read(data, ("<u4", n), ("<u4", n), ("<u4", n))
+    return pieces, *(x.astype(np.int64) for x in places)
+
+
+def _late_table(uri: bytes) -> tuple[_Pieces, np.ndarray]:
+    """(windows of hot anchors; per window of the hot stretches, in order: its number)"""
+    data = unpack(get(uri.decode()))
+    pieces, (which,) = _Pieces.read(data, ("<u4", int(np.frombuffer(data, "<i8", 1)[0])))
+    return pieces, which.astype(np.int64)
+
+
+def _send_anchors(window: int, rounds: int, buckets: int, folder: str):
+    """Blocks: what the rounds have left is kept in a file, as stretches and where they stand; the names of their anchors are sent."""
 
     def run(batches):
         for block, held in by_target(batches):
             path = own_files(held).partition(b"\n")[0]
             found: dict[tuple, int] = {}
-            often, group, starts, rows = [], [], [], []
+            often, group, starts, rows = [], [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for i, p in _after_rounds(held, rows_of(path), window, rounds, buckets)[0]:
                 w = p.alive()
                 if not len(w):
@@ -305,21 +364,76 @@ def _send_stretches(window: int, rounds: int, buckets: int, folder: str):
                 rows.append(d + i)
                 starts.append(w - p.bounds[d])
             if not found:
-                yield blob_batch([(block, FILES, path + b"\n")])
+                yield blob_batch([(block, FILES, path + b"\n\n")])
                 continue
-            heads = np.zeros(len(found), _HEAD)
             texts = [k[3] for k in found]
-            heads["anchor"], heads["left"], heads["windows"] = (np.array([k[j] for k in found], t) for j, t in enumerate(("<u8", "u1", "u1")))
-            heads["at"], heads["size"], heads["twice"] = np.arange(len(found)), [len(x) for x in texts], often
-            by, ends = dealt(heads["anchor"], buckets)
-            out = []
-            for b, (s, e) in enumerate(zip(np.r_[0, ends[:-1]].tolist(), ends.tolist())):
-                if e > s:
-                    sel = by[s:e]
-                    own = [heads[sel][name] for name in _HEAD.names]
-                    out.append((b, SENT, pack(np.array([block, e - s], "<i8"), *own, np.frombuffer(b"".join([texts[x] for x in sel.tolist()]), np.uint8))))
-            table = [np.array([len(found), len(group)], "<i8"), heads["windows"], heads["twice"], np.array(group, "<u4"), np.concatenate(starts).astype("<u4"), np.concatenate(rows).astype("<u4")]
-            yield blob_batch([*out, (block, FILES, path + b"\n" + put(folder, pack(*table)).encode())])
+            pieces = _Pieces(_heads(*([k[j] for k in found] for j in range(3)), often, texts), texts)
+            group = np.array(group, "<u4")
+            kept = pieces.packed(np.array([len(group), len(found)], "<i8"), group, np.concatenate(starts).astype("<u4"), np.concatenate(rows).astype("<u4"))
+            names = pieces.heads["anchor"][group]
+            yield blob_batch([*named(block, names, buckets, group.astype(np.uint64)), (block, FILES, path + b"\n" + put(folder, kept).encode() + b"\n")])
+
+    return run
+
+
+def _send_stretches(window: int, buckets: int, folder: str):
+    """Blocks: the stretches whose anchor is met elsewhere go to its bucket; of a hot anchor, the names of their windows."""
+
+    def run(batches):
+        for block, held in by_target(batches):
+            files = own_files(held)
+            path, table, _ = files.split(b"\n")
+            if not table:
+                yield blob_batch([(block, FILES, files)])
+                continue
+            pieces, group, _, _ = _table(table)
+            shared, hot = (x[np.unique(group, return_index=True)[1]] for x in met(pieces.heads["anchor"][group], answers_of(held, MET), buckets))
+            out, late = pieces.sent(block, np.flatnonzero(shared & ~hot), buckets), b""
+            found: dict[bytes, int] = {}
+            which, twice = [], []
+            for k in np.flatnonzero(shared & hot).tolist():
+                text, more = pieces.texts[k], bool(pieces.heads["twice"][k])
+                begin = [0, *(m.end() for m in re.finditer(b" ", text))]
+                for t in range(int(pieces.heads["windows"][k])):
+                    own = text[begin[t] : begin[t + window]]
+                    j = found.get(own)
+                    if j is None:
+                        j = found[own] = len(found)
+                        twice.append(more)
+                    else:
+                        twice[j] = True
+                    which.append(j)
+            if found:
+                texts = list(found)
+                names = _window_names(texts)
+                singles = _Pieces(_heads(names, 0, 1, twice, texts), texts)
+                late = put(folder, singles.packed(np.array([len(which), len(texts)], "<i8"), np.array(which, "<u4"))).encode()
+                out += named(block, np.repeat(names, np.array(twice) + 1), buckets)
+            hot_ones = np.packbits(shared & hot).tobytes()
+            yield blob_batch([*out, (block, FILES, path + b"\n" + table + b"\n" + late), (block, HOT_ONES, hot_ones)])
+
+    return run
+
+
+def _window_names(texts: list[bytes]) -> np.ndarray:
+    raw, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(x) for x in texts])
+    prefix, starts = prefix_hashes(raw), ends - [len(x) for x in texts]
+    return _named((prefix[ends] - prefix[starts]) * _Powers.get(len(prefix))[1][starts])
+
+
+def _send_late(buckets: int):
+    """Blocks: of the windows with hot anchors, those met elsewhere go to the buckets of their own names."""
+
+    def run(batches):
+        for block, held in by_target(batches):
+            files, out = own_files(held), []
+            late = files.split(b"\n")[2]
+            if late:
+                singles, _ = _late_table(late)
+                repeats = singles.heads["twice"].astype(np.int64) + 1
+                elsewhere = met(np.repeat(singles.heads["anchor"], repeats), answers_of(held, MET), buckets)[0][np.cumsum(repeats) - 1]
+                out = singles.sent(block, np.flatnonzero(elsewhere), buckets)
+            yield blob_batch([*out, *((block, kind, x) for kind, x in held if kind in (FILES, ANSWER, HOT_ONES))])
 
     return run
 
@@ -369,85 +483,79 @@ def _same_windows(heads: np.ndarray, texts: list[bytes], window: int) -> np.ndar
     return out
 
 
-def _compare(window: int):
-    """Buckets: stretches met in several blocks, and windows that distinct stretches share. What is addressed to a block passes on."""
-
-    def run(batches):
-        for target, held in by_target(batches):
-            if target >= FIRST_BLOCK:
-                yield blob_batch([(target, kind, x) for kind, x in held])
-                continue
-            sources, heads, texts, source = [], [], [], []
-            for i, (_, x) in enumerate(held):
-                x = unpack(x)
-                block, n = np.frombuffer(x, "<i8", 2).tolist()
-                sources.append(block)
-                rows, at = np.zeros(n, _HEAD), 16
-                for name in _HEAD.names:
-                    rows[name] = np.frombuffer(x, _HEAD[name], n, at)
-                    at += n * _HEAD[name].itemsize
-                ends = at + np.cumsum(rows["size"].astype(np.int64))
-                texts += [x[s:e] for s, e in zip((ends - rows["size"]).tolist(), ends.tolist())]
-                heads.append(rows)
-                source.append(np.full(n, i, np.int32))
-            heads, source = np.concatenate(heads), np.concatenate(source)
-            order = np.argsort(heads["anchor"], kind="stable")
-            names = heads["anchor"][order]
-            at = 0
-            while at < len(order):
-                end = min(at + COMPARED, len(order))
-                end = int(np.searchsorted(names, names[end - 1], side="right"))
-                sel = order[at:end]
-                at = end
-                found: dict[tuple, int] = {}
-                kind, first, count = [], [], []
-                for i, key in zip(sel.tolist(), zip(heads["anchor"][sel].tolist(), heads["left"][sel].tolist(), heads["windows"][sel].tolist(), [texts[k] for k in sel.tolist()])):
-                    k = found.get(key)
-                    if k is None:
-                        k = found[key] = len(found)
-                        first.append(i)
-                        count.append(0)
-                    count[k] += 1
-                    kind.append(k)
-                kind, first, count = np.array(kind), np.array(first), np.array(count)
-                windows = heads["windows"][first].astype(np.int64)
-                begin = np.cumsum(windows) - windows
-                hit = np.repeat(count > 1, windows)
-                anchor = heads["anchor"][first]
-                several = np.flatnonzero(np.r_[False, anchor[1:] == anchor[:-1]] | np.r_[anchor[1:] == anchor[:-1], False])
-                if len(several):
-                    own = np.repeat(begin[several], windows[several]) + steps(windows[several])
-                    hit[own] |= _same_windows(heads[first[several]], [texts[k] for k in first[several].tolist()], window)
-                asked = np.flatnonzero(heads["twice"][sel] == 0)
-                size = windows[kind[asked]]
-                owner, t = np.repeat(asked, size), steps(size)
-                yes = hit[begin[kind[owner]] + t]
-                out = runs(owner[yes], t[yes])
-                where = source[sel[out["at"]]]
-                out["at"] = heads["at"][sel[out["at"]]]
-                by = np.argsort(where, kind="stable")
-                out, where = out[by], where[by]
-                bounds = np.searchsorted(where, np.arange(len(held) + 1))
-                answers = [(sources[i], ANSWER, out[s:e].tobytes()) for i, (s, e) in enumerate(zip(bounds[:-1], bounds[1:])) if e > s]
-                if answers:
-                    yield blob_batch(answers)
+def _compare(window: int, answer: int = ANSWER):
+    """Of a bucket's pieces: stretches met in several blocks, and windows that distinct stretches share."""
+
+    def run(blobs):
+        sources, heads, texts, source = [], [], [], []
+        for i, x in enumerate(blobs):
+            x = unpack(x)
+            sources.append(int(np.frombuffer(x, "<i8", 1)[0]))
+            pieces, _ = _Pieces.read(x)
+            texts += pieces.texts
+            heads.append(pieces.heads)
+            source.append(np.full(len(pieces.heads), i, np.int32))
+        heads, source = np.concatenate(heads), np.concatenate(source)
+        order = np.argsort(heads["anchor"], kind="stable")
+        names = heads["anchor"][order]
+        at = 0
+        while at < len(order):
+            end = min(at + COMPARED, len(order))
+            end = int(np.searchsorted(names, names[end - 1], side="right"))
+            sel = order[at:end]
+            at = end
+            found: dict[tuple, int] = {}
+            kind, first, count = [], [], []
+            for i, key in zip(sel.tolist(), zip(heads["anchor"][sel].tolist(), heads["left"][sel].tolist(), heads["windows"][sel].tolist(), [texts[k] for k in sel.tolist()])):
+                k = found.get(key)
+                if k is None:
+                    k = found[key] = len(found)
+                    first.append(i)
+                    count.append(0)
+                count[k] += 1
+                kind.append(k)
+            kind, first, count = np.array(kind), np.array(first), np.array(count)
+            windows = heads["windows"][first].astype(np.int64)
+            begin = np.cumsum(windows) - windows
+            hit = np.repeat(count > 1, windows)
+            anchor = heads["anchor"][first]
+            several = np.flatnonzero(np.r_[False, anchor[1:] == anchor[:-1]] | np.r_[anchor[1:] == anchor[:-1], False])
+            if len(several):
+                own = np.repeat(begin[several], windows[several]) + steps(windows[several])
+                hit[own] |= _same_windows(heads[first[several]], [texts[k] for k in first[several].tolist()], window)
+            asked = np.flatnonzero(heads["twice"][sel] == 0)
+            size = windows[kind[asked]]
+            owner, t = np.repeat(asked, size), steps(size)
+            yes = hit[begin[kind[owner]] + t]
+            out = runs(owner[yes], t[yes])
+            where = source[sel[out["at"]]]
+            out["at"] = heads["at"][sel[out["at"]]]
+            by = np.argsort(where, kind="stable")
+            out, where = out[by], where[by]
+            bounds = np.searchsorted(where, np.arange(len(blobs) + 1))
+            answers = [(sources[i], answer, out[s:e].tobytes()) for i, (s, e) in enumerate(zip(bounds[:-1], bounds[1:])) if e > s]
+            if answers:
+                yield blob_batch(answers)
 
     return run
 
 
 def _block_ranges(held, window: int) -> dict[int, np.ndarray]:
     """Row of the block -> ranges of words covered by windows that occur twice or more."""
-    table = own_files(held).partition(b"\n")[2]
+    _, table, late = own_files(held).split(b"\n")
     if not table:
         return {}
-    table = unpack(get(table.decode()))
-    m, n = np.frombuffer(table, "<i8", 2).tolist()
-    windows, twice = np.frombuffer(table, "u1", 2 * m, 16).reshape(2, m).astype(np.int64)
-    group, starts, rows = np.frombuffer(table, "<u4", 3 * n, 16 + 2 * m).reshape(3, n).astype(np.int64)
+    pieces, group, starts, rows = _table(table)
+    windows = pieces.heads["windows"].astype(np.int64)
     first, hit = marked(answers_of(held), windows)
-    hit |= np.repeat(twice > 0, windows)
+    hit |= np.repeat(pieces.heads["twice"] > 0, windows)
+    if late:
+        singles, which = _late_table(late)
+        _, found = marked(answers_of(held, LATE), singles.heads["windows"].astype(np.int64))
+        hot = np.unpackbits(np.frombuffer(next(x for kind, x in held if kind == HOT_ONES), np.uint8), count=len(windows)).astype(bool)
+        hit[np.flatnonzero(np.repeat(hot, windows))] |= (found | (singles.heads["twice"] > 0))[which]
     size = windows[group]
-    owner, t = np.repeat(np.arange(n), size), steps(size)
+    owner, t = np.repeat(np.arange(len(group)), size), steps(size)
     yes = hit[first[group[owner]] + t]
     owner, t = owner[yes], t[yes]
     return ranges_by_row(rows[owner], starts[owner] + t, window)
@@ -458,7 +566,8 @@ def stages(window: int, rounds: int, buckets: int, folder: str) -> list:
     out = []
     for r in range(1, rounds + 1):
         out += [_send_names(window, r, buckets), meet]
-    return [*out, _send_stretches(window, rounds, buckets, folder), _compare(window)]
+    out += [_send_anchors(window, rounds, buckets, folder), meet, _send_stretches(window, buckets, folder), buckets_of(_compare(window))]
+    return [*out, _send_late(buckets), buckets_of(_compare(window, LATE))]
 
 
 def with_ranges(docs: DataFrame, emit, schema, window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:

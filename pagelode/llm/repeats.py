@@ -5,10 +5,12 @@ numbered: whatever a task says about a block is about that file, also if the tas
 from the table that Spark commits, so a lost attempt's file is never looked at. From then on only packed arrays move:
 
 * A round (`named`, `met`) sends the distinct names found in a block to buckets; a bucket tells each block which of its names
-  are met in another place. The answer is a bit a name, joined back to the block: no filter is sent to all tasks, and nothing
-  saturates. Names are hashes, sent as 5 bytes besides their bucket: two that collide count as met, which lets text through
-  to the comparison without need and changes no result.
-* What is still in question is sent to buckets to be compared, and the answers return to the block.
+  are met in another place, and which are hot. The answer is two bits a name, joined back to the block: no filter is sent to all
+  tasks, and nothing saturates. Names are hashes, sent as 5 bytes besides their bucket: two that collide count as met, which lets
+  text through to the comparison without need and changes no result.
+* What is still in question is sent to buckets to be compared, and the answers return to the block. A bucket gets what stands under one
+  name; of a hot one (a passage that a third of all documents hold has other surroundings in each) the windows are named one by one
+  instead, a round tells which of them are met, and only those are sent, each to a bucket of its own name.
 * The block's file gives the rows of the result, so texts are never shuffled.
 
 Buckets are drawn from the bytes of all texts (`BUCKET_TEXT` each), so that a task holds as much at any size.
@@ -30,8 +32,11 @@ BLOCK_TEXT, BUCKET_TEXT = 4 << 20, 16 << 20
 BLOB_SCHEMA = "target long, kind int, blob binary"
 #: Numbers of blocks are above, those of buckets below.
 FIRST_BLOCK = 1 << 62
-#: Kinds of rows: what is sent to a bucket, a block's files, and what returns to a block.
-SENT, FILES, ANSWER = 0, 1, 2
+#: Kinds of rows: pieces of text sent to a bucket, and names; a block's files, and what returns to a block: which windows of a piece are
+#: found (of those sent late in a row of their own), and which names are met.
+SENT, NAMES, FILES, ANSWER, LATE, MET = range(6)
+#: A name under which more distinct pieces of text stand is hot: pieces aren't brought together by it.
+HOT = 4096
 
 
 def blob_batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
@@ -170,50 +175,80 @@ def _dealt(names: np.ndarray, buckets: int):
     return distinct[order], counts[order], ends, place[inverse]
 
 
-def named(block: int, names: np.ndarray, buckets: int) -> list[tuple[int, int, bytes]]:
-    """A block's names, packed for their buckets: each once, with a bit for those that the block has twice or more."""
-    distinct, counts, ends, _ = _dealt(names, buckets)
+def named(block: int, names: np.ndarray, buckets: int, pieces: np.ndarray | None = None) -> list[tuple[int, int, bytes]]:
+    """A block's names, packed for their buckets: each once, and for those that the block has twice or more the number of distinct
+    pieces that stand under it (hashes of them, one a name given), 255 at most."""
+    distinct, counts, ends, place = _dealt(names, buckets)
+    kinds = np.minimum(counts, 1)
+    if pieces is not None and len(names):
+        by = np.lexsort((pieces, place))
+        new = np.r_[True, (place[by][1:] != place[by][:-1]) | (pieces[by][1:] != pieces[by][:-1])]
+        kinds = np.bincount(place[by][new], minlength=len(distinct))
     packed = (distinct // np.uint64(buckets)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+    often, kinds = counts > 1, np.minimum(kinds, 255).astype("u1")
     head, out = np.int64(block).tobytes(), []
     for b, (s, e) in enumerate(zip(np.r_[0, ends[:-1]].tolist(), ends.tolist())):
         if e > s:
-            out.append((b, SENT, head + np.int64(e - s).tobytes() + packed[s:e].tobytes() + np.packbits(counts[s:e] > 1).tobytes()))
+            out.append((b, NAMES, head + np.int64(e - s).tobytes() + packed[s:e].tobytes() + np.packbits(often[s:e]).tobytes() + kinds[s:e][often[s:e]].tobytes()))
     return out
 
 
-def meet(batches):
-    """Buckets: which names are met twice, as bits to each block. What is addressed to a block passes on."""
-    for target, held in by_target(batches):
-        if target >= FIRST_BLOCK:
-            yield blob_batch([(target, kind, x) for kind, x in held])
-            continue
-        heads = [np.frombuffer(x, "<i8", 2).tolist() for _, x in held]
-        parts = [np.frombuffer(x, np.uint8, 5 * n, 16) for (_, x), (_, n) in zip(held, heads)]
-        often = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8, offset=16 + 5 * n), count=n) for (_, x), (_, n) in zip(held, heads)]).astype(bool)
-        packed = np.concatenate(parts).reshape(-1, 5)
-        values = np.zeros((len(packed), 8), np.uint8)
-        values[:, :5] = packed
-        values = values.view("<u8").ravel()
-        order = np.argsort(values)
-        same = values[order][1:] == values[order][:-1]
-        often[order] |= np.r_[False, same] | np.r_[same, False]
-        ends = np.cumsum([n for _, n in heads])
-        yield blob_batch([(block, ANSWER, np.int64(target).tobytes() + np.packbits(often[e - n : e]).tobytes()) for (block, n), e in zip(heads, ends.tolist())])
-
-
-def met(names: np.ndarray, answers: list[bytes], buckets: int) -> np.ndarray:
-    """For the names that a block has sent, whether each is met twice or more."""
+def meet_names(target: int, blobs: list[bytes]) -> pa.RecordBatch:
+    """A bucket: which names are met twice, and which are hot, as bits to each block."""
+    heads = [np.frombuffer(x, "<i8", 2).tolist() for x in blobs]
+    often = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8, -(-n // 8), 16 + 5 * n), count=n) for x, (_, n) in zip(blobs, heads)]).astype(bool)
+    values = np.zeros((len(often), 8), np.uint8)
+    values[:, :5] = np.concatenate([np.frombuffer(x, np.uint8, 5 * n, 16) for x, (_, n) in zip(blobs, heads)]).reshape(-1, 5)
+    values = values.view("<u8").ravel()
+    weight = np.ones(len(often), np.int64)
+    weight[often] = np.concatenate([np.frombuffer(x, "u1", offset=16 + 5 * n + -(-n // 8)) for x, (_, n) in zip(blobs, heads)])
+    order = np.argsort(values)
+    first = np.flatnonzero(np.r_[True, values[order][1:] != values[order][:-1]])
+    size = np.diff(np.r_[first, len(order)])
+    hot = np.empty(len(order), bool)
+    hot[order] = np.repeat(np.add.reduceat(weight[order], first) > HOT, size)
+    often[order] |= np.repeat(size > 1, size)
+    ends = np.cumsum([n for _, n in heads])
+    head = np.int64(target).tobytes()
+    return blob_batch([(block, MET, head + np.packbits(often[e - n : e]).tobytes() + np.packbits(hot[e - n : e]).tobytes()) for (block, n), e in zip(heads, ends.tolist())])
+
+
+def buckets_of(pieces=None):
+    """What buckets do with names, and by pieces(list of blobs) with pieces of text. What is addressed to a block passes on."""
+
+    def run(batches):
+        for target, held in by_target(batches):
+            if target >= FIRST_BLOCK:
+                yield blob_batch([(target, kind, x) for kind, x in held])
+                continue
+            names = [x for kind, x in held if kind == NAMES]
+            if names:
+                yield meet_names(target, names)
+            sent = [x for kind, x in held if kind == SENT]
+            if sent:
+                yield from pieces(sent)
+
+    return run
+
+
+meet = buckets_of()
+
+
+def met(names: np.ndarray, answers: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """For the names that a block has sent, whether each is met twice or more, and whether it is hot."""
     distinct, _, ends, place = _dealt(names, buckets)
-    often = np.zeros(len(distinct), bool)
+    often, hot = np.zeros(len(distinct), bool), np.zeros(len(distinct), bool)
     starts = np.r_[0, ends[:-1]]
     for x in answers:
         b = int(np.frombuffer(x, "<i8", 1)[0])
-        often[starts[b] : ends[b]] = np.unpackbits(np.frombuffer(x, np.uint8, offset=8), count=int(ends[b] - starts[b]))
-    return often[place]
+        n = int(ends[b] - starts[b])
+        bits = np.frombuffer(x, np.uint8, offset=8).reshape(2, -1)
+        often[starts[b] : ends[b]], hot[starts[b] : ends[b]] = np.unpackbits(bits, axis=1, count=n)
+    return often[place], hot[place]
 
 
-def answers_of(held) -> list[bytes]:
-    return [x for kind, x in held if kind == ANSWER]
+def answers_of(held, wanted: int = ANSWER) -> list[bytes]:
+    return [x for kind, x in held if kind == wanted]
 
 
 # -- answers -----------------------------------------------------------------------------------------------------

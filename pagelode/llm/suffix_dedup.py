@@ -5,7 +5,8 @@ Every byte covered by a string of `LENGTH` bytes that also starts in a document
 1. Texts are kept in block files (see repeats). Each window of LENGTH bytes takes the least-hashed `K`-gram within it (the first
    of equals) as its anchor. A round tells each block which of its anchors are met elsewhere: only there can a window repeat.
 2. Consecutive windows with one shared anchor make a stretch of at most 2 * LENGTH - K bytes. Equal stretches of a
-   block are sent once, with the smallest doc_id there, to the bucket of their anchor.
+   block are sent once, with the smallest doc_id there, to the bucket of their anchor. Of a hot anchor, the windows that a second
+   round finds elsewhere are sent, each to the bucket of its own hash.
 3. A bucket holds a part of the corpus's suffix array: the suffixes whose beginnings hold its anchors, one per window. Those with
    equal anchors at equal distance are sorted by a merge sort whose comparisons find the common extension of two
    suffixes by binary search over prefix polynomial hashes, and look at the byte behind it. Neighbours in that order that
@@ -32,8 +33,8 @@ from pyspark.sql import functions as F
 
 from .common import _Powers, alone, prefix_hashes, texts_as_bytes
 from .repeats import (
-    ANSWER, BLOB_SCHEMA, FILES, FIRST_BLOCK, SENT, Blocks, answers_of, blob_batch, by_target, dealt, get, marked, meet, met, named, own_files, pack, put, ranges_by_row,
-    rows_of, runs, steps, sub_blocks, unpack,
+    ANSWER, BLOB_SCHEMA, FILES, LATE, MET, SENT, Blocks, answers_of, blob_batch, buckets_of, by_target, dealt, get, marked, meet, met, named, own_files, pack, put,
+    ranges_by_row, rows_of, runs, steps, sub_blocks, unpack,
 )
 
 LENGTH, K = 50, 20
@@ -51,12 +52,12 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 def window_anchors(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: int = K):
-    """(windows, place of each window's anchor, hashes of all k-grams) of a block; no window crosses texts."""
+    """(windows, place of each window's anchor, hashes of all k-grams, prefix hashes) of a block; no window crosses texts."""
     span = length - k + 1  # k-grams in a window
     n = len(raw) - k + 1
     none = np.empty(0, np.int64)
     if len(raw) < length:
-        return none, none, np.empty(0, np.uint64)
+        return none, none, np.empty(0, np.uint64), np.zeros(len(raw) + 1, np.uint64)
     prefix = prefix_hashes(raw)
     _, down = _Powers.get(n)
     h = _mixed((prefix[k:] - prefix[:n]) * down)
@@ -76,7 +77,11 @@ def window_anchors(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k
         np.add.at(marks, cut, -1)
         ok = np.cumsum(marks)[: len(best)] == 0
     windows = np.flatnonzero(ok)
-    return windows, place[windows].astype(np.int64), h
+    return windows, place[windows].astype(np.int64), h, prefix
+
+
+def _span_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return _mixed((prefix[ends] - prefix[starts]) * _Powers.get(len(prefix))[1][starts])
 
 
 def _stretches(place: np.ndarray) -> np.ndarray:
@@ -88,11 +93,14 @@ def _send_anchors(length: int, k: int, buckets: int):
     def run(batches):
         for block, held in by_target(batches):
             files = own_files(held)
-            names = [np.empty(0, np.uint64)]
+            names, pieces = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
             for _, raw, offs in sub_blocks(rows_of(files)):
-                _, place, h = window_anchors(raw, offs, length, k)
-                names.append(h[place[_stretches(place)]])
-            yield blob_batch([*named(block, np.concatenate(names), buckets), (block, FILES, files)])
+                windows, place, h, prefix = window_anchors(raw, offs, length, k)
+                first = _stretches(place)
+                last = np.r_[first[1:], len(windows)] - 1
+                names.append(h[place[first]])
+                pieces.append(_span_hashes(prefix, windows[first], windows[last] + length) + (place[first] - windows[first]).astype(np.uint64) * _MUL if len(first) else pieces[0])
+            yield blob_batch([*named(block, np.concatenate(names), buckets, np.concatenate(pieces)), (block, FILES, files)])
 
     return run
 
@@ -102,7 +110,8 @@ _HEAD = np.dtype([("anchor", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("left", "u1
 
 
 def _send_stretches(length: int, k: int, buckets: int, folder: str):
-    """Blocks: the distinct stretches with a shared anchor go to the anchor's bucket; where they stand is kept in a file."""
+    """Blocks: the distinct stretches with a shared anchor go to the anchor's bucket, and the names of their windows if the anchor is hot.
+    Where they stand is kept in two files."""
     most = 2 * length - k
 
     def run(batches):
@@ -112,15 +121,19 @@ def _send_stretches(length: int, k: int, buckets: int, folder: str):
             ids = pc.fill_null(batch["doc_id"].cast(pa.int64()), NO_ID).to_numpy(zero_copy_only=False)
             parts, names = [], [np.empty(0, np.uint64)]
             for i, raw, offs in sub_blocks(batch):
-                windows, place, h = window_anchors(raw, offs, length, k)
+                windows, place, h, _ = window_anchors(raw, offs, length, k)
                 first = _stretches(place)
                 names.append(h[place[first]])
                 parts.append((i, raw, offs, windows[first], place[first], np.diff(np.r_[first, len(windows)])))
-            shared = met(np.concatenate(names), answers_of(held), buckets)
-            heads, texts, rows, starts, at = [], [], [], [], 0
+            shared, hot = met(np.concatenate(names), answers_of(held, MET), buckets)
+            heads, texts, rows, starts, at, single = [], [], [], [], 0, []
             for (i, raw, offs, w, anchor, count), own in zip(parts, names[1:]):
-                good = np.flatnonzero(shared[at : at + len(w)])
+                good, burning = np.flatnonzero((shared & ~hot)[at : at + len(w)]), np.flatnonzero((shared & hot)[at : at + len(w)])
                 at += len(w)
+                if len(burning):
+                    one = np.repeat(w[burning], count[burning]) + steps(count[burning])
+                    d = np.searchsorted(offs, one, side="right") - 1
+                    single.append((np.lib.stride_tricks.sliding_window_view(raw, length)[one], d + i, one - offs[d]))
                 if len(good):
                     w, anchor, count = w[good], anchor[good], count[good]
                     d = np.searchsorted(offs, w, side="right") - 1
@@ -132,8 +145,12 @@ def _send_stretches(length: int, k: int, buckets: int, folder: str):
                     texts.append(text)
                     rows.append(d + i)
                     starts.append(w - offs[d])
+            out, alone_ = [], b""
+            if single:
+                late, own = _Late.of(*map(np.concatenate, zip(*single)), ids)
+                out, alone_ = named(block, own, buckets), put(folder, late.packed()).encode()
             if not heads:
-                yield blob_batch([(block, FILES, files + b"\n")])
+                yield blob_batch([*out, (block, FILES, files + b"\n\n" + alone_)])
                 continue
             heads, texts, rows, starts = map(np.concatenate, (heads, texts, rows, starts))
             shape = np.concatenate([heads["left"][:, None], heads["windows"][:, None], texts], axis=1)
@@ -144,7 +161,6 @@ def _send_stretches(length: int, k: int, buckets: int, folder: str):
             sent["doc"], sent["at"] = least, np.arange(len(head))
             by, ends = dealt(sent["anchor"], buckets)
             sizes = sent["windows"].astype(np.int64) + length - 1
-            out = []
             for b, (s, e) in enumerate(zip(np.r_[0, ends[:-1]].tolist(), ends.tolist())):
                 if e > s:
                     sel = by[s:e]
@@ -153,7 +169,62 @@ def _send_stretches(length: int, k: int, buckets: int, folder: str):
                     out.append((b, SENT, pack(np.array([block, e - s], "<i8"), own["doc"], own["at"], own["left"], own["windows"], packed)))
             counts = np.array([len(head), len(group)], "<i8")
             table = put(folder, pack(counts, least, sent["windows"], group.astype("<u4"), starts.astype("<u4"), rows.astype("<u4")))
-            yield blob_batch([*out, (block, FILES, files + b"\n" + table.encode())])
+            yield blob_batch([*out, (block, FILES, files + b"\n" + table.encode() + b"\n" + alone_)])
+
+    return run
+
+
+class _Late:
+    """The windows of a block whose anchor is hot: the distinct ones, with the smallest doc_id each, and where they stand."""
+
+    def __init__(self, texts: np.ndarray, least: np.ndarray, group: np.ndarray, rows: np.ndarray, starts: np.ndarray):
+        self.texts, self.least, self.group, self.rows, self.starts = texts, least, group, rows, starts
+
+    @classmethod
+    def of(cls, texts: np.ndarray, rows: np.ndarray, starts: np.ndarray, ids: np.ndarray) -> tuple[_Late, np.ndarray]:
+        """With the name of each window."""
+        texts = np.ascontiguousarray(texts)
+        _, head, group = np.unique(texts.view(f"V{texts.shape[1]}").ravel(), return_index=True, return_inverse=True)
+        least = np.full(len(head), NO_ID, np.int64)
+        np.minimum.at(least, group, ids[rows])
+        late = cls(texts[head], least, group, rows, starts)
+        return late, late.names()[group]
+
+    def names(self) -> np.ndarray:
+        n, length = self.texts.shape
+        at = np.arange(n) * length
+        return _span_hashes(prefix_hashes(self.texts.ravel()), at, at + length)
+
+    def packed(self) -> bytes:
+        counts = np.array([*self.texts.shape, len(self.group)], "<i8")
+        return pack(counts, self.texts, self.least, *(x.astype("<u4") for x in (self.group, self.rows, self.starts)))
+
+    @classmethod
+    def read(cls, uri: bytes) -> _Late:
+        data = unpack(get(uri.decode()))
+        m, length, n = np.frombuffer(data, "<i8", 3).tolist()
+        texts, at = np.frombuffer(data, np.uint8, m * length, 24).reshape(m, length), 24 + m * length
+        return cls(texts, np.frombuffer(data, "<i8", m, at), *np.frombuffer(data, "<u4", 3 * n, at + 8 * m).reshape(3, n).astype(np.int64))
+
+
+def _send_late(buckets: int):
+    """Blocks: of the windows with hot anchors, those met elsewhere go to the buckets of their own names."""
+
+    def run(batches):
+        for block, held in by_target(batches):
+            files, out = own_files(held), []
+            uri = files.split(b"\n")[2]
+            if uri:
+                late = _Late.read(uri)
+                names = late.names()
+                some = np.flatnonzero(met(names[late.group], answers_of(held, MET), buckets)[0][np.unique(late.group, return_index=True)[1]])
+                by, ends = dealt(names[some], buckets)
+                for b, (s, e) in enumerate(zip(np.r_[0, ends[:-1]].tolist(), ends.tolist())):
+                    if e > s:
+                        sel = some[by[s:e]]
+                        one = np.ones(len(sel), "u1")
+                        out.append((b, SENT, pack(np.array([block, e - s], "<i8"), late.least[sel], sel.astype("<u4"), one - 1, one, late.texts[sel])))
+            yield blob_batch([*out, (block, FILES, files), *((block, ANSWER, x) for x in answers_of(held))])
 
     return run
 
@@ -283,47 +354,42 @@ def smallest_documents(rows: np.ndarray, packed: np.ndarray, length: int):
     return first, kind, found
 
 
-def _sort(length: int, k: int):
-    """Buckets: suffixes sorted; answers go back to the blocks. What is addressed to a block passes on."""
-
-    def run(batches):
-        for target, held in by_target(batches):
-            if target >= FIRST_BLOCK:
-                yield blob_batch([(target, kind, x) for kind, x in held])
-                continue
-            sources, heads, packs, source = [], [], [], []
-            for i, (_, x) in enumerate(held):
-                x = unpack(x)
-                block, n = np.frombuffer(x, "<i8", 2).tolist()
-                sources.append(block)
-                rows = np.zeros(n, _HEAD)
-                rows["doc"] = np.frombuffer(x, "<i8", n, 16)
-                rows["at"] = np.frombuffer(x, "<u4", n, 16 + 8 * n)
-                rows["left"], rows["windows"] = np.frombuffer(x, "u1", 2 * n, 16 + 12 * n).reshape(2, n)
-                packed = np.frombuffer(x, np.uint8, offset=16 + 14 * n)
-                size = rows["windows"].astype(np.int64) + length - 1
-                place = np.cumsum(size) - size + rows["left"]
-                prefix = prefix_hashes(packed)
-                rows["anchor"] = _mixed((prefix[place + k] - prefix[place]) * _Powers.get(len(prefix))[1][place])
-                heads.append(rows)
-                packs.append(packed)
-                source.append(np.full(n, i, np.int32))
-            rows, packed, source = np.concatenate(heads), np.concatenate(packs), np.concatenate(source)
-            del heads, packs
+def _sort(length: int, k: int, answer: int = ANSWER):
+    """Of a bucket's pieces: suffixes sorted; answers go back to the blocks. The anchors are the k-grams that the heads point at."""
+
+    def run(blobs):
+        sources, heads, packs, source = [], [], [], []
+        for i, x in enumerate(blobs):
+            x = unpack(x)
+            block, n = np.frombuffer(x, "<i8", 2).tolist()
+            sources.append(block)
+            rows = np.zeros(n, _HEAD)
+            rows["doc"] = np.frombuffer(x, "<i8", n, 16)
+            rows["at"] = np.frombuffer(x, "<u4", n, 16 + 8 * n)
+            rows["left"], rows["windows"] = np.frombuffer(x, "u1", 2 * n, 16 + 12 * n).reshape(2, n)
+            packed = np.frombuffer(x, np.uint8, offset=16 + 14 * n)
             size = rows["windows"].astype(np.int64) + length - 1
-            start = np.cumsum(size) - size
-            order = np.argsort(rows["anchor"], kind="stable")
-            names = rows["anchor"][order]
-            at = 0
-            while at < len(order):
-                end = min(at + SORTED, len(order))
-                end = int(np.searchsorted(names, names[end - 1], side="right"))
-                sel = order[at:end]
-                out, where = _answers(rows[sel], packed[np.repeat(start[sel], size[sel]) + steps(size[sel])], source[sel], length)
-                at = end
-                if len(out):
-                    bounds = np.searchsorted(where, np.arange(len(held) + 1))
-                    yield blob_batch([(sources[i], ANSWER, out[s:e].tobytes()) for i, (s, e) in enumerate(zip(bounds[:-1], bounds[1:])) if e > s])
+            place = np.cumsum(size) - size + rows["left"]
+            rows["anchor"] = _span_hashes(prefix_hashes(packed), place, place + k)
+            heads.append(rows)
+            packs.append(packed)
+            source.append(np.full(n, i, np.int32))
+        rows, packed, source = np.concatenate(heads), np.concatenate(packs), np.concatenate(source)
+        del heads, packs
+        size = rows["windows"].astype(np.int64) + length - 1
+        start = np.cumsum(size) - size
+        order = np.argsort(rows["anchor"], kind="stable")
+        names = rows["anchor"][order]
+        at = 0
+        while at < len(order):
+            end = min(at + SORTED, len(order))
+            end = int(np.searchsorted(names, names[end - 1], side="right"))
+            sel = order[at:end]
+            out, where = _answers(rows[sel], packed[np.repeat(start[sel], size[sel]) + steps(size[sel])], source[sel], length)
+            at = end
+            if len(out):
+                bounds = np.searchsorted(where, np.arange(len(blobs) + 1))
+                yield blob_batch([(sources[i], answer, out[s:e].tobytes()) for i, (s, e) in enumerate(zip(bounds[:-1], bounds[1:])) if e > s])
 
     return run
 
@@ -344,20 +410,34 @@ def _answers(rows: np.ndarray, packed: np.ndarray, source: np.ndarray, length: i
 
 def _block_ranges(held, ids: np.ndarray, length: int) -> dict[int, np.ndarray]:
     """Row of the block -> ranges of bytes covered by strings that start in a document with a smaller id."""
-    table = own_files(held).split(b"\n")[1]
-    if not table:
-        return {}
-    table = unpack(get(table.decode()))
-    m, n = np.frombuffer(table, "<i8", 2).tolist()
-    least = np.frombuffer(table, "<i8", m, 16)
-    windows = np.frombuffer(table, "u1", m, 16 + 8 * m).astype(np.int64)
-    group, starts, rows = np.frombuffer(table, "<u4", 3 * n, 16 + 9 * m).reshape(3, n).astype(np.int64)
-    first, smaller = marked(answers_of(held), windows)  # per window: it starts in a smaller document than any here
-    size = windows[group]
-    owner, t = np.repeat(np.arange(n), size), steps(size)
-    hit = smaller[first[group[owner]] + t] | (least[group] < ids[rows])[owner]
-    owner, t = owner[hit], t[hit]
-    return ranges_by_row(rows[owner], starts[owner] + t, length)
+    _, table, late = own_files(held).split(b"\n")
+    found = [(np.zeros(0, np.int64),) * 2]
+    if table:
+        table = unpack(get(table.decode()))
+        m, n = np.frombuffer(table, "<i8", 2).tolist()
+        least = np.frombuffer(table, "<i8", m, 16)
+        windows = np.frombuffer(table, "u1", m, 16 + 8 * m).astype(np.int64)
+        group, starts, rows = np.frombuffer(table, "<u4", 3 * n, 16 + 9 * m).reshape(3, n).astype(np.int64)
+        first, smaller = marked(answers_of(held), windows)  # per window: it starts in a smaller document than any here
+        size = windows[group]
+        owner, t = np.repeat(np.arange(n), size), steps(size)
+        hit = smaller[first[group[owner]] + t] | (least[group] < ids[rows])[owner]
+        owner, t = owner[hit], t[hit]
+        found.append((rows[owner], starts[owner] + t))
+    if late:
+        own = _Late.read(late)
+        _, smaller = marked(answers_of(held, LATE), np.ones(len(own.least), np.int64))
+        hit = smaller[own.group] | (own.least[own.group] < ids[own.rows])
+        found.append((own.rows[hit], own.starts[hit]))
+    return ranges_by_row(*map(np.concatenate, zip(*found)), length)
+
+
+def stages(length: int, k: int, buckets: int, folder: str) -> list:
+    """What blocks and buckets do in turn, up to the answers that return to the blocks."""
+    return [
+        _send_anchors(length, k, buckets), meet, _send_stretches(length, k, buckets, folder), buckets_of(_sort(length, k)),
+        _send_late(buckets), buckets_of(_sort(length, length, LATE)),
+    ]
 
 
 def with_ranges(docs: DataFrame, emit, schema, length: int = LENGTH, k: int = K) -> DataFrame:
@@ -371,11 +451,10 @@ def with_ranges(docs: DataFrame, emit, schema, length: int = LENGTH, k: int = K)
             ids = pc.fill_null(batch["doc_id"].cast(pa.int64()), NO_ID).to_numpy(zero_copy_only=False)
             yield emit(batch, _block_ranges(held, ids, length))
 
-    sent = own.gathered(own.rows).mapInArrow(alone(_send_anchors(length, k, buckets)), BLOB_SCHEMA)
-    answered = own.gathered(sent).mapInArrow(alone(meet), BLOB_SCHEMA)
-    sent = own.gathered(answered).mapInArrow(alone(_send_stretches(length, k, buckets, folder)), BLOB_SCHEMA)
-    answered = own.gathered(sent).mapInArrow(alone(_sort(length, k)), BLOB_SCHEMA)
-    return own.gathered(answered).mapInArrow(alone(settle), schema)
+    rows = own.rows
+    for stage in stages(length, k, buckets, folder):
+        rows = own.gathered(rows).mapInArrow(alone(stage), BLOB_SCHEMA)
+    return own.gathered(rows).mapInArrow(alone(settle), schema)
 
 
 def without(text: bytes, ranges: np.ndarray | None) -> tuple[bytes, int]:

@@ -110,9 +110,8 @@ def words_here(texts, folder, window, buckets=3, **more):
 
 def bytes_here(texts, folder, buckets=3, **more):
     length, k = suffix_dedup.LENGTH, suffix_dedup.K
-    stages = [suffix_dedup._send_anchors(length, k, buckets), repeats.meet, suffix_dedup._send_stretches(length, k, buckets, folder), suffix_dedup._sort(length, k)]
     out = []
-    for batch, held in in_process(texts, stages, folder, **more):
+    for batch, held in in_process(texts, suffix_dedup.stages(length, k, buckets, folder), folder, **more):
         ranges = suffix_dedup._block_ranges(held, batch["doc_id"].to_numpy(), length)
         for i, t in enumerate(texts_as_bytes(batch["text"])):
             kept, spans = suffix_dedup.without(t, ranges.get(i))
@@ -152,9 +151,11 @@ def test_bytes_over_many_blocks(tmp_path, seed, block_text):
     assert bytes_here(texts, str(tmp_path), block_text=block_text, seed=seed) == sorted(brute_bytes(list(enumerate(texts))))
 
 
+@pytest.mark.parametrize("hot", [3, 4096])
 @pytest.mark.parametrize("few", [1, 2, 16])
-def test_colliding_names_join_nothing(tmp_path, monkeypatch, few):
+def test_colliding_names_join_nothing(tmp_path, monkeypatch, few, hot):
     """Where all symbols, anchors and windows have one of a few names, words decide."""
+    monkeypatch.setattr(repeats, "HOT", hot)
     real = recompress._named
     monkeypatch.setattr(recompress, "_named", lambda x: real(x) % np.uint64(few))
     texts = small_texts(7)
@@ -173,7 +174,7 @@ def test_rounds_leave_little_to_compare(tmp_path):
         left.append(sum(len(p.alive()) for p in parts))
         if n < recompress.ROUNDS:
             names = [p.offered(n + 1) for p in parts]
-            found = repeats.met(np.concatenate(names), [], 1) | np.isin(np.concatenate(names), [x for x, c in zip(*np.unique(np.concatenate(names), return_counts=True)) if c > 1])
+            found = np.isin(np.concatenate(names), [x for x, c in zip(*np.unique(np.concatenate(names), return_counts=True)) if c > 1])
             for p, own in zip(parts, names):
                 p.learn(n + 1, found[: len(own)])
                 found = found[len(own) :]
@@ -205,3 +206,41 @@ def test_the_suffix_order_decides(monkeypatch):
     assert got() == [least[t[:50]] for t in texts]
     monkeypatch.setattr(suffix_dedup.SuffixSorter, "less", lambda self, a, b, or_equal: or_equal)
     assert got() != [least[t[:50]] for t in texts]
+
+
+@pytest.mark.parametrize("hot", [0, 2, 5])
+@pytest.mark.parametrize("seed", range(2))
+def test_bytes_with_hot_anchors(tmp_path, monkeypatch, seed, hot):
+    """However many anchors are hot: their windows are looked at one by one."""
+    monkeypatch.setattr(repeats, "HOT", hot)
+    r = random.Random(seed)
+    passage = "a passage that a part of all documents hold, with other words around it each time"
+    texts = small_texts(seed) + [" ".join("w%d" % r.randrange(50) for _ in range(6)) + " " + passage + " " + " ".join("w%d" % r.randrange(50) for _ in range(6)) for _ in range(20)]
+    assert bytes_here(texts, str(tmp_path), block_text=600, seed=seed) == sorted(brute_bytes(list(enumerate(texts))))
+
+
+@pytest.mark.parametrize("hot", [0, 2, 5])
+@pytest.mark.parametrize("seed", range(3))
+def test_words_with_hot_anchors(tmp_path, monkeypatch, seed, hot):
+    monkeypatch.setattr(repeats, "HOT", hot)
+    r = random.Random(seed)
+    passage = " ".join("p%d" % i for i in range(15))
+    texts = small_texts(seed) + [" ".join("w%d" % r.randrange(4) for _ in range(8)) + " " + passage + " " + " ".join("w%d" % r.randrange(4) for _ in range(8)) for _ in range(25)]
+    assert words_here(texts, str(tmp_path), 12, block_text=600, seed=seed) == sorted(brute_words(list(enumerate(texts)), 12))
+
+
+def test_a_hot_passage_sends_few_windows(tmp_path, monkeypatch):
+    """The borders of a passage in many documents aren't sent whole: their windows differ, and only what is met elsewhere goes."""
+    sent = []
+    real = recompress._Pieces.sent
+    monkeypatch.setattr(recompress._Pieces, "sent", lambda self, block, which, buckets: sent.append(len(which)) or real(self, block, which, buckets))
+    passage = " ".join("p%d" % i for i in range(30))
+    texts = [" ".join(f"a{n}x{i}" for i in range(30)) + " " + passage + " " + " ".join(f"b{n}x{i}" for i in range(30)) for n in range(300)]
+    expect = sorted(brute_words(list(enumerate(texts)), 12))
+    for hot in (10_000, 50):
+        monkeypatch.setattr(repeats, "HOT", hot)
+        sent.clear()
+        assert words_here(texts, str(tmp_path), 12, block_text=20_000) == expect
+        n = sum(sent)
+        whole = n if hot == 10_000 else whole
+    assert n < whole / 2
