@@ -393,6 +393,16 @@ def test_command_line(spark, tmp_path, capsys):
     assert "no site is due" in capsys.readouterr().err
 
 
+def test_a_provider_that_fails_ends_the_command(spark, tmp_path, capsys):
+    path = tmp_path / "c.json"
+    path.write_text(json.dumps({"embedding": {"provider": "ollama", "endpoint": "http://127.0.0.1:9/v1", "maxRetries": 0, "dimensions": 4}}))
+    store = ChunkStore(spark, f"file://{tmp_path}/s/web_pages", 4)
+    assert not store.exists()
+    store.ensure()
+    assert store.exists() and cli.main(["search", "x", "--config", str(path), "--store", f"file://{tmp_path}/s"], spark) == 1
+    assert "ollama" in capsys.readouterr().err
+
+
 def test_stream_of_snapshots(spark, store, tmp_path):
     folder = str(tmp_path / "in")
 
