@@ -40,7 +40,7 @@ BANDS, ROWS = 25, 4
 REGISTERS = BANDS * ROWS
 GRID = 1.02  # spacing of the register values
 _SHIFT = 256
-SALT_ROWS, BLOCK_ROWS, BROADCAST_IDS, SMALL_EDGES = 256, 4096, 1_000_000, 1 << 20
+SALT_ROWS, BLOCK_ROWS, BROADCAST_IDS, SMALL_EDGES = 256, 1024, 1_000_000, 1 << 20
 
 _rng = np.random.default_rng(20240229)
 _FACTORS = _rng.integers(0, 1 << 31, REGISTERS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -365,20 +365,30 @@ def linked_classes(docs: DataFrame, classes: DataFrame, also: DataFrame | None,
     links = confirmed(stars, nodes, words, percent)
     found = components(links if also is None else links.unionByName(also))
 
-    blocks_of = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
+    def cut(rows):
+        return F.ceil(F.col(rows) / BLOCK_ROWS).cast("int")
+
+    def dealt(parts):
+        return F.pmod(F.xxhash64("v"), parts).cast("int")
 
     def several(found):
-        """Members of the buckets that hold several components; those outside the first one go to all blocks of the bucket."""
+        """Members of the buckets that hold several components, in groups of bounded size: a bucket's members are dealt to blocks, those
+        outside its first component (minor ones) to chunks as well, and a group is a block with a chunk, all pairs of which meet."""
         placed = members.join(found, "v", "left").withColumn("component", F.coalesce("component", "v"))
-        split = placed.groupBy("bucket").agg(F.min("component").alias("main"), F.max("component").alias("other")).where("main != other")
-        return (
-            placed.join(split, "bucket")
-            .withColumn("minor", F.col("component") != F.col("main"))
-            .withColumn("home", F.pmod(F.xxhash64("v"), blocks_of).cast("int"))
-            .withColumn("block", F.explode(F.when(F.col("minor"), F.sequence(F.lit(0), blocks_of - 1)).otherwise(F.array("home"))))
-            .join(regs, "v")
-            .select("bucket", "block", "v", "component", "n_shingles", "regs", "minor", (F.col("home") == F.col("block")).alias("is_home"), "band")
-        )
+        split = placed.groupBy("bucket", "component").agg(F.count("*").alias("c")).groupBy("bucket").agg(
+            F.min("component").alias("main"), F.count("*").alias("components"), (F.sum("c") - F.min_by("c", "component")).alias("minors")
+        )
+        rows = placed.join(split.where("components > 1"), "bucket").withColumn("minor", F.col("component") != F.col("main"))
+        rows = rows.withColumn("home", dealt(cut("n"))).withColumn("own", dealt(cut("minors")))
+        at_home = F.transform(F.sequence(F.lit(0), cut("minors") - 1), lambda c: F.struct(F.col("home").alias("block"), c.alias("chunk")))
+        as_minor = F.transform(F.sequence(F.lit(0), cut("n") - 1), lambda b: F.struct(b.alias("block"), F.col("own").alias("chunk")))
+        places = F.when(F.col("minor"), F.array_union(at_home, as_minor)).otherwise(at_home)
+        rows = rows.withColumn("place", F.explode(places)).join(regs, "v")
+        block, chunk = F.col("place.block"), F.col("place.chunk")
+        return rows.select(
+            "bucket", F.concat_ws("-", block, chunk).alias("block"), "v", "component", "n_shingles", "regs",
+            (F.col("minor") & (chunk == F.col("own"))).alias("minor"), (block == F.col("home")).alias("is_home"), "band",
+        )
 
     def by_block(rows, run):
         return rows.repartition("bucket", "block").sortWithinPartitions("bucket", "block").mapInArrow(alone(run), "a long, b long").distinct()
