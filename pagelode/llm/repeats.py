@@ -180,10 +180,12 @@ def named(block: int, names: np.ndarray, buckets: int, pieces: np.ndarray | None
     pieces that stand under it (hashes of them, one a name given), 255 at most."""
     distinct, counts, ends, place = _dealt(names, buckets)
     kinds = np.minimum(counts, 1)
-    if pieces is not None and len(names):
-        by = np.lexsort((pieces, place))
-        new = np.r_[True, (place[by][1:] != place[by][:-1]) | (pieces[by][1:] != pieces[by][:-1])]
-        kinds = np.bincount(place[by][new], minlength=len(distinct))
+    some = np.flatnonzero(counts[place] > 1) if pieces is not None else []
+    if len(some):
+        at, pieces = place[some], pieces[some]
+        by = np.lexsort((pieces, at))
+        new = np.r_[True, (at[by][1:] != at[by][:-1]) | (pieces[by][1:] != pieces[by][:-1])]
+        kinds = np.bincount(at[by][new], minlength=len(distinct))
     packed = (distinct // np.uint64(buckets)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
     often, kinds = counts > 1, np.minimum(kinds, 255).astype("u1")
     head, out = np.int64(block).tobytes(), []

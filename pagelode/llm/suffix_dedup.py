@@ -97,9 +97,10 @@ def _send_anchors(length: int, k: int, buckets: int):
             for _, raw, offs in sub_blocks(rows_of(files)):
                 windows, place, h, prefix = window_anchors(raw, offs, length, k)
                 first = _stretches(place)
-                last = np.r_[first[1:], len(windows)] - 1
-                names.append(h[place[first]])
-                pieces.append(_span_hashes(prefix, windows[first], windows[last] + length) + (place[first] - windows[first]).astype(np.uint64) * _MUL if len(first) else pieces[0])
+                if len(first):
+                    w, last = windows[first], windows[np.r_[first[1:], len(windows)] - 1]
+                    names.append(h[place[first]])
+                    pieces.append(_span_hashes(prefix, w, last + length) + (place[first] - w).astype(np.uint64) * _MUL)
             yield blob_batch([*named(block, np.concatenate(names), buckets, np.concatenate(pieces)), (block, FILES, files)])
 
     return run
