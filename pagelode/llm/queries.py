@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, html_text, near_dedup, quality, recompress, sharding, suffix_dedup, token_files, warc
+from . import ann, bpe, decontam, html_text, near_dedup, quality, recompress, sharding, spelling, suffix_dedup, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": suffix_dedup.op1_query,
@@ -19,8 +19,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": quality.op8_query,
     "op9_warc": warc.op9_query,
     "op10_sharding": sharding.op10_query,
+    "op11_spelling_variants": spelling.op11_query,
+    "op12_multiprobe_neighbours": ann.op12_query,
 }
 
+#: DuckDB has no crc32: its table of remainders, as one row `remainders`(r), and the step from a list of byte values.
+_REMAINDERS = """remainders AS (SELECT list(c ORDER BY n) AS r FROM (
+  SELECT n, list_reduce(list_prepend(n, [1, 1, 1, 1, 1, 1, 1, 1]), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+  FROM range(256) r(n)))"""
+_CRC = "xor(list_reduce(list_prepend(4294967295, x), lambda c, y: xor(c >> 8, r[(xor(c, y) & 255) + 1])), 4294967295)"
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 ORACLES: dict[str, str] = {
@@ -158,4 +165,28 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_left >= 0.5 * n_words AS kept,
        CAST(n_left AS BIGINT) AS n_left
 FROM base""",
+    "op11_spelling_variants": rf"""
+WITH RECURSIVE {_REMAINDERS},
+runs AS (SELECT doc_id, translate(run, '{_UP}', '{_LOW}') AS w FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents)),
+own AS (SELECT doc_id, w, count(*) AS n, hex(encode(doc_id || ':' || w)) AS h FROM runs WHERE length(w) >= 7 GROUP BY ALL),
+bytes AS (SELECT w, n, list_transform(generate_series(1, len(h) // 2), lambda i: ('0x' || h[2 * i - 1:2 * i])::BIGINT) AS x FROM own),
+hashed AS (SELECT w, n, {_CRC} AS h FROM bytes, remainders),
+v AS (
+  SELECT w, CAST(sum(n) AS BIGINT) AS n FROM (
+    SELECT CASE WHEN h % 31 = 0 THEN w[:h % length(w)] || w[h % length(w) + 2:] ELSE w END AS w, n FROM hashed)
+  WHERE length(w) >= 7 GROUP BY w HAVING sum(n) >= 2),
+places AS (SELECT w, n, unnest(generate_series(1, length(w))) AS i FROM v),
+wild AS (SELECT w, n, w[:i - 1] || '*' || w[i + 1:] AS g FROM places),
+cut AS (SELECT DISTINCT w, n, w[:i - 1] || w[i + 1:] AS s FROM places),
+near AS (
+  SELECT a.w, b.w AS o, b.n AS o_n FROM wild a JOIN wild b ON a.g = b.g AND a.w <> b.w
+  UNION ALL SELECT c.w, v.w, v.n FROM cut c JOIN v ON v.w = c.s
+  UNION ALL SELECT v.w, c.w, c.n FROM cut c JOIN v ON v.w = c.s),
+best AS (SELECT w, count(*) AS n_near, first(o ORDER BY o_n DESC, o) AS o, max(o_n) AS o_n FROM near GROUP BY w),
+forms AS (
+  SELECT v.w, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN o_n >= 10 * n THEN o END AS form, CASE WHEN o_n >= 10 * n THEN o_n END AS form_n
+  FROM v LEFT JOIN best USING (w)),
+chain(w, root, i) AS (SELECT w, w, 0 FROM forms UNION ALL SELECT c.w, f.form, i + 1 FROM chain c JOIN forms f ON f.w = c.root WHERE f.form IS NOT NULL),
+last_of AS (SELECT w, last(root ORDER BY i) AS root FROM chain GROUP BY w)
+SELECT w AS word, form, root, n, CAST(n_near AS BIGINT) AS n_near, form_n FROM forms JOIN last_of USING (w)""",
 }
