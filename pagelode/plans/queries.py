@@ -366,7 +366,7 @@ def _vectors(name: str, source: str, key: str, text: str, size: int) -> str:
 
 
 _SHORT = "SELECT doc_id, CASE WHEN length(t) // 4 >= 10 THEN [t] ELSE [] END AS done FROM d WHERE t <> '' AND length(t) // 4 <= 512"
-_CHUNKS = f"""WITH RECURSIVE d AS (SELECT doc_id, source, trim(text, {_BLANK}) AS t FROM documents),
+CHUNKS_SQL = f"""WITH RECURSIVE d AS (SELECT doc_id, source, trim(text, {_BLANK}) AS t FROM documents),
 long_docs AS (SELECT doc_id, {_split("t")} AS p FROM d WHERE length(t) // 4 > 512),
 {_fold("f1", "long_docs", "doc_id", "' '")},
 packed AS (SELECT * FROM f1_done UNION ALL {_SHORT}),
@@ -379,7 +379,7 @@ big AS (SELECT doc_id, k, {_split("p[k]")} AS p FROM (SELECT doc_id, p, unnest(g
 {_fold("f2", "pars", "doc_id", "chr(10) || chr(10)", "(SELECT any_value(x.done) FROM f1_done x WHERE x.doc_id = f.doc_id AND x.k = f.i + 1)")},
 packed AS (SELECT * FROM f2_done UNION ALL {_SHORT})
 SELECT doc_id, CAST(unnest(generate_series(0, len(done) - 1)) AS INTEGER) AS chunk_index, unnest(done) AS chunk_text FROM packed WHERE len(done) > 0"""
-_PAGE_CHUNKS = f"""WITH RECURSIVE {_articles(_MARKDOWN_PIECE, "repeat(chr(10), 3)")},
+PAGE_CHUNKS_SQL = f"""WITH RECURSIVE {_articles(_MARKDOWN_PIECE, "repeat(chr(10), 3)")},
 pars AS (SELECT page_id, list_filter(list_transform(string_split(body, chr(10) || chr(10)), lambda s: trim(s, {_BLANK})), lambda s: s <> '') AS p FROM body WHERE length(body) // 4 > 512),
 big AS (SELECT page_id, k, {_split("p[k]")} AS p FROM (SELECT page_id, p, unnest(generate_series(1, len(p))) AS k FROM pars) WHERE length(p[k]) // 4 > 512),
 {_fold("f1", "big", "page_id, k", "' '")},
@@ -388,7 +388,7 @@ packed AS (SELECT * FROM f2_done UNION ALL SELECT page_id, CASE WHEN length(body
 chunks AS (
   SELECT page_id, url, title, heading, k, CASE WHEN heading = '' THEN c ELSE heading || chr(10) || chr(10) || c END AS t
   FROM (SELECT page_id, unnest(generate_series(0, len(done) - 1)) AS k, unnest(done) AS c FROM packed WHERE len(done) > 0) JOIN body USING (page_id))"""
-_POINT = """(SELECT substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2) || '-' || substr(h, 11, 2) || substr(h, 9, 2) || '-' ||
+POINT_SQL = """(SELECT substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2) || '-' || substr(h, 11, 2) || substr(h, 9, 2) || '-' ||
   substr(h, 15, 2) || substr(h, 13, 2) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) FROM (SELECT md5({x}) AS h))"""
 _PATH = "regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1)"
 _SNAP = """old AS (SELECT 'doc://' || doc_id AS url, sha256(text) AS content_hash FROM documents WHERE source <> 'src0'),
@@ -409,7 +409,7 @@ WHERE s >= 0.1 AND {_FRESH} ORDER BY s DESC, vec_id LIMIT 5""",
   substr(h, 15, 2) || substr(h, 13, 2) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) AS point_id FROM (SELECT page_id, md5(url || '::0') AS h FROM pages)""",
     "token_estimate": "SELECT doc_id, CAST(length(text) // 4 AS INTEGER) AS n_tokens, length(text) // 4 >= 10 AS chunkable FROM documents",
     "sentence_split": f"SELECT doc_id, CAST(unnest(generate_series(0, len(p) - 1)) AS INTEGER) AS sentence_index, unnest(p) AS sentence FROM (SELECT doc_id, {_split('text')} AS p FROM documents) WHERE len(p) > 0",
-    "chunk_pack": _CHUNKS + "SELECT doc_id, CAST(chunk_index AS INTEGER) AS chunk_index, chunk_text FROM chunks",
+    "chunk_pack": CHUNKS_SQL + "SELECT doc_id, CAST(chunk_index AS INTEGER) AS chunk_index, chunk_text FROM chunks",
     "paragraph_pack": _PARAGRAPHS,
     "page_title": f"SELECT page_id, trim({_DECODE.format(x=chr(39).join(['regexp_extract(html, ', '<title>(.*?)</title>', ', 1)']))}) AS title FROM pages",
     "page_headings": f"SELECT page_id, trim({_DECODE.format(x=chr(39).join(['regexp_extract(html, ', '<h1>(.*?)</h1>', ', 1)']))}) AS headings FROM pages",
@@ -425,13 +425,13 @@ SELECT pages.page_id, CAST(count(link) AS INTEGER) AS n_links, coalesce(string_a
     "hash_embedding": f"""WITH {_vectors("v", "benchmark", "item_id", "text", 64)}
 SELECT item_id, 64 AS dimensions, round(coalesce(sum(x * x), 0), 4) AS square, coalesce(string_agg(printf('%d:%.4f', i, x::DOUBLE), ' ' ORDER BY i), '') AS places
 FROM benchmark LEFT JOIN (SELECT * FROM v WHERE x <> 0) USING (item_id) GROUP BY item_id""",
-    "semantic_search": f"""{_PAGE_CHUNKS},
+    "semantic_search": f"""{PAGE_CHUNKS_SQL},
 {_vectors("v", "chunks", "page_id, k", "t", 384)},
 asked AS (SELECT title FROM chunks ORDER BY page_id, k LIMIT 1),
 {_vectors("q", "asked", "title", "title", 384)},
 best AS (
   SELECT page_id, k, sum(v.x * q.x) AS s FROM v JOIN q USING (i) JOIN chunks USING (page_id, k) GROUP BY page_id, k, url
-  ORDER BY round(s, 9) DESC, {_POINT.format(x="any_value(url) || '::' || k")} LIMIT 5)
+  ORDER BY round(s, 9) DESC, {POINT_SQL.format(x="any_value(url) || '::' || k")} LIMIT 5)
 SELECT round(s, 6) AS score, url, title, heading, t AS text, '{AS_OF}' AS capture_date FROM best JOIN chunks USING (page_id, k) WHERE s >= 0.05""",
     "crawl_snapshot": """WITH RECURSIVE e AS (SELECT page_id AS a, unnest([2 * page_id + 1, 2 * page_id + 2, page_id // 2]) AS b FROM pages WHERE page_id % 10 <> 3),
 r(n, depth) AS (SELECT unnest([0, 1, 3])::BIGINT, 0 UNION SELECT b, depth + 1 FROM r JOIN e ON a = n WHERE depth < 4 AND n::VARCHAR NOT LIKE '2%'),
@@ -458,7 +458,7 @@ FROM (SELECT * FROM parts UNION ALL SELECT * FROM whole)""",
 SELECT site_url, array_to_string(list_filter([max(part), min(part)], lambda x: x <> ''), '|') AS disallowed, 'http://' || site_url || '/map' || max(page_id) || '.xml http://' || site_url || '/second.xml' AS sitemaps,
        CAST(count(*) * 1000 AS INTEGER) AS crawl_delay_ms FROM p GROUP BY site_url""",
     "sitemap_index": "SELECT DISTINCT 'http://' || lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]*)', 1)) AS site_url, url FROM pages",
-    "index_delta": _CHUNKS.replace("FROM documents)", "FROM texts)").replace(
+    "index_delta": CHUNKS_SQL.replace("FROM documents)", "FROM texts)").replace(
         "WITH RECURSIVE d AS",
         """WITH RECURSIVE texts AS (
   SELECT doc_id * 2 AS doc_id, source, text FROM documents UNION ALL
@@ -485,10 +485,10 @@ SELECT 'http://h/' || n AS url, CAST(min(depth) AS INTEGER) AS depth FROM r GROU
 SELECT f.url, CASE WHEN o.url IS NULL THEN 'new' WHEN o.content_hash = f.content_hash THEN 'unchanged' ELSE 'changed' END AS change
 FROM fresh f LEFT JOIN old o USING (url)""",
     "upsert_replace": f"WITH {_SNAP} SELECT url, content_hash FROM fresh",
-    "get_page": _CHUNKS
+    "get_page": CHUNKS_SQL
     + "SELECT 'doc://' || doc_id AS url, source AS title, CAST(chunk_index AS INTEGER) AS chunk_index, chunk_text, CAST(1.0 AS FLOAT) AS score FROM chunks JOIN d USING (doc_id) WHERE doc_id = 0",
     "list_urls": _URLS,
     "list_stale_urls": f"{_URLS} WHERE ts < TIMESTAMP '{AS_OF}' - INTERVAL {DAYS} DAY",
-    "crawl_status": _CHUNKS + "SELECT count(*) AS n_chunks, count(DISTINCT doc_id) AS n_pages FROM chunks",
+    "crawl_status": CHUNKS_SQL + "SELECT count(*) AS n_chunks, count(DISTINCT doc_id) AS n_pages FROM chunks",
     "result_format": "SELECT doc_id, printf('[%.3f] %s', n_chars / 1000.0, source) AS line, replace(substr(text, 1, 200), chr(10), ' ') || '...' AS snippet FROM documents",
 }
