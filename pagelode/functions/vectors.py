@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,3 +23,18 @@ def cosine(a: Column, b: Column) -> Column:
 
 def literal(vector) -> Column:
     return F.array(*(F.lit(float(x)) for x in vector))
+
+
+def usable(vector: str) -> Column:
+    """Whether a vector is not null or empty, finite in all components, and not zero."""
+    v = F.col(vector)
+    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return v.isNotNull() & F.coalesce(finite & F.exists(v, lambda x: x != 0), F.lit(False))
+
+
+def rows_dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of the rows of two matrices, summed from the first component on: equal rows give equal products."""
+    out = np.zeros(len(a))
+    for j in range(a.shape[1]):
+        out += a[:, j] * b[:, j]
+    return out

@@ -15,7 +15,7 @@ from ..sources import robots, sitemap
 from ..sources.config import CrawlConfig, site_mode
 from .chunking import chunk_pages
 from .embed import EmbeddingProvider, embedded, whole_pages
-from .store import ChunkStore, classified, materialised
+from .store import ChunkStore, classified, materialised, passing
 
 Fetch = Callable[[DataFrame], DataFrame]
 
@@ -85,6 +85,11 @@ def index_batch(pages: DataFrame, store: ChunkStore, provider: Callable[[], Embe
     have no chunk loses those it had; a page of which a chunk could not be embedded stays as it was.
     """
     store.ensure()
+    with passing(store.spark):
+        return _indexed(pages, store, provider, as_of)
+
+
+def _indexed(pages: DataFrame, store: ChunkStore, provider: Callable[[], EmbeddingProvider], as_of) -> DataFrame:
     fields = [c for c in ("url", "title", "summary", "content_selector", "sections", "body_text") if c in pages.columns]
     own = pages.select(*fields).dropDuplicates(["url"]).withColumn("content_hash", content_hash(F.col("body_text")))
     known = materialised(classified(own, store.pages()))
@@ -98,16 +103,18 @@ def index_batch(pages: DataFrame, store: ChunkStore, provider: Callable[[], Embe
     stored = vectors.groupBy("url").agg(F.max(F.col("embed_error").isNotNull()).alias("failed"), F.count("*").alias("n"))
     good_page = F.col("failed").eqNullSafe(False)
     rows = known.select("url").join(stored, "url", "left")
-    return rows.agg(
+    told = rows.agg(
         F.count("*").alias("pages_seen"),
         F.count_if(good_page).alias("pages_stored"),
         F.coalesce(F.sum(F.when(good_page, F.col("n"))), F.lit(0)).alias("chunks_stored"),
         F.count_if("failed").alias("pages_failed"),
     )
+    return store.spark.createDataFrame(told.collect(), told.schema)  # one row, which needs no table any more
 
 
 def crawl_and_index(spark: SparkSession, crawl: CrawlConfig, store: ChunkStore, provider: Callable[[], EmbeddingProvider], fetch: Fetch, as_of) -> DataFrame:
-    return index_batch(crawl_pages(site_rows(spark, crawl), crawl, fetch), store, provider, as_of)
+    with passing(spark):
+        return index_batch(crawl_pages(site_rows(spark, crawl), crawl, fetch), store, provider, as_of)
 
 
 def due(sites: DataFrame, as_of) -> DataFrame:

@@ -6,10 +6,13 @@ similarity computed twice. Recency comes first: it is a plain column predicate t
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import datetime
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine, literal
+from ..functions.vectors import cosine, literal, usable
+from .vector_index import PART_ROWS, blocks_of, in_all, nearest_in_parts
 
 THRESHOLD, LIMIT = 0.3, 5
 
@@ -41,6 +44,14 @@ def search(chunks: DataFrame, query, limit: int = LIMIT, fresh_days: int | None
     return best.where(fresh(capture, as_of, fresh_days)).orderBy(F.desc("score"), tie).limit(limit)
 
 
+def search_store(store, query, limit: int = LIMIT, fresh_days: int | None = None, as_of=None, threshold: float = THRESHOLD, probes: int | None = 0) -> DataFrame:
+    """`search` on a chunk table: its days prune what isn't fresh, its vector index (if it has one) what isn't near. probes=None compares with all."""
+    since = None
+    if fresh_days is not None:
+        since = (as_of if isinstance(as_of, datetime.datetime) else datetime.datetime.fromisoformat(as_of)) - datetime.timedelta(days=fresh_days)
+    return top_k(store.near(query, probes, since=since), query, limit, threshold)
+
+
 def results(found: DataFrame) -> DataFrame:
     """score, url, title, heading, text, capture_date; missing values as empty strings."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
@@ -49,65 +60,12 @@ def results(found: DataFrame) -> DataFrame:
 
 def top_k_batch(
     vectors: DataFrame, queries: DataFrame, k: int, threshold: float | None = None, id_col: str = "vec_id", query_col: str = "query_id",
-    vector: str = "embedding", block_rows: int = 256, send_bytes: int = 64 << 20,
+    vector: str = "embedding", part_rows: int = PART_ROWS,
 ) -> DataFrame:
-    """(query_id, id, score, rank) for many queries. Up to `send_bytes` of queries go out at a time and meet every row in one scan, in blocks of
-    `block_rows` as matrix products; only each partition's k best per query leave it. Queries pass through the driver in parts of that size."""
-    import numpy as np
-    import pyarrow as pa
-
-    spark = vectors.sparkSession
-    rows = vectors.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-
-    def units(m):
-        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-
-    def best(ids, matrix):
-        shared = spark.sparkContext.broadcast((np.array(ids), units(np.array(matrix, float))))
-
-        def run(batches):
-            q_ids, q = shared.value
-            cuts = range(0, len(q), block_rows)
-            held = {c: (np.empty((len(q[c : c + block_rows]), 0), np.int64), np.empty((len(q[c : c + block_rows]), 0))) for c in cuts}
-            for batch in batches:
-                if not len(batch):
-                    continue
-                own = batch["id"].to_numpy()
-                flat = batch["v"].flatten().to_numpy()
-                v = units(flat.reshape(len(own), -1)).T
-                for c in cuts:
-                    scores = q[c : c + block_rows] @ v
-                    near = np.argpartition(-scores, k - 1, axis=1)[:, :k] if scores.shape[1] > 4 * k else None
-                    if near is not None:  # all that equals the k-th best stays, so that ties go by id
-                        least = np.take_along_axis(scores, near, 1).min(axis=1)
-                        some = np.flatnonzero((scores >= least[:, None]).any(axis=0))
-                        scores, ids_ = scores[:, some], own[some]
-                    else:
-                        ids_ = own
-                    a = np.concatenate([held[c][0], np.broadcast_to(ids_, scores.shape)], axis=1)
-                    b = np.concatenate([held[c][1], scores], axis=1)
-                    order = np.lexsort((a, -b), axis=1)[:, :k]
-                    held[c] = np.take_along_axis(a, order, 1), np.take_along_axis(b, order, 1)
-            for c, (a, b) in held.items():
-                if a.shape[1]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids[c : c + block_rows], a.shape[1])), pa.array(a.ravel()), pa.array(b.ravel())], names=["q", "id", "score"])
-
-        return rows.mapInArrow(run, "q long, id long, score double")
-
-    parts, block, held = [], [], 0
-    for row in queries.select(F.col(query_col).cast("long").alias("q"), F.col(vector).cast("array<double>").alias("v")).toLocalIterator():
-        block.append((row["q"], row["v"]))
-        held += 8 * len(row["v"])
-        if held >= send_bytes:
-            parts.append(best(*zip(*block)))
-            block, held = [], 0
-    if block:
-        parts.append(best(*zip(*block)))
-    if not parts:
-        return spark.createDataFrame([], "query_id long, id long, score double, rank int")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
-    ranked = ranked if threshold is None else ranked.where(F.col("score") >= threshold)
-    return ranked.select(F.col("q").alias("query_id"), "id", "score", F.col("rank").cast("int").alias("rank"))
+    """(query_id, id, score, rank) for many queries, exactly. Vectors are dealt to parts of about `part_rows` by a hash of their ids, every query meets
+    every part there, and only each part's k best per query leave it."""
+    rows = vectors.where(usable(vector)).select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v"))
+    asked = queries.where(usable(vector)).select(F.col(query_col).cast("long").alias("query_id"), F.col(vector).alias("v"))
+    parts = max(1, -(-rows.count() // part_rows))
+    ranked = nearest_in_parts(blocks_of(rows, parts), in_all(asked, parts), k)
+    return ranked if threshold is None else ranked.where(F.col("score") >= threshold)

@@ -13,7 +13,7 @@ from pyspark.sql import SparkSession
 
 from ..operators.crawl import crawl_and_index, due_sites
 from ..operators.embed import EmbeddingError, create_provider
-from ..operators.search import search
+from ..operators.search import search_store
 from ..operators.store import ChunkStore
 from ..sources import config as configs
 from ..sources.fetch import fetched, http_fetcher
@@ -39,6 +39,7 @@ def parser() -> argparse.ArgumentParser:
     find.add_argument("--fresh-days", "--stale-days", type=int, dest="fresh_days")
     find.add_argument("--json", action="store_true")
     commands.add_parser("serve", parents=[shared])
+    commands.add_parser("index", parents=[shared], help="makes a vector index of the table as it stands")
     return top
 
 
@@ -94,8 +95,10 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None, fetch
             fetch = fetch or (lambda urls: fetched(urls, lambda: http_fetcher(agent), crawl.max_concurrency, crawl.request_delay_ms))
             r = crawl_and_index(spark, crawl, store, lambda: create_provider(embedding), fetch, now).first()
             print(f"{r['pages_seen']} pages seen, {r['pages_stored']} stored in {r['chunks_stored']} chunks, {r['pages_failed']} failed", file=sys.stderr)
+        elif options.command == "index":
+            print(f"version {store.build_index()} indexed", file=sys.stderr)
         elif options.command == "search":
-            found = search(store.chunks(), provider.embed(options.query), options.limit, options.fresh_days, now)
+            found = search_store(store, provider.embed(options.query), options.limit, options.fresh_days, now)
             print(as_json(found) if options.json else as_text(found) or "No results found.")
         else:
             serve(Tools(store, provider, [s.url for s in config.crawl.sites]))

@@ -17,6 +17,7 @@ from ..operators.crawl import crawl_pages, index_batch, next_frontier, site_rows
 from ..operators.embed import HashProvider, embedded
 from ..operators.search import results, search, top_k, top_k_batch
 from ..operators.store import ChunkStore, classified, materialised, replaced, work_folder
+from ..operators.vector_index import VectorIndex
 from ..sources.config import CrawlConfig, SiteConfig
 from ..sources.fetch import from_snapshot
 from ..sources.robots import allowed, parsed
@@ -53,6 +54,28 @@ def vector_topk_batch(spark, sf_dir):
     return top_k_batch(vectors, vectors.select(F.col("vec_id").alias("query_id"), "embedding"), 5).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
+def _index(spark, sf_dir):
+    return VectorIndex.build(_table(spark, sf_dir, "embeddings"), work_folder(spark, "vector-index"), "vec_id", cell_rows=32)
+
+
+def _every_twentieth(spark, sf_dir):
+    return _table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v"))
+
+
+def vector_index_exact(spark, sf_dir):
+    """Every twentieth vector against all of an index's cells."""
+    return _index(spark, sf_dir).search_batch(_every_twentieth(spark, sf_dir), 10, probes=None).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+def vector_index_recall(spark, sf_dir):
+    """Every twentieth vector in the cells that the index has chosen: how many of its 10 neighbours are sought, and whether nine tenths of all are found."""
+    index, queries = _index(spark, sf_dir), materialised(_every_twentieth(spark, sf_dir))
+    true = materialised(index.search_batch(queries, 10, probes=None))
+    found = true.join(index.search_batch(queries, 10).select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
+    share = found.agg((F.count("hit") >= 0.9 * F.count("*")).alias("recall_reached"))
+    return true.groupBy("query_id").agg(F.count("*").alias("n_sought")).join(share)
+
+
 def _captured(spark, sf_dir):
     events = _table(spark, sf_dir, "events").select(F.col("event_id").alias("vec_id"), F.col("ts").cast("timestamp").alias("capture_date"))
     return _table(spark, sf_dir, "embeddings").join(events, "vec_id", "left")
@@ -300,7 +323,7 @@ def semantic_search(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        semantic_search, vector_topk, vector_topk_batch, search_fresh, search_overfetch, content_hashes, point_ids, token_estimate, sentence_split, chunk_pack,
+        semantic_search, vector_topk, vector_topk_batch, vector_index_exact, vector_index_recall, search_fresh, search_overfetch, content_hashes, point_ids, token_estimate, sentence_split, chunk_pack,
         paragraph_pack, page_title, page_headings, page_links, page_sections, page_markdown, page_html, page_tables, robots_filter, sitemap_urls, bfs_depth,
         crawl_snapshot, robots_rules, sitemap_index, section_chunks, index_delta, delta_classify, upsert_replace, get_page, list_urls, list_stale_urls, crawl_status, result_format, hash_embedding,
     )
@@ -401,6 +424,10 @@ ORACLES: dict[str, str] = {
     "vector_topk_batch": f"""SELECT query_id, id, round(s, 6) AS score, CAST(r AS INTEGER) AS rank FROM (
   SELECT query_id, id, s, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, id) AS r FROM (
     SELECT q.vec_id AS query_id, e.vec_id AS id, {_COS.format(a="e.embedding", b="q.embedding")} AS s FROM embeddings q CROSS JOIN embeddings e)) WHERE r <= 5""",
+    "vector_index_exact": f"""SELECT query_id, id, round(s, 6) AS score, CAST(r AS INTEGER) AS rank FROM (
+  SELECT query_id, id, s, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, id) AS r FROM (
+    SELECT q.vec_id AS query_id, e.vec_id AS id, {_COS.format(a="e.embedding", b="q.embedding")} AS s FROM embeddings q CROSS JOIN embeddings e WHERE q.vec_id % 20 = 0)) WHERE r <= 10""",
+    "vector_index_recall": "SELECT vec_id AS query_id, least(10, (SELECT count(*) FROM embeddings)) AS n_sought, TRUE AS recall_reached FROM embeddings WHERE vec_id % 20 = 0",
     "search_fresh": f"SELECT vec_id, round(s, 6) AS score FROM (SELECT * FROM ({_WITH_TS}) WHERE {_FRESH} ORDER BY s DESC, vec_id LIMIT 5) WHERE s >= 0.1",
     "search_overfetch": f"""SELECT vec_id, round(s, 6) AS score FROM (SELECT * FROM ({_WITH_TS}) ORDER BY s DESC, vec_id LIMIT 15)
 WHERE s >= 0.1 AND {_FRESH} ORDER BY s DESC, vec_id LIMIT 5""",

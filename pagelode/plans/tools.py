@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import datetime
 import json
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.embed import EmbeddingError, EmbeddingProvider
-from ..operators.search import LIMIT, THRESHOLD, results, search, stale
+from ..operators.search import LIMIT, THRESHOLD, results, search_store, stale
 from ..operators.store import ChunkStore
 
 
@@ -60,8 +61,6 @@ class Tools:
         self.store, self.provider, self.sites, self.as_of = store, provider, list(sites), as_of
 
     def _now(self):
-        import datetime
-
         return self.as_of or datetime.datetime.now(datetime.timezone.utc)
 
     def search_web_pages(self, query: str, limit: int = LIMIT, score_threshold: float = THRESHOLD, fresh_days: int | None = None, stale_days: int | None = None) -> str:
@@ -71,7 +70,7 @@ class Tools:
         except EmbeddingError as e:
             return str(e)
         days = fresh_days if fresh_days is not None else stale_days
-        rows = results(search(self.store.chunks(), vector, limit, days, self._now(), score_threshold)).collect()
+        rows = results(search_store(self.store, vector, limit, days, self._now(), score_threshold)).collect()
         if not rows:
             return "No results found."
         out = [f"Found {len(rows)} results:", ""]
@@ -88,11 +87,16 @@ class Tools:
         head = [f"# {rows[0]['title'] or url}", f"URL: {url}", f"Captured: {rows[0]['capture_date']}", f"Chunks: {len(rows)}", ""]
         return "\n".join([*head, *(r["chunk_text"] + "\n" for r in rows)])
 
-    def list_urls(self, stale_days: int | None = None) -> str:
-        rows = url_list(self.store.chunks(), stale_days, self._now()).collect()
+    def list_urls(self, stale_days: int | None = None, limit: int = 1000, after: str = "") -> str:
+        """The pages, oldest first, `limit` at a time; what the last line names as `after` asks for the next ones."""
+        before = None if stale_days is None else self._now() - datetime.timedelta(days=stale_days)
+        place = F.concat_ws(" ", F.coalesce(F.date_format("captured", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("")), "url")
+        found = url_list(self.store.chunks(before=before)).withColumn("place", place)
+        rows = found.where(F.col("place") > after).orderBy("place").limit(limit + 1).collect()
         if not rows:
-            return "No pages are indexed." if stale_days is None else f"No pages are older than {stale_days} days."
-        return "\n".join([f"{len(rows)} pages:", *(f"- {r['url']} | {r['title']} | {r['captured']}" for r in rows)])
+            return "No more pages." if after else "No pages are indexed." if stale_days is None else f"No pages are older than {stale_days} days."
+        told = [f"- {r['url']} | {r['title']} | {r['captured']}" for r in rows[:limit]]
+        return "\n".join([f"{len(told)} pages:", *told, *([f"More pages after: {rows[limit - 1]['place']}"] if len(rows) > limit else [])])
 
     def crawl_status(self) -> str:
         r = status(self.store.chunks()).first()

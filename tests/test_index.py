@@ -374,7 +374,7 @@ def test_search_plans(spark, store):
 
 def test_batch_search_equals_single(spark):
     rows = spark.createDataFrame([(i, [float((i * 7 + j * 3) % 11 - 5) for j in range(6)]) for i in range(60)], "vec_id long, embedding array<float>")
-    got = search.top_k_batch(rows.repartition(2), rows.where("vec_id < 7").withColumnRenamed("vec_id", "query_id"), 4, block_rows=3, send_bytes=200).collect()
+    got = search.top_k_batch(rows.repartition(2), rows.where("vec_id < 7").withColumnRenamed("vec_id", "query_id"), 4, part_rows=3).collect()
     for q in range(7):
         own = sorted((r["rank"], r["id"], round(r["score"], 9)) for r in got if r["query_id"] == q)
         one = search.top_k(rows, rows.where(F.col("vec_id") == q).first()["embedding"], 4, None, "vec_id").collect()
