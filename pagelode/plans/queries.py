@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.hashing import content_hash, point_id
-from ..functions.html import Selectors, extract_pages
+from ..functions.html import FIELDS, Selectors, extract_pages
 from ..functions.urls import host_of, path_of
 from ..operators.chunking import chunk_pages
 from ..operators.crawl import crawl_pages, index_batch, next_frontier, site_rows
@@ -116,32 +116,42 @@ def paragraph_pack(spark, sf_dir):
     return chunk_pages(_doc_pages(spark, sf_dir, True)).select("doc_id", "chunk_index", "chunk_text")
 
 
-def _extracted(spark, sf_dir, mode="Markdown"):
-    return extract_pages(_table(spark, sf_dir, "pages"), Selectors(content="article"), mode)
+def _extracted(spark, sf_dir, mode="Markdown", fields=FIELDS):
+    return extract_pages(_table(spark, sf_dir, "pages"), Selectors(content="article"), mode, fields=fields)
 
 
 def page_title(spark, sf_dir):
-    return _extracted(spark, sf_dir).select("page_id", "title")
+    return _extracted(spark, sf_dir, fields=("title",)).select("page_id", "title")
 
 
 def page_headings(spark, sf_dir):
-    return _extracted(spark, sf_dir).select("page_id", F.array_join("headings", "|").alias("headings"))
+    return _extracted(spark, sf_dir, fields=("headings",)).select("page_id", F.array_join("headings", "|").alias("headings"))
 
 
 def page_links(spark, sf_dir):
-    return _extracted(spark, sf_dir).select("page_id", F.size("links").alias("n_links"), F.array_join(F.array_sort("links"), " ").alias("links"))
+    return _extracted(spark, sf_dir, fields=("links",)).select("page_id", F.size("links").alias("n_links"), F.array_join(F.array_sort("links"), " ").alias("links"))
 
 
 def page_sections(spark, sf_dir):
-    return _extracted(spark, sf_dir, "Text").select("page_id", F.posexplode("sections").alias("section_index", "s")).select("page_id", "section_index", "s.heading", "s.text")
+    return _extracted(spark, sf_dir, "Text", ("sections",)).select("page_id", F.posexplode("sections").alias("section_index", "s")).select("page_id", "section_index", "s.heading", "s.text")
 
 
 def page_markdown(spark, sf_dir):
-    return _extracted(spark, sf_dir).select("page_id", "body_text")
+    return _extracted(spark, sf_dir, fields=("body_text",)).select("page_id", "body_text")
 
 
 def page_html(spark, sf_dir):
-    return _extracted(spark, sf_dir, "Html").select("page_id", "body_text")
+    return _extracted(spark, sf_dir, "Html", ("body_text",)).select("page_id", "body_text")
+
+
+def page_parts(spark, sf_dir):
+    """Parts of each page by a class, a path with positions and conditions, an attribute, and the description that its head is given here."""
+    pages = _table(spark, sf_dir, "pages")
+    described = F.replace("html", F.lit("<title>"), F.concat(F.lit('<meta content="page &lt;'), F.col("page_id").cast("string"), F.lit('&gt;" name=Description><title>')))
+    chosen = Selectors(content=".ad", heading="//nav//li[position() > 1 and position() < 4]/a[starts-with(@href, '/')]")
+    got = extract_pages(pages.select("page_id", "url", described.alias("html")), chosen, "Text", fields=("title", "headings", "body_text", "summary"))
+    second = extract_pages(pages.select("page_id", "url", "html"), Selectors(title="//article/h1[not(@class) and position() = 1]/.."), fields=("title",))
+    return got.select("page_id", F.array_join("headings", "|").alias("links"), F.col("body_text").alias("advert"), "summary").join(second.select("page_id", F.length("title").alias("article_chars")), "page_id")
 
 
 def page_tables(spark, sf_dir):
@@ -313,7 +323,7 @@ def hash_embedding(spark, sf_dir):
 
 def semantic_search(spark, sf_dir):
     """End to end: pages are extracted, chunked, embedded and searched for the first page's title."""
-    pages = _extracted(spark, sf_dir)
+    pages = _extracted(spark, sf_dir, fields=("title", "sections", "body_text"))
     chunks = chunk_pages(pages).withColumn("point_id", point_id(F.col("url"), F.col("chunk_index"))).withColumn("capture_date", F.lit(AS_OF).cast("timestamp"))
     vectors = materialised(embedded(chunks, lambda: HashProvider(384)))
     title = vectors.orderBy("page_id", "chunk_index").select("title").first()
@@ -324,7 +334,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         semantic_search, vector_topk, vector_topk_batch, vector_index_exact, vector_index_recall, search_fresh, search_overfetch, content_hashes, point_ids, token_estimate, sentence_split, chunk_pack,
-        paragraph_pack, page_title, page_headings, page_links, page_sections, page_markdown, page_html, page_tables, robots_filter, sitemap_urls, bfs_depth,
+        paragraph_pack, page_title, page_headings, page_links, page_sections, page_markdown, page_html, page_parts, page_tables, robots_filter, sitemap_urls, bfs_depth,
         crawl_snapshot, robots_rules, sitemap_index, section_chunks, index_delta, delta_classify, upsert_replace, get_page, list_urls, list_stale_urls, crawl_status, result_format, hash_embedding,
     )
 }
@@ -447,6 +457,10 @@ SELECT pages.page_id, CAST(count(link) AS INTEGER) AS n_links, coalesce(string_a
     "page_sections": f"WITH {_articles(_PLAIN_PIECE)} SELECT page_id, 0 AS section_index, heading, body AS text FROM body WHERE body <> ''",
     "page_markdown": f"WITH {_articles(_MARKDOWN_PIECE, 'repeat(chr(10), 3)')} SELECT page_id, body AS body_text FROM body",
     "page_html": f"WITH {_articles(_HTML_PIECE)} SELECT page_id, body AS body_text FROM body",
+    "page_parts": rf"""SELECT page_id, array_to_string(list_transform(regexp_extract_all(html, '<li><a href="[^"]*">(.*?)</a>', 1)[2:3], lambda x: trim({_DECODE.format(x="x")})), '|') AS links,
+       trim({_DECODE.format(x="regexp_extract(html, '(?s)<div class=" + chr(34) + "ad" + chr(34) + ">(.*?)</div>', 1)")}) AS advert, 'page <' || page_id || '>' AS summary,
+       CAST(length(trim({_DECODE.format(x="regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '</?[a-z][^>]*>', '', 'g')")}, {_BLANK})) AS INTEGER) AS article_chars
+FROM pages""",
     "page_tables": f"""SELECT page_id, rtrim('| href | kind | ' || chr(10) || '| --- | --- | ' || coalesce(array_to_string(list_transform(
   regexp_extract_all(html, '<a href="([^"]*)">', 1), lambda x: chr(10) || '| ' || replace(trim({_DECODE.format(x="x")}), '|', chr(92) || '|') || ' | link | '), ''), '')) AS body_text FROM pages""",
     "hash_embedding": f"""WITH {_vectors("v", "benchmark", "item_id", "text", 64)}

@@ -8,7 +8,7 @@ import re
 from dataclasses import dataclass, field
 from pathlib import Path
 
-from ..functions.html import Selectors
+from ..functions.html import Selectors, checked
 
 MODES = {"html": "Html", "markdown": "Markdown", "text": "Text"}
 #: A default model and vector size per provider.
@@ -115,6 +115,8 @@ def _fill(target, data: dict):
             value = [_fill(SiteConfig(), x) for x in value]
         elif hasattr(now, "__dataclass_fields__"):
             value = _fill(now, value)
+        if name == "selectors":
+            checked(value)
         setattr(target, name, value)
     return target
 

@@ -131,7 +131,7 @@ PAGE = "<div id='top' class='x note y'><h1>1</h1><p class='noted'>2</p><a name='
     [
         ("h1", ["h1"]), ("H1", ["h1"]), (".note", ["div"]), ("#top", ["div"]), ("meta[name=author]", ["meta"]), ("meta[name='author']", ["meta"]), ("//a/b", ["b"]), ("a/b", ["b"]),
         ("a > b", []), ("//div/*", ["h1", "p", "a"]), ("//div/*[2]", ["p"]), ("//*[@name]", ["a", "meta"]), ("//*[@name='n']", ["a"]), ("//p[contains(@class, 'ote')]", ["p"]),
-        ("//*[contains(concat(' ', normalize-space(@class), ' '), ' note ')]", ["div"]), ("//p[last()]", []), ("", []), ("p, h1, p", ["p", "h1", "p"]), ("./div//b", ["b"]), ("note", ["note"]),
+        ("//*[contains(concat(' ', normalize-space(@class), ' '), ' note ')]", ["div"]), ("//p[last()]", ["p"]), ("", []), ("p, h1, p", ["p", "h1", "p"]), ("./div//b", ["b"]), ("note", ["note"]),
     ],
 )
 def test_selectors(selector, tags):
