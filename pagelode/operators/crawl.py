@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import content_hash, point_id
-from ..functions.html import extract_pages
+from ..functions.html import checked, extract_pages
 from ..functions.urls import host_of, trimmed, visit_key
 from ..sources import robots, sitemap
 from ..sources.config import CrawlConfig, site_mode
 from .chunking import chunk_pages
-from .embed import EmbeddingProvider, embedded, whole_pages
-from .store import ChunkStore, classified, materialised, passing
+from .embed import EmbeddingProvider, embedded_once, whole_pages
+from .store import ChunkStore, classified, materialised, passing, passing_folder
 
 Fetch = Callable[[DataFrame], DataFrame]
 
@@ -50,6 +51,25 @@ def next_frontier(level: DataFrame, visited: DataFrame) -> DataFrame:
     return found.withColumn("key", visit_key(F.col("url"))).dropDuplicates(["key"]).join(visited, "key", "left_anti").drop("key")
 
 
+class Seen:
+    """Keys of visited URLs as a bucketed table. A level's links are dealt to the buckets; what was seen before is read where it lies and never dealt again,
+    so that what a level moves follows its links, not all that was visited."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.buckets = spark, int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.path, self.name = passing_folder(spark, "seen"), f"seen_{uuid.uuid4().hex}"
+
+    def add(self, keys: DataFrame) -> None:
+        rows = keys.select("key").repartition(self.buckets, "key")
+        rows.write.bucketBy(self.buckets, "key").sortBy("key").option("path", self.path).mode("append").saveAsTable(self.name)
+
+    def keys(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+
 def crawl_pages(sites: DataFrame, crawl: CrawlConfig, fetch: Fetch, selectors=None) -> DataFrame:
     """Every page that came, extracted: (site_url, url, depth, ...page fields). Breadth first, so depth is the shortest distance.
 
@@ -57,15 +77,17 @@ def crawl_pages(sites: DataFrame, crawl: CrawlConfig, fetch: Fetch, selectors=No
     """
     spark = sites.sparkSession
     selectors = selectors or {s.url: s.selectors for s in crawl.sites}
+    for own in selectors.values():
+        if own is not None:
+            checked(own)
     rows = [(url, json.dumps(vars(own))) for url, own in selectors.items() if own is not None]
     kinds = spark.createDataFrame(rows, "site_url string, selectors string") if rows else None
     rules = materialised(site_rules(sites, fetch, crawl.product_token)) if crawl.respect_robots_txt else None
     start = seeds(sites, rules, fetch).join(sites.select("site_url", "max_depth"), "site_url").withColumn("depth", F.lit(0))
     frontier = materialised(start.withColumn("_k", visit_key(F.col("url"))).dropDuplicates(["_k"]).drop("_k"))
-    visited, pages = None, None
+    seen, pages = Seen(spark), None
     while frontier.take(1):
-        keys = frontier.select(visit_key(F.col("url")).alias("key"))
-        visited = keys if visited is None else visited.unionByName(keys)
+        seen.add(frontier.select(visit_key(F.col("url")).alias("key")))
         allowed = frontier
         if rules is not None:
             allowed = frontier.join(rules, "site_url", "left")
@@ -74,7 +96,8 @@ def crawl_pages(sites: DataFrame, crawl: CrawlConfig, fetch: Fetch, selectors=No
         told = came.join(kinds, "site_url", "left") if kinds is not None else came.withColumn("selectors", F.lit(None).cast("string"))
         level = materialised(extract_pages(told, by_row=True).drop("selectors"))
         pages = level if pages is None else pages.unionByName(level)
-        frontier = materialised(next_frontier(level, visited).select("site_url", "url", "max_depth", "depth"))
+        frontier = materialised(next_frontier(level, seen.keys()).select("site_url", "url", "max_depth", "depth"))
+    seen.drop()
     return pages if pages is not None else extract_pages(sites.select("site_url", F.col("site_url").alias("url"), "max_depth", F.lit(0).alias("depth"), "mode", F.lit("").alias("html")).limit(0))
 
 
@@ -95,7 +118,7 @@ def _indexed(pages: DataFrame, store: ChunkStore, provider: Callable[[], Embeddi
     known = materialised(classified(own, store.pages()))
     chunks = chunk_pages(known.where("change != 'unchanged'"))
     chunks = chunks.withColumn("point_id", point_id(F.col("url"), F.col("chunk_index"))).withColumn("capture_date", F.lit(as_of).cast("timestamp")).drop("change")
-    vectors = materialised(embedded(chunks, provider))
+    vectors = materialised(embedded_once(chunks, provider))
     good = whole_pages(vectors)
     failed = vectors.where("embed_error IS NOT NULL").select("url").distinct()
     changed = known.where("change != 'unchanged'").select("url", "content_hash").join(failed, "url", "left_anti")

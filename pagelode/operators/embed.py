@@ -16,6 +16,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..sources.config import EmbeddingConfig
 
@@ -173,9 +174,23 @@ def create_provider(config: EmbeddingConfig) -> EmbeddingProvider:
     return RetryingProvider(make(c), c.max_retries)
 
 
-def embedded(chunks: DataFrame, provider: Callable[[], EmbeddingProvider], text: str = "chunk_text") -> DataFrame:
-    """chunks with embedding array<float> and embed_error. The provider is made once a task; a batch that fails is tried row by row,
-    so a failure stays with the rows it belongs to."""
+#: Characters that a provider is given at a time, counted as it pads them: the longest text times the number of texts.
+BATCH_CHARS = 200_000
+
+
+def batches_by_length(lengths: list[int], most: int = BATCH_CHARS) -> list[list[int]]:
+    """Places of texts in batches: texts of like length together, as many as fit; a text that alone is more is a batch of its own."""
+    out: list[list[int]] = []
+    for i in sorted(range(len(lengths)), key=lengths.__getitem__):
+        if not out or (len(out[-1]) + 1) * lengths[i] > most:
+            out.append([])
+        out[-1].append(i)
+    return out
+
+
+def embedded(chunks: DataFrame, provider: Callable[[], EmbeddingProvider], text: str = "chunk_text", batch_chars: int = BATCH_CHARS) -> DataFrame:
+    """chunks with embedding array<float> and embed_error. The provider is made once a task and given texts of like length together; a batch that fails is
+    tried text by text, so a failure stays with the rows it belongs to."""
     names = [n for n in chunks.columns if n not in ("embedding", "embed_error")]
     fields = chunks.select(*names).schema
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "embedding array<float>", "embed_error string"])
@@ -185,17 +200,17 @@ def embedded(chunks: DataFrame, provider: Callable[[], EmbeddingProvider], text:
         for batch in batches:
             own = own or provider()
             texts = batch[text].to_pylist()
-            try:
-                vectors, errors = own.embed_batch(texts), [None] * len(texts)
-            except Exception:  # noqa: BLE001
-                vectors, errors = [], []
-                for t in texts:
-                    try:
-                        vectors.append(own.embed(t))
-                        errors.append(None)
-                    except Exception as e:  # noqa: BLE001
-                        vectors.append(None)
-                        errors.append(str(e))
+            vectors, errors = [None] * len(texts), [None] * len(texts)
+            for places in batches_by_length([len(t or "") for t in texts], batch_chars):
+                try:
+                    for i, v in zip(places, own.embed_batch([texts[i] for i in places]), strict=True):
+                        vectors[i] = v
+                except Exception:  # noqa: BLE001
+                    for i in places:
+                        try:
+                            vectors[i] = own.embed(texts[i])
+                        except Exception as e:  # noqa: BLE001
+                            errors[i] = str(e)
             yield pa.RecordBatch.from_arrays(
                 [*(batch[n] for n in names), pa.array(vectors, pa.list_(pa.float32())), pa.array(errors, pa.string())], names=[*names, "embedding", "embed_error"]
             )
@@ -203,6 +218,14 @@ def embedded(chunks: DataFrame, provider: Callable[[], EmbeddingProvider], text:
     return chunks.select(*names).mapInArrow(run, schema)
 
 
+def embedded_once(chunks: DataFrame, provider: Callable[[], EmbeddingProvider], text: str = "chunk_text", batch_chars: int = BATCH_CHARS) -> DataFrame:
+    """As `embedded`, but each distinct text is given to the provider once, whatever number of chunks have it."""
+    rows = chunks.drop("embedding", "embed_error").withColumn("_text_key", F.sha2(F.coalesce(text, F.lit("")), 256))
+    texts = rows.groupBy("_text_key").agg(F.first(F.coalesce(text, F.lit(""))).alias("_text"))
+    vectors = embedded(texts, provider, "_text", batch_chars).drop("_text")
+    return rows.join(vectors, "_text_key").drop("_text_key")
+
+
 def whole_pages(embedded_chunks: DataFrame) -> DataFrame:
     """Only pages all of whose chunks were embedded."""
     failed = embedded_chunks.where("embed_error IS NOT NULL").select("url").distinct()

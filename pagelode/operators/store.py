@@ -54,10 +54,15 @@ def work_folder(spark: SparkSession, name: str) -> str:
 _tables: list[str] = []
 
 
+def passing_folder(spark: SparkSession, name: str) -> str:
+    """A new work folder, which `passing` deletes."""
+    _tables.append(work_folder(spark, name))
+    return _tables[-1]
+
+
 def materialised(df: DataFrame) -> DataFrame:
     """df, computed once and cut from its lineage: a table of its own, which `passing` deletes."""
-    path = work_folder(df.sparkSession, "level")
-    _tables.append(path)
+    path = passing_folder(df.sparkSession, "level")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

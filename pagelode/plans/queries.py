@@ -218,6 +218,21 @@ def crawl_snapshot(spark, sf_dir):
     return came.select("url", "depth", "title")
 
 
+#: Sites of the query below: how deep, in which mode, and what is their text.
+SITES = ((6, "Markdown", "article"), (4, "Text", "//div[@class='ad']"), (5, "Html", ".ad"), (3, None, "#none, footer"))
+
+
+def crawl_sites(spark, sf_dir):
+    """A crawl of four sites in one go. Page n is number n / 4 of site n % 4 and leads to numbers 2i + 1, 2i + 2, i / 2 and, in vain, to another site's; the number 5
+    of each is lost. Each site has its own depth, mode and content."""
+    pages = _table(spark, sf_dir, "pages").select((F.col("page_id") % 4).alias("s"), F.floor(F.col("page_id") / 4).cast("long").alias("i"), "html")
+    href = lambda n: F.format_string('<a href="/%d/#top">x</a>', F.floor(n).cast("long"))
+    links = F.concat(href(F.col("i") * 2 + 1), href(F.col("i") * 2 + 2), href(F.col("i") / 2), F.format_string('<a href="http://s%d.org/7">y</a>', (F.col("s") + 1) % 4))
+    web = materialised(pages.where("i <> 5").select(F.format_string("http://s%d.org/%d", "s", "i").alias("url"), F.concat("html", links).alias("html")))
+    crawl = CrawlConfig(sites=[SiteConfig(f"http://s{n}.org/0", depth, selectors=Selectors(content=content), mode=mode) for n, (depth, mode, content) in enumerate(SITES)], respect_robots_txt=False, mode="Text")
+    return crawl_pages(site_rows(spark, crawl), crawl, lambda urls: from_snapshot(urls, web)).select("site_url", "url", "depth", "title", "body_text")
+
+
 def section_chunks(spark, sf_dir):
     """Each document's lines as two sections with a heading, chunked; without a chunk of either, the whole text."""
     docs, lines, half = _doc_pages(spark, sf_dir), F.split("body_text", "\n"), F.ceil(F.size(F.split("body_text", "\n")) / 2).cast("int")
@@ -335,7 +350,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         semantic_search, vector_topk, vector_topk_batch, vector_index_exact, vector_index_recall, search_fresh, search_overfetch, content_hashes, point_ids, token_estimate, sentence_split, chunk_pack,
         paragraph_pack, page_title, page_headings, page_links, page_sections, page_markdown, page_html, page_parts, page_tables, robots_filter, sitemap_urls, bfs_depth,
-        crawl_snapshot, robots_rules, sitemap_index, section_chunks, index_delta, delta_classify, upsert_replace, get_page, list_urls, list_stale_urls, crawl_status, result_format, hash_embedding,
+        crawl_snapshot, crawl_sites, robots_rules, sitemap_index, section_chunks, index_delta, delta_classify, upsert_replace, get_page, list_urls, list_stale_urls, crawl_status, result_format, hash_embedding,
     )
 }
 
@@ -481,6 +496,16 @@ SELECT 'http://h/' || n AS url, CAST(depth AS INTEGER) AS depth, """
     + f"trim({_DECODE.format(x="regexp_extract(html, '<title>(.*?)</title>', 1)")})"
     + """ AS title
 FROM least_depth JOIN pages ON page_id = n WHERE n % 10 <> 3 AND n::VARCHAR NOT LIKE '2%'""",
+    "crawl_sites": f"""WITH RECURSIVE p AS (SELECT page_id % 4 AS s, page_id // 4 AS i, page_id FROM pages),
+e AS (SELECT s, i AS a, unnest([2 * i + 1, 2 * i + 2, i // 2]) AS b FROM p WHERE i <> 5),
+r(s, n, depth) AS (SELECT unnest([0, 1, 2, 3])::BIGINT, 0::BIGINT, 0 UNION SELECT r.s, b, depth + 1 FROM r JOIN e ON a = n AND e.s = r.s WHERE depth < [{", ".join(str(x[0]) for x in SITES)}][r.s + 1]),
+least_depth AS (SELECT s, n, min(depth) AS depth FROM r GROUP BY ALL),
+{_articles(_MARKDOWN_PIECE, "repeat(chr(10), 3)")}
+SELECT 'http://s' || s || '.org/0' AS site_url, 'http://s' || s || '.org/' || n AS url, CAST(depth AS INTEGER) AS depth, title,
+       CASE s WHEN 0 THEN body WHEN 1 THEN trim({_DECODE.format(x="x1")}) WHEN 2 THEN trim(x1) ELSE trim(replace(replace({_DECODE.format(x="x2")}, '&copy;', '©'), '&middot;', '·')) END AS body_text
+FROM (SELECT s, n, depth, page_id FROM least_depth JOIN (SELECT s, i AS n, page_id FROM p) USING (s, n)) JOIN body USING (page_id)
+JOIN (SELECT page_id, regexp_extract(html, '(?s)<div class="ad">(.*?)</div>', 1) AS x1, regexp_extract(html, '(?s)<footer>(.*?)</footer>', 1) AS x2 FROM pages) USING (page_id)
+WHERE n <> 5""",
     "section_chunks": f"""WITH RECURSIVE l AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
 halves AS (
   SELECT doc_id, unnest([1, 2]) AS k, unnest([l[1:(len(l) + 1) // 2], l[(len(l) + 1) // 2 + 1:]]) AS l FROM l),

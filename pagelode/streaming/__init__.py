@@ -28,6 +28,6 @@ def index_stream(stream: DataFrame, store: ChunkStore, provider, checkpoint: str
         rows = newest(batch)
         last = rows.agg(F.max("fetched_at")).first()[0]
         if last is not None:
-            index_batch(extract_pages(rows.select("url", "html"), selectors, mode), store, provider, last).collect()
+            index_batch(extract_pages(rows.select("url", "html"), selectors, mode), store, provider, last)
 
     return stream.writeStream.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).foreachBatch(run).start()

@@ -422,3 +422,54 @@ def test_stream_of_snapshots(spark, store, tmp_path):
 def test_due_sites(spark):
     rows = spark.createDataFrame([("a", 24, DAY1), ("b", 24, None), ("c", 24 * 60, DAY1)], "url string, frequency_hours int, last_crawled timestamp")
     assert sorted(r["url"] for r in crawl.due(rows, DAY2).collect()) == ["a", "b"]
+
+
+class Counting(EmbeddingProvider):
+    """Notes how many texts of which lengths it is given at a time, in a file as it runs in workers."""
+
+    name, dimensions = "counting", 1
+
+    def __init__(self, path):
+        self.path = path
+
+    def embed_batch(self, texts):
+        with open(self.path, "a") as f:
+            f.write(json.dumps([len(t) for t in texts]) + "\n")
+        if any("bad" in t for t in texts):
+            raise RuntimeError("bad text")
+        return [[float(len(t))] for t in texts]
+
+
+def test_texts_are_embedded_once_and_with_texts_of_their_length(spark, tmp_path):
+    from pagelode.operators.embed import batches_by_length, embedded_once
+
+    assert batches_by_length([5, 1, 9, 1, 30, 2], 10) == [[1, 3, 5], [0], [2], [4]] and batches_by_length([]) == []
+    texts = ["x" * (1 + n % 50) for n in range(400)] + ["bad", None, ""]
+    rows = spark.createDataFrame([(n, t, "own") for n, t in enumerate(texts)], "id int, chunk_text string, _text string").coalesce(1)
+    path = str(tmp_path / "calls")
+    got = {r["id"]: r for r in embedded_once(rows, lambda: Counting(path), batch_chars=100).collect()}
+    assert len(got) == len(texts) and all(got[n]["embedding"] == [float(len(t or ""))] for n, t in enumerate(texts) if t != "bad")
+    assert "bad text" in got[400]["embed_error"] and got[400]["embedding"] is None and got[0]["_text"] == "own"
+    calls = [json.loads(x) for x in open(path)]
+    assert all(len(c) == 1 or max(c) * len(c) <= 100 for c in calls)
+    assert sum(map(len, calls)) <= 52 + 52  # each text once, those of the batch with the bad one again one by one
+
+
+def test_what_was_seen_is_not_moved_again(spark):
+    from pagelode.operators.store import passing
+
+    with passing(spark):
+        seen = crawl.Seen(spark)
+        for n in range(3):
+            seen.add(spark.range(n * 10, n * 10 + 10).select(F.concat(F.lit("k"), "id").alias("key")))
+        links = spark.range(25, 40).select(F.concat(F.lit("K"), "id").alias("url"), F.array(F.concat(F.lit("k"), "id")).alias("links"), F.lit("s").alias("site_url"), F.lit(0).alias("depth"), F.lit(3).alias("max_depth"))
+        new = crawl.next_frontier(links, seen.keys()).hint("merge")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        try:
+            plan = crawl.next_frontier(links, seen.keys())._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert {r["url"] for r in new.collect()} == {f"k{n}" for n in range(30, 40)}
+        below_seen = plan[: plan.index("FileScan parquet")].rsplit("LeftAnti", 1)[1]
+        assert "Bucketed: true" in plan and below_seen.count("Exchange") == 1  # that of the links
+        seen.drop()
