@@ -3,16 +3,19 @@
 1. Each page is read once, tag by tag, into blocks of text. Elements that are never main text (menus, headers and footers of
    the page, sidebars, notices, adverts, forms, scripts, styles, reader comments), told by their name, role, class
    or id, are left out: a class or id counts if it names the element (`sidebar`, `cookie-notice`, `ad-box`; not `has-sidebar`,
-   `sidebar-wrap` or `related-work`), and never hides a wrapper of the article or main part. If the page marks its article
-   (or main part), only blocks inside count.
+   `sidebar-wrap` or `related-work`), and never hides a wrapper of the article or main part, nor a part of the article that is long and
+   hardly links (a restaurant's menu). A form that holds most of the page's paragraphs is the page. Articles within an article that
+   has text of its own are reader comments. If the page marks its main part, or else articles, and these hold `SHARE` of its
+   text at least, only blocks inside count; a mere teaser doesn't stand for the page.
 2. The token streams of a host's pages are concatenated, equal streams once, and their suffixes are sorted (prefix doubling);
    the common length of neighbours comes from the ranks of the doubling. Suffixes that share `RUN` tokens or more stand
    together, so a substring of RUN tokens or more, and the distinct pages that hold it, is a stretch of the suffix array.
 3. Tokens covered by substrings on enough distinct pages of the host are boilerplate and go; unique runs stay. Enough (`bar`)
    is a fifth of the pages, `PLAIN_MIN` at least and `PLAIN_MOST` at most, where a page marks no article or main part; in a marked
    article, whose text is its own unless nearly all articles say so, it is half of the pages, `MARKED_MIN` at least. A
-   marked page of which they cover most, or a plain page that they cover whole, is a copy of other pages rather than
-   boilerplate, and is kept whole.
+   marked page of which they cover more than half, without a block of RUN tokens or more that they leave alone, or a plain page that
+   they cover whole, is a copy of other pages rather than boilerplate, and is kept whole. Pages with equal streams are one page
+   where pages are counted; each is judged as it marks its text.
 4. Hosts of more than `HOST_PAGES` pages or `HOST_BYTES` bytes aren't brought to one task. Their pages stay in block files as they
    are read (see repeats); each block sorts the suffixes of its streams, sends the names of their beginnings of RUN
    tokens with the number of distinct pages to buckets, and gets the number on the whole host back. Equal streams of
@@ -50,13 +53,15 @@ PAGE_BLOCK = 2 << 20
 #: Bytes of html that are turned into text at a time.
 PART_BYTES = 4 << 20
 PLAIN_SHARE, PLAIN_MIN, PLAIN_MOST, MARKED_SHARE, MARKED_MIN, COPY = 0.2, 3, 10, 0.5, 5, 0.5
-
-_TAG = re.compile(
-    r"""<!--(?:.*?--!?>|.*\Z)|<!\[CDATA\[.*?\]\]>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?][^>]*+>""",
-    re.S,
-)
-_ATTR = re.compile(r"""(?:^|[\s"'])(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:[\s=/]|$)|display\s*:\s*none""", re.I)
+#: Share of a page's text that what it marks must hold to stand for it; characters from which a named part of an article may be its text, and the
+#: share of links below which it is.
+SHARE, LONG, LINKS = 0.25, 200, 0.3
+
+#: Tags, with quotes in them and, where quotes never close, without.
+_QUOTED = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(?=[a-zA-Z/!?])""")
+_PLAIN = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<(?=[a-zA-Z/!?])""")
+_ATTR = re.compile(r"""([^\s=/"'<>][^\s=/"'<>]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"']++)))?+""")
+_NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "xmp", "noembed", "noframes"}
@@ -88,18 +93,12 @@ _RAW_END = {name: re.compile(rf"</{name}[\s/>]", re.I) for name in RAW}
 
 
 def _marks(attributes: str) -> tuple[list[str], list[str], str, str]:
-    """(class tokens, ids, role, itemprop)"""
-    classes, ids, role, prop = [], [], "", ""
+    """(class tokens, ids, role, itemprop); the role of what isn't shown is `hidden`."""
+    own: dict[str, str] = {}
     for key, *values in _ATTR.findall(attributes):
-        value = "".join(values)
-        key = key.lower()
-        if key == "role":
-            role = value.strip().lower()
-        elif key == "itemprop":
-            prop = value.strip().lower()
-        else:
-            (classes if key == "class" else ids).extend(value.split())
-    return classes, ids, role, prop
+        own.setdefault(key.lower(), "".join(values))
+    role = "hidden" if "hidden" in own or _NO_DISPLAY.search(own.get("style", "")) else own.get("role", "").strip().lower()
+    return own.get("class", "").split(), own.get("id", "").split(), role, own.get("itemprop", "").strip().lower()
 
 
 def _heads(tokens: list[str]) -> set[str]:
@@ -115,10 +114,11 @@ def _heads(tokens: list[str]) -> set[str]:
     return heads
 
 
-def _excluded(name: str, attributes: str, inside: bool, wraps: bool = False) -> bool:
-    """Whether an element is never main text; wraps: it holds the page's articles or main part (see _core)."""
+def _excluded(name: str, attributes: str, inside: bool, wraps: bool = False, holds_page: bool = False, is_text: bool = False) -> bool:
+    """Whether an element is never main text. wraps: it holds the page's articles or main part (see _core); holds_page: most of the page's paragraphs; is_text:
+    it is long and hardly links."""
     if name in NEVER:
-        return name != "form" or not wraps
+        return name != "form" or not wraps and not holds_page
     if name in ("html", "body", "main"):
         return False
     if name == "header" and not inside:
@@ -129,26 +129,105 @@ def _excluded(name: str, attributes: str, inside: bool, wraps: bool = False) ->
     heads = _heads(classes if name in HEADINGS else classes + ids)
     if name == "article":
         return bool(heads & ARTICLE_NAMES)
-    if role in ROLES or _HIDDEN.search(attributes):
+    if role in ROLES or role == "hidden":
         return True
     if wraps:
         return False
-    return bool(heads & NAMES) or ("header" in heads and not inside and not {x.lower() for t in classes + ids for x in _NAME.findall(t)} & {"article", "entry", "post"})
+    named = heads & (ARTICLE_NAMES if inside and is_text else NAMES)
+    return bool(named) or ("header" in heads and not inside and not {x.lower() for t in classes + ids for x in _NAME.findall(t)} & {"article", "entry", "post"})
 
 
 def _tags(page: str) -> list[tuple[int, int, str, bool, str]]:
-    """(from, to, name, closing, attributes) of the tags of a page; what is no tag, or raw text, has no name."""
+    """(from, to, name, closing, attributes) of the tags of a page; what is no tag, or raw text, has no name. Nothing is looked at twice for want of an end: after the
+    last > there is no tag, and if a quote of one tag never closes, quotes don't count in those behind it."""
     out = []
-    at, size, search = 0, len(page), _TAG.search
-    while at < size and (m := search(page, at)):
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
-        closing = bool(m[1] or m[4])
+    at, size, pattern = 0, page.rfind(">") + 1, _QUOTED
+    while at < size and (m := pattern.search(page, at, size)):
+        start, name, closing, attributes = m.start(), "", False, ""
+        if m[2] is None:
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 2)
+                other = page.find("--!>", start + 4, end if end >= 0 else len(page))
+                at = other + 4 if other >= 0 else end + 3 if end >= 0 else len(page)
+            elif page.startswith("<![CDATA[", start) and page.find("]]>", start) >= 0:
+                at = page.find("]]>", start) + 3
+            elif page[start + 1] in "!?" or page.startswith("</", start):
+                at = page.find(">", start) + 1 if page[start + 1] in "!?" else start + 1
+                if page[start + 1] == "/":
+                    continue  # text
+            else:
+                pattern = _PLAIN
+                at = start
+                continue
+        else:
+            at = m.end()
+            name, closing, attributes = m[2].lower(), bool(m[1]), m[3]
         if name in RAW and not closing:
-            end = _RAW_END[name].search(page, at)
-            at = end.start() if end else size
+            stop = _RAW_END[name].search(page, at)
+            at = stop.start() if stop else len(page)
             name = ""
-        out.append((m.start(), at, name, closing, m[3] if m[3] is not None else m[6] or ""))
+        out.append((start, at, name, closing, attributes))
+    return out
+
+
+class _Measures:
+    """How much text stands before each tag: all that may be shown, what is in paragraphs, what is in links. Menus and the like don't count."""
+
+    def __init__(self, page: str, tags: list[tuple[int, int, str, bool, str]], ends: dict[int, int]):
+        self.ends, self.all, self.paragraphs, self.links = ends, [], [], []
+        at = never_to = 0
+        total = paragraphs = links = 0
+        in_p = in_a = False
+        for k, (start, end, name, closing, _) in enumerate(tags):
+            if start > at and k >= never_to:
+                n = len(page[at:start].strip())
+                total += n
+                paragraphs += n * in_p
+                links += n * in_a
+            self.all.append(total)
+            self.paragraphs.append(paragraphs)
+            self.links.append(links)
+            at = end
+            if k < never_to:
+                continue
+            if name == "a":
+                in_a = not closing
+            elif name in BLOCK:
+                in_p = name == "p" and not closing
+            if name in NEVER and name != "form" and not closing:
+                never_to = ends.get(k, k)
+        n = len(page[at:].strip())
+        for counts, more in ((self.all, total + n), (self.paragraphs, paragraphs + n * in_p), (self.links, links)):
+            counts.append(more)
+
+    def of(self, counts: list[int], k: int) -> int:
+        """Of an element, by the number of its start tag."""
+        return counts[self.ends.get(k, len(counts) - 1)] - counts[k]
+
+    def is_text(self, k: int) -> bool:
+        n = self.of(self.all, k)
+        return k in self.ends and n >= LONG and self.of(self.links, k) < LINKS * n
+
+    def holds_page(self, k: int) -> bool:
+        return 2 * self.of(self.paragraphs, k) > self.all[-1]
+
+
+def _comments(tags: list[tuple[int, int, str, bool, str]], measures: _Measures) -> set[int]:
+    """Numbers of articles within articles that have a good part of their text to themselves."""
+    nested: dict[int, list[int]] = {}
+    open_: list[int] = []
+    for k, (_, _, name, closing, _) in enumerate(tags):
+        if name == "article" and not closing and k in measures.ends:
+            while open_ and measures.ends[open_[-1]] < k:
+                open_.pop()
+            if open_:
+                nested.setdefault(open_[-1], []).append(k)
+            open_.append(k)
+    out = set()
+    for k, inner in nested.items():
+        text = measures.of(measures.all, k)
+        if text - sum(measures.of(measures.all, j) for j in inner) >= SHARE * text:
+            out.update(inner)
     return out
 
 
@@ -202,6 +281,8 @@ def page_blocks(page: str) -> list[tuple[int, str]]:
     tags = _tags(page)
     ends = _ends(tags)
     core = _core(tags, ends)
+    measures = _Measures(page, tags, ends)
+    comments = _comments(tags, measures)
     out: list[tuple[int, str]] = []
     held: list[str] = []
     zones: list[list] = []  # [tag, zone, depth of that tag]
@@ -245,7 +326,7 @@ def page_blocks(page: str) -> list[tuple[int, str]]:
             continue
         place = bisect_right(core, k)
         wraps = place < len(core) and core[place] < ends.get(k, k)
-        if _excluded(name, attributes, zone > 0, wraps):
+        if k in comments or _excluded(name, attributes, zone > 0, wraps, name == "form" and measures.holds_page(k), measures.is_text(k)):
             if k in ends:
                 skip_to = ends[k]
             elif not attributes.endswith("/"):
@@ -268,10 +349,14 @@ def page_blocks(page: str) -> list[tuple[int, str]]:
 
 
 def main_blocks(page: str) -> tuple[int, list[str]]:
-    """(zone, blocks) of the most telling zone that has text."""
+    """(zone, blocks): what is in the main part, or else in articles, if that is a good part of the page's text; else all, in zone 0."""
     blocks = page_blocks(page)
-    best = max((z for z, _ in blocks), default=0)
-    return best, [t for z, t in blocks if z == best]
+    zones = {z for z, _ in blocks}
+    least = 1 if 1 in zones else 2 if 2 in zones else 0
+    own = [t for z, t in blocks if z >= least]
+    if sum(map(len, own)) < SHARE * sum(len(t) for _, t in blocks):
+        return 0, [t for _, t in blocks]
+    return least, own
 
 
 def bar(zone: np.ndarray, pages: np.ndarray) -> np.ndarray:
@@ -337,15 +422,17 @@ class Streams:
         keep = left[order] >= RUN
         return order[keep], number[keep]
 
-    def texts(self, often: np.ndarray) -> list[str]:
-        """What is left of each page without the tokens covered by beginnings at the places given."""
+    def texts(self, often: np.ndarray, zone: np.ndarray) -> list[str]:
+        """What is left of each page without the tokens covered by beginnings at the places given; zone: of each page."""
         n = len(self.page)
         change = np.zeros(n + RUN + 1, np.int64)
         np.add.at(change, often, 1)
         np.add.at(change, often + RUN, -1)
         hit = np.cumsum(change)[:n] > 0
         words, hits = np.bincount(self.page, minlength=len(self.pages)), np.bincount(self.page, hit, minlength=len(self.pages))
-        copy = np.where(self.zone > 0, hits > COPY * words, hits >= words)
+        own = (np.bincount(self.block) >= RUN) & (np.bincount(self.block, hit) == 0) if n else np.zeros(0, bool)  # blocks left alone
+        has_own = np.bincount(self.page, own[self.block], minlength=len(self.pages)) > 0
+        copy = np.where(zone > 0, (hits > COPY * words) & ~has_own, hits >= words)
         hit &= ~copy[self.page]
         out = [b for _, own in self.pages for b in own]
         touched = np.unique(self.block[hit])
@@ -370,16 +457,16 @@ def host_texts(pages: list[tuple[int, list[str]]]) -> list[str]:
     """Texts of one host's (zone, blocks) pages without its boilerplate."""
     distinct: dict[tuple[str, ...], int] = {}
     which = [distinct.setdefault(tuple(blocks), len(distinct)) for _, blocks in pages]
-    first = {k: i for i, k in reversed(list(enumerate(which)))}
-    streams = Streams([pages[first[k]] for k in range(len(distinct))])
+    streams = Streams([(0, list(blocks)) for blocks in distinct])
     at, number = streams.beginnings()
     some = np.bincount(number)[number] >= PLAIN_MIN if len(number) else np.zeros(0, bool)  # fewer places than the least bar asks pages
     at, number = at[some], number[some]
     pages_with = _pages_with(number, streams.page[at], len(distinct))
-    least = bar(streams.zone, np.int64(len(distinct)))
-    often = at[pages_with[number] >= least[streams.page[at]]]
-    texts = streams.texts(often)
-    return [texts[k] for k in which]
+    texts = {}
+    for marked in {z > 0 for z, _ in pages}:  # equal streams may be marked on one page and not on another
+        zone = np.full(len(distinct), int(marked))
+        texts[marked] = streams.texts(at[pages_with[number] >= bar(zone, np.int64(len(distinct)))[streams.page[at]]], zone)
+    return [texts[z > 0][k] for (z, _), k in zip(pages, which)]
 
 
 PAGE_SCHEMA = "page_id long, url string, host string, zone int, blocks array<string>"
@@ -533,7 +620,7 @@ def _clean_blocks(buckets: int):
                 total[order[starts[b] : ends[b]]] = np.frombuffer(x, "<u8", offset=8)
             page = streams.page[at]
             often = at[total[which] >= bar(streams.zone, pages)[page]]
-            yield _texts(batch["page_id"], batch["url"], streams.texts(often))
+            yield _texts(batch["page_id"], batch["url"], streams.texts(often, streams.zone))
 
     return run
 

@@ -69,7 +69,8 @@ def brute_hosts(rows):
             for i in range(len(w) - 7):
                 if len(holds[tuple(x for x, _ in w[i : i + 8])]) >= need:
                     gone.update(range(i, i + 8))
-            if 2 * len(gone) > len(w) if zone else len(gone) == len(w):
+            own = any(len(b.split()) >= 8 and not gone & {p for p, (_, o) in enumerate(w) if o == j} for j, b in enumerate(blocks))
+            if 2 * len(gone) > len(w) and not own if zone else len(gone) == len(w):
                 gone = set()
             left = [" ".join(x for p, (x, o) in enumerate(w) if o == j and p not in gone) for j in range(len(blocks))]
             out[k] = "\n".join(x for x in left if x)
@@ -92,6 +93,78 @@ def host_rows(sizes, seed=1):
     return rows
 
 
+def test_ordinary_pages_keep_their_text():
+    blocks = lambda page: html_text.main_blocks(page)[1]
+    long = "the text of the page goes on for a while and says what it has to say " * 4
+    text = long.strip()
+    assert blocks(f'<article><p title="the hidden gem of Rome">{long}</p><div hidden>no</div><p style="color:red; display: none">no</p></article>') == [text]
+    assert blocks(f'<article><div class="prose hidden md:block">{long}</div></article>') == [text]
+    assert blocks(f'<body><form id="aspnetForm"><div><p>{long}</p><p>more</p></div></form><form><p>Your mail</p></form></body>') == [text, "more"]
+    assert blocks(f'<div>{long}</div><form><p>Your name<input></p></form>') == [text]
+    assert blocks(f'<div id="content"><p>{long}</p></div><div class="more"><article>Teaser</article></div>') == [text, "Teaser"]
+    assert blocks(f"<main><h1>Title</h1><p>intro</p><article>{long}</article><p>outro</p></main><div>else</div>") == ["Title", "intro", text, "outro"]
+    assert blocks(f'<article><section class="menu"><p>{long}</p></section><div class="menu"><a href="/">{long}</a></div></article>') == [text]
+    for name in ("code-widget", "product-notice"):
+        assert blocks(f'<article><p>one</p><div class="{name}">{long}</div><div class="{name}">short</div></article>') == ["one", text]
+    assert blocks(f'<article><p>{long}</p><ol class="replies"><li><article>first!</article></li><li><article>second</article></li></ol></article>') == [text]
+    assert blocks(f"<article><div><article>{long}</article><article>two</article></div></article>") == [text, "two"]
+
+
+def test_hostile_pages_end():
+    import time
+
+    n = 1_000_000
+    for start in ("<![CDATA[", "<!-- ", "<a ", "</a ", "<!", "<?", '<a ">"', "<a '\">", "<div>x", "<article>x", "<article>x</article>", "<i>", "</b>", "<script>", "<", "&", '<li class="ad">', "<form><p>x", "<a href=/x>", "<a" + " " * 50):
+        for end in ("", ">", "]]>"):
+            page = f"<main><p>first words</p>{start * (n // len(start))}{end}"
+            at = time.process_time()
+            got = html_text.main_blocks(page)[1]
+            assert time.process_time() - at < 15 and got[0].startswith("first words"), (start, end)
+
+
+def test_equal_blocks_in_both_zones():
+    """Small hosts, large hosts and brute force agree, whatever the order of pages."""
+    r = random.Random(9)
+    words = lambda n: " ".join("w%d" % r.randrange(3000) for _ in range(n))
+    notice = words(12)
+    bodies = [f"<p>{notice}<p>{words(30)}" for _ in range(6)]
+    rows = [(i, "http://h/x", b if kind else f"<article>{b}</article>") for kind in (0, 1) for i, b in enumerate(bodies)]
+    for order in (rows, rows[::-1]):
+        expect = brute_hosts(order)
+        got = html_text.host_texts([html_text.main_blocks(h) for _, _, h in order])
+        assert got == [expect[k] for k in range(len(order))]
+
+
+def test_notices_go_from_short_articles():
+    r = random.Random(10)
+    words = lambda n: " ".join("w%d" % r.randrange(3000) for _ in range(n))
+    notice, own = words(60), [words(40) for _ in range(20)]
+    pages_ = [html_text.main_blocks(f"<article><div>{notice}</div><p>{x}</p></article>") for x in own]
+    assert html_text.host_texts(pages_) == own
+
+
+def zoned_rows(seed):
+    """Blocks shared by pages of both zones, on hosts of several sizes."""
+    r = random.Random(seed)
+    words = lambda n: " ".join("w%d" % r.randrange(800) for _ in range(n))
+    rows = []
+    for h in range(4):
+        shared = [words(r.randrange(6, 30)) for _ in range(5)]
+        for i in range(r.choice((6, 15, 40))):
+            body = "".join(f"<p>{r.choice(shared) if r.random() < 0.6 else words(r.randrange(5, 40))}" for _ in range(r.randrange(1, 5)))
+            rows += [(len(rows) + k, f"http://h{h}/{i}", f"<article>{body}</article>" if r.random() < 0.5 else body) for k in range(r.choice((1, 1, 2)))]
+    return rows
+
+
+def test_zones_against_brute_force(spark):
+    for seed in (1, 2):
+        rows = zoned_rows(seed)
+        expect = brute_hosts(rows)
+        for most in (10_000, 0):
+            got = html_text.main_text(pages(spark, rows).repartition(3), host_pages=most, block_text=4000).collect()
+            assert {r["page_id"]: r["text"] for r in got} == expect and len(got) == len(rows)
+
+
 def test_hosts_against_brute_force(spark):
     rows = host_rows([3, 50, 1200])
     expect = brute_hosts(rows)
