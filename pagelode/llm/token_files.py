@@ -33,6 +33,8 @@ from .common import filesystem, held, work_path, written
 from .pieces import PATTERN, Memo, plain, splitter
 
 SEQ_LEN, BATCH, END_ID, READ_TOKENS = 2048, 32, 0, 1 << 20
+#: Bytes of text whose tokens make a file.
+FILE_BYTES = 256 << 20
 INDEX_SCHEMA = "part int, file string, doc_id long, first long, n_tokens long"
 
 
@@ -209,7 +211,9 @@ def _writer(folder: str, tokenizer: str, seq_len: int, end_id: int, special_as_t
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, seq_len: int = SEQ_LEN, end_id: int = END_ID, special_as_text: bool = False) -> DataFrame:
     """Writes the files and returns the document index, with start, the tokens of all documents before."""
     rows = docs.select(F.col("doc_id").cast("long"), "text").withColumn("_h", F.xxhash64("text"))
-    placed = rows.repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h").select("doc_id", "text")
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    files = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // FILE_BYTES))
+    placed = rows.repartitionByRange(files, "doc_id", "_h").sortWithinPartitions("doc_id", "_h").select("doc_id", "text")
     index = written(placed.mapInArrow(_writer(folder, tokenizer, seq_len, end_id, special_as_text), INDEX_SCHEMA), "token-index")
     # one row per file
     files = index.groupBy("part").agg(F.sum("n_tokens").alias("n"))

@@ -35,7 +35,7 @@ from .common import alone, filesystem, work_path, written
 
 MIN_REVISIT, FAN_IN, RUN_ROWS, KEYS_PER_RUN = 100, 64, 512, 16
 #: Bytes of payload in an archive; records that a task reads back, and bytes of an archive that go to one task.
-ARCHIVE_BYTES, READ_RECORDS, READ_BYTES = 256 << 20, 4096, 16 << 20
+ARCHIVE_BYTES, READ_RECORDS = 256 << 20, 4096
 DATE = "1970-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Order of the capture index: URL key, timestamp, page id.
@@ -295,7 +295,7 @@ def history(runs: DataFrame, folder: str, ranges: int | None = None, fan_in: int
                 if held:
                     yield _captures(held)
 
-    table = spark.range(len(cuts)).select(F.col("id").cast("int").alias("range")).repartition(len(cuts), "range")
+    table = spark.range(0, len(cuts), 1, len(cuts)).select(F.col("id").cast("int").alias("range"))  # a task a range
     return table.mapInArrow(alone(merged), "range int, " + CAPTURE_SCHEMA)
 
 
@@ -307,18 +307,26 @@ def _captures(rows: list[tuple]) -> pa.RecordBatch:
 RECORD_SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
+#: Archives that a task of readers keeps open.
+OPEN = 64
+
+
 def read_records(captures: DataFrame, tasks: int | None = None) -> DataFrame:
-    """The records that the captures point at; digests of responses are computed anew and compared with the header."""
+    """The records that the captures point at, in the order of the history: a range of it is one task's, from its first capture to its last.
+    Digests of responses are computed anew and compared with the header."""
     tasks = tasks or int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
-        at, handle = None, None
+        handles: dict = {}
         for batch in batches:
             rows = []
             for name, offset, length in zip(batch["file"].to_pylist(), batch["offset"].to_pylist(), batch["length"].to_pylist()):
-                if name != at:
+                if (handle := handles.pop(name, None)) is None:
+                    if len(handles) >= OPEN:
+                        handles.pop(next(iter(handles))).close()
                     filesys, path = filesystem(name)
-                    at, handle = name, filesys.open_input_file(path)
+                    handle = filesys.open_input_file(path)
+                handles[name] = handle  # the last one used stands last
                 handle.seek(offset)
                 headers, payload = parse(handle.read(length))
                 page = headers["WARC-Record-ID"][len("<urn:page:") : -1]
@@ -338,8 +346,9 @@ def read_records(captures: DataFrame, tasks: int | None = None) -> DataFrame:
                 [pa.array(c, t) for c, t in zip(cols, types)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
             )
 
-    by_file = captures.select("file", "offset", "length").repartition(tasks, "file", F.floor(F.col("offset") / READ_BYTES)).sortWithinPartitions("file", "offset")
-    return by_file.mapInArrow(alone(run), RECORD_SCHEMA)
+    order = ["range", "url_key", F.col("ts"), F.col("page_id").asc_nulls_first(), "file", "offset"]
+    in_order = captures.repartition(tasks, "range").sortWithinPartitions(*order).select("file", "offset", "length")
+    return in_order.mapInArrow(alone(run), RECORD_SCHEMA)
 
 
 def op9_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -347,4 +356,5 @@ def op9_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = work_path(spark, "warc")
     runs = archived(pages, folder)
     records = runs.agg(F.sum("n")).first()[0] or 0
-    return read_records(history(runs, folder), max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-records // READ_RECORDS)))
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-records // READ_RECORDS))
+    return read_records(written(history(runs, folder, ranges), "warc-history"), ranges)

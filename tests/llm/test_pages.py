@@ -250,6 +250,11 @@ def test_archive_and_history(spark):
     got = history.collect()
     order = [warc.capture_key(tuple(r)[1:]) for r in sorted(got, key=lambda r: r["range"])]
     assert order == sorted(order) and len(got) == 64
+    for most in (64, 2):  # archives that stay open
+        warc.OPEN = most
+        read = [r["page_id"] for r in warc.read_records(history, 1).collect()]  # one task: the order of the whole history
+        assert read == [r["page_id"] for r in sorted(got, key=lambda r: r["range"])]
+    warc.OPEN = 64
     records = {r["page_id"]: r for r in warc.read_records(history).collect()}
     first = {}
     for i, _, h in sorted(rows, key=lambda r: r[0]):
