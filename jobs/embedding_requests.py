@@ -2,7 +2,8 @@
 
     python -m jobs.embedding_requests --config jobs/embedding_requests.json --input hdfs:///documents.parquet --output hdfs:///requests
 
-Input: Parquet of doc_id, text, lang, source. Output, both partitioned by lang (`und` where it is null):
+Input: Parquet of doc_id, text, lang, source; of rows that share an id one counts, whichever order they come in. With --vectors, a Parquet table
+with a column chunk_hash, texts whose vectors are there already are not asked again. Output, both partitioned by lang (`und` where it is null):
 
     output/points     Parquet: point_id, url, title, chunk_index, chunk_text, chunk_hash, n_tokens; a row a chunk
     output/requests   JSON lines: request, position, chunk_hash, n_tokens, n_points, text; a row a distinct text and language
@@ -28,11 +29,21 @@ from .command import main
 
 log = logging.getLogger("embedding_requests")
 
-DEFAULTS = {"input": "", "output": "", "request_tokens": 8000, "request_texts": 256, "bucket_texts": 20_000}
+DEFAULTS = {"input": "", "output": "", "vectors": None, "request_tokens": 8000, "request_texts": 256, "bucket_texts": 20_000}
 POINTS = "point_id string, url string, title string, chunk_index int, chunk_text string, chunk_hash string, n_tokens int, lang string"
 REQUESTS = "request string, position long, chunk_hash string, n_tokens int, n_points long, text string, lang string"
 
 
+def one_per_id(docs: DataFrame) -> DataFrame:
+    """Of rows with the same id that with the smallest text hash; a table without such rows passes as it is, and only such rows are moved."""
+    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    if not repeated.take(1):
+        return docs
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text", "lang", "source"))
+    first = docs.join(repeated, "doc_id", "left_semi").withColumn("_place", place).where("_place = 1").drop("_place")
+    return docs.join(repeated, "doc_id", "left_anti").unionByName(first)
+
+
 def points(docs: DataFrame) -> DataFrame:
     """A row a chunk. Documents without an id or without a text of the least size have none."""
     body = F.coalesce("text", F.lit(""))
@@ -48,8 +59,10 @@ def _bucket(buckets: int) -> Column:
     return F.conv(F.substring("chunk_hash", 1, 8), 16, 10).cast("long") % buckets
 
 
-def requests(chunks: DataFrame, request_tokens: int, request_texts: int, bucket_texts: int) -> DataFrame:
-    """Each distinct text of a language once, with the request it goes in and its place there."""
+def requests(chunks: DataFrame, request_tokens: int, request_texts: int, bucket_texts: int, known: DataFrame | None = None) -> DataFrame:
+    """Each distinct text of a language once, with the request it goes in and its place there; without those whose chunk_hash is known."""
+    if known is not None:
+        chunks = chunks.join(known.select("chunk_hash").distinct(), "chunk_hash", "left_anti")
     texts = chunks.groupBy("lang", "chunk_hash").agg(F.count("*").alias("n_points"), F.min("chunk_text").alias("text"), F.min("n_tokens").alias("n_tokens"))
     distinct = chunks.select("lang", "chunk_hash").distinct().count()
     rows = texts.withColumn("bucket", _bucket(max(1, -(-distinct // bucket_texts))))
@@ -61,17 +74,20 @@ def requests(chunks: DataFrame, request_tokens: int, request_texts: int, bucket_
     return rows.select(F.format_string("%s-%d-%d", "lang", "bucket", "n").alias("request"), place.cast("long").alias("position"), "chunk_hash", "n_tokens", "n_points", "text", "lang")
 
 
-def run(spark: SparkSession, input: str, output: str, request_tokens: int = 8000, request_texts: int = 256, bucket_texts: int = 20_000) -> dict:
+def run(
+    spark: SparkSession, input: str, output: str, request_tokens: int = 8000, request_texts: int = 256, bucket_texts: int = 20_000, vectors: str | None = None
+) -> dict:
     """Writes points, and from them requests. Returns what was read and written."""
     output = output.rstrip("/")
     docs = spark.read.parquet(input).select("doc_id", "text", "lang", "source")
     names = lambda schema: [x.strip().split(" ")[0] for x in schema.split(",")]
-    points(docs).select(*names(POINTS)).write.mode("overwrite").partitionBy("lang").parquet(f"{output}/points")
+    points(one_per_id(docs)).select(*names(POINTS)).write.mode("overwrite").partitionBy("lang").parquet(f"{output}/points")
     chunks = spark.read.schema(POINTS).parquet(f"{output}/points")
-    asked = requests(chunks.select("lang", "chunk_hash", "chunk_text", "n_tokens"), request_tokens, request_texts, bucket_texts)
+    known = spark.read.parquet(vectors) if vectors else None
+    asked = requests(chunks.select("lang", "chunk_hash", "chunk_text", "n_tokens"), request_tokens, request_texts, bucket_texts, known)
     asked.write.mode("overwrite").partitionBy("lang").json(f"{output}/requests")
-    told = spark.read.schema(REQUESTS).json(f"{output}/requests").agg(F.count("*").alias("texts"), F.count_distinct("request").alias("requests"), F.sum("n_points").alias("points")).first()
-    out = {"documents_read": docs.count(), "points_written": told["points"] or 0, "texts_written": told["texts"], "requests_written": told["requests"]}
+    told = spark.read.schema(REQUESTS).json(f"{output}/requests").agg(F.count("*").alias("texts"), F.count_distinct("request").alias("requests")).first()
+    out = {"documents_read": docs.select("doc_id").count(), "points_written": chunks.select("lang").count(), "texts_written": told["texts"], "requests_written": told["requests"]}
     log.info("from %s to %s: %s", input, output, out)
     return out
 

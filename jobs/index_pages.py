@@ -9,10 +9,12 @@ index has already. Files of one micro-batch make one `batch` partition of
     output/pages    url, page_id, title, page_hash, content_hash, chunks_batch, sections, body_text: a row for each page seen; of an
                     unchanged one without its text, and with the batch that holds its chunks
     output/chunks   point_id, url, title, heading, chunk_index, chunk_text, content_hash: the chunks of new and changed pages
+    output/rejected page_id, url, reason: rows without a URL or without an id
+    output/runs     JSON: what the batch read, skipped and wrote
 
 and `current_chunks` reads the index as it stands. A batch that is run again looks at the batches before it only and replaces its own
-partitions, so it writes the same rows; a run without new files writes nothing. Rows without a URL are left out, null html is an empty
-page, and a page that has lost its text has no chunks any more. Readers should wait for the end of a run.
+partitions, so it writes the same rows; a run without new files writes nothing. Null html is an empty page, and a page that has lost
+its text has no chunks any more. Readers should wait for the end of a run.
 """
 
 from __future__ import annotations
@@ -36,6 +38,9 @@ PAGES = (
     "sections array<struct<heading:string,text:string>>, body_text string, batch long"
 )
 CHUNKS = "point_id string, url string, title string, heading string, chunk_index int, chunk_text string, content_hash string, batch long"
+REJECTED = "page_id long, url string, reason string, batch long"
+RUNS = "rows_read long, rows_rejected long, pages_seen long, pages_stored long, pages_unchanged long, pages_emptied long, rows_superseded long, chunks_written long, batch long"
+SCHEMAS = {"pages": PAGES, "chunks": CHUNKS, "rejected": REJECTED, "runs": RUNS}
 DEFAULTS = {"input": "", "output": "", "checkpoint": "", "content": "main, article, .content", "mode": "Markdown", "files_per_batch": 1000}
 
 
@@ -44,13 +49,13 @@ def _columns(schema: str) -> list[str]:
 
 
 def _table(spark: SparkSession, output: str, kind: str) -> DataFrame:
-    return spark.read.schema(PAGES if kind == "pages" else CHUNKS).parquet(f"{output}/{kind}")
+    return spark.read.schema(SCHEMAS[kind]).format("json" if kind == "runs" else "parquet").load(f"{output}/{kind}")
 
 
 def _write(rows: DataFrame, output: str, kind: str, mode: str = "overwrite") -> None:
     """Replaces the batches that rows are of; empty rows with mode "append" make a table that isn't there."""
-    names = _columns(PAGES if kind == "pages" else CHUNKS)
-    rows.select(*names).write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{output}/{kind}")
+    out = rows.select(*_columns(SCHEMAS[kind])).write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("batch")
+    out.format("json" if kind == "runs" else "parquet").save(f"{output}/{kind}")
 
 
 def latest_pages(pages: DataFrame) -> DataFrame:
@@ -61,6 +66,9 @@ def latest_pages(pages: DataFrame) -> DataFrame:
 def index_batch(batch: DataFrame, number: int, output: str, selectors: Selectors, mode: str) -> dict:
     """Writes one micro-batch. Returns what it read and wrote."""
     spark = batch.sparkSession
+    own_number = F.lit(number).cast("long").alias("batch")
+    reason = F.when(F.col("url").isNull(), "no url").otherwise("no page_id")
+    _write(batch.where("url IS NULL OR page_id IS NULL").select("page_id", "url", reason.alias("reason"), own_number), output, "rejected")
     rows = batch.where("url IS NOT NULL AND page_id IS NOT NULL").select("url", "page_id", "html", F.xxhash64("html").alias("key"))
     before = _table(spark, output, "pages").where(F.col("batch") < number)
     known = latest_pages(before.join(rows.select("url").distinct(), "url", "left_semi"))  # only what the batch asks for is grouped
@@ -76,28 +84,34 @@ def index_batch(batch: DataFrame, number: int, output: str, selectors: Selectors
     gone = lambda name: F.when(~same, F.col(name)).alias(name)
     state = told.select(
         "url", "page_id", "title", "page_hash", "content_hash", F.when(same, F.col("chunks_batch")).otherwise(F.lit(number)).cast("long").alias("chunks_batch"),
-        gone("sections"), gone("body_text"), F.lit(number).cast("long").alias("batch"),
+        gone("sections"), gone("body_text"), own_number,
     )
     _write(state, output, "pages")
     own = _table(spark, output, "pages").where(F.col("batch") == number)
     chunks = chunk_pages(own.where("chunks_batch = batch").select("url", "title", "content_hash", "batch", "sections", "body_text"))
     _write(chunks.withColumn("point_id", point_id(F.col("url"), F.col("chunk_index"))), output, "chunks")
-    counts = own.agg(F.count("*").alias("seen"), F.count_if(F.col("chunks_batch") == F.col("batch")).alias("stored")).first()
-    return {
-        "rows_read": batch.count(), "pages_seen": counts["seen"], "pages_stored": counts["stored"],
-        "chunks_written": _table(spark, output, "chunks").where(F.col("batch") == number).count(),
+    written = _table(spark, output, "chunks").where(F.col("batch") == number)
+    stored, emptied = F.col("chunks_batch") == F.col("batch"), F.size("sections") == 0
+    counts = own.agg(F.count("*").alias("seen"), F.count_if(stored).alias("stored"), F.count_if(stored & emptied).alias("emptied")).first()
+    rejected = _table(spark, output, "rejected").where(F.col("batch") == number).count()
+    read = batch.select("page_id").count()
+    told = {
+        "rows_read": read, "rows_rejected": rejected, "pages_seen": counts["seen"], "pages_stored": counts["stored"], "pages_unchanged": counts["seen"] - counts["stored"],
+        "pages_emptied": counts["emptied"], "rows_superseded": read - rejected - counts["seen"], "chunks_written": written.count(), "batch": number,
     }
+    _write(spark.createDataFrame([told], RUNS), output, "runs")
+    return told
 
 
 def run(spark: SparkSession, input: str, output: str, checkpoint: str, content: str = DEFAULTS["content"], mode: str = "Markdown", files_per_batch: int = 1000) -> list[dict]:
     """Takes all that is new in the input and returns when it is indexed: what each micro-batch read and wrote."""
     output = output.rstrip("/")
-    for kind, schema in (("pages", PAGES), ("chunks", CHUNKS)):
+    for kind, schema in SCHEMAS.items():
         _write(spark.createDataFrame([], schema), output, kind, "append")
     done: list[dict] = []
 
     def take(batch: DataFrame, number: int) -> None:
-        done.append({"batch": number} | index_batch(batch, number, output, Selectors(content=content), mode))
+        done.append(index_batch(batch, number, output, Selectors(content=content), mode))
         log.info("from %s to %s: %s", input, output, done[-1])
 
     stream = spark.readStream.schema(INPUT).option("maxFilesPerTrigger", files_per_batch).parquet(input)

@@ -5,6 +5,7 @@ import sys
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from jobs import embedding_requests, index_pages
 from jobs.command import settings
@@ -52,8 +53,13 @@ def test_index_takes_only_what_is_new(spark, tmp_path):
     [done] = index(spark, tmp_path)
     # d is older than what is known, a is unchanged, c has lost its text
     assert (done["rows_read"], done["pages_seen"], done["pages_stored"], done["chunks_written"]) == (8, 5, 4, 3)
+    assert (done["rows_rejected"], done["rows_superseded"], done["pages_unchanged"], done["pages_emptied"]) == (0, 3, 1, 1)
     assert held(spark, tmp_path) == LAST
     assert index(spark, tmp_path) == [] and held(spark, tmp_path) == LAST
+    rejected = index_pages._table(spark, str(tmp_path / "out"), "rejected").collect()
+    assert [(r["page_id"], r["url"], r["reason"], r["batch"]) for r in rejected] == [(5, None, "no url", 0)]
+    runs = {r["batch"]: r.asDict() for r in index_pages._table(spark, str(tmp_path / "out"), "runs").collect()}
+    assert runs[1] == done and runs[0]["rows_read"] == 5 and len(runs) == 2
 
 
 def test_index_is_the_same_in_any_order_and_at_once(spark, tmp_path):
@@ -108,6 +114,19 @@ def test_each_text_is_asked_once(spark, tmp_path):
         assert sum(t for _, t in sorted(places)[:-1]) <= 200
 
 
+def test_texts_with_vectors_are_not_asked_again_and_ids_count_once(spark, tmp_path):
+    texts = [f"text number {n} " + "and more words " * 5 for n in range(8)]
+    documents(spark, str(tmp_path / "docs"), [(n, t, "en", "s", "") for n, t in enumerate(texts)] + [(3, texts[4], "fr", "s", ""), (3, texts[3], "en", "s", "")])
+    run = lambda name, **more: embedding_requests.run(spark, str(tmp_path / "docs"), str(tmp_path / name), **more)
+    assert run("a")["points_written"] == 8
+    done = spark.read.schema(embedding_requests.REQUESTS).json(str(tmp_path / "a/requests")).orderBy("chunk_hash").limit(3)
+    done.select("chunk_hash", F.lit(1.0).alias("v")).write.parquet(str(tmp_path / "vectors"))
+    told = run("b", vectors=str(tmp_path / "vectors"))
+    assert told["points_written"] == 8 and told["texts_written"] == run("a")["texts_written"] - 3
+    left = embedding_requests.joined(spark, str(tmp_path / "b")).where("request IS NULL").select("chunk_hash").distinct().collect()
+    assert sorted(r["chunk_hash"] for r in left) == [r["chunk_hash"] for r in done.collect()]
+
+
 def test_requests_of_an_empty_table(spark, tmp_path):
     documents(spark, str(tmp_path / "docs"), [])
     assert embedding_requests.run(spark, str(tmp_path / "docs"), str(tmp_path / "out"))["texts_written"] == 0
