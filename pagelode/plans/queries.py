@@ -15,7 +15,7 @@ from ..functions.urls import host_of, path_of
 from ..operators.chunking import chunk_pages
 from ..operators.crawl import crawl_pages, index_batch, next_frontier, site_rows
 from ..operators.embed import HashProvider, embedded
-from ..operators.search import results, search, top_k, top_k_batch
+from ..operators.search import results, search, search_store, top_k, top_k_batch
 from ..operators.store import ChunkStore, classified, materialised, replaced, work_folder
 from ..operators.vector_index import VectorIndex
 from ..sources.config import CrawlConfig, SiteConfig
@@ -86,6 +86,39 @@ def search_fresh(spark, sf_dir):
     return search(_captured(spark, sf_dir), vector, 5, DAYS, AS_OF, 0.1, tie="vec_id").select("vec_id", F.round("score", 6).alias("score"))
 
 
+def _stored(spark, sf_dir):
+    """A chunk table of the vectors, one page each, made in two writes: those with an even id, then the others and, again, every fourth."""
+    rows = _captured(spark, sf_dir).select(
+        F.format_string("%08d", "vec_id").alias("point_id"), F.concat(F.lit("vec://"), "vec_id").alias("url"), F.concat(F.lit("Vector "), "vec_id").alias("title"), F.lit("").alias("heading"),
+        F.lit(0).alias("chunk_index"), F.lit("").alias("chunk_text"), F.lit("").alias("summary"), F.lit("").alias("content_selector"), "capture_date", F.lit("").alias("content_hash"), "embedding", "vec_id",
+    )
+    store = ChunkStore(spark, work_folder(spark, "index"), 64, buckets=4)
+    store.ensure()
+    store.replace_pages(rows.where("vec_id % 2 = 0"))
+    store.build_index(cell_rows=32)
+    store.replace_pages(rows.where("vec_id % 2 = 1 OR vec_id % 4 = 0").withColumn("title", F.concat("title", F.lit(" again"))))
+    return store
+
+
+def store_search(spark, sf_dir):
+    """Fresh chunks of a stored table that are nearest to the first vector: days prune the scan, all cells of the index and the buckets that changed since are compared."""
+    vector = _query_vector(_table(spark, sf_dir, "embeddings"))
+    found = search_store(_stored(spark, sf_dir), vector, 10, DAYS + 3, "2024-01-05 06:00:00", 0.1, probes=None)
+    return results(found).select("url", "title", F.round("score", 6).alias("score"))
+
+
+def store_listing(spark, sf_dir):
+    """Pages of a stored table that were captured more than 20 days before the end of January."""
+    listed = url_list(_stored(spark, sf_dir).chunks(before="2024-01-11 00:00:00"))
+    return listed.select("url", "title", F.date_format("captured", "yyyy-MM-dd HH:mm:ss").alias("captured"))
+
+
+def store_page(spark, sf_dir):
+    """A page of a stored table, and the table's counts beside it."""
+    store = _stored(spark, sf_dir)
+    return page_chunks(store.chunks("vec://8"), "vec://8").select("url", "title", "chunk_index", "score").join(status(store.chunks()).select("n_chunks", "n_pages"))
+
+
 def search_overfetch(spark, sf_dir):
     vector = _query_vector(_table(spark, sf_dir, "embeddings"))
     return search(_captured(spark, sf_dir), vector, 5, DAYS, AS_OF, 0.1, overfetch=3, tie="vec_id").select("vec_id", F.round("score", 6).alias("score"))
@@ -348,7 +381,7 @@ def semantic_search(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        semantic_search, vector_topk, vector_topk_batch, vector_index_exact, vector_index_recall, search_fresh, search_overfetch, content_hashes, point_ids, token_estimate, sentence_split, chunk_pack,
+        semantic_search, vector_topk, vector_topk_batch, vector_index_exact, vector_index_recall, search_fresh, search_overfetch, store_search, store_listing, store_page, content_hashes, point_ids, token_estimate, sentence_split, chunk_pack,
         paragraph_pack, page_title, page_headings, page_links, page_sections, page_markdown, page_html, page_parts, page_tables, robots_filter, sitemap_urls, bfs_depth,
         crawl_snapshot, crawl_sites, robots_rules, sitemap_index, section_chunks, index_delta, delta_classify, upsert_replace, get_page, list_urls, list_stale_urls, crawl_status, result_format, hash_embedding,
     )
@@ -359,6 +392,7 @@ _SCORED = f"""
   SELECT e.vec_id, {_COS.format(a="e.embedding", b="q.embedding")} AS s{{more}}
   FROM embeddings e {{join}} CROSS JOIN (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1) q"""
 _WITH_TS = _SCORED.format(more=", v.ts", join="LEFT JOIN events v ON v.event_id = e.vec_id")
+_AGAIN = "'Vector ' || vec_id || CASE WHEN vec_id % 4 = 2 THEN '' ELSE ' again' END"
 _FRESH = f"ts >= TIMESTAMP '{AS_OF}' - INTERVAL {DAYS} DAY"
 _BLANK = "' ' || chr(9) || chr(10) || chr(12) || chr(13) || chr(160)"
 
@@ -456,6 +490,12 @@ ORACLES: dict[str, str] = {
     "search_fresh": f"SELECT vec_id, round(s, 6) AS score FROM (SELECT * FROM ({_WITH_TS}) WHERE {_FRESH} ORDER BY s DESC, vec_id LIMIT 5) WHERE s >= 0.1",
     "search_overfetch": f"""SELECT vec_id, round(s, 6) AS score FROM (SELECT * FROM ({_WITH_TS}) ORDER BY s DESC, vec_id LIMIT 15)
 WHERE s >= 0.1 AND {_FRESH} ORDER BY s DESC, vec_id LIMIT 5""",
+    "store_search": f"""SELECT 'vec://' || vec_id AS url, {_AGAIN} AS title, round(s, 6) AS score FROM (
+  SELECT * FROM ({_WITH_TS}) WHERE ts >= TIMESTAMP '2024-01-05 06:00:00' - INTERVAL {DAYS + 3} DAY ORDER BY s DESC, vec_id LIMIT 10) WHERE s >= 0.1""",
+    "store_listing": f"""SELECT 'vec://' || vec_id AS url, {_AGAIN} AS title, strftime(ts, '%Y-%m-%d %H:%M:%S') AS captured
+FROM embeddings JOIN events ON event_id = vec_id WHERE ts < TIMESTAMP '2024-01-11'""",
+    "store_page": f"""SELECT 'vec://8' AS url, {_AGAIN} AS title, 0 AS chunk_index, CAST(1.0 AS FLOAT) AS score, n AS n_chunks, n AS n_pages
+FROM embeddings, (SELECT count(*) AS n FROM embeddings) WHERE vec_id = 8""",
     "content_hashes": "SELECT doc_id, sha256(text) AS content_hash FROM documents",
     "point_ids": """SELECT page_id, substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2) || '-' || substr(h, 11, 2) || substr(h, 9, 2) || '-' ||
   substr(h, 15, 2) || substr(h, 13, 2) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) AS point_id FROM (SELECT page_id, md5(url || '::0') AS h FROM pages)""",

@@ -5,7 +5,6 @@ import sys
 from pathlib import Path
 
 import pytest
-from pyspark.sql import functions as F
 
 from jobs import embedding_requests, index_pages
 from jobs.command import settings
@@ -119,12 +118,13 @@ def test_texts_with_vectors_are_not_asked_again_and_ids_count_once(spark, tmp_pa
     documents(spark, str(tmp_path / "docs"), [(n, t, "en", "s", "") for n, t in enumerate(texts)] + [(3, texts[4], "fr", "s", ""), (3, texts[3], "en", "s", "")])
     run = lambda name, **more: embedding_requests.run(spark, str(tmp_path / "docs"), str(tmp_path / name), **more)
     assert run("a")["points_written"] == 8
-    done = spark.read.schema(embedding_requests.REQUESTS).json(str(tmp_path / "a/requests")).orderBy("chunk_hash").limit(3)
-    done.select("chunk_hash", F.lit(1.0).alias("v")).write.parquet(str(tmp_path / "vectors"))
+    asked = spark.read.schema(embedding_requests.REQUESTS).json(str(tmp_path / "a/requests"))
+    done = [r["chunk_hash"] for r in asked.orderBy("chunk_hash").limit(3).collect()]
+    spark.createDataFrame([(x, 1.0) for x in done], "chunk_hash string, v double").write.parquet(str(tmp_path / "vectors"))
     told = run("b", vectors=str(tmp_path / "vectors"))
     assert told["points_written"] == 8 and told["texts_written"] == run("a")["texts_written"] - 3
     left = embedding_requests.joined(spark, str(tmp_path / "b")).where("request IS NULL").select("chunk_hash").distinct().collect()
-    assert sorted(r["chunk_hash"] for r in left) == [r["chunk_hash"] for r in done.collect()]
+    assert sorted(r["chunk_hash"] for r in left) == done
 
 
 def test_requests_of_an_empty_table(spark, tmp_path):
