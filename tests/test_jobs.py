@@ -65,8 +65,14 @@ def test_index_is_the_same_in_any_order_and_at_once(spark, tmp_path):
     for name, parts in (("at once", [FIRST + SECOND]), ("backwards", [SECOND, FIRST]), ("row by row", [[x] for x in SECOND + FIRST])):
         for rows in parts:
             arrive(spark, tmp_path / name / "in", rows)
-        done = index(spark, tmp_path / name, files_per_batch=3)
+        done = index(spark, tmp_path / name, files_per_batch=3, snapshot_every=2)
         assert len(done) == -(-len(parts) // 3) and held(spark, tmp_path / name) == LAST, name
+        assert [r["snapshot"] for r in done] == [n % 2 == 1 for n in range(len(done))]
+    # what is known before a batch is read from the last snapshot and the batches since
+    plan = index_pages.seen(spark, str(tmp_path / name / "out"), 4)._jdf.queryExecution().optimizedPlan().toString()
+    assert "(batch#" in plan and "= 3)" in plan and "> 3)" in plan
+    known = index_pages._table(spark, str(tmp_path / name / "out"), "known")
+    assert known.where("batch = 3").count() == len({u for _, u, _ in (SECOND + FIRST)[:12] if u})
 
 
 def test_a_batch_that_is_run_again_writes_the_same(spark, tmp_path):
@@ -77,7 +83,7 @@ def test_a_batch_that_is_run_again_writes_the_same(spark, tmp_path):
     before = sorted(map(repr, index_pages._table(spark, str(tmp_path / "out"), "chunks").collect()))
     again = spark.createDataFrame(SECOND, index_pages.INPUT)
     for _ in range(2):  # as after a loss of the driver between the write and the mark
-        index_pages.index_batch(again, 1, str(tmp_path / "out"), index_pages.Selectors(), "Markdown")
+        index_pages.index_batch(again, 1, str(tmp_path / "out"), index_pages.Selectors(), "Markdown", 2)
     assert sorted(map(repr, index_pages._table(spark, str(tmp_path / "out"), "chunks").collect())) == before and held(spark, tmp_path) == LAST
 
 
