@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagelode.functions.hashing import content_hash, point_id
+from pagelode.functions.tables import spread
 from pagelode.functions.text import estimate_tokens
 from pagelode.operators.chunking import chunk_pages
 
@@ -79,7 +80,7 @@ def run(
 ) -> dict:
     """Writes points, and from them requests. Returns what was read and written."""
     output = output.rstrip("/")
-    docs = spark.read.parquet(input).select("doc_id", "text", "lang", "source")
+    docs = spread(spark.read.parquet(input).select("doc_id", "text", "lang", "source"))
     names = lambda schema: [x.strip().split(" ")[0] for x in schema.split(",")]
     points(one_per_id(docs)).select(*names(POINTS)).write.mode("overwrite").partitionBy("lang").parquet(f"{output}/points")
     chunks = spark.read.schema(POINTS).parquet(f"{output}/points")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.hashing import content_hash, point_id
 from ..functions.html import FIELDS, Selectors, extract_pages
+from ..functions.tables import spread
 from ..functions.urls import host_of, path_of
 from ..operators.chunking import chunk_pages
 from ..operators.crawl import crawl_pages, index_batch, next_frontier, site_rows
@@ -33,6 +34,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows take long."""
+    return spread(_table(spark, sf_dir, name))
+
+
 def _query_vector(vectors: DataFrame) -> list[float]:
     """The vector that is searched for: the one with the smallest id."""
     return vectors.orderBy("vec_id").select("embedding").first()[0]
@@ -40,7 +46,7 @@ def _query_vector(vectors: DataFrame) -> list[float]:
 
 def _doc_pages(spark, sf_dir, blank_lines: bool = False) -> DataFrame:
     body = F.replace("text", F.lit("\n"), F.lit("\n\n")) if blank_lines else F.col("text")
-    docs = _table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("doc://"), "doc_id").alias("url"), F.col("source").alias("title"), body.alias("body_text"))
+    docs = _texts(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("doc://"), "doc_id").alias("url"), F.col("source").alias("title"), body.alias("body_text"))
     return docs.withColumn("sections", F.array(F.struct(F.lit("").alias("heading"), F.col("body_text").alias("text"))))
 
 
@@ -138,7 +144,7 @@ def token_estimate(spark, sf_dir):
 
 
 def sentence_split(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.sentences("text")).alias("sentence_index", "sentence"))
+    return _texts(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.sentences("text")).alias("sentence_index", "sentence"))
 
 
 def chunk_pack(spark, sf_dir):
@@ -150,7 +156,7 @@ def paragraph_pack(spark, sf_dir):
 
 
 def _extracted(spark, sf_dir, mode="Markdown", fields=FIELDS):
-    return extract_pages(_table(spark, sf_dir, "pages"), Selectors(content="article"), mode, fields=fields)
+    return extract_pages(_texts(spark, sf_dir, "pages"), Selectors(content="article"), mode, fields=fields)
 
 
 def page_title(spark, sf_dir):
