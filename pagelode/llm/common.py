@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that are turned into numpy arrays at a time; a longer text makes a block alone.
 BLOCK_BYTES = 1 << 20
@@ -56,6 +57,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+#: A key of more than one part in so many of all rows is hot; there are fewer hot keys than this, whatever the table's size.
+HOT_KEYS = 1000
+#: Rows of a key that are never split.
+HOT_ROWS = 100
+
+
+def met(rows: DataFrame, table: DataFrame, key: str, counts: DataFrame, n: str, by: str, how: str = "inner") -> DataFrame:
+    """rows joined with table on key (how: inner or left), no key's rows in one task: hot keys are dealt to parts by a hash of the column by.
+
+    counts: (key, n), once for each key that may be hot, with its number of rows or an upper bound; cheap to read. Of the hot keys,
+    fewer than HOT_KEYS, the names go out by broadcast, and their rows of table once to each part. Rows without a key, which a left
+    join keeps, are dealt to HOT_KEYS parts. Columns: key, those of rows, those of table. An empty counts makes it a plain join.
+    """
+    part = max(HOT_ROWS, -(-(counts.agg(F.sum(n)).first()[0] or 0) // HOT_KEYS))
+    hot = F.broadcast(counts.where(F.col(n) > part).select(key, F.ceil(F.col(n) / part).cast("int").alias("_parts")))
+    parts = F.coalesce("_parts", F.when(F.col(key).isNull(), F.lit(HOT_KEYS)).otherwise(F.lit(1)))
+    dealt = rows.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(by), parts).cast("int")).drop("_parts")
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))
+    return dealt.join(table.join(hot, key, "left").withColumn("_salt", copies).drop("_parts"), [key, "_salt"], how).drop("_salt")
+
+
 def unused(df: DataFrame, name: str) -> str:
     """name, with underscores before it until df has no such column."""
     while name in df.columns:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import alone, filesystem, work_path, written
+from .common import alone, filesystem, met, work_path, written
 
 MIN_REVISIT, FAN_IN, RUN_ROWS, KEYS_PER_RUN = 100, 64, 512, 16
 #: Bytes of payload in an archive; records that a task reads back, and bytes of an archive that go to one task.
@@ -227,9 +227,11 @@ def archived(pages: DataFrame, folder: str) -> DataFrame:
         F.sha2(payload.cast("binary"), 256).alias("digest"),
     )
     long = F.octet_length("payload") >= MIN_REVISIT
-    first = rows.where(long).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("c")).where("c > 1").drop("c")
-    # digests are joined without the payloads; those then meet their reference by page id, which no hot payload skews
-    ids = rows.where(long).select("page_id", "digest").join(first, "digest").where(F.col("page_id") != F.col("first_id"))
+    # digests are joined without the payloads, those of hot payloads in parts; payloads then meet their reference by page id
+    digests = written(rows.where(long).select("page_id", "digest"), "warc-digests")
+    first = digests.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("c")).where("c > 1")
+    first = written(first, "warc-first")
+    ids = met(digests, first.drop("c"), "digest", first.select("digest", "c"), "c", "page_id").where(F.col("page_id") != F.col("first_id"))
     ids = ids.select("page_id", F.col("digest").alias("_digest"), F.col("first_id").alias("refers_to")).dropDuplicates(["page_id", "_digest"])
     total = rows.agg(F.sum(F.octet_length("payload"))).first()[0] or 0
     archives = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // ARCHIVE_BYTES))
