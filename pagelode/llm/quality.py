@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import near_dedup
-from .common import SPACES, alone, texts_as_bytes, written
+from .common import SPACES, alone, met, texts_as_bytes, written
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 MAX_DOCS, MOST_FREQUENT, LEAST_LEFT = 10, 0.5, 0.5
@@ -122,9 +122,10 @@ def boilerplate(docs: DataFrame, stats: DataFrame, max_docs: int = MAX_DOCS, mos
         "row_key", "content", "content2", "n_words", F.xxhash64(F.array_sort("line_keys")).alias("class"), F.explode(F.arrays_zip("line_keys", "line_words")).alias("l")
     ).select("row_key", "content", "content2", "n_words", "class", F.col("l.line_keys").alias("key"), F.col("l.line_words").alias("words"))
     frequent = (
-        stats.select(F.explode("line_keys").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > max_docs).select("key")
+        stats.select(F.explode("line_keys").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > max_docs)
     )
-    found = lines.join(written(frequent, "frequent-lines"), "key")
+    frequent = written(frequent, "frequent-lines")  # with their counts, by which the hot ones are split
+    found = met(lines, frequent.select("key"), "key", frequent, "n", "row_key")
     if copies_once:
         held = (
             found.groupBy("row_key", "content", "content2", "n_words", "class")
@@ -134,10 +135,11 @@ def boilerplate(docs: DataFrame, stats: DataFrame, max_docs: int = MAX_DOCS, mos
         held = written(held, "quality-held")
         if held.where("not other").take(1):
             groups = written(_copies(docs, held), "quality-copies")
-            held = held.join(groups, "class", "left").withColumn("class", F.coalesce("group", "class"))
+            sizes = written(held.groupBy("class").agg(F.count("*").alias("n")), "quality-class-sizes")
+            held = met(held, groups, "class", sizes, "n", "row_key", "left").withColumn("class", F.coalesce("group", "class"))
         own = held.select("row_key", "class", F.explode("hits").alias("h")).select("row_key", "class", "h.key", "h.words")
         boiler = own.groupBy("key").agg(F.countDistinct("class").alias("n")).where(F.col("n") > max_docs).select("key")
-        found = own.join(written(boiler, "boilerplate"), "key")
+        found = met(own, written(boiler, "boilerplate"), "key", frequent, "n", "row_key")
     return found.groupBy("row_key").agg(F.collect_list("key").alias("hit_keys"), F.sum("words").alias("hit_words"))
 
 
