@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BASE, LOWER, alone, blocks, forget, mixed, prefix_hashes, span_hashes, text_buffers, unused, word_spans, written
+from .common import BASE, LOWER, alone, blocks, forget, met, mixed, prefix_hashes, span_hashes, text_buffers, unused, word_spans, written
 
 WORDS, PERCENT = 4, 80
 BANDS, ROWS = 25, 4
@@ -357,7 +357,7 @@ def linked_classes(docs: DataFrame, classes: DataFrame, also: DataFrame | None,
     band = F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(regs, i * {2 * ROWS} + 1, {2 * ROWS})))")
     banded = classes.select("v", F.posexplode(band).alias("band", "bucket"))
     shared = written(banded.groupBy("bucket").agg(F.min("v").alias("first"), F.count("*").alias("n")).where("n > 1"), "shared-buckets")
-    members = written(banded.join(shared, "bucket").select("bucket", "band", "v", "first", "n"), "buckets")
+    members = written(met(banded, shared, "bucket", shared.select("bucket", "n"), "n", "v").select("bucket", "band", "v", "first", "n"), "buckets")
     stars = written(members.where("v != first").select(F.col("first").alias("a"), F.col("v").alias("b")).distinct(), "stars")
     regs = classes.select("v", "n_shingles", "regs")
     wanted = classes.select("v", "doc_id", "text_key").join(members.select("v").distinct(), "v", "left_semi")
@@ -378,7 +378,7 @@ def linked_classes(docs: DataFrame, classes: DataFrame, also: DataFrame | None,
         split = placed.groupBy("bucket", "component").agg(F.count("*").alias("c")).groupBy("bucket").agg(
             F.min("component").alias("main"), F.count("*").alias("components"), (F.sum("c") - F.min_by("c", "component")).alias("minors")
         )
-        rows = placed.join(split.where("components > 1"), "bucket").withColumn("minor", F.col("component") != F.col("main"))
+        rows = met(placed, split.where("components > 1"), "bucket", shared.select("bucket", "n"), "n", "v").withColumn("minor", F.col("component") != F.col("main"))
         rows = rows.withColumn("home", dealt(cut("n"))).withColumn("own", dealt(cut("minors")))
         at_home = F.transform(F.sequence(F.lit(0), cut("minors") - 1), lambda c: F.struct(F.col("home").alias("block"), c.alias("chunk")))
         as_minor = F.transform(F.sequence(F.lit(0), cut("n") - 1), lambda b: F.struct(b.alias("block"), F.col("own").alias("chunk")))
@@ -429,11 +429,13 @@ def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     ids = _repeated_ids(own, classes)
     also = None if ids is None else ids.where("v != w").select(F.col("w").alias("a"), F.col("v").alias("b")).distinct()
     found = linked_classes(docs, classes, also, words, percent)
+    copied = written(classes.where("rows > 1").select("set_key", "rows"), "copied-sets")
     in_groups = classes.select("v", "set_key", "doc_id").join(found, "v")
     least = in_groups.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     by_class = in_groups.join(least, "component").select("set_key", "v", "component_id")
     alone_ = classes.where("rows > 1").join(found, "v", "left_anti").select("set_key", "v", F.col("doc_id").alias("component_id"))
-    out = own.select("doc_id", "n_shingles", "set_key").join(by_class.unionByName(alone_).drop("v"), "set_key", "left")
+    rows = own.select("doc_id", "n_shingles", "set_key", F.monotonically_increasing_id().alias("row"))  # own is a written table: its rows keep their places
+    out = met(rows, by_class.unionByName(alone_).drop("v"), "set_key", copied, "rows", "row", "left").drop("row")
     component = F.coalesce("component_id", "doc_id")
     if ids is not None:  # rows without a set belong to the other texts of their id
         home = ids.select("doc_id", "w", "least").distinct().join(by_class.select(F.col("v").alias("w"), F.col("component_id").alias("of")), "w", "left")
