@@ -4,6 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+PIECE_ROWS, PIECE_BYTES = 1024, 2 << 20
+
+
+def pieces(batches, rows: int = PIECE_ROWS, size: int = PIECE_BYTES):
+    """Arrow batches cut into runs of their rows, in order: of so many rows and, by the batch's mean, so many bytes at most, but of a row at least. What is
+    made of a row as Python objects is several times its size; so it stands for a piece at a time, whatever the batches are."""
+    for batch in batches:
+        step = max(1, min(rows, len(batch) * size // max(1, batch.nbytes)))
+        for i in range(0, len(batch), step):
+            yield batch.slice(i, step)
+
 
 def spread(table: DataFrame) -> DataFrame:
     """A table as it is read from files, dealt out anew if it has fewer files than there are cores: the rows of a file that is one row group are one

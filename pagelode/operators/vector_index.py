@@ -7,7 +7,8 @@ RECALL of their true neighbours need. `probes=None` asks for all cells: the sear
 
 Bounds. There are MOST_CELLS centroids at most, so they fit on the driver and are sent out; a cell with more than `part_rows` vectors is
 dealt to parts by a hash of the id, and a task holds one part at a time. Queries of a batch are rows: they meet the parts that they
-visit in one shuffle, never on the driver.
+visit in one shuffle, never on the driver. Small cells meet them in groups of about `part_rows` vectors: a query goes to a group once, with the names
+of the cells that it visits there. Python makes tables of scores of SCORES entries at most.
 """
 
 from __future__ import annotations
@@ -17,12 +18,14 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import pieces
 from ..functions.vectors import rows_dot, usable
 
 SAMPLE, MOST_CELLS, CELL_ROWS, PART_ROWS = 16_384, 4096, 256, 16_384
+SCORES, SENT_ROWS = 1 << 20, 8192
 RECALL, ASKED, NEAR = 0.95, 128, 10
 
 
@@ -37,13 +40,18 @@ def units(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
 
+def nearest_centroid(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    step = max(1, SCORES // len(centroids))
+    return np.concatenate([np.zeros(0, np.int64), *((x[i : i + step] @ centroids.T).argmax(axis=1) for i in range(0, len(x), step))])
+
+
 def centroids_of(sample: np.ndarray, cells: int, rounds: int = 10, seed: int = 3) -> np.ndarray:
     """k-means on unit vectors, by cosine."""
     sample = units(sample)
     rng = np.random.default_rng(seed)
     out = sample[rng.choice(len(sample), cells, replace=False)]
     for _ in range(rounds):
-        own = (sample @ out.T).argmax(axis=1)
+        own = nearest_centroid(sample, out)
         sums = np.zeros_like(out)
         np.add.at(sums, own, sample)
         filled = np.bincount(own, minlength=cells) > 0
@@ -51,58 +59,98 @@ def centroids_of(sample: np.ndarray, cells: int, rounds: int = 10, seed: int = 3
     return out
 
 
-def _placed(centroids: np.ndarray, batches):
-    for batch in batches:
-        if len(batch):
-            cell = (units(matrix(batch["v"])) @ centroids.T).argmax(axis=1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32))], names=[*batch.schema.names, "cell"])
+def groups_of(sizes: list[int], parts: list[int], part_rows: int) -> tuple[list[int], list[int]]:
+    """Each cell's group, and each group's number of parts: cells of one part stand together while they have `part_rows` vectors at most."""
+    group, many, held = [], [], None
+    for n, p in zip(sizes, parts):
+        if p > 1 or held is None or held + n > part_rows:
+            many.append(p)
+            held = None if p > 1 else 0
+        group.append(len(many) - 1)
+        if held is not None:
+            held += n
+    return group, many
 
 
-def _asked(centroids: np.ndarray, probes: int, batches):
-    """Each query in its nearest cells."""
-    for batch in batches:
-        if len(batch):
-            near = np.argsort(-(units(matrix(batch["v"])) @ centroids.T), axis=1, kind="stable")[:, :probes]
-            taken = batch.take(pa.array(np.repeat(np.arange(len(batch)), near.shape[1])))
-            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(near.ravel().astype(np.int32))], names=[*batch.schema.names, "cell"])
+def _placed(centroids: np.ndarray, batches):
+    for batch in pieces(batches):
+        cell = nearest_centroid(units(matrix(batch["v"])), centroids)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32))], names=[*batch.schema.names, "cell"])
+
+
+def _asked(centroids: np.ndarray, group: np.ndarray, probes: int, batches):
+    """Each query in the groups of its nearest cells: `cell` is the group, `cells` are those of its cells that are in it, `near` the nearest of all."""
+    for batch in pieces(batches, max(1, SCORES // len(centroids))):
+        near = np.argsort(-(units(matrix(batch["v"])) @ centroids.T), axis=1, kind="stable")[:, :probes].astype(np.int32)
+        first = near[:, 0].copy()
+        order = np.argsort(group[near], axis=1, kind="stable")
+        near = np.take_along_axis(near, order, axis=1).ravel()
+        row, own = np.repeat(np.arange(len(batch)), order.shape[1]), group[near]
+        starts = np.flatnonzero(np.r_[True, (np.diff(row) != 0) | (np.diff(own) != 0)])
+        ends = np.r_[starts[1:], len(near)]
+        for i in range(0, len(starts), SENT_ROWS):
+            a, e = starts[i : i + SENT_ROWS], ends[i : i + SENT_ROWS]
+            cells = pa.ListArray.from_arrays(pa.array(np.r_[a, e[-1]] - a[0], pa.int32()), pa.array(near[a[0] : e[-1]]))
+            own_rows = batch.take(pa.array(row[a]))
+            yield pa.RecordBatch.from_arrays([*own_rows.columns, pa.array(own[a].astype(np.int32)), cells, pa.array(first[row[a]])], names=[*batch.schema.names, "cell", "cells", "near"])
 
 
 class _Held:
-    """The vectors of a part, in the order of their ids."""
+    """The vectors of a part, in the order of their ids. Of equal ones in a cell the first k are kept: no others can be among k nearest."""
 
-    def __init__(self):
-        self.ids, self.rows, self.ready = [], [], False
+    def __init__(self, k: int):
+        self.k, self.ids, self.rows, self.cells, self.ready = k, [], [], [], False
 
-    def add(self, ids, v):
+    def add(self, ids, v, cells):
         self.ids.append(ids)
-        self.rows.append(matrix(v))
-
-    def best(self, q: np.ndarray, k: int):
+        self.rows.append(units(matrix(v)))
+        self.cells.append(cells.to_numpy())
+
+    def _sorted(self):
+        ids, x, cells = pa.chunked_array(self.ids), np.concatenate(self.rows), np.concatenate(self.cells)
+        order = pc.sort_indices(ids).to_numpy()
+        named = np.ascontiguousarray(np.c_[x, cells][order]).view(np.dtype((np.void, (x.shape[1] + 1) * 8))).ravel()
+        same = np.unique(named, return_inverse=True)[1]
+        by = np.argsort(same, kind="stable")
+        place = np.empty(len(by), np.int64)
+        place[by] = np.arange(len(by)) - np.searchsorted(same[by], same[by])
+        order = order[place < self.k]
+        self.ids, self.x, self.rows, self.ready = ids.take(pa.array(order)).combine_chunks(), x[order], [], True
+        self.cells, self.own = np.unique(cells[order], return_inverse=True)
+
+    def best(self, batch, k: int):
         """(query row, place among the ids, score) of the k most similar, ties by id. Products of matrices round as they like: they choose a few
         more, and sums taken in one order decide."""
-        if not self.ready:
-            ids = pa.chunked_array(self.ids)
-            order = pc.sort_indices(ids)
-            self.ids, self.x, self.ready = ids.take(order).combine_chunks(), units(np.concatenate(self.rows)[order.to_numpy()]), True
-        scores = q @ self.x.T
+        q, places, asked = units(matrix(batch["v"])), slice(None), batch["cells"]
+        met = None
+        if asked.null_count < len(asked):  # queries name the cells that they visit
+            row, cell = np.repeat(np.arange(len(q)), asked.value_lengths().to_numpy()), asked.flatten().to_numpy()
+            at = np.minimum(np.searchsorted(self.cells, cell), len(self.cells) - 1)
+            here = self.cells[at] == cell
+            met = np.zeros((len(q), len(self.cells)), bool)
+            met[row[here], at[here]] = True
+            places = np.flatnonzero(met.any(axis=0)[self.own])
+            met = met[:, self.own[places]]
+        x = self.x[places]
+        scores = q @ x.T
+        if met is not None:
+            scores[~met] = -np.inf
         if scores.shape[1] > k:
             least = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k] - 1e-12
-            r, c = np.nonzero(scores >= least[:, None])
+            r, c = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
         else:
-            r, c = (a.ravel() for a in np.indices(scores.shape))
-        s = rows_dot(q[r], self.x[c])
+            r, c = np.nonzero(scores > -np.inf)
+        s = np.concatenate([np.zeros(0), *(rows_dot(q[r[i : i + SENT_ROWS]], x[c[i : i + SENT_ROWS]]) for i in range(0, len(r), SENT_ROWS))])
         order = np.lexsort((c, -s, r))
         r, c, s = r[order], c[order], s[order]
         kept = np.arange(len(r)) - np.searchsorted(r, r) < k
-        return r[kept], c[kept], s[kept]
+        return r[kept], c[kept] if met is None else places[c[kept]], s[kept]
 
 
-def _met(k: int, rows: int, batches):
+def _met(k: int, batches):
     """Rows come by cell and part, vectors before queries."""
     place, held = None, None
-    for batch in batches:
-        if not len(batch):
-            continue
+    for batch in pieces(batches, SENT_ROWS):
         names = [batch[n].to_numpy() for n in ("cell", "part", "kind")]
         cuts = np.flatnonzero(np.any([np.diff(x) != 0 for x in names], axis=0)) + 1
         for a, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(batch)]):
@@ -110,33 +158,45 @@ def _met(k: int, rows: int, batches):
             if here != place:
                 place, held = here, None
             if names[2][a] == 0:
-                held = held or _Held()
-                held.add(own["id"], own["v"])
+                held = held or _Held(k)
+                held.add(own["id"], own["v"], own["near"])
             elif held is not None:
+                if not held.ready:
+                    held._sorted()
+                rows = max(1, SCORES // len(held.x))
                 for i in range(0, e - a, rows):
                     some = own.slice(i, rows)
-                    r, c, s = held.best(units(matrix(some["v"])), k)
+                    r, c, s = held.best(some, k)
                     yield pa.RecordBatch.from_arrays([some["query_id"].take(pa.array(r)), held.ids.take(pa.array(c)), pa.array(s)], names=["query_id", "id", "score"])
 
 
-def nearest_in_parts(held: DataFrame, asking: DataFrame, k: int, block_rows: int = 512) -> DataFrame:
-    """(query_id, id, score, rank) by cosine. held: (cell, part, id, v), asking: (cell, part, query_id, v), a row a part that a query visits."""
+def nearest_in_parts(held: DataFrame, asking: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, score, rank) by cosine. held: (cell, part, id, v, near), asking: (cell, part, query_id, v, cells, near), a row a part that a query visits.
+    `near` of a vector is compared with `cells` of a query, which are null if it takes all; queries of like `near` come together."""
     ids, asks = dict(held.dtypes)["id"], dict(asking.dtypes)["query_id"]
-    vectors = held.select("cell", "part", F.lit(0).alias("kind"), "id", F.lit(None).cast(asks).alias("query_id"), F.col("v").cast("array<double>").alias("v"))
-    queries = asking.select("cell", "part", F.lit(1).alias("kind"), F.lit(None).cast(ids).alias("id"), "query_id", F.col("v").cast("array<double>").alias("v"))
-    met = vectors.unionByName(queries).repartition("cell", "part").sortWithinPartitions("cell", "part", "kind")
-    found = met.mapInArrow(partial(_met, k, block_rows), f"query_id {asks}, id {ids}, score double")
+    none = lambda kind: F.lit(None).cast(kind)
+    v = F.col("v").cast("array<double>").alias("v")
+    vectors = held.select("cell", "part", F.lit(0).alias("kind"), "near", "id", none(asks).alias("query_id"), v, none("array<int>").alias("cells"))
+    queries = asking.select("cell", "part", F.lit(1).alias("kind"), "near", none(ids).alias("id"), "query_id", v, "cells")
+    met = vectors.unionByName(queries).repartition("cell", "part").sortWithinPartitions("cell", "part", "kind", "near")
+    found = met.mapInArrow(partial(_met, k), f"query_id {asks}, id {ids}, score double")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
     return ranked.select("query_id", "id", "score", F.col("rank").cast("int").alias("rank"))
 
 
 def blocks_of(rows: DataFrame, parts: int) -> DataFrame:
     """rows (id, v) dealt to parts by a hash of the id, all in one cell."""
-    return rows.select(F.lit(0).alias("cell"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), "id", "v")
+    return rows.select(F.lit(0).alias("cell"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), "id", "v", F.lit(0).alias("near"))
 
 
 def in_all(queries: DataFrame, parts: int) -> DataFrame:
-    return queries.select(F.lit(0).alias("cell"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "query_id", "v")
+    part, cells = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(None).cast("array<int>").alias("cells")
+    return queries.select(F.lit(0).alias("cell"), part, "query_id", "v", cells, F.lit(0).alias("near"))
+
+
+def _by(values: list[int], key: str) -> Column:
+    """values[key] as a column, without a list in the plan if all are the same."""
+    return F.array(*map(F.lit, values))[F.col(key)] if len(set(values)) > 1 else F.lit(values[0])
 
 
 class VectorIndex:
@@ -165,15 +225,14 @@ class VectorIndex:
         placed = rows.mapInArrow(partial(_placed, centroids), f"{kinds}, cell int")
         sizes = {r["cell"]: r["n"] for r in placed.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # MOST_CELLS rows at most
         parts = [max(1, -(-sizes.get(c, 0) // part_rows)) for c in range(cells)]
-        many = F.array(*map(F.lit, parts))[F.col("cell")] if max(parts) > 1 else F.lit(1)
-        placed = placed.withColumn("part", F.pmod(F.xxhash64("id"), many).cast("int"))
+        placed = placed.withColumn("part", F.pmod(F.xxhash64("id"), _by(parts, "cell")).cast("int"))
         placed.repartition("cell", "part").sortWithinPartitions("cell", "part", "id").write.partitionBy("cell").parquet(f"{path}/vectors")
         index = cls(spark, path)
         probes, columns = cells, f"{kinds}, part int, cell int"
         if cells > 1:
             first = chosen[:asked]
             sought = spark.createDataFrame([(i, [float(x) for x in r["v"]]) for i, r in enumerate(first)], "query_id int, v array<double>")
-            index._model = {"centroids": centroids, "parts": parts, "probes": cells, "columns": columns}
+            index._model = {"centroids": centroids, "sizes": [sizes.get(c, 0) for c in range(cells)], "parts": parts, "probes": cells, "columns": columns}
             found = index.search_batch(sought, near, probes=None).join(index.vectors().select("id", "cell"), "id").collect()  # asked * near rows
             order = np.argsort(-(units(points[: len(first)]) @ centroids.T), axis=1, kind="stable")
             place = order.argsort(axis=1)
@@ -186,7 +245,8 @@ class VectorIndex:
     def _read(self) -> dict:
         if self._model is None:
             rows = self.spark.read.parquet(f"{self.path}/cells").orderBy("cell").collect()  # MOST_CELLS rows at most
-            self._model = {"centroids": np.array([r["centroid"] for r in rows]), "parts": [r["parts"] for r in rows]} | {n: rows[0][n] for n in ("probes", "columns")}
+            lists = {"centroids": np.array([r["centroid"] for r in rows]), "sizes": [r["n"] for r in rows], "parts": [r["parts"] for r in rows]}
+            self._model = lists | {n: rows[0][n] for n in ("probes", "columns")}
         return self._model
 
     @property
@@ -204,13 +264,14 @@ class VectorIndex:
         order = np.argsort(-(model["centroids"] @ np.asarray(query, float)), kind="stable")[: probes or model["probes"]]
         return self.vectors().where(F.col("cell").isin(order.tolist()))
 
-    def search_batch(self, queries: DataFrame, k: int, probes: int | None = 0) -> DataFrame:
-        """(query_id, id, score, rank) for queries (query_id, v), each in the cells it visits."""
+    def search_batch(self, queries: DataFrame, k: int, probes: int | None = 0, group_rows: int = PART_ROWS) -> DataFrame:
+        """(query_id, id, score, rank) for queries (query_id, v), each in the cells it visits. Small cells stand together in groups of `group_rows` vectors."""
         model = self._read()
-        count = len(model["parts"]) if probes is None else probes or model["probes"]
         queries = queries.select("query_id", "v").where(usable("v") & (F.size("v") == model["centroids"].shape[1]))
+        group, many = groups_of(model["sizes"], model["parts"], group_rows)
         kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in queries.schema)
-        asking = queries.mapInArrow(partial(_asked, model["centroids"], count), f"{kinds}, cell int")
-        many = F.array(*map(F.lit, model["parts"]))[F.col("cell")] if max(model["parts"]) > 1 else F.lit(1)
-        asking = asking.withColumn("part", F.explode(F.sequence(F.lit(0), many - 1)))
-        return nearest_in_parts(self.vectors().select("cell", "part", "id", "v"), asking, k)
+        asked = partial(_asked, model["centroids"], np.array(group), len(group) if probes is None else probes or model["probes"])
+        asking = queries.mapInArrow(asked, f"{kinds}, cell int, cells array<int>, near int")
+        asking = asking.withColumn("part", F.explode(F.sequence(F.lit(0), _by(many, "cell") - 1)))
+        held = self.vectors().select(_by(group, "cell").alias("cell"), "part", "id", "v", F.col("cell").alias("near"))
+        return nearest_in_parts(held, asking, k)

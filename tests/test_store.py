@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pagelode.operators import search
+from pagelode.operators import search, vector_index
 from pagelode.operators.store import ChunkStore, _tables, materialised, passing
 from pagelode.operators.vector_index import VectorIndex
 from pagelode.plans import tools
@@ -155,3 +155,34 @@ def test_tables_in_between_are_deleted(spark):
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(path)
     assert path not in _tables
+
+
+def test_search_in_groups_of_cells(spark, tmp_path):
+    """Cells of one part stand together, large ones in parts; a third of the vectors are one."""
+    x = vectors(1500, clusters=12)
+    x[::3] = x[0]
+    index = VectorIndex.build(frame(spark, x), str(tmp_path / "ix"), "vec_id", cells=40, part_rows=120)
+    assert max(index._read()["parts"]) > 1 and min(index._read()["parts"]) == 1
+    queries = frame(spark, x[::7], range(0, 1500, 7)).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v"))
+    cell = {r["id"]: r["cell"] for r in index.vectors().select("id", "cell").collect()}
+    centroids, place = index._read()["centroids"], np.array([cell[i] for i in range(1500)])
+    near = np.argsort(-(x[::7].astype(float) @ centroids.T), axis=1, kind="stable")
+    for probes, group_rows in ((None, 200), (None, 10_000), (1, 300), (7, 300), (7, 10_000), (40, 1)):
+        got = {}
+        for r in index.search_batch(queries, 10, probes, group_rows).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append(r["id"])
+        for i, q in enumerate(range(0, 1500, 7)):
+            own = np.arange(1500) if probes is None else np.flatnonzero(np.isin(place, near[i, :probes]))
+            assert got[q] == brute(x[own], x[q].astype(float), 10, own), (probes, group_rows, q)
+
+
+def test_a_query_goes_to_a_group_of_cells_once(spark, tmp_path, monkeypatch):
+    """What meets doesn't grow with queries times cells."""
+    x = vectors(600)
+    index = VectorIndex.build(frame(spark, x), str(tmp_path / "ix"), "vec_id", cells=100)
+    queries = frame(spark, x).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v"))
+    sent = []
+    monkeypatch.setattr(vector_index, "nearest_in_parts", lambda held, asking, *a: sent.append((held.count(), asking.count())))
+    for probes in (None, 90):
+        index.search_batch(queries, 3, probes)
+    assert sent == [(600, 600)] * 2
