@@ -8,7 +8,7 @@ RECALL of their true neighbours need. `probes=None` asks for all cells: the sear
 Bounds. There are MOST_CELLS centroids at most, so they fit on the driver and are sent out; a cell with more than `part_rows` vectors is
 dealt to parts by a hash of the id, and a task holds one part at a time. Queries of a batch are rows: they meet the parts that they
 visit in one shuffle, never on the driver. Small cells meet them in groups of about `part_rows` vectors: a query goes to a group once, with the names
-of the cells that it visits there. Python makes tables of scores of SCORES entries at most.
+of the cells that it visits there, and an exact search takes no notice of cells. Python makes tables of scores of SCORES entries at most.
 """
 
 from __future__ import annotations
@@ -268,9 +268,12 @@ class VectorIndex:
         """(query_id, id, score, rank) for queries (query_id, v), each in the cells it visits. Small cells stand together in groups of `group_rows` vectors."""
         model = self._read()
         queries = queries.select("query_id", "v").where(usable("v") & (F.size("v") == model["centroids"].shape[1]))
+        if probes is None:
+            parts = max(1, -(-sum(model["sizes"]) // group_rows))
+            return nearest_in_parts(blocks_of(self.vectors(), parts), in_all(queries, parts), k)
         group, many = groups_of(model["sizes"], model["parts"], group_rows)
         kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in queries.schema)
-        asked = partial(_asked, model["centroids"], np.array(group), len(group) if probes is None else probes or model["probes"])
+        asked = partial(_asked, model["centroids"], np.array(group), probes or model["probes"])
         asking = queries.mapInArrow(asked, f"{kinds}, cell int, cells array<int>, near int")
         asking = asking.withColumn("part", F.explode(F.sequence(F.lit(0), _by(many, "cell") - 1)))
         held = self.vectors().select(_by(group, "cell").alias("cell"), "part", "id", "v", F.col("cell").alias("near"))
