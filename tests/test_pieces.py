@@ -5,6 +5,7 @@ import pytest
 
 from pagelode.functions.tables import PIECE_ROWS, pieces
 from pagelode.operators.chunking import chunk_pages
+from pagelode.operators.embed import HashProvider, embedded
 
 N = 5000
 LINE = "Words of a page that are enough for a chunk of its own, number %d."
@@ -28,6 +29,7 @@ def function_of(made, monkeypatch, frame):
 
 CASES = {
     "chunks": (chunk_pages, "url string, sections array<struct<heading:string,text:string>>, body_text string", lambda i: (f"u{i}", [{"heading": "h", "text": LINE % i}], LINE % i), "chunk_text", lambda i: "h\n\n" + LINE % i),
+    "vectors": (lambda d: embedded(d, lambda: HashProvider(8)), "url string, chunk_text string", lambda i: (f"u{i}", LINE % i), "chunk_text", lambda i: LINE % i),
 }
 
 
