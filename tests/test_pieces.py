@@ -3,6 +3,7 @@
 import pyarrow as pa
 import pytest
 
+from pagelode.functions.html import extract_pages
 from pagelode.functions.tables import PIECE_ROWS, pieces
 from pagelode.operators.chunking import chunk_pages
 from pagelode.operators.embed import HashProvider, embedded
@@ -30,6 +31,7 @@ def function_of(made, monkeypatch, frame):
 CASES = {
     "chunks": (chunk_pages, "url string, sections array<struct<heading:string,text:string>>, body_text string", lambda i: (f"u{i}", [{"heading": "h", "text": LINE % i}], LINE % i), "chunk_text", lambda i: "h\n\n" + LINE % i),
     "vectors": (lambda d: embedded(d, lambda: HashProvider(8)), "url string, chunk_text string", lambda i: (f"u{i}", LINE % i), "chunk_text", lambda i: LINE % i),
+    "pages": (lambda d: extract_pages(d, fields=("title",)), "url string, html string", lambda i: (f"u{i}", f"<title>{i}</title><p>{LINE % i}"), "title", str),
 }
 
 
